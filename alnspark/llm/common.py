@@ -64,6 +64,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+#: Rows of (id, two integers) that may be sent to every executor: under 64 MB there.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_by_id(docs: DataFrame, rows: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """docs joined with the few `rows`. While these are counted and small they are broadcast, so that texts stay
+    where they are; beyond that both sides are shuffled on the key."""
+    small = rows.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(rows) if small else rows, key, how)
+
+
 def clean(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns with clashing names do no harm."""
     return docs.select(*[F.col(c) for c in columns])

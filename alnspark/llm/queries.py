@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import neardup, packing, quality
 from .common import documents
 
 
@@ -16,6 +16,16 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), carry={"ids_crc32": F.crc32("ids")})
+
+
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_minmax_near_dedup": op8_minmax_near_dedup,
 }
