@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import neardup, packing, quality
+from . import langid, neardup, packing, quality, toxicity
 from .common import documents
 
 
@@ -16,16 +16,34 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.verdicts(docs, labels).select("doc_id", "p_low_quality", "p_toxic", "rejected")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), carry={"ids_crc32": F.crc32("ids")})
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = F.coalesce(held_out(5, 0), F.lit(False))
+    model = langid.fit(docs, ~out)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
 }
