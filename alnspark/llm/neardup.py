@@ -214,3 +214,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, ngram: int = NGRAM)
     joined = sig.drop("bands").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
     found = joined.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame, percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id. Rows that repeat a doc_id are one
+    document, of which one row stays; rows without a doc_id stay."""
+    found = materialize(near_duplicates(docs, percent, ngram).where("doc_id is not null"), "components")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = keep_by_id(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
+    return left

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import langid, neardup, packing, quality, toxicity
+from . import fingerprint, langid, neardup, packing, quality, toxicity
 from .common import documents
 
 
@@ -25,6 +25,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), carry={"ids_crc32": F.crc32("ids")})
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.against_edited(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_winnowing": op6_winnowing,
     "op7_language_id": op7_language_id,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
 }
