@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, neardup, packing, quality, toxicity
+from . import fingerprint, langid, neardup, packing, ppm, quality, toxicity
 from .common import documents
 
 
@@ -45,6 +45,12 @@ def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(7, 2)
+    scored = ppm.score(documents(spark, sf_dir), ~out)
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -52,4 +58,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_winnowing": op6_winnowing,
     "op7_language_id": op7_language_id,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
+    "op9_ppm_scores": op9_ppm_scores,
 }
