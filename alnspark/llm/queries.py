@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, neardup, packing, ppm, quality, toxicity
+from . import fingerprint, langid, neardup, packing, ppm, quality, sentencepieces, tokencounts, toxicity
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(docs, labels).select("doc_id", "p_low_quality", "p_toxic", "rejected")
 
 
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), carry={"ids_crc32": F.crc32("ids")})
 
@@ -51,12 +55,22 @@ def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    both = sentencepieces.decode(sentencepieces.encode(docs))
+    # the digest of ids is of their decimal numbers, joined by blanks
+    digest = F.crc32(F.concat_ws(" ", F.col("piece_ids").cast("array<string>")).cast("binary"))
+    return both.select("doc_id", F.size("piece_ids").alias("n_pieces"), digest.alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_toxicity_chain": op2_toxicity_chain,
+    "op4_trie_token_counts": op4_trie_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_winnowing": op6_winnowing,
     "op7_language_id": op7_language_id,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op9_ppm_scores": op9_ppm_scores,
+    "op10_sentencepiece": op10_sentencepiece,
 }
