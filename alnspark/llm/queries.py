@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, neardup, packing, ppm, quality, sentencepieces, tokencounts, toxicity
-from .common import documents
+from . import fingerprint, langid, neardup, packing, ppm, quality, sentencepieces, sharding, tokencounts, toxicity
+from .common import documents, scratch_path
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(docs, labels).select("doc_id", "p_low_quality", "p_toxic", "rejected")
 
 
+def op3_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = sharding.shard(documents(spark, sf_dir), scratch_path(spark, "shards"))
+    return table.read().select("doc_id", "shard", "tier", "shard_rows", "version")
+
+
 def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_toxicity_chain": op2_toxicity_chain,
+    "op3_tiered_sharding": op3_tiered_sharding,
     "op4_trie_token_counts": op4_trie_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_winnowing": op6_winnowing,
