@@ -5,7 +5,8 @@ first); each relaxes the best score at that position. A character without a piec
 gives back every text exactly.
 
 No piece goes on beyond a blank that follows a non-blank, so a text is encoded in chunks that begin at blanks, and
-each worker remembers the chunks it has seen. A vocabulary with other pieces is encoded in whole texts.
+each worker remembers the chunks it has seen. A chunk in turn is cut at its last character and at a line's end, if
+the characters there stand side by side in no piece. A vocabulary with other pieces is encoded in whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 from .pieces import LEAST, Vocabulary, default_model, vocabulary
 
-MEMO = 300_000
+#: Chunks in each of a worker's two generations.
+MEMO = 200_000
 CHUNK = re.compile(r" *[^ ]+| +$")
 
 
@@ -37,44 +39,66 @@ class Encoder(dict):
             self.automaton.add_word(surface, (k, len(surface), score))
         self.automaton.make_automaton()
         self.single = {s for s in v.ids if len(s) == 1}
+        self.pairs = {s[i : i + 2] for s in v.ids for i in range(len(s) - 1)}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.by_chunk = not any(re.search("[^ ] ", s) for s in v.ids)
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = self.segment(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            # a mark at the end, or a line's end within: what stands on both sides is encoded apart
+            n = len(chunk)
+            at = n - 1 if n > 1 and chunk[-2:] not in self.pairs else chunk.find("\n", 1)
+            if at > 0 and chunk[at - 1 : at + 1] not in self.pairs:
+                ids = self[chunk[:at]] + self[chunk[at:]]
+            else:
+                ids = self.segment(chunk)
         if len(chunk) <= 64:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO:  # the newer half stays at hand
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
     def segment(self, text: str) -> tuple[int, ...]:
         """Ids of the best segmentation; of equal scores the one whose last piece is longest."""
+        if not self.single.issuperset(text):
+            return self.segment_with_bytes(text)
         n = len(text)
-        best, back = [0] + [LEAST] * n, [(0, 0)] * (n + 1)
-        odd = [p + 1 for p, c in enumerate(text) if c not in self.single] if not self.single.issuperset(text) else []
-        at, bytes_ = 0, {}
-
-        def fall_back(p: int) -> None:
-            ids = self.v.unknown(text[p - 1])
-            if (s := best[p - 1] + len(ids) * self.v.byte_score) > best[p]:
-                best[p], back[p] = s, (-1, 1)
-                bytes_[p] = ids
+        best: list[int] = [LEAST] * (n + 1)
+        best[0] = 0
+        back: list = [None] * (n + 1)
+        for end, piece in self.automaton.iter(text):
+            end += 1
+            score = best[end - piece[1]] + piece[2]
+            if score > best[end]:
+                best[end] = score
+                back[end] = piece
+        out: list[int] = []
+        while n:
+            k, length, _ = back[n]
+            out.append(k)
+            n -= length
+        return tuple(out[::-1])
 
+    def segment_with_bytes(self, text: str) -> tuple[int, ...]:
+        """The same for a text with characters that have no piece of their own: their bytes are one more way to go."""
+        n = len(text)
+        best, back = [0] + [LEAST] * n, [((), 0)] * (n + 1)
+        found: list[list[tuple[tuple[int, ...], int, int]]] = [[] for _ in range(n + 1)]
         for end, (k, length, score) in self.automaton.iter(text):
-            end += 1
-            while at < len(odd) and odd[at] < end:
-                fall_back(odd[at])
-                at += 1
-            if (s := best[end - length] + score) > best[end]:
-                best[end], back[end] = s, (k, length)
-            if at < len(odd) and odd[at] == end:
-                fall_back(end)
-        for p in odd[at:]:
-            fall_back(p)
+            found[end + 1].append(((k,), length, score))
+        for end in range(1, n + 1):
+            if text[end - 1] not in self.single:
+                ids = self.v.unknown(text[end - 1])
+                found[end].append((ids, 1, len(ids) * self.v.byte_score))
+            for ids, length, score in found[end]:
+                if (s := best[end - length] + score) > best[end]:
+                    best[end], back[end] = s, (ids, length)
         out: list[int] = []
         while n:
-            k, length = back[n]
-            out += reversed(bytes_[n]) if k < 0 else (k,)
+            ids, length = back[n]
+            out += reversed(ids)
             n -= length
         return tuple(reversed(out))
 
