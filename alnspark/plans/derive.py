@@ -93,3 +93,13 @@ def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference(spark: SparkSession) -> DataFrame:
     return spark.sql(REFERENCE_SQL_SPARK)
+
+
+#: Primers of five amplicons on each of five references.
+PRIMERS_SQL = """
+SELECT concat('chr', n_nationkey % 5 + 1) AS chrom, CAST((n_nationkey - n_nationkey % 5) * 60 AS BIGINT) AS start0, CAST((n_nationkey - n_nationkey % 5) * 60 + 25 AS BIGINT) AS end0, '+' AS strand FROM nation
+UNION ALL SELECT concat('chr', n_nationkey % 5 + 1), CAST((n_nationkey - n_nationkey % 5) * 60 + 225 AS BIGINT), CAST((n_nationkey - n_nationkey % 5) * 60 + 250 AS BIGINT), '-' FROM nation"""
+
+
+def primers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, PRIMERS_SQL, "nation")
