@@ -22,7 +22,8 @@ FOLDS = 4
 GRAMS = (4, 5, 6)
 FEATURES = 800
 LEAST_DOCS = 5
-L1 = 2e-4
+#: Penalty of a weight: for many documents, and (over their number) for few.
+L1, L1_FEW = 2e-4, 0.2
 STEPS = 200
 REJECT = 0.5
 
@@ -77,7 +78,7 @@ def _fit_linear(x, y, fixed: int):
         z = x.T @ (x @ z)
         z /= np.linalg.norm(z) + 1e-12
     step = 1.0 / (0.25 * (float(np.linalg.norm(x @ z)) ** 2 / n + 1.0) + 1e-6)
-    shrink = np.full(p, L1 * step, np.float32)
+    shrink = np.full(p, max(L1, L1_FEW / n) * step, np.float32)
     if fixed:
         shrink[-fixed:] = 0
     for _ in range(STEPS):
