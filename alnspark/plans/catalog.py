@@ -1,6 +1,6 @@
 """All queries of the engine, by name."""
 
-from . import queries_records, queries_reports, queries_templates  # noqa: F401  (they register themselves)
+from . import queries_records, queries_reports, queries_sequences, queries_templates  # noqa: F401  (they register themselves)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
