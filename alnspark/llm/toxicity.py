@@ -1,4 +1,4 @@
-"""Toxicity by a classifier chain of sparse linear models over character n-grams.
+"""Toxicity by a classifier chain of sparse linear models over the beginnings and ends of words.
 
 Categories are predicted in sequence; each model gets the logits of the categories before it. While fitting, those
 come from models that have not seen the document (out of fold), so the later model learns how far to trust them.
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import clean, keep_by_id, small_batches
 
 #: Labelled documents that the models are fitted on, at most.
-SAMPLE = 8_000
+SAMPLE = 6_000
 FOLDS = 4
-GRAMS = (4, 5, 6)
+#: Characters of a beginning (its blank included) and of an end; whole words count too.
+BEGINNINGS, ENDS = (4, 5, 6), (3, 4)
 FEATURES = 800
 LEAST_DOCS = 5
 #: Penalty of a weight: for many documents, and (over their number) for few.
@@ -32,16 +33,19 @@ def normalized(text: str | None) -> str:
     return f" {' '.join((text or '').lower().split())} "
 
 
-class _Grams(dict):
-    """Token -> 64-bit hashes of its n-grams, the blanks on both sides included."""
+def grams(token: str) -> set[str]:
+    """What stands for a token, as pieces of the normalized text."""
+    t = f" {token} "
+    return {t, *(t[:n] for n in BEGINNINGS if n < len(t)), *(t[-n:] for n in ENDS if n < len(t))}
 
-    def __missing__(self, token: str):
-        import numpy as np
-        from xxhash import xxh3_64_intdigest
 
-        t = f" {token} "
-        self[token] = found = np.array([xxh3_64_intdigest(t[i : i + n]) for n in GRAMS for i in range(len(t) - n + 1)], np.uint64)
-        return found
+def hashed(text: str):
+    """Sorted 64-bit hashes of the grams of a normalized text."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    found = set().union(*map(grams, set(text.split())))
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found)))
 
 
 @dataclass
@@ -100,18 +104,18 @@ def fit_texts(texts: list[str | None], labels: dict[str, list[int]]) -> Chain:
     chain = Chain(tuple(labels))
     if not texts:
         return Chain(chain.categories, [{} for _ in labels], [[0.0] * k for k in range(len(labels))], [-30.0] * len(labels))
-    cache = _Grams()
     normal = [normalized(t) for t in texts]
-    docs = [np.unique(np.concatenate([np.empty(0, np.uint64), *map(cache.__getitem__, set(t.split()))])) for t in normal]
-    grams, flat = np.unique(np.concatenate(docs), return_inverse=True)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    docs = [hashed(t) for t in normal]
+    known, flat = np.unique(np.concatenate(docs), return_inverse=True)
+    flat = flat.astype(np.int32)
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
     fold = np.array([xxh3_64_intdigest(t) % FOLDS for t in normal])  # copies go to one fold
 
     def fitted(y, rows, extra):
         """Chosen n-grams with weights, then the weights of `extra`, then the intercept."""
         take = np.isin(owner, np.flatnonzero(rows))
-        pos = np.bincount(flat[take & (y[owner] == 1)], minlength=len(grams)).astype(float)
-        neg = np.bincount(flat[take & (y[owner] == 0)], minlength=len(grams)).astype(float)
+        pos = np.bincount(flat[take & (y[owner] == 1)], minlength=len(known)).astype(float)
+        neg = np.bincount(flat[take & (y[owner] == 0)], minlength=len(known)).astype(float)
         n1, n0 = max(1.0, float((y[rows] == 1).sum())), max(1.0, float((y[rows] == 0).sum()))
         df = pos + neg
         share = df / (n1 + n0)
@@ -119,7 +123,7 @@ def fit_texts(texts: list[str | None], labels: dict[str, list[int]]) -> Chain:
         score[df < LEAST_DOCS] = 0
         chosen = np.argsort(-score, kind="stable")[:FEATURES]
         chosen = chosen[score[chosen] > 0]
-        column = np.full(len(grams), -1)
+        column = np.full(len(known), -1)
         column[chosen] = np.arange(len(chosen))
         x = np.zeros((len(docs), len(chosen)), np.float32)
         seen = column[flat] >= 0
@@ -135,7 +139,7 @@ def fit_texts(texts: list[str | None], labels: dict[str, list[int]]) -> Chain:
         y = np.array(values)
         chosen, w, b, _ = fitted(y, everyone, oof)
         k = len(chosen)
-        wanted.append({int(grams[g]): float(c) for g, c in zip(chosen, w[:k], strict=True) if c})
+        wanted.append({int(known[g]): float(c) for g, c in zip(chosen, w[:k], strict=True) if c})
         chain.earlier.append([float(c) for c in w[k:]])
         chain.intercepts.append(float(b))
         if len(wanted) < len(labels):
@@ -146,12 +150,10 @@ def fit_texts(texts: list[str | None], labels: dict[str, list[int]]) -> Chain:
             oof = np.hstack([oof, np.clip(logit, -10, 10)[:, None]])
     names: dict[int, str] = {}
     needed = {h for w in wanted for h in w}
-    for token in cache:
-        t = f" {token} "
-        for n in GRAMS:
-            for i in range(len(t) - n + 1):
-                if (h := xxh3_64_intdigest(t[i : i + n])) in needed:
-                    names[h] = t[i : i + n]
+    for t in normal:
+        for g in set().union(*map(grams, set(t.split()))):
+            if (h := xxh3_64_intdigest(g)) in needed:
+                names[h] = g
     chain.weights = [{names[h]: c for h, c in w.items()} for w in wanted]
     return chain
 
