@@ -36,7 +36,7 @@ def fetch(fasta: DataFrame, regions: list[str], reverse: bool = False, mark: boo
 def wrap(seqs: DataFrame, width: int = 60) -> DataFrame:
     """name, line, text: sequences in lines of `width`."""
     starts = F.sequence(F.lit(0), F.greatest(F.expr(f"(length(seq) - 1) div {width}"), F.lit(0)))
-    return seqs.select("name", "seq", F.explode(starts).alias("line")).select("name", "line", F.substr("seq", (F.col("line") * width + 1).cast("int"), F.lit(width)).alias("text"))
+    return seqs.select("name", "seq", F.explode(starts.cast("array<int>")).alias("line")).select("name", "line", F.substr("seq", (F.col("line") * width + 1).cast("int"), F.lit(width)).alias("text"))
 
 
 def import_fastq(fastq: DataFrame, paired: bool = False, interleaved: bool = False, group: str | None = None, umi: bool = False) -> DataFrame:

@@ -213,3 +213,44 @@ def test_flagstat_stream(spark, masked, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.category: r.passed for r in spark.table("seen").collect()}["total"] == 3
+
+
+def test_target_segments(spark):
+    from alnspark.operators import models
+
+    size = 2600
+    df = sam(spark, f"r1 0 chr1 1 60 {size}M * 0 0 {'A' * size} {'I' * size}", refs=(("chr1", size),))
+    assert [tuple(r) for r in models.target_segments(df, header(spark, ("chr1", size))).collect()] == [("chr1", 1, size, "A" * size)]
+    short = sam(spark, f"r1 0 chr1 1001 60 200M * 0 0 {'A' * 200} {'I' * 200}", refs=(("chr1", size),))
+    assert models.target_segments(short, header(spark, ("chr1", size))).count() == 0
+
+
+def test_phase(spark):
+    from alnspark.operators import models
+
+    rows = [f"a{k} 0 chr1 1 60 12M * 0 0 AAAAAACCCCCC IIIIIIIIIIII" for k in range(4)] + [f"b{k} 0 chr1 1 60 12M * 0 0 CCCCCCAAAAAA IIIIIIIIIIII" for k in range(4)]
+    found = models.phase(sam(spark, *rows), least_lod=30).orderBy("pos").collect()
+    assert len(found) == 12 and {r.block for r in found} == {1} and all(r.against == 0 for r in found)
+    assert "".join(r["first"] for r in found) in ("AAAAAACCCCCC", "CCCCCCAAAAAA")
+    assert models.phase(sam(spark, *rows), least_lod=30, min_base_quality=50).count() == 0
+    call = {r.pos: r.call for r in models.bayesian_consensus(sam(spark, *rows)).collect()}
+    assert set(call.values()) == {"M"}
+
+
+def test_depad(spark):
+    from alnspark.operators import models
+
+    padded = spark.createDataFrame([("chr1", "AC**GTAC")], "name string, seq string")
+    df = sam(spark, "r1 0 chr1 1 60 8M * 0 0 ACTTGTAC IIIIIIII", "r2 0 chr1 5 60 4M * 0 0 GTAC IIII", "r3 0 chr1 1 60 2M2D4M * 0 0 ACGTAC IIIIII")
+    assert [(r.pos, r.cigar) for r in models.depad(df, padded).orderBy("ordinal").collect()] == [(1, "2M2I4M"), (3, "4M"), (1, "2M2P4M")]
+
+
+def test_clipping(spark):
+    from alnspark.operators import amplicon
+
+    primers = spark.createDataFrame([("chr1", 0, 5, "+"), ("chr1", 15, 20, "-")], "chrom string, start0 bigint, end0 bigint, strand string")
+    df = sam(spark, "f 0 chr1 3 60 10M * 0 0 ACGTACGTAC IIIIIIIIII NM:i:0", "r 16 chr1 11 60 10M * 0 0 ACGTACGTAC IIIIIIIIII", "in 0 chr1 8 60 5M * 0 0 ACGTA IIIII", "all 0 chr1 1 60 4M * 0 0 ACGT IIII")
+    soft = {r.qname: (r.pos, r.cigar, r.flag, r.tag_order) for r in amplicon.clip(df, primers).collect()}
+    assert soft["f"] == (6, "3S7M", 0, []) and soft["r"] == (11, "5M5S", 16, []) and soft["in"][1] == "5M" and soft["all"][1:3] == (None, 4)
+    hard = {r.qname: (r.cigar, r.seq) for r in amplicon.clip(df, primers, hard=True).collect()}
+    assert hard["f"] == ("3H7M", "TACGTAC") and hard["r"] == ("5M5H", "ACGTA")
