@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,7 +26,8 @@ SLOTS = 1 << 17
 SWITCH = 12.0
 #: Nats that an n-gram that was never seen in a language costs at most, and a language of another script.
 FLOOR, FOREIGN = 6.0, 30.0
-MEMO = 300_000
+#: Words that a worker remembers.
+MEMO = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code points of scripts' ranges (fixed values of the Unicode standard).
 SCRIPTS = (
@@ -42,11 +44,28 @@ def script(word: str) -> str:
     return next(name for first, name in reversed(SCRIPTS) if first <= at)
 
 
-def slots(word: str) -> list[int]:
-    from xxhash import xxh3_64_intdigest
+def slots(words: list[str]):
+    """For each n the slots of all n-grams of all words (a blank on both sides), and where each word's begin; every word
+    has one n-gram of each n at least, as short ones are padded with zeros."""
+    import numpy as np
 
-    w = f" {word} "
-    return [xxh3_64_intdigest(w[i : i + n]) % SLOTS for n in GRAMS for i in range(len(w) - n + 1)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    room = np.maximum(sizes, max(GRAMS))
+    first = np.cumsum(room) - room
+    points = np.zeros(room.sum(), np.uint64)
+    text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    inner = np.repeat(first + 1, sizes - 2) + np.arange(len(text)) - np.repeat(np.cumsum(sizes - 2) - (sizes - 2), sizes - 2)
+    points[inner] = text
+    points[first] = points[first + sizes - 1] = 32
+    for n in GRAMS:
+        count = np.maximum(sizes - n + 1, 1)
+        begin = np.cumsum(count) - count
+        at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(begin, count)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = (h ^ points[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        yield (h % np.uint64(SLOTS)).astype(np.int64), begin, count
 
 
 @dataclass
@@ -70,9 +89,10 @@ def fit_texts(texts: list[str], langs: list[str]) -> Model:
     for k, lang in enumerate(names):
         total = sum(words[lang].values()) or 1
         for w, n in words[lang].items():
-            s = script(w)
-            used.setdefault(s, np.zeros(len(names)))[k] += n / total
-            np.add.at(counts, (slots(w), k), n)
+            used.setdefault(script(w), np.zeros(len(names)))[k] += n / total
+        distinct, times = list(words[lang]), np.fromiter(words[lang].values(), np.float64, len(words[lang]))
+        for slot, _, count in slots(distinct) if distinct else ():
+            counts[:, k] += np.bincount(slot, weights=np.repeat(times, count), minlength=SLOTS)
     logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * SLOTS)) if names else counts
     logs -= logs.mean(1, keepdims=True) if names else 0
     return Model(names, np.clip(logs, -FLOOR, FLOOR).astype(np.float32), {s: np.where(u >= 0.01, 0.0, -FOREIGN).astype(np.float32) for s, u in used.items() if (u >= 0.01).any()})
@@ -104,14 +124,17 @@ class _Words(dict):
         self.model, self.np = model, np
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.scores):
-            self.scores = self.np.concatenate([self.scores, self.np.zeros_like(self.scores)])
-        row = self.model.table[slots(word)].sum(0) / len(GRAMS)
-        self.scores[k] = row + self.model.scripts.get(script(word), 0.0)
-        self[word] = k
-        return k
+    def learn(self, found: list[str]) -> None:
+        """Score words that aren't here yet, all at once."""
+        np, k = self.np, len(self)
+        while k + len(found) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        total = np.zeros((len(found), self.scores.shape[1]))
+        for slot, begin, _ in slots(found):
+            total += np.add.reduceat(self.model.table[slot], begin, axis=0)
+        none = np.zeros(self.scores.shape[1], np.float32)
+        self.scores[k : k + len(found)] = total / len(GRAMS) + np.stack([self.model.scripts.get(script(w), none) for w in found])
+        self.update(zip(found, range(k, k + len(found)), strict=True))
 
 
 def viterbi(rows, sizes, scores, switch: float = SWITCH):
@@ -161,8 +184,11 @@ def label_batch(texts: list[str | None], words: _Words, switch: float = SWITCH)
     if not full:
         return found
     sizes = np.array([len(tokens[k]) for k in full])
-    rows = np.fromiter((words[w] for k in full for w in tokens[k]), np.int64, sizes.sum())
-    letters = np.fromiter((len(w) for k in full for w in tokens[k]), np.int64, sizes.sum())
+    flat = list(chain.from_iterable(tokens[k] for k in full))
+    if unseen := sorted(set(flat).difference(words)):
+        words.learn(unseen)
+    rows = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
+    letters = np.fromiter(map(len, flat), np.int64, len(flat))
     labels = viterbi(rows, sizes, words.scores, switch)
     ends = np.cumsum(sizes)
     change = np.r_[True, labels[1:] != labels[:-1]]
