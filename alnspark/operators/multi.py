@@ -91,3 +91,23 @@ def program_chain(programs: list[dict[str, str]], name: str, command: str) -> li
 def barcode(tag: Column) -> Column:
     """Barcode of a FASTQ comment: capitals, '+' between parts, '0' if it begins with no letter."""
     return F.when(~tag.rlike("^[A-Za-z]"), "0").otherwise(F.regexp_replace(F.upper(tag), "[^A-Z]", "+"))
+
+
+def rename_ids(used: set[str], ids: list[str], seed: int = 1) -> dict[str, str]:
+    """New names for ids of a further input that are used already: '-' and eight hexadecimal digits of a 48-bit linear
+    congruential generator (the constants are those of the C library)."""
+    state, out, taken = (seed << 16) | 0x330E, {}, set(used)
+    for name in ids:
+        new = name
+        while new in taken:
+            state = (state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+            new = f"{name}-{state >> 17:08X}"
+        out[name] = new
+        taken.add(new)
+    return out
+
+
+def rename_groups(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """reads with RG by a mapping of names."""
+    mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return T.set_tag(df, "RG", "Z", F.try_element_at(mapping, T.value("RG")))

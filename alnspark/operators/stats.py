@@ -192,3 +192,29 @@ def gc_depth(df: DataFrame) -> DataFrame:
             yield pd.DataFrame([(tid, n, depth, gc / depth)], columns=["tid", "bin", "depth", "gc"])
 
     return rows.repartition("tid").sortWithinPartitions("tid", "pos").mapInPandas(run, "tid int, bin int, depth bigint, gc double")
+
+
+#: Fixed value: reads aren't trimmed below this length.
+LEAST_TRIMMED = 35
+
+
+def trimmed(qual: Column, reverse: Column, threshold: int) -> Column:
+    """Bases that quality trimming takes off the end of the sequenced strand: the longest end whose sum of (threshold -
+    quality) is largest, as long as the running sum stays positive."""
+    q = Q.qualities(qual)
+    ordered = F.when(reverse, q).otherwise(F.reverse(q))
+    seen = F.slice(ordered, 1, F.greatest(F.size(ordered) - LEAST_TRIMMED + 1, F.lit(0)))
+    start = F.struct(F.lit(0).alias("l"), F.lit(0).alias("s"), F.lit(0).alias("most"), F.lit(0).alias("at"), F.lit(True).alias("on"))
+
+    def step(a: Column, v: Column) -> Column:
+        s = a["s"] + threshold - v
+        on = a["on"] & (s >= 0)
+        better = on & (s > a["most"])
+        return F.struct((a["l"] + 1).alias("l"), s.alias("s"), F.when(better, s).otherwise(a["most"]).alias("most"), F.when(better, a["l"]).otherwise(a["at"]).alias("at"), on.alias("on"))
+
+    return F.coalesce(F.aggregate(seen, start, step, lambda a: a["at"]), F.lit(0))
+
+
+def trimmed_bases(df: DataFrame, threshold: int) -> DataFrame:
+    """One row, bases: what trimming takes off all primary records."""
+    return primary(df).agg(F.coalesce(F.sum(trimmed(F.col("qual"), FL.bit(F.col("flag"), FL.REVERSE), threshold)), F.lit(0)).cast("bigint").alias("bases"))

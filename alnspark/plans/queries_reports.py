@@ -106,3 +106,4 @@ register("calmd_masked", lambda s, d: P.calmd(reads(s, d), reference(s), bin_qua
 register("reference_from_md", lambda s, d: P.reference_from_md(P.calmd(reads(s, d), reference(s))),
     """SELECT rname AS chrom, p + 1 AS pos, substr(ref.seq, CAST(p + 1 AS INT), 1) AS base FROM (SELECT DISTINCT rname, unnest(range(ref0, ref0 + len)) AS p FROM blocks WHERE op IN ('M', 'D') AND rname IS NOT NULL AND flag & 4 = 0) JOIN ref ON ref.name = rname""", "blocks", "ref")
 register("reference_text", lambda s, d: P.reference_text(P.reference_from_md(P.calmd(reads(s, d), reference(s))), header_sq(s, d)))
+register("stats_trimmed_bases", lambda s, d: S.trimmed_bases(reads(s, d).withColumn("qual", F.repeat("qual", 6)), 20))

@@ -254,3 +254,39 @@ def test_clipping(spark):
     assert soft["f"] == (6, "3S7M", 0, []) and soft["r"] == (11, "5M5S", 16, []) and soft["in"][1] == "5M" and soft["all"][1:3] == (None, 4)
     hard = {r.qname: (r.cigar, r.seq) for r in amplicon.clip(df, primers, hard=True).collect()}
     assert hard["f"] == ("3H7M", "TACGTAC") and hard["r"] == ("5M5H", "ACGTA")
+
+
+def test_trimming(spark):
+    def brute(q, reverse, threshold):
+        if len(q) < 35:
+            return 0
+        total = most = at = 0
+        for k in range(len(q) - 34):
+            total += threshold - (q[k] if reverse else q[-1 - k])
+            if total < 0:
+                break
+            if total > most:
+                most, at = total, k
+        return at
+
+    cases = [[30] * 40 + [2] * 12, [2] * 10 + [35] * 40, [30] * 20, [20, 5, 35, 3] * 15]
+    rows = [("".join(chr(33 + x) for x in q), r) for q in cases for r in (False, True)]
+    found = spark.createDataFrame(rows, "qual string, r boolean").select(stats.trimmed(F.col("qual"), F.col("r"), 20).alias("n"))
+    assert [x.n for x in found.collect()] == [brute(q, r, 20) for q in cases for r in (False, True)]
+
+
+def test_optical_duplicates(spark):
+    rows = []
+    for k, place in enumerate(("1:10:10", "1:60:60", "1:900:900", "2:10:10")):
+        rows += [f"m:1:f:1:{place} 99 chr1 100 60 4M = 200 104 ACGT II{'I' * (k == 0)}{'5' * (k != 0)}I MC:Z:4M", f"m:1:f:1:{place} 147 chr1 200 60 4M = 100 -104 ACGT IIII MC:Z:4M"]
+    df = sam(spark, *rows)
+    by = {(r.qname, r.flag): None for r in df.collect()}
+    assert len(by) == 8
+    found = df.join(dedup.optical(df, 100), ["src", "ordinal"]).collect()
+    assert {r.qname[8:] for r in found if r.flag == 99 and r.optical} == {"1:60:60"}
+    assert {r.qname[8:] for r in found if r.flag == 99} == {"1:60:60", "1:900:900", "2:10:10"}
+
+
+def test_renamed_ids():
+    new = multi.rename_ids({"a"}, ["a", "b"])
+    assert new["b"] == "b" and new["a"].startswith("a-") and len(new["a"]) == 10
