@@ -117,13 +117,16 @@ def in_order(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     place = F.col("m").bitwiseAND((1 << 33) - 1)
     heads = sorted({r["key"] for r in ids.where(place % each == 0).select("key").distinct().collect()} | ({first} if first is not None else set()))
 
-    @F.pandas_udf("int")
-    def block_of(key: pd.Series) -> pd.Series:
+    @F.pandas_udf("block int, head boolean")
+    def block_of(key: pd.Series) -> pd.DataFrame:
         import numpy as np
+        import pandas as pd
 
-        return pd.Series(np.searchsorted(np.array(heads, np.int64), key.to_numpy(), side="right").astype(np.int32) - 1)
+        first = np.array(heads, np.int64)
+        block = np.searchsorted(first, key.to_numpy(), side="right") - 1
+        return pd.DataFrame({"block": block.astype(np.int32), "head": first[block] == key.to_numpy()})
 
-    own = keyed.withColumn("block", block_of("key")).withColumn("head", F.col("key") == F.get(F.lit(heads).cast("array<bigint>"), F.col("block")))
+    own = keyed.withColumn("b", block_of("key")).select("key", "doc_id", "text", "b.block", "b.head")
     before = F.when(F.col("block") == 0, len(heads) - 1).otherwise(F.col("block") - 1)
     copies = F.when(F.col("head"), F.array(F.struct(F.col("block"), F.lit(False).alias("carried")), F.struct(before.alias("block"), F.lit(True).alias("carried")))).otherwise(
         F.array(F.struct(F.col("block"), F.lit(False).alias("carried")))
