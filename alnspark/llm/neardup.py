@@ -195,7 +195,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, ngram: int = NGRAM)
     classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").drop("last")
-    stars = materialize(members.join(buckets, "bucket").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    # at most one pivot for each band; a member is joined to its smallest, and so are its other pivots: the same clusters
+    # from a row for each member and few more
+    met = members.join(buckets, "bucket").where("id <> pivot").groupBy("id").agg(F.collect_set("pivot").alias("pivots"))
+    least = F.array_min("pivots")
+    others = F.transform(F.filter("pivots", lambda p: p != least), lambda p: F.struct(p.alias("a"), least.alias("b")))
+    edges = F.explode(F.concat(F.array(F.struct(F.col("id").alias("a"), least.alias("b"))), others))
+    stars = materialize(met.select(edges.alias("e")).select("e.a", "e.b").distinct(), "stars")
     clusters = components(stars)
     # a row for each representative in a cluster, with the number of blocks that its cluster is dealt into
     sized = clusters.join(classes.groupBy("id").agg(F.max("n").alias("n")), "id")
@@ -204,8 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, ngram: int = NGRAM)
     # of repeated ids all texts take part
     texts = keep_by_id(clean(docs, "doc_id", "text").withColumnRenamed("doc_id", "id"), clustered, "id")
     placed = _sets(texts, ngram).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tasks = placed.withColumn("other", F.explode(others)).select("cluster", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "set")
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "set")
     dealt = tasks.where("blocks = 1 or i < j").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     confirmed = materialize(_confirm(dealt, percent), "links")
     # rows of one class are linked by their representative; classes by what was confirmed
