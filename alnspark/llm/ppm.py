@@ -1,8 +1,9 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes, beside a unigram word model.
 
 The corpus is counted once: each task counts the windows of ORDER + 1 bytes and the words of its documents, and the
-sums are made by key. From the windows come the counts of all shorter contexts. The trie keeps what was seen often
-enough for its documented size; what a context doesn't keep is part of its escape.
+sums are made by key. From the windows come the counts of all shorter contexts, all of which stay in a table. The most
+frequent ones also make a trie that all workers hold; a window that it doesn't decide is looked up in the table by a
+join, so the size of the trie changes no score.
 
 A symbol that a context has costs (2c - 1) / 2n; otherwise the context's escape is paid and the next shorter one asked,
 with the symbols of the longer one excluded. As every count of a longer context is also one of the shorter, what is
@@ -23,7 +24,7 @@ ORDER = 5
 #: Bytes that no UTF-8 text has: before the first byte, after the last.
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 256
-#: Entries of the trie and words that are sent to all workers: 24 and 16 MB at most. Words beyond these are joined.
+#: Entries of the trie and words that are sent to all workers: 24 and 16 MB at most. What is beyond these is joined.
 TRIE, HOT_WORDS = 1_500_000, 1_000_000
 #: Direct-mapped memo of window costs in a worker.
 MEMO_BITS = 20
@@ -31,6 +32,10 @@ FLUSH = 200_000
 #: Documents at a time: a batch needs some 60 bytes for each of their bytes.
 BATCH = 250
 WORDS, WINDOWS = 0, 1
+#: How often a context must have seen a symbol to have it, by default; at 1 nothing that was seen is left out.
+LEAST = 2
+#: Orders with so few contexts that their tables are broadcast (65,792 entries at most), as many windows share each.
+LOW = 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -128,18 +133,22 @@ def threshold(table: DataFrame, most: int, least: int) -> int:
 
 @dataclass
 class Trie:
-    """By order: sorted contexts, their escapes, their excluded shares; sorted context-and-symbol codes, their probabilities."""
+    """By order: sorted contexts, their escapes, their excluded shares, whether the trie has all their symbols; sorted
+    context-and-symbol codes, their probabilities."""
 
     order: int
     contexts: list
     escapes: list
     excluded: list
+    complete: list
     codes: list
     probabilities: list
     rest: float  # of a symbol that no context has
+    whole: bool  # the trie has all contexts
 
     def costs(self, window):
-        """log10 of the probability of the last byte of each window given those before."""
+        """log10 of the probability of the last byte of each window given those before; NaN where the answer depends on
+        a context that the trie doesn't have, or not with all its symbols."""
         import numpy as np
 
         total = np.zeros(len(window))
@@ -158,42 +167,62 @@ class Trie:
             if found.any():
                 total[open_[found]] += np.log10(self.probabilities[j][hit[found]] / left[found])
             escaped = known & ~found
+            if not self.whole:
+                if len(self.contexts[j]):
+                    escaped &= self.complete[j][at]
+                total[open_[~found & ~escaped]] = np.nan
             if escaped.any():
                 total[open_[escaped]] += np.log10(self.escapes[j][at[escaped]] / left[escaped])
                 out_of[open_[escaped]] = self.excluded[j][at[escaped]]
-            open_ = open_[~found]
+            open_ = open_[~found if self.whole else escaped]
             if not len(open_):
                 return total
         total[open_] += np.log10(self.rest)
         return total
 
 
-def trie(counts: DataFrame, order: int = ORDER, most: int = TRIE) -> Trie:
-    """The trie of the counted windows, `most` entries at most."""
-    import numpy as np
-
+def symbols(counts: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """All contexts' symbols of the counted windows: j (order), code (context and symbol), count, n (of the context), low
+    (the smallest count of the context's symbols)."""
     seen = counts.where(F.col("kind") == WINDOWS).select("key", "count", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("j"))
     # a number in front keeps the orders apart; sums combine before the shuffle
-    code = F.col("key").bitwiseAND(F.expr("shiftleft(1L, 8 * (j + 1)) - 1L"))
-    entries = materialize(seen.groupBy("j", code.alias("code")).agg(F.sum("count").alias("count")), "contexts")
-    least = threshold(entries, most, 2)
-    rows = (
+    entries = seen.groupBy("j", tail("key", "j + 1").alias("code")).agg(F.sum("count").alias("count"))
+    kept = (
         entries.groupBy("j", F.shiftright("code", 8).alias("context"))
         .agg(F.sum("count").alias("n"), F.collect_list(F.when(F.col("count") >= least, F.struct("code", "count"))).alias("kept"))  # 256 symbols at most
         .where(F.size("kept") > 0)
-        .select("j", "n", F.explode("kept").alias("e"))
-        .select("j", F.col("e.code").alias("code"), F.col("e.count").alias("c"), "n")
-        .toArrow()
+        .select("j", "n", F.array_min("kept.count").alias("low"), F.explode("kept").alias("e"))
     )
+    return materialize(kept.select("j", F.col("e.code").alias("code"), F.col("e.count").alias("count"), "n", "low"), "contexts")
+
+
+def tail(code: str, n: str) -> Column:
+    """The last n bytes of a code."""
+    return F.col(code).bitwiseAND(F.expr(f"shiftleft(1L, 8 * ({n})) - 1L"))
+
+
+def trie(counts: DataFrame, order: int = ORDER, most: int = TRIE, least: int = LEAST) -> Trie:
+    """The trie of the counted windows, `most` entries at most."""
+    return hot_trie(symbols(counts, order, least), order, most, least)
+
+
+def hot_trie(table: DataFrame, order: int, most: int, least: int) -> Trie:
+    """The `most` most frequent of the symbols at most."""
+    import numpy as np
+
+    enough = threshold(table, most, least)
+    rows = table.where(F.col("count") >= enough).select("j", "code", F.col("count").alias("c"), "n", (F.col("low") >= enough).alias("all")).toArrow()
+    n_bytes = table.where("j = 0").count()
     j_all, code_all = rows["j"].to_numpy(), rows["code"].to_numpy()
-    p_all = (2 * rows["c"].to_numpy() - 1) / (2 * rows["n"].to_numpy())
-    contexts, escapes, codes, probabilities, excluded = [], [], [], [], []
+    p_all, complete_all = (2 * rows["c"].to_numpy() - 1) / (2 * rows["n"].to_numpy()), rows["all"].to_numpy()
+    contexts, escapes, codes, probabilities, excluded, complete = [], [], [], [], [], []
     for j in range(order + 1):
         mine = np.flatnonzero(j_all == j)
         mine = mine[np.argsort(code_all[mine])]
         c, p = code_all[mine], p_all[mine]
         ctx, first = np.unique(c >> 8, return_index=True)
         contexts.append(ctx)
+        complete.append(complete_all[mine][first])
         codes.append(c)
         probabilities.append(p)
         escapes.append(1 - (np.add.reduceat(p, first) if len(p) else p))
@@ -202,7 +231,33 @@ def trie(counts: DataFrame, order: int = ORDER, most: int = TRIE) -> Trie:
             excluded.append(np.add.reduceat(probabilities[j - 1][low], first) if len(p) else p)
         else:
             excluded.append(np.zeros(len(ctx)))
-    return Trie(order, contexts, escapes, excluded, codes, probabilities, 1 / max(1, SYMBOLS - 1 - len(codes[0])))
+    return Trie(order, contexts, escapes, excluded, complete, codes, probabilities, 1 / max(1, SYMBOLS - 1 - n_bytes), enough <= least)
+
+
+def costs_by_join(table: DataFrame, asked: DataFrame, order: int, rest: float) -> DataFrame:
+    """window, cost for each (distinct) window of `asked`: what Trie.costs says, from the table of all symbols."""
+    known = table.select("j", "code", F.shiftright("code", 8).alias("context"), ((2 * F.col("count") - 1) / (2 * F.col("n"))).alias("p"))
+    # a symbol has 256 symbols of the next order above it at most, and a context 256 symbols, so no key is heavy
+    shorter = known.select((F.col("j") + 1).alias("j"), F.col("code").alias("tail"), F.col("p").alias("q"))
+    excluded = known.withColumn("tail", tail("code", "j")).join(shorter, ["j", "tail"], "left")
+    contexts = materialize(excluded.groupBy("j", "context").agg((1 - F.sum("p")).alias("escape"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("excluded")), "escapes")
+    steps = asked.select("window", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("j")).withColumn("code", tail("window", "j + 1")).withColumn("context", F.shiftright("code", 8))
+
+    def looked_up(where: str, small: bool) -> DataFrame:
+        sides = known.where(where).select("j", "code", "p"), contexts.where(where)
+        one, two = map(F.broadcast, sides) if small else sides
+        found = steps.where(where).join(one, ["j", "code"], "left").join(two, ["j", "context"], "left")
+        return found.select("window", F.struct((-F.col("j")).alias("o"), "p", "escape", "excluded").alias("step"))
+
+    both = looked_up(f"j <= {LOW}", True).union(looked_up(f"j > {LOW}", False))
+    cost = F.expr(
+        f"""aggregate(steps, named_struct('cost', 0D, 'out', 0D, 'done', false), (a, x) -> CASE
+            WHEN a.done THEN a
+            WHEN x.p IS NOT NULL THEN named_struct('cost', a.cost + log10(x.p / (1 - a.out)), 'out', a.out, 'done', true)
+            WHEN x.escape IS NOT NULL THEN named_struct('cost', a.cost + log10(x.escape / (1 - a.out)), 'out', x.excluded, 'done', false)
+            ELSE a END, a -> a.cost + IF(a.done, 0D, log10({rest!r}D)))"""
+    )
+    return both.groupBy("window").agg(F.sort_array(F.collect_list("step")).alias("steps")).select("window", cost.alias("cost"))
 
 
 class Coster:
@@ -227,12 +282,13 @@ class Coster:
         return out
 
 
-def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """doc_id, in_training, n_tokens, n_known, train_tokens, base_score, score (both log10) for every row of docs.
 
     The models learn from the rows where `train` holds; a null there counts as false. A null text counts as empty: its
     only token, and symbol, is the end. Repeated rows count and are scored each. Without training rows every word is
     unknown and every byte is equally likely. An empty table gives no rows. Words are told apart by 64-bit hashes.
+    A symbol that a context has seen fewer than `least` times is part of the context's escape.
     """
     import pyarrow as pa
 
@@ -242,11 +298,12 @@ def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     counts = materialize(count(docs.where(mark), order), "counts")
     vocabulary = counts.where(F.col("kind") == WORDS)
     total = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = threshold(vocabulary, HOT_WORDS, 1)
-    hot = vocabulary.where(F.col("count") >= least).select("key", "count").toArrow()
-    model, base = trie(counts, order), total["n"] + total["v"] + 1
+    enough = threshold(vocabulary, HOT_WORDS, 1)
+    hot = vocabulary.where(F.col("count") >= enough).select("key", "count").toArrow()
+    table = symbols(counts, order, least)
+    model, base = hot_trie(table, order, TRIE, least), total["n"] + total["v"] + 1
     sent = spark.sparkContext.broadcast((model, hot["key"].to_numpy(), hot["count"].to_numpy()))
-    whole = least <= 1
+    whole, whole_trie, rest = enough <= 1, model.whole, model.rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -258,7 +315,11 @@ def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             window, starts = windows(texts, order)
-            scores = np.add.reduceat(coster(window), starts)
+            cost = coster(window)
+            left = np.flatnonzero(np.isnan(cost))
+            cost[left] = 0
+            scores = np.add.reduceat(cost, starts)
+            open_ = pa.ListArray.from_arrays(pa.array(np.searchsorted(left, np.r_[starts, len(cost)]), pa.int32()), pa.array(window[left], pa.int64()))
             tokens = [np.r_[hashes(words(t)), end] for t in texts]
             sizes = np.array([len(t) for t in tokens])
             flat, offsets = np.concatenate(tokens), np.cumsum(sizes) - sizes
@@ -268,23 +329,28 @@ def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             sums = np.add.reduceat(np.where(known, logs[at], 0.0) if len(keys) else np.zeros(len(flat)), offsets)
             rare = [[] if whole else t[~known[o : o + n]] for t, o, n in zip(tokens, offsets, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), offsets)), pa.array(sums), pa.array(scores), pa.array(rare, pa.list_(pa.int64()))],
-                ["doc_id", "in_training", "n_tokens", "hot_known", "hot_sum", "score", "rare"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), offsets)), pa.array(sums), pa.array(scores), pa.array(rare, pa.list_(pa.int64())), open_],
+                ["doc_id", "in_training", "n_tokens", "hot_known", "hot_sum", "hot_score", "rare", "open"],
             )
 
-    schema = "doc_id bigint, in_training boolean, n_tokens bigint, hot_known bigint, hot_sum double, score double, rare array<bigint>"
+    schema = "doc_id bigint, in_training boolean, n_tokens bigint, hot_known bigint, hot_sum double, hot_score double, rare array<bigint>, open array<bigint>"
     marked = docs.select("doc_id", mark.alias("in_training"), "text")
     scored = materialize(marked.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     # what isn't among the hot words is looked up by a join; unknown words add nothing
     seldom = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").count()
-    cold = vocabulary.where(F.col("count") < least).select("key", F.col("count").alias("c"))
-    found = seldom.join(cold, "key").groupBy("row").agg(F.sum("count").alias("cold_known"), F.sum(F.col("count") * F.log10(F.col("c") + 1)).alias("cold_sum"))
-    return scored.drop("rare").join(found, "row", "left").select(
+    cold = vocabulary.where(F.col("count") < enough).select("key", F.col("count").alias("c"))
+    found = seldom.join(cold, "key").select("row", F.col("count").alias("known"), (F.col("count") * F.log10(F.col("c") + 1)).alias("sum"), F.lit(0.0).alias("cost"))
+    if not whole_trie:  # so are the windows that the trie doesn't decide
+        asked = materialize(scored.select("row", F.explode("open").alias("window")).groupBy("row", "window").count(), "asked")
+        costs = costs_by_join(table, asked.select("window").distinct(), order, rest)
+        found = found.union(asked.join(costs, "window").select("row", F.lit(0).cast("bigint"), F.lit(0.0), F.col("count") * F.col("cost")))
+    found = found.groupBy("row").agg(F.sum("known").alias("cold_known"), F.sum("sum").alias("cold_sum"), F.sum("cost").alias("cold_score"))
+    return scored.drop("rare", "open").join(found, "row", "left").select(
         "doc_id",
         "in_training",
         "n_tokens",
         (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
         F.lit(total["n"]).cast("bigint").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(base)))).alias("base_score"),
-        "score",
+        (F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0))).alias("score"),
     )

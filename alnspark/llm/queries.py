@@ -56,7 +56,7 @@ def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(7, 2)
-    scored = ppm.score(documents(spark, sf_dir), ~out)
+    scored = ppm.score(documents(spark, sf_dir), ~out, least=1)  # the whole model
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -446,6 +446,46 @@ def test_memo_of_costs_is_exact(spark):
     assert 0.9 < total.sum() < 1.02  # a distribution over what can follow, but for the bytes that no text has
 
 
+def full_ppm(train, text, order):
+    """brute_ppm with every symbol that was seen, once or more."""
+    counts = Counter()
+    for t in train:
+        b = [ppm.PAD] * order + list((t or "").encode()) + [ppm.END]
+        counts.update(tuple(b[i - j : i + 1]) for i in range(order, len(b)) for j in range(order + 1))
+    of = {}
+    for s, n in counts.items():
+        of.setdefault(s[:-1], {})[s[-1]] = n
+    total, b = 0.0, [ppm.PAD] * order + list((text or "").encode()) + [ppm.END]
+    for i in range(order, len(b)):
+        out = set()
+        for j in range(order, -1, -1):
+            if not (seen := of.get(tuple(b[i - j : i]))):
+                continue
+            n = sum(seen.values())
+            room = 1 - sum((2 * c - 1) / (2 * n) for s, c in seen.items() if s in out)
+            if b[i] in seen:
+                total += math.log10((2 * seen[b[i]] - 1) / (2 * n) / room)
+                break
+            total += math.log10(len(seen) / (2 * n) / room)
+            out = set(seen)
+        else:
+            total -= math.log10(max(1, 255 - len(of.get((), ()))))
+    return total
+
+
+@pytest.mark.parametrize("most", [1_500_000, 300, 0])
+def test_ppm_is_whole_at_any_size_of_the_trie(spark, monkeypatch, most):
+    from pyspark.sql import functions as F
+
+    t = [*texts(8, 14), "", None, "zz ~ qq", "日本語 ~~"]
+    monkeypatch.setattr(ppm, "TRIE", most)
+    train = [x for k, x in enumerate(t) if k % 3]
+    found = {r.doc_id: r.score for r in ppm.score(docs_of(spark, [(k, x, None) for k, x in enumerate(t)]), F.col("doc_id") % 3 != 0, 3, least=1).collect()}
+    assert len(found) == len(t)
+    for k, x in enumerate(t):
+        assert found[k] == pytest.approx(full_ppm(train, x, 3), rel=1e-9)
+
+
 # the pipeline
 
 
