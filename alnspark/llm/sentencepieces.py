@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 from pyspark.sql import DataFrame
 
@@ -48,17 +48,47 @@ class Encoder(dict):
         if ids is None:
             # a mark at the end, or a line's end within: what stands on both sides is encoded apart
             n = len(chunk)
-            at = n - 1 if n > 1 and chunk[-2:] not in self.pairs else chunk.find("\n", 1)
-            if at > 0 and chunk[at - 1 : at + 1] not in self.pairs:
-                ids = self[chunk[:at]] + self[chunk[at:]]
+            if n > 1 and (chunk[-2:] not in self.pairs or chunk.find("\n", 1) > 0):
+                cuts = self.cuts(chunk)
+                ids = tuple(chain.from_iterable(self.part(chunk[a:b]) for a, b in pairwise(cuts))) if len(cuts) > 2 else self.segment(chunk)
             else:
                 ids = self.segment(chunk)
+        self.remember(chunk, ids)
+        return ids
+
+    def cuts(self, chunk: str) -> list[int]:
+        """Where the chunk is cut: its ends, its line ends, and before each of the marks that a line ends with."""
+        pairs, ends, at = self.pairs, [], chunk.find("\n", 1)
+        while at > 0:
+            if chunk[at - 1 : at + 1] not in pairs:
+                ends.append(at)
+            at = chunk.find("\n", at + 1)
+        found, begin = [0], 0
+        for end in [*ends, len(chunk)]:
+            marks, k = [end], end
+            while k - begin > 1 and chunk[k - 2 : k] not in pairs:
+                k -= 1
+                marks.append(k)
+            found += reversed(marks)
+            begin = end
+        return found
+
+    def part(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a part that isn't cut further here; short ones are remembered as chunks are."""
+        ids = self.get(chunk)
+        if ids is None:
+            ids = self.old.get(chunk)
+            if ids is None:
+                ids = self.segment(chunk)
+            self.remember(chunk, ids)
+        return ids
+
+    def remember(self, chunk: str, ids: tuple[int, ...]) -> None:
         if len(chunk) <= 64:
             if len(self) >= MEMO:  # the newer half stays at hand
                 self.old = dict(self)
                 self.clear()
             self[chunk] = ids
-        return ids
 
     def segment(self, text: str) -> tuple[int, ...]:
         """Ids of the best segmentation; of equal scores the one whose last piece is longest."""

@@ -182,6 +182,16 @@ def test_sentencepiece_round_trip(docs, rows, empty):
     assert sentencepieces.encode(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["日本語漢字" * 1000, "\n" * 5000, "\n".join(f"word{k % 97}" for k in range(5000)), "，。" * 2500 + "\nend!\n" + "!?" * 2500], ids=["cjk", "newlines", "lines", "marks"])
+def test_sentencepiece_of_long_texts_without_blanks(text):
+    v = pieces.vocabulary(pieces.default_model())
+    e = sentencepieces.Encoder(v)
+    for t in (text, text[:301], "a " + text + " b"):
+        ids = e.encode(t)
+        assert sentencepieces.decode_ids(ids, v) == t
+        assert ids == (brute_segment(" " + t, v)[0] if len(t) < 400 else list(e.segment(" " + t)))
+
+
 # 5
 
 
