@@ -31,16 +31,17 @@ def cut(n: int, capacity: int) -> list[int]:
     return ([n % capacity] if n % capacity else []) + [capacity] * (n // capacity)
 
 
-def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None, end_id: int = END_ID) -> DataFrame:
-    """Pieces of the documents: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
+def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple | None = None, end_id: int = END_ID) -> DataFrame:
+    """Pieces of the documents: doc_id, piece, start, length, ids (little-endian unsigned 32-bit).
+    `vocabulary`: what bpe.encoder takes."""
     import numpy as np
     import pyarrow as pa
 
-    ranks, pattern = vocabulary or bpe.default_vocabulary()
+    files = vocabulary or bpe.default_vocabulary()
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.encoder(ranks, pattern)
+        encoder = bpe.encoder(*files)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -111,7 +112,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
 def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
-    vocabulary: tuple[str, str] | None = None,
+    vocabulary: tuple | None = None,
     end_id: int = END_ID,
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:

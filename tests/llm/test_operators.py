@@ -244,6 +244,19 @@ def test_bpe_chunks_are_exact(text):
     assert e.ids(text) == e.encode(text)
 
 
+@pytest.mark.parametrize(
+    "text", ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "one two  <|endoftext|>  three\n<|endoftext|>\n", "a <|endoftext|", "é<|endoftext|>日本 it's"]
+)
+def test_bpe_has_the_added_tokens_of_the_tokenizer(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert bpe.encoder(*bpe.default_vocabulary()).ids(text) == want
+    [row] = packing.pack(docs_of(spark, [(1, text, None)])).collect()
+    assert bytes(row.ids) == np.array([*want, 2], "<u4").tobytes()
+
+
 # 6
 
 
