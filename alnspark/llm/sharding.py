@@ -23,6 +23,8 @@ TARGET_BYTES = 128 << 20
 FANIN = 4
 #: Output files that one job makes; further ones go to the next job.
 FILES_PER_JOB = 256
+#: A shard's path below the table's folder, whatever stands before: the last folder that append or _merge has named.
+SHARD_PATH = "^.*(data/(?:append|merge)-[0-9a-f]{32}/.*)$"
 
 
 @dataclass(frozen=True)
@@ -170,7 +172,8 @@ class ShardedTable:
             self._fs.delete(self._fs_path(self.manifest_path(v)), False)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, the newest by default, with shard, tier, shard_rows and version of their file."""
+        """The rows of a version, the newest by default, with shard, tier, shard_rows and version of their file. Fails
+        if the files don't have the rows of the manifest."""
         version = version or self.versions()[-1]
         manifest = self.spark.read.schema("path string, bytes bigint, rows bigint, shard int, tier int, version int").json(self.manifest_path(version))
         # the driver lists the files anyway, so a row for each is no new burden for it
@@ -178,8 +181,14 @@ class ShardedTable:
         shards = self.shards(version)
         if not shards:  # a version without files has the columns all the same
             return self.spark.createDataFrame([], self._schema()).withColumn("_file", F.lit("")).join(named, "_file").drop("_file")
-        rows = self._read(shards).select("*", F.regexp_extract("_metadata.file_path", "(data/[^/]+/.*)$", 1).alias("_file"))
-        return rows.join(F.broadcast(named) if len(shards) <= 100_000 else named, "_file").drop("_file")
+        found = self._read(shards)
+        if found.count() != sum(s.rows for s in shards):  # reads the files' footers only
+            raise RuntimeError(f"the files of version {version} have not as many rows as its manifest")
+        rows = found.select("*", F.regexp_extract("_metadata.file_path", SHARD_PATH, 1).alias("_file"))
+        joined = rows.join(F.broadcast(named) if len(shards) <= 100_000 else named, "_file", "left")
+        # no row is dropped: one whose file the manifest doesn't name is an error
+        unnamed = F.raise_error(F.concat(F.lit("not in the manifest: "), "_file")).cast("int")
+        return joined.withColumn("shard", F.coalesce("shard", unnamed)).drop("_file")
 
 
 def shard(docs: DataFrame, root: str, arrivals: int = 8, target_bytes: int = TARGET_BYTES, fanin: int = FANIN) -> ShardedTable:

@@ -133,6 +133,20 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.shard(empty, common.scratch_path(spark, "t")).read().count() == 0
 
 
+@pytest.mark.parametrize("below", ["data/ckpt", "testdata/ck", "data/append-0/x y"])
+def test_sharding_below_any_folder(spark, docs, rows, tmp_path, monkeypatch, below):
+    table = sharding.shard(docs, f"{tmp_path}/{below}/shards", arrivals=3, target_bytes=40_000)
+    back = table.read()
+    assert back.count() == len(rows) and back.select(*docs.columns).exceptAll(docs).count() == 0
+    assert back.where("shard is null or tier is null or version is null").count() == 0
+    assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {r.shard: r.shard_rows for r in back.select("shard", "shard_rows").distinct().collect()}
+    shards = table.shards(table.versions()[-1])
+    monkeypatch.setattr(table, "shards", lambda version: shards[:-1])
+    monkeypatch.setattr(table, "_read", lambda found: sharding.ShardedTable._read(table, shards))
+    with pytest.raises(RuntimeError, match="manifest"):
+        table.read()
+
+
 def test_merge_groups_keep_to_the_target():
     shards = [sharding.Shard(f"s{k}", b, 1) for k, b in enumerate([10, 12, 11, 90, 95, 9])]
     assert [sorted(s.bytes for s in g) for g in sharding.merge_groups(shards, 100)] == [[9, 10, 11, 12]]
