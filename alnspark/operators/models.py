@@ -17,6 +17,11 @@ from . import pileup as P
 EMISSION, SWITCH = (-4.0, 1.0, 6.0), -14000.0
 HET_LOD, CONSENSUS_CUTOFF = 37, 10
 DEPENDENCE, ETA, MOST_READS = 0.83, 0.03, 255
+# Of the consensus: its genotypes as pairs of A, C, G, T and a gap (4), their letters, the prior of one with a gap beside
+# a base, and the quality of a base without one.
+GENOTYPES = [(x, y) for x in range(5) for y in range(x, 5)]
+LETTERS = "AMRWaCSYcGKgTt*"
+INDEL_PRIOR, NO_QUALITY = 2e-4, 10
 
 
 @lru_cache(maxsize=2)
@@ -98,26 +103,76 @@ def calls(df: DataFrame, **options) -> DataFrame:
     return columns(df, **options).select("chrom", "pos", "reads").mapInPandas(run, "chrom string, pos bigint, depth int, best string, second string, lod double, hom string, hom_quality int")
 
 
-def bayesian_consensus(df: DataFrame, het_prior: float = 1e-3, cutoff: float = CONSENSUS_CUTOFF, **options) -> DataFrame:
-    """chrom, pos, depth, call, quality: the genotype with the best posterior as an IUPAC letter, N below the cutoff."""
-    import math
+@lru_cache(maxsize=2)
+def likelihoods(het_prior: float = 1e-3, indel_prior: float = INDEL_PRIOR):
+    """What a record adds to the log-likelihoods of the 15 genotypes, by its base (ACGT, gap, other) and quality, against
+    a mismatch; and the genotypes' log-priors."""
+    import numpy as np
+
+    q = np.maximum(np.arange(101), 1)
+    match, miss = np.log(1 - 10 ** (-q / 10)), np.log(10 ** (-q / 10) / 3)
+    half = np.logaddexp(match, miss) - np.log(2)
+    extra = np.minimum(miss, match - 0.5)  # a base where there is none, or none where there is one
+    both = np.minimum(np.logaddexp(extra, match) - np.log(2), half + 0.5)
+    table = np.zeros((6, 101, 15))
+    for g, (x, y) in enumerate(GENOTYPES):
+        for base in range(4):
+            if y == 4:
+                table[base, :, g] = extra if x == 4 else both if x == base else np.logaddexp(extra, miss) - np.log(2)
+            else:
+                table[base, :, g] = match if x == y == base else half if base in (x, y) else miss
+        table[4, :, g] = match if x == 4 else np.logaddexp(extra, match) - np.log(2) if y == 4 else extra
+        table[5, :, g] = extra if x == 4 else both if y == 4 else match
+    prior = np.log([1.0 if x == y else (indel_prior if y == 4 else het_prior) / 6 for x, y in GENOTYPES])
+    return table - miss[:, None], prior
+
+
+def bayesian_consensus(df: DataFrame, het_prior: float = 1e-3, cutoff: float = CONSENSUS_CUTOFF, min_base_quality: int = 13, min_mapq: int = 0) -> DataFrame:
+    """chrom, pos, depth, call, quality: the genotype with the best posterior of two of A, C, G, T and a gap, over all
+    records: an IUPAC letter, '*' for a deletion, a small letter for a base beside one, N below the cutoff or where no
+    record has one of these."""
+    import numpy as np
 
-    prior = -10 * math.log10(het_prior)
-    codes = {"".join(sorted((a, b))): P.CODES[(1 << i) | (1 << j)] for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")}
+    table, prior = likelihoods(het_prior)
+    x = P.bases(df, min_base_quality=min_base_quality, min_mapq=min_mapq).where("base <> '>'")
+    error = F.pow(F.lit(10.0), -F.least(F.when(F.col("q") == 255, NO_QUALITY).otherwise(F.col("q")), F.lit(100)) / 10)
+    wrong_place = F.pow(F.lit(10.0), -0.09 * F.least(F.greatest("mapq", F.lit(1)), F.lit(60)))
+    quality = F.floor(-10 * F.log10(error + 0.75 * wrong_place - error * wrong_place)).cast("int")
+    base = F.expr("CASE WHEN instr('ACGT*', upper(base)) > 0 THEN instr('ACGT*', upper(base)) - 1 ELSE 5 END")
+    counts = x.select("chrom", "pos", base.alias("b"), F.least(F.greatest(quality, F.lit(1)), F.lit(100)).alias("e")).groupBy("chrom", "pos", "b", "e").count()
+    names = [f"s{g}" for g in range(15)]
+    lookup = df.sparkSession.createDataFrame([(b, e, *map(float, table[b, e])) for b in range(6) for e in range(101)], "b int, e int, " + ", ".join(f"{n} double" for n in names))
+    sums = (
+        counts.join(F.broadcast(lookup), ["b", "e"])
+        .groupBy("chrom", "pos")
+        .agg(F.sum("count").alias("depth"), F.sum(F.when(F.col("b") < 5, F.col("count")).otherwise(0)).alias("known"), *[F.sum(F.col("count") * F.col(n)).alias(n) for n in names])
+    )
+    two = np.array([x != y for x, y in GENOTYPES])
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            out = []
-            for chrom, pos, reads in zip(b["chrom"], b["pos"], b["reads"], strict=True):
-                cost = genotype_costs([(r["base"], r["reverse"], r["q"]) for r in reads])
-                flat = sorted((cost[i, j] + (prior if i != j else 0), "ACGT"[i] + "ACGT"[j]) for i in range(4) for j in range(i, 4))
-                lod = flat[1][0] - flat[0][0]
-                out.append((chrom, pos, len(reads), codes[flat[0][1]] if lod >= cutoff else "N", int(min(lod, 99))))
-            yield pd.DataFrame(out, columns=["chrom", "pos", "depth", "call", "quality"])
-
-    return columns(df, **options).select("chrom", "pos", "reads").mapInPandas(run, "chrom string, pos bigint, depth int, call string, quality int")
+            s = b[names].to_numpy() + prior
+            rows, out = np.arange(len(s)), []
+            one, het = np.where(two, -np.inf, s).argmax(1), np.where(two, s, -np.inf).argmax(1)
+
+            def odds(g):  # Phred of the others against the genotype
+                rest = s.copy()
+                rest[rows, g] = -np.inf
+                return 10 / np.log(10) * (s[rows, g] - np.logaddexp.reduce(rest, 1))
+
+            of_het, of_one = odds(het), odds(one)
+            phred = 10 / np.log(10) * np.logaddexp(0, of_one * np.log(10) / 10)  # of the error of the single base
+            for k, known in enumerate(b["known"]):
+                g, q = (het[k], of_het[k]) if int(of_het[k] + 0.5) > 0 else (one[k], phred[k])
+                q = int(min(q + 0.5, 99))
+                letter = LETTERS[g]
+                low = not known or (q < cutoff and letter != "*" and GENOTYPES[het[k]][1] != 4)
+                out.append(("N", 0) if low else (letter, q))
+            yield pd.DataFrame({"chrom": b["chrom"], "pos": b["pos"], "depth": b["depth"], "call": [c for c, _ in out], "quality": [q for _, q in out]})
+
+    return sums.mapInPandas(run, "chrom string, pos bigint, depth int, call string, quality int")
 
 
 def target_segments(df: DataFrame, header_sq: DataFrame, **options) -> DataFrame:

@@ -237,6 +237,19 @@ def test_phase(spark):
     assert set(call.values()) == {"M"}
 
 
+def test_bayesian_consensus_takes_all_records_and_gaps(spark):
+    from alnspark.operators import models
+
+    deep = [f"r{k} 0 chr1 1 60 4M * 0 0 {'AACC' if k % 2 else 'CACC'} IIII" for k in range(510)]  # each second one has another base
+    found = {r.pos: r for r in models.bayesian_consensus(sam(spark, *deep)).collect()}
+    assert found[1].call == "M" and found[2].call == "A" and {r.depth for r in found.values()} == {510}
+    gone = [f"d{k} 0 chr1 1 60 4M2D4M * 0 0 ACGTACGT IIIIIIII" for k in range(10)]
+    there = [f"e{k} 0 chr1 1 60 10M * 0 0 ACGTGGACGT IIIIIIIIII" for k in range(10)]
+    call = lambda rows: "".join(r.call for r in models.bayesian_consensus(sam(spark, *rows)).orderBy("pos").collect())
+    assert call(gone) == "ACGT**ACGT" and call(there) == "ACGTGGACGT" and call(gone + there) == "ACGTggACGT"
+    assert call(["n 0 chr1 1 60 2M * 0 0 NN II"]) == "NN"
+
+
 def test_depad(spark):
     from alnspark.operators import models
 
