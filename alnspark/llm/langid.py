@@ -123,17 +123,20 @@ class _Words(dict):
         super().__init__()
         self.model, self.np = model, np
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
+        self.fits = np.zeros(1024, bool)  # the word's script is that of a language
 
     def learn(self, found: list[str]) -> None:
         """Score words that aren't here yet, all at once."""
         np, k = self.np, len(self)
         while k + len(found) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.fits = np.concatenate([self.fits, np.zeros_like(self.fits)])
         total = np.zeros((len(found), self.scores.shape[1]))
         for slot, begin, _ in slots(found):
             total += np.add.reduceat(self.model.table[slot], begin, axis=0)
         none = np.zeros(self.scores.shape[1], np.float32)
         self.scores[k : k + len(found)] = total / len(GRAMS) + np.stack([self.model.scripts.get(script(w), none) for w in found])
+        self.fits[k : k + len(found)] = [script(w) in self.model.scripts for w in found]
         self.update(zip(found, range(k, k + len(found)), strict=True))
 
 
@@ -168,12 +171,13 @@ def viterbi(rows, sizes, scores, switch: float = SWITCH):
     return label
 
 
-def label_batch(texts: list[str | None], words: _Words, switch: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """Of each text the language, its share of the letters, and the spans (start, end, language) in code points."""
+def label_batch(texts: list[str | None], words: _Words, switch: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+    """Of each text the language, its share of the letters, the spans (start, end, language) in code points, and the share
+    of the letters in words of a script that some language has."""
     import numpy as np
 
     names = words.model.languages
-    found: list[tuple[str, float, list]] = [("und", 0.0, [])] * len(texts)
+    found: list[tuple[str, float, list, float]] = [("und", 0.0, [], 0.0)] * len(texts)
     if not names:
         return found
     if len(words) > MEMO:
@@ -191,8 +195,9 @@ def label_batch(texts: list[str | None], words: _Words, switch: float = SWITCH)
     letters = np.fromiter(map(len, flat), np.int64, len(flat))
     labels = viterbi(rows, sizes, words.scores, switch)
     ends = np.cumsum(sizes)
+    fits = np.add.reduceat(letters * words.fits[rows], ends - sizes) / np.add.reduceat(letters, ends - sizes)
     change = np.r_[True, labels[1:] != labels[:-1]]
-    for k, lo, hi in zip(full, ends - sizes, ends, strict=True):
+    for k, lo, hi, fit_ in zip(full, ends - sizes, ends, fits.tolist(), strict=True):
         by = np.bincount(labels[lo:hi], weights=letters[lo:hi], minlength=len(names))
         top = int(by.argmax())
         starts = [0, *(np.flatnonzero(change[lo + 1 : hi]) + 1)]
@@ -208,7 +213,7 @@ def label_batch(texts: list[str | None], words: _Words, switch: float = SWITCH)
             places = places or [m.span() for m in LETTERS.finditer(lowered[k])]
             cuts = [0, *(places[s][0] for s in starts[1:]), len(text)]
             spans = [(a, b, names[labels[lo + s]]) for a, b, s in zip(cuts[:-1], cuts[1:], starts, strict=True)]
-        found[k] = (names[top], float(by[top] / by.sum()), spans)
+        found[k] = (names[top], float(by[top] / by.sum()), spans, fit_)
     return found
 
 
@@ -216,7 +221,8 @@ SPANS = "array<struct<start: int, end: int, lang: string>>"
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """All rows and columns of docs, and lang_pred, score (the language's share of the letters), spans.
+    """All rows and columns of docs, and lang_pred, score (the language's share of the letters), spans, fit (the share of
+    the letters in words of a script that some language has).
 
     Null or letterless text: 'und', 0, no spans. Spans cover the text without gaps. Repeated rows get equal results;
     of languages that tie the first by name wins. An empty table gives no rows.
@@ -230,11 +236,11 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
         words = _Words(model)
         for batch in batches:
             out = label_batch(batch.column(batch.schema.get_field_index("text")).to_pylist(), words, switch)
-            spans = [[{"start": a, "end": b, "lang": x} for a, b, x in s] for _, _, s in out]
+            spans = [[{"start": a, "end": b, "lang": x} for a, b, x in s] for _, _, s, _ in out]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array(spans, kind)],
-                [*batch.schema.names, "lang_pred", "score", "spans"],
+                [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array(spans, kind), pa.array([x[3] for x in out], pa.float64())],
+                [*batch.schema.names, "lang_pred", "score", "spans", "fit"],
             )
 
-    kept = docs.drop("lang_pred", "score", "spans")
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", lang_pred string, score double, spans {SPANS}")
+    kept = docs.drop("lang_pred", "score", "spans", "fit")
+    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", lang_pred string, score double, spans {SPANS}, fit double")

@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alnspark.llm import langid, neardup, packing, toxicity
 from alnspark.llm.common import materialize
 
-#: A document stays if its language has at least this share of its letters.
-LEAST_SHARE = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject."""
@@ -23,9 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or with no language for half of it, go."""
-    known = langid.identify(docs, langid.fit(docs))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    """Documents with a learned language, in whatever mixture: those without a letter, or with none of a script that a
+    learned language is written in, go. All stay if there is nothing to learn from (no row with a text and a lang)."""
+    model = langid.fit(docs)
+    if not model.scripts:
+        return docs
+    return langid.identify(docs, model).where("fit > 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

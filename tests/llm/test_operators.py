@@ -548,5 +548,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").distinct().collect()} == {r.doc_id for r in out.collect()}
 
 
+def test_pipeline_keeps_mixed_and_unlearnable_documents(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    alphabet = {"aa": "abcde", "bb": "stuvw", "ru": "абвгд"}
+    say = lambda x, n: " ".join("".join(rng.choices(alphabet[x], k=4)) for _ in range(n))
+    table = [(k, say(x, 50), x) for k, x in enumerate(x for x in alphabet for _ in range(20))]
+    odd = [(100, say("aa", 40) + ". " + say("bb", 30) + "! " + say("ru", 30), None), (101, "12 !!", None), (102, None, "aa"), (103, "ωψχ φυτ", None)]
+    docs_ = spark.createDataFrame(table + odd, "doc_id bigint, text string, lang string")
+    kept = lambda d: {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, d, "").collect()}
+    assert kept(docs_) == {*range(60), 100}
+    assert kept(docs_.withColumn("lang", F.lit(None).cast("string"))) == {*range(60), 100, 101, 102, 103}
+
+
 def test_queries_name_every_operator():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
