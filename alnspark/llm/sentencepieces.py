@@ -48,11 +48,14 @@ class Encoder(dict):
         if ids is None:
             # a mark at the end, or a line's end within: what stands on both sides is encoded apart
             n = len(chunk)
-            if n > 1 and (chunk[-2:] not in self.pairs or chunk.find("\n", 1) > 0):
-                cuts = self.cuts(chunk)
-                ids = tuple(chain.from_iterable(self.part(chunk[a:b]) for a, b in pairwise(cuts))) if len(cuts) > 2 else self.segment(chunk)
-            else:
-                ids = self.segment(chunk)
+            if n > 64:
+                ids = tuple(chain.from_iterable(self.part(chunk[a:b]) for a, b in pairwise(self.cuts(chunk))))
+            else:  # a level for each cut, so 64 at most
+                at = n - 1 if n > 1 and chunk[-2:] not in self.pairs else chunk.find("\n", 1)
+                if at > 0 and chunk[at - 1 : at + 1] not in self.pairs:
+                    ids = self[chunk[:at]] + self[chunk[at:]]
+                else:
+                    ids = self.segment(chunk)
         self.remember(chunk, ids)
         return ids
 
