@@ -1,10 +1,12 @@
-"""Toxicity by a classifier chain of sparse linear models over the beginnings and ends of words.
+"""Toxicity by a classifier chain of sparse linear models over words and character n-grams.
 
-Categories are predicted in sequence; each model gets the logits of the categories before it. While fitting, those
-come from models that have not seen the document (out of fold), so the later model learns how far to trust them.
+Categories are predicted in sequence; each model gets the probabilities of the categories before it. While fitting,
+those come from models that have not seen the document (out of fold), so the later model learns how far to trust them.
 
-Fitting takes a bounded sample of labelled documents (SAMPLE, by hash of the id); predicting goes over all whole
-texts, in one pass of an automaton over the few n-grams with a weight.
+Fitting takes a bounded sample of labelled documents (SAMPLE, by hash of the id). Their texts stay with the executors:
+tasks count in how many documents of each kind a feature stands, the best are chosen by SQL, and the driver gets the
+numbers of the chosen features that each document has. Predicting goes over all whole texts, in one pass of an automaton
+over the few n-grams with a weight.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import clean, keep_by_id, small_batches
+from .common import clean, keep_by_id, materialize, small_batches
 
 #: Labelled documents that the models are fitted on, at most.
-SAMPLE = 6_000
+SAMPLE = 8_000
 FOLDS = 4
-#: Characters of a beginning (its blank included) and of an end; whole words count too.
-BEGINNINGS, ENDS = (4, 5, 6), (3, 4)
+#: Characters of an n-gram; blanks count, so beginnings and ends of words are told from what stands inside. Whole words
+#: count too.
+GRAMS = (4, 5, 6)
+#: n-grams are counted by hash in so many slots; those that share a slot are one feature.
+SLOTS = 1 << 20
 FEATURES = 800
 LEAST_DOCS = 5
 #: Penalty of a weight: for many documents, and (over their number) for few.
@@ -33,40 +38,64 @@ def normalized(text: str | None) -> str:
     return f" {' '.join((text or '').lower().split())} "
 
 
-def grams(token: str) -> set[str]:
-    """What stands for a token, as pieces of the normalized text."""
-    t = f" {token} "
-    return {t, *(t[:n] for n in BEGINNINGS if n < len(t)), *(t[-n:] for n in ENDS if n < len(t))}
+def slots(text: str):
+    """For each kind of feature of a normalized text its length (0: words), the slots, and the places where they begin."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    for n in GRAMS:
+        if len(points) >= n:
+            h = np.full(len(points) - n + 1, n, np.uint64)
+            for k in range(n):
+                h = (h ^ points[k : len(points) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+            yield n, (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
+    seen = {f" {w} ": 0 for w in text.split()}
+    yield 0, np.fromiter((xxh3_64_intdigest(w) & (SLOTS - 1) for w in seen), np.int64, len(seen)), list(seen)
 
 
-def hashed(text: str):
-    """Sorted 64-bit hashes of the grams of a normalized text."""
+def present(text: str):
+    """Sorted distinct slots of a normalized text."""
     import numpy as np
-    from xxhash import xxh3_64_intdigest
 
-    found = set().union(*map(grams, set(text.split())))
-    return np.unique(np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found)))
+    return np.unique(np.concatenate([s for _, s, _ in slots(text)]))
+
+
+def named(text: str, wanted: set[int]) -> set[tuple[int, str]]:
+    """(slot, n-gram) of what a normalized text has of the wanted slots."""
+    import numpy as np
+
+    among = np.array(sorted(wanted))
+    found: set[tuple[int, str]] = set()
+    for n, s, places in slots(text):
+        for k in np.flatnonzero(np.isin(s, among)):
+            found.add((int(s[k]), text[places[k] : places[k] + n] if n else places[k]))
+    return found
 
 
 @dataclass
 class Chain:
-    """Categories in order; for each the n-grams' weights, the weights of the earlier logits and the intercept."""
+    """Categories in order; for each the slots' weights, the weights of the earlier probabilities and the intercept; the
+    slots' n-grams."""
 
     categories: tuple[str, ...]
-    weights: list[dict[str, float]] = field(default_factory=list)
+    weights: list[dict[int, float]] = field(default_factory=list)
     earlier: list[list[float]] = field(default_factory=list)
     intercepts: list[float] = field(default_factory=list)
+    grams: list[tuple[str, int]] = field(default_factory=list)
 
     def automaton(self):
+        """An automaton over the n-grams that gives the number of their slot; the weights by category and number."""
         import ahocorasick
 
-        grams = sorted({g for w in self.weights for g in w})
+        numbers = {s: k for k, s in enumerate(sorted({s for _, s in self.grams}))}
         a = ahocorasick.Automaton()
-        for k, g in enumerate(grams):
-            a.add_word(g, k)
-        if grams:
+        for g, s in self.grams:
+            a.add_word(g, numbers[s])
+        if self.grams:
             a.make_automaton()
-        return (a if grams else None), [[w.get(g, 0.0) for g in grams] for w in self.weights]
+        return (a if self.grams else None), [[w.get(s, 0.0) for s in numbers] for w in self.weights]
 
 
 def _fit_linear(x, y, fixed: int):
@@ -96,75 +125,140 @@ def _fit_linear(x, y, fixed: int):
     return w, b
 
 
-def fit_texts(texts: list[str | None], labels: dict[str, list[int]]) -> Chain:
-    """A chain over the labels' categories, in their order."""
+def sigmoid(x):
     import numpy as np
-    from xxhash import xxh3_64_intdigest
 
-    chain = Chain(tuple(labels))
-    if not texts:
-        return Chain(chain.categories, [{} for _ in labels], [[0.0] * k for k in range(len(labels))], [-30.0] * len(labels))
-    normal = [normalized(t) for t in texts]
-    docs = [hashed(t) for t in normal]
-    known, flat = np.unique(np.concatenate(docs), return_inverse=True)
-    flat = flat.astype(np.int32)
-    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
-    fold = np.array([xxh3_64_intdigest(t) % FOLDS for t in normal])  # copies go to one fold
-
-    def fitted(y, rows, extra):
-        """Chosen n-grams with weights, then the weights of `extra`, then the intercept."""
-        take = np.isin(owner, np.flatnonzero(rows))
-        pos = np.bincount(flat[take & (y[owner] == 1)], minlength=len(known)).astype(float)
-        neg = np.bincount(flat[take & (y[owner] == 0)], minlength=len(known)).astype(float)
-        n1, n0 = max(1.0, float((y[rows] == 1).sum())), max(1.0, float((y[rows] == 0).sum()))
-        df = pos + neg
-        share = df / (n1 + n0)
-        score = np.abs(pos / n1 - neg / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-        score[df < LEAST_DOCS] = 0
-        chosen = np.argsort(-score, kind="stable")[:FEATURES]
-        chosen = chosen[score[chosen] > 0]
-        column = np.full(len(known), -1)
-        column[chosen] = np.arange(len(chosen))
-        x = np.zeros((len(docs), len(chosen)), np.float32)
-        seen = column[flat] >= 0
-        x[owner[seen], column[flat[seen]]] = 1
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _fit_chain(categories: tuple[str, ...], rows: list[list[int]], values, fold, chosen: dict[tuple[int, int], list[int]]) -> Chain:
+    """`rows`: the chosen slots of each document; `values`: documents by categories, 0 or 1; `chosen`: the slots for each
+    category and the fold that is left out (-1: none)."""
+    import numpy as np
+
+    chain = Chain(categories)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.array([s for r in rows for s in r], np.int64)
+
+    def fitted(c: int, left_out: int, extra):
+        """Weights of the chosen slots, weights of `extra`, intercept and every document's logit."""
+        slots_ = np.array(sorted(chosen[c, left_out]), np.int64)
+        x = np.zeros((len(rows), len(slots_)), np.float32)
+        if len(slots_):
+            at = np.minimum(np.searchsorted(slots_, flat), len(slots_) - 1)
+            hit = slots_[at] == flat
+            x[owner[hit], at[hit]] = 1
         x = np.hstack([x, extra]).astype(np.float32)
-        w, b = _fit_linear(x[rows], y[rows].astype(np.float32), extra.shape[1])
-        return chosen, w, b, x @ w + b
-
-    everyone = np.ones(len(docs), bool)
-    oof = np.zeros((len(docs), 0), np.float32)  # logits of the earlier categories, each from models that have not seen the document
-    wanted: list[dict[int, float]] = []
-    for values in labels.values():
-        y = np.array(values)
-        chosen, w, b, _ = fitted(y, everyone, oof)
-        k = len(chosen)
-        wanted.append({int(known[g]): float(c) for g, c in zip(chosen, w[:k], strict=True) if c})
-        chain.earlier.append([float(c) for c in w[k:]])
-        chain.intercepts.append(float(b))
-        if len(wanted) < len(labels):
-            logit = np.zeros(len(docs), np.float32)
+        take = fold != left_out
+        w, b = _fit_linear(x[take], values[take, c].astype(np.float32), extra.shape[1])
+        k = len(slots_)
+        return dict(zip(slots_.tolist(), w[:k].tolist(), strict=True)), [float(v) for v in w[k:]], float(b), x @ w + b
+
+    seen = np.zeros((len(rows), 0), np.float32)  # probabilities of the earlier categories, out of fold
+    for c in range(len(categories)):
+        weights, earlier, intercept, _ = fitted(c, -1, seen)
+        chain.weights.append({s: w for s, w in weights.items() if w})
+        chain.earlier.append(earlier)
+        chain.intercepts.append(intercept)
+        if c + 1 < len(categories):
+            logit = np.zeros(len(rows), np.float32)
             for f in range(FOLDS):
-                rows = fold != f
-                logit[~rows] = fitted(y, rows, oof)[3][~rows] if rows.any() else 0
-            oof = np.hstack([oof, np.clip(logit, -10, 10)[:, None]])
-    names: dict[int, str] = {}
-    needed = {h for w in wanted for h in w}
-    for t in normal:
-        for g in set().union(*map(grams, set(t.split()))):
-            if (h := xxh3_64_intdigest(g)) in needed:
-                names[h] = g
-    chain.weights = [{names[h]: c for h, c in w.items()} for w in wanted]
+                if (fold != f).any() and (fold == f).any():
+                    logit[fold == f] = fitted(c, f, seen)[3][fold == f]
+            seen = np.hstack([seen, sigmoid(logit)[:, None]]).astype(np.float32)
     return chain
 
 
+def _counted(sample: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """slot and, for each fold and category, in how many documents with a 0 and with a 1 it stands (f_c_0, f_c_1)."""
+    import pyarrow as pa
+
+    names = [f"f{f}_{c}_{v}" for f in range(FOLDS) for c in range(len(categories)) for v in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            folds, labels = batch.column(1).to_pylist(), [c.to_pylist() for c in batch.columns[2:]]
+            found = [present(normalized(t)) for t in batch.column(0).to_pylist()]
+            if not found:
+                continue
+            unique, at = np.unique(np.concatenate(found), return_inverse=True)
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            counts = np.zeros((len(names), len(unique)), np.int32)
+            for f in range(FOLDS):
+                for c, of in enumerate(labels):
+                    for v in (0, 1):
+                        weight = np.array([a == f and b == v for a, b in zip(folds, of, strict=True)], float)
+                        counts[names.index(f"f{f}_{c}_{v}")] = np.bincount(at, weights=weight[owner], minlength=len(unique))
+            yield pa.RecordBatch.from_arrays([pa.array(unique), *map(pa.array, counts)], ["slot", *names])
+
+    small_batches(sample.sparkSession)
+    schema = "slot bigint, " + ", ".join(f"{n} int" for n in names)
+    return sample.select("text", "fold", *categories).mapInArrow(run, schema).groupBy("slot").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _choose(counts: DataFrame, sizes: dict[str, int], n_categories: int) -> dict[tuple[int, int], list[int]]:
+    """For each category, and the fold left out, the FEATURES slots that tell its documents apart best."""
+    chosen = {}
+    for c in range(n_categories):
+        for out in (-1, *(range(FOLDS) if c + 1 < n_categories else ())):
+            used = [f for f in range(FOLDS) if f != out]
+            pos, neg = (sum((F.col(f"f{f}_{c}_{v}") for f in used), F.lit(0)).cast("double") for v in (1, 0))
+            n1, n0 = (float(max(1, sum(sizes[f"f{f}_{c}_{v}"] for f in used))) for v in (1, 0))
+            share = (pos + neg) / (n1 + n0)
+            score = F.abs(pos / n1 - neg / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+            best = counts.where(pos + neg >= LEAST_DOCS).select("slot", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "slot").limit(FEATURES)
+            chosen[c, out] = [r["slot"] for r in best.collect()]
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE) -> Chain:
-    """categories: name -> SQL expression over the labels' columns, 0 or 1; rows with a null are left out."""
+    """A chain over `categories`, in their order: name -> SQL expression over the labels' columns, 0 or 1.
+
+    Rows of labels with a null are left out; of several rows for one doc_id one is taken, the largest. Rows of docs that
+    repeat a doc_id are all learned from. Copies of a text go to one fold. Without labelled documents every probability
+    is near 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = tuple(categories)
     known = labels.select("doc_id", *[F.expr(e).cast("int").alias(c) for c, e in categories.items()]).dropna()
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(sample)
-    rows = keep_by_id(clean(docs, "doc_id", "text"), some, "doc_id").collect()  # at most `sample`, but for repeated ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit_texts([r["text"] for r in rows], {c: [r[c] for r in rows] for c in categories})
+    known = known.groupBy("doc_id").agg(F.max(F.struct(*names)).alias("v")).select("doc_id", "v.*")
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    folded = keep_by_id(clean(docs, "doc_id", "text"), some, "doc_id").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    rows = materialize(folded.repartition(max(1, sample // 1000)).withColumn("row", F.monotonically_increasing_id()), "labelled")
+    counts = materialize(_counted(rows, names), "slots")
+    sizes = {f"f{f}_{c}_{v}": 0 for f in range(FOLDS) for c in range(len(names)) for v in (0, 1)}
+    for r in rows.groupBy("fold", *names).count().collect():  # one row for each fold and kind of document
+        for c, name in enumerate(names):
+            sizes[f"f{r['fold']}_{c}_{r[name]}"] += r["count"]
+    chosen = _choose(counts, sizes, len(names))
+    among = {s for x in chosen.values() for s in x}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.array(sorted(among), np.int64)
+        for batch in batches:
+            found = [np.intersect1d(present(normalized(t)), mine, assume_unique=True).tolist() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[1:], "slots"])
+
+    described = rows.select("text", "row", "fold", *names).mapInArrow(run, f"row bigint, fold int, {', '.join(f'{n} int' for n in names)}, slots array<bigint>")
+    got = sorted(described.collect(), key=lambda r: r["row"])  # numbers only; `sample` rows but for repeated ids
+    if not got:
+        return Chain(names, [{} for _ in names], [[0.0] * k for k in range(len(names))], [-30.0] * len(names))
+    chain = _fit_chain(names, [r["slots"] for r in got], np.array([[r[n] for n in names] for r in got]), np.array([r["fold"] for r in got]), chosen)
+    needed = {s for w in chain.weights for s in w}
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sorted(set().union(*(named(normalized(t), needed) for t in batch.column(0).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([g for _, g in found], pa.string())], ["slot", "gram"])
+
+    if needed:
+        spelled = rows.select("text").mapInArrow(spell, "slot bigint, gram string").distinct()
+        chain.grams = sorted((r["gram"], r["slot"]) for r in spelled.collect())  # the few n-grams of the slots with a weight
+    return chain
 
 
 def predict(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -184,12 +278,12 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
         automaton, table = chain.automaton()
         weights = np.array(table)
         for batch in batches:
-            logits = np.zeros((len(chain.categories), batch.num_rows))
+            p = np.zeros((len(chain.categories), batch.num_rows))
             for r, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-                present = sorted({k for _, k in automaton.iter(normalized(text))}) if automaton else []
+                found = sorted({k for _, k in automaton.iter(normalized(text))}) if automaton else []
                 for c, b in enumerate(chain.intercepts):
-                    logits[c, r] = b + weights[c, present].sum() + sum(w * min(max(logits[k, r], -10), 10) for k, w in enumerate(chain.earlier[c]))
-            p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+                    p[c, r] = b + weights[c, found].sum() + sum(w * p[k, r] for k, w in enumerate(chain.earlier[c]))
+                    p[c, r] = sigmoid(p[c, r])
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x) for x in p]], [*batch.schema.names, *names])
 
     kept = docs.drop(*names)
