@@ -4,15 +4,21 @@ Each word is scored for each language by character n-grams; the word's script fi
 into question. A Viterbi pass over the words, with a penalty for every switch, labels spans of the text; the
 language with most letters is the document's.
 
-The model is fitted on a bounded sample of each language (SAMPLE documents, by hash of the id). Words repeat, so a
-worker scores each distinct word once; Viterbi runs in step over the documents of a batch.
+The model is fitted on a bounded sample of each language (SAMPLE documents, by hash of the id); tasks count the n-grams,
+texts don't go to the driver. Words repeat, so a worker scores each distinct word once; Viterbi runs in step over the
+documents of a batch.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,20 +34,54 @@ SWITCH = 12.0
 FLOOR, FOREIGN = 6.0, 30.0
 #: Words that a worker remembers.
 MEMO = 500_000
-LETTERS = re.compile(r"[^\W\d_]+")
-#: First code points of scripts' ranges (fixed values of the Unicode standard).
-SCRIPTS = (
-    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
-    (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"),
-    (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "han"),
-)
+
+
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of neighbours."""
+    out: list[tuple[int, int]] = []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1] = (out[-1][0], p)
+        else:
+            out.append((p, p))
+    return out
+
+
+@lru_cache(maxsize=2)
+def letters(last: int = sys.maxunicode) -> re.Pattern:
+    """A word: a letter (Unicode categories L), then letters and marks (M), of code points up to `last`. Numbers are no
+    letters, whatever their shape."""
+    every = range(last + 1)
+    said = lambda points: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(points))
+    letter = said([p for p in every if chr(p).isalpha()])
+    mark = said([p for p in every if unicodedata.category(chr(p))[0] == "M"])
+    return re.compile(f"[{letter}][{letter}{mark}]*")
+
+
+def pattern(text: str) -> re.Pattern:
+    """The pattern of words that does for the text; the one for code points of 16 bits is much the faster one."""
+    return letters(sys.maxunicode if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text) else 0xFFFF)
+
+
+@lru_cache(maxsize=1)
+def scripts() -> tuple[list[int], list[str]]:
+    """Where each range of letters of one script begins, and the script: the first word of the letters' Unicode names,
+    once forms for compatibility (of full width, of presentation, mathematical ones) stand for what they mean."""
+    first, names = [0], ["LATIN"]
+    for p in range(128, sys.maxunicode + 1):
+        if chr(p).isalpha():
+            name = unicodedata.name(unicodedata.normalize("NFKC", chr(p))[0], "OTHER").split(" ")[0]
+            if name != names[-1]:
+                first.append(p)
+                names.append(name)
+    return first, names
 
 
 def script(word: str) -> str:
     if word.isascii():
-        return "latin"
-    at = ord(word[0])
-    return next(name for first, name in reversed(SCRIPTS) if first <= at)
+        return "LATIN"
+    first, names = scripts()
+    return names[bisect_right(first, ord(word[0])) - 1]
 
 
 def slots(words: list[str]):
@@ -75,31 +115,55 @@ class Model:
     scripts: dict[str, object]  # script -> what its words add to each language: 0, or -FOREIGN
 
 
-def fit_texts(texts: list[str], langs: list[str]) -> Model:
+def counted(texts: list[str], langs: list[str]) -> Iterator[tuple[str, object, object, Counter]]:
+    """Of each language the slots that its words' n-grams have, how often each occurs, and how often each script."""
     import numpy as np
 
-    names = sorted(set(langs))
-    counts = np.zeros((SLOTS, len(names)), np.float32)
-    words: dict[str, dict[str, int]] = {x: {} for x in names}
+    words: dict[str, Counter] = {x: Counter() for x in langs}
     for text, lang in zip(texts, langs, strict=True):
-        of = words[lang]
-        for w in LETTERS.findall(text.lower()):
-            of[w] = of.get(w, 0) + 1
-    used: dict[str, object] = {}
+        lower = text.lower()
+        words[lang].update(pattern(lower).findall(lower))
+    for lang, seen in words.items():
+        used: Counter = Counter()
+        for w, n in seen.items():
+            used[script(w)] += n
+        counts, times = np.zeros(SLOTS, np.int64), np.fromiter(seen.values(), np.float64, len(seen))
+        for slot, _, count in slots(list(seen)) if seen else ():
+            counts += np.bincount(slot, weights=np.repeat(times, count), minlength=SLOTS).astype(np.int64)
+        at = np.flatnonzero(counts)
+        yield lang, at, counts[at], used
+
+
+def model_of(names: list[str], counts, used: dict[str, Counter]) -> Model:
+    """A model from `counts` (slots by languages) and how often each language's words are of each script."""
+    import numpy as np
+
+    share: dict[str, object] = {}
     for k, lang in enumerate(names):
-        total = sum(words[lang].values()) or 1
-        for w, n in words[lang].items():
-            used.setdefault(script(w), np.zeros(len(names)))[k] += n / total
-        distinct, times = list(words[lang]), np.fromiter(words[lang].values(), np.float64, len(words[lang]))
-        for slot, _, count in slots(distinct) if distinct else ():
-            counts[:, k] += np.bincount(slot, weights=np.repeat(times, count), minlength=SLOTS)
+        for s, n in used.get(lang, {}).items():
+            share.setdefault(s, np.zeros(len(names)))[k] = n / max(1, sum(used[lang].values()))
     logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * SLOTS)) if names else counts
     logs -= logs.mean(1, keepdims=True) if names else 0
-    return Model(names, np.clip(logs, -FLOOR, FLOOR).astype(np.float32), {s: np.where(u >= 0.01, 0.0, -FOREIGN).astype(np.float32) for s, u in used.items() if (u >= 0.01).any()})
+    return Model(names, np.clip(logs, -FLOOR, FLOOR).astype(np.float32), {s: np.where(u >= 0.01, 0.0, -FOREIGN).astype(np.float32) for s, u in share.items() if (u >= 0.01).any()})
+
+
+def fit_texts(texts: list[str], langs: list[str]) -> Model:
+    import numpy as np
+
+    names = sorted(set(langs))
+    counts, used = np.zeros((SLOTS, len(names)), np.float32), {}
+    for lang, at, n, by_script in counted(texts, langs):
+        counts[at, names.index(lang)] = n
+        used[lang] = by_script
+    return model_of(names, counts, used)
 
 
 def fit(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> Model:
-    """A model of the languages in docs.lang, of the rows for which `where` holds."""
+    """A model of the languages in docs.lang, of the rows for which `where` holds: about `sample` rows of each language,
+    all of one id or none. Rows with a null text or lang are left out. The driver gets the sums by language and slot."""
+    import numpy as np
+    import pyarrow as pa
+
     known = clean(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
     known = known.where(where) if where is not None else known
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
@@ -109,9 +173,25 @@ def fit(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> M
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return fit_texts([r["text"] for r in rows], [r["lang"] for r in rows])
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, at, n, used in counted(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.nulls(len(at), pa.string()), pa.array(at), pa.array(n)], ["lang", "script", "slot", "n"])
+                k = len(used)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(list(used), pa.string()), pa.nulls(k, pa.int64()), pa.array(list(used.values()), pa.int64())], ["lang", "script", "slot", "n"])
+
+    sums = some.select("text", "lang").mapInArrow(run, "lang string, script string, slot bigint, n bigint").groupBy("lang", "script", "slot").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(sizes)
+    counts, used = np.zeros((SLOTS, len(names)), np.float32), {x: Counter() for x in names}
+    lang_at = np.array([names.index(x) for x in sums["lang"].to_pylist()], np.int64)
+    by_slot = sums["slot"].is_valid().to_numpy()
+    counts[sums["slot"].drop_null().to_numpy(), lang_at[by_slot]] = sums["n"].to_numpy()[by_slot]
+    for r in sums.filter(sums["slot"].is_null()).to_pylist():
+        used[r["lang"]][r["script"]] += r["n"]
+    return model_of(names, counts, used)
 
 
 class _Words(dict):
@@ -183,7 +263,7 @@ def label_batch(texts: list[str | None], words: _Words, switch: float = SWITCH)
     if len(words) > MEMO:
         words.clear()
     lowered = [(t or "").lower() for t in texts]
-    tokens = [LETTERS.findall(t) for t in lowered]
+    tokens = [pattern(t).findall(t) for t in lowered]
     full = [k for k, x in enumerate(tokens) if x]
     if not full:
         return found
@@ -192,25 +272,25 @@ def label_batch(texts: list[str | None], words: _Words, switch: float = SWITCH)
     if unseen := sorted(set(flat).difference(words)):
         words.learn(unseen)
     rows = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
-    letters = np.fromiter(map(len, flat), np.int64, len(flat))
+    long = np.fromiter(map(len, flat), np.int64, len(flat))
     labels = viterbi(rows, sizes, words.scores, switch)
     ends = np.cumsum(sizes)
-    fits = np.add.reduceat(letters * words.fits[rows], ends - sizes) / np.add.reduceat(letters, ends - sizes)
+    fits = np.add.reduceat(long * words.fits[rows], ends - sizes) / np.add.reduceat(long, ends - sizes)
     change = np.r_[True, labels[1:] != labels[:-1]]
     for k, lo, hi, fit_ in zip(full, ends - sizes, ends, fits.tolist(), strict=True):
-        by = np.bincount(labels[lo:hi], weights=letters[lo:hi], minlength=len(names))
+        by = np.bincount(labels[lo:hi], weights=long[lo:hi], minlength=len(names))
         top = int(by.argmax())
         starts = [0, *(np.flatnonzero(change[lo + 1 : hi]) + 1)]
         text = texts[k]
         if len(lowered[k]) != len(text):  # lower-casing can add code points: spans then are in the text as it is
-            places = [m.span() for m in LETTERS.finditer(text)]
+            places = [m.span() for m in pattern(text).finditer(text)]
             same = len(places) == hi - lo
         else:
             same, places = True, None
         if len(starts) == 1 or not same:
             spans = [(0, len(text), names[top])]
         else:
-            places = places or [m.span() for m in LETTERS.finditer(lowered[k])]
+            places = places or [m.span() for m in pattern(lowered[k]).finditer(lowered[k])]
             cuts = [0, *(places[s][0] for s in starts[1:]), len(text)]
             spans = [(a, b, names[labels[lo + s]]) for a, b, s in zip(cuts[:-1], cuts[1:], starts, strict=True)]
         found[k] = (names[top], float(by[top] / by.sum()), spans, fit_)
