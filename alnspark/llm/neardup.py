@@ -2,12 +2,13 @@
 
 1. One Python pass turns each text into the set of its word shingles (64-bit hashes), the set's 128-bit key and band
    hashes: under each permutation both the minimum and the maximum are kept, so one evaluation gives two values.
-2. Equal sets are one class with one representative; a group of copies is never expanded.
-3. Within each bucket every representative is paired with the smallest only. These pairs join representatives into
-   clusters that hold every pair that shares a bucket.
-4. Only the sets of clustered documents move, each once: a task gets a cluster, counts all intersections in it over
-   an inverted index and returns links that join something new. A cluster over the size bound is dealt into blocks,
-   with a task for each two blocks, so that nothing is left out and no task grows.
+2. Equal sets are one class with one number; a group of copies is never expanded.
+3. In each bucket every class is held against the bucket's pivot, its smallest number: first against the one pivot that
+   most of its bands name, then, what that doesn't join, against its others. The members of a pivot are dealt over
+   tasks, to each of which the pivot's set goes along. This joins near copies in time linear in the bucket.
+4. What is left are buckets that hold more than one component. In these the classes outside of the pivot's component are
+   held against all others, block by block, by an inverted index; buckets with the same members count once. So every
+   pair that shares a bucket is either joined already or compared, and no task holds more than two blocks of sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import groupby
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import clean, keep_by_id, materialize, small_batches
+from .common import HOT_KEYS, HOT_ROWS, clean, hot_counts, hot_keys, join_salted, keep_by_id, materialize, small_batches
 from .graph import components
 
 NGRAM = 5
@@ -25,8 +26,10 @@ NGRAM = 5
 PERCENT = 75
 #: 50 bands of 6 values: a pair at 0.75 shares no band with probability 6e-5, at 0.3 it shares one with 4 %.
 BANDS, ROWS = 50, 6
-#: Bytes of sets in a block of a cluster; a task holds two blocks.
-BLOCK_BYTES = 8 << 20
+#: Members of a pivot in one task.
+MEMBERS = 500
+#: Shingles in a block of a bucket; a task holds two blocks.
+BLOCK_SHINGLES = 250_000
 SEED = 8
 
 
@@ -103,130 +106,213 @@ def signatures(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
     return clean(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def links(ids: list[int], sets: list, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(id, smallest id of its group) within one task's documents, from all intersections by way of an inverted index."""
+def linked(common, size, sizes, percent: int):
+    return (100 * common >= percent * (size + sizes - common)) & (common > 0)
+
+
+def links_between(queries: list[tuple], members: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(query, member) that are linked, for (id, label, set) of both: those that join labels not joined yet here.
+
+    All intersections come from an inverted index over the members. Pairs that links or labels have joined are left out.
+    """
     import numpy as np
 
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        common = len(np.intersect1d(*sets, assume_unique=True))
-        return [(max(ids), min(ids))] if 100 * common >= percent * (sizes.sum() - common) and ids[0] != ids[1] else []
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    ids = np.array([m[0] for m in members])
+    sizes = np.array([len(m[2]) for m in members])
+    names, label = np.unique([m[1] for m in members] + [q[1] for q in queries], return_inverse=True)
+    label, mine = label[: len(members)].copy(), label[len(members) :].copy()
+    tokens, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    df = np.diff(np.r_[first, len(tokens)])
-    of = np.repeat(np.arange(len(first)), df)  # token of each entry
-    shared = np.bincount(owner, weights=df[of] > 1, minlength=len(sets))
-    live = np.flatnonzero(100 * shared >= percent * sizes)  # the others have too much of their own to be linked at all
-    by_doc = np.argsort(owner, kind="stable")
-    starts, token_of = np.r_[0, np.cumsum(sizes)], of[by_doc]
-    label = np.arange(len(sets))
-    is_live = np.zeros(len(sets), bool)
-    is_live[live] = True
-    for x in live:
-        if (label[live] == label[live[0]]).all():
-            break
-        mine = token_of[starts[x] : starts[x + 1]]
-        mine = mine[df[mine] > 1]
-        counts, begin = df[mine], first[mine]
-        steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)
-        common = np.bincount(owner[steps], minlength=len(sets))
-        near = np.flatnonzero((100 * common >= percent * (sizes + sizes[x] - common)) & (common > 0) & is_live)
-        if len(joined := np.unique(label[near])) > 1:
-            label[np.isin(label, joined)] = joined[0]
     found = []
-    by_label: dict[int, int] = {}
-    for k in live:
-        by_label[label[k]] = min(by_label.get(label[k], ids[k]), ids[k])
-    for k in live:
-        if by_label[label[k]] != ids[k]:
-            found.append((ids[k], by_label[label[k]]))
+    for k, (id_, _, wanted) in enumerate(queries):
+        open_ = label != mine[k]
+        if not open_.any():
+            continue
+        first, last = np.searchsorted(tokens, wanted), np.searchsorted(tokens, wanted, side="right")
+        counts = last - first
+        steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+        common = np.bincount(owner[steps], minlength=len(members))
+        for m in np.flatnonzero(linked(common, len(wanted), sizes, percent) & open_):
+            if label[m] != mine[k]:
+                found.append((id_, int(ids[m])))
+                old, new = label[m], mine[k]
+                label[label == old] = new
+                mine[mine == old] = new
     return found
 
 
-def _sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """id, cluster, blocks and the set itself (little-endian 64-bit) of documents that came with id, cluster, blocks, text."""
+def _sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
+    """id and set (little-endian 64-bit) of the classes in `wanted` (id, doc_id, set_key). Of rows that repeat a doc_id
+    those with the class's own set count."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            sets = [shingles(t, ngram).astype("<u8").tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.large_binary() if sum(map(len, sets)) > 1 << 30 else pa.binary())], ["id", "cluster", "blocks", "set"])
+            sets = [shingles(t, ngram).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+            keep = pa.array([xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"]).filter(keep)
+
+    texts = keep_by_id(clean(docs, "doc_id", "text"), wanted, "doc_id").select("id", "set_key", "text")
+    return materialize(texts.mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+
 
-    return docs.select("id", "cluster", "blocks", "text").mapInArrow(run, "id bigint, cluster bigint, blocks int, set binary")
+def _streamed(batches: Iterator, columns: int) -> Iterable[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True)
 
 
-def _confirm(tasks: DataFrame, percent: int) -> DataFrame:
-    """Links of each (cluster, i, j), whose rows stand together in a partition."""
+def against_pivots(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, its pivot b) that are links. MEMBERS members of a pivot, about, go to a task, and its set with them."""
     import pyarrow as pa
 
+    deals = edges.groupBy("b").count().select("b", F.ceil(F.col("count") / MEMBERS).cast("int").alias("deals"))
+    deals = materialize(deals, "deals")
+    of_pivot = sets.withColumnRenamed("id", "b").join(deals, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("bigint").alias("a"), "set")
+    many = deals.where("deals > 1")
+    dealt = join_salted(edges, many, "b", hot_keys(edges, "b"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    of_members = dealt.join(sets.withColumnRenamed("id", "a"), "a").select("b", "deal", "a", "set")
+    together = of_pivot.union(of_members).repartition("b", "deal").sortWithinPartitions("b", "deal", F.asc_nulls_first("a"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def rows() -> Iterable[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        pivot = set_ = None
+        for batch in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for b, _, a, data in _streamed(iter([batch]), 4):
+                mine = np.frombuffer(data, "<u8")
+                if a is None:
+                    pivot, set_ = b, mine
+                elif b == pivot and 100 * min(len(mine), len(set_)) >= percent * max(len(mine), len(set_)):
+                    common = len(np.intersect1d(mine, set_, assume_unique=True))
+                    if linked(common, len(mine), len(set_), percent):
+                        out[0].append(a)
+                        out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return together.mapInArrow(run, "a bigint, b bigint")
+
+
+def within_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within buckets; members: bucket, id, label, n. The pivot has been held against all."""
+    import pyarrow as pa
+
+    # the members' numbers, folded, tell which buckets are alike
+    whole = members.groupBy("bucket").agg(
+        F.min(F.struct("id", "label")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("s2"),
+    )
+    mixed = whole.where("low <> high and size > 2").select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("main"), "n", "size", "s1", "s2")
+    mixed = materialize(mixed.groupBy("size", "s1", "s2").agg(F.min(F.struct("bucket", "pivot", "main", "n", "size")).alias("x")).select("x.*"), "mixed")
+    hot = hot_counts(mixed.select("bucket", F.col("size").alias("count")), "bucket", HOT_ROWS)
+    inside = join_salted(members.withColumnRenamed("n", "own"), mixed.drop("size"), "bucket", hot).where("id <> pivot")
+    inside = materialize(inside.select("bucket", "id", "label", "own", "n", (F.col("label") != F.col("main")).alias("asks")), "inside")
+    asking = inside.where("asks").groupBy("bucket").agg(F.sum("own").alias("asked"), F.max("n").alias("n"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_SHINGLES).cast("int")
+    shape = asking.select("bucket", blocks("asked").alias("rows"), blocks("n").alias("columns"))
+    placed = join_salted(inside.select("bucket", "id", "label", "asks"), shape, "bucket", hot)
+    row, column = F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id"), F.col("columns")).cast("int")
+    to = lambda r, c, ask: F.struct(r.alias("i"), c.alias("j"), F.lit(ask).alias("ask"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: to(r, column, False))
+    as_query = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: to(row, c, True))).otherwise(F.array().cast("array<struct<i:int,j:int,ask:boolean>>"))
+    tasks = placed.select("bucket", "id", "label", F.explode(F.concat(as_member, as_query)).alias("t")).select("bucket", "t.i", "t.j", "t.ask", "id", "label")
+    dealt = tasks.join(sets, "id").select("bucket", "i", "j", "ask", "id", "label", "set").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "ask", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-        a, b = [], []
-        for _, group in groupby(rows(), key=lambda r: r[:3]):
-            members = [(r[3], np.frombuffer(r[4], "<u8")) for r in group]
-            for x, y in links([m[0] for m in members], [m[1] for m in members], percent) if len(members) > 1 else ():
-                a.append(x)
-                b.append(y)
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for _, group in groupby(_streamed(batches, 7), key=lambda r: r[:3]):
+            sides: tuple[list, list] = ([], [])
+            for r in group:
+                sides[r[3]].append((r[4], r[5], np.frombuffer(r[6], "<u8")))
+            if sides[0] and sides[1] and (found := links_between(sides[1], sides[0], percent)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return tasks.select("cluster", "i", "j", "id", "set").mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _labels(ids: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """id, n, label of all `ids` (id, n), by what is confirmed."""
+    return materialize(ids.join(components(confirmed).withColumnRenamed("component", "label"), "id", "left").select("id", "n", F.coalesce("label", "id").alias("label")), "labelled")
+
+
+def classified(docs: DataFrame, percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
+    """doc_id, n_shingles, set_key and component_id for every row of docs: set_key stands for the row's shingle set (null
+    for an empty one), component_id is the smallest doc_id of the component."""
+    sig = materialize(signatures(docs, ngram), "signatures")
+    full = sig.where("set_key is not null and doc_id is not null")
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    members = classes.select("id", F.explode("bands").alias("bucket"))
+    buckets = materialize(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("count")).where("count > 1"), "buckets")
+    hot = hot_counts(buckets.select("bucket", "count"), "bucket", max(HOT_ROWS, classes.count() * BANDS // HOT_KEYS))
+    met = materialize(join_salted(members, buckets.drop("count"), "bucket", hot), "met")
+    # of each class its pivots, with how many of its bands name them
+    edges = materialize(met.where("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("times")), "pivots")
+    clustered = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    clustered = materialize(classes.select("id", "n", "doc_id", "set_key").join(clustered, "id", "left_semi"), "clustered")
+    sets, ids = _sets(docs, clustered.drop("n"), ngram), clustered.select("id", "n")
+    best = materialize(edges.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b")), "best")
+    first = materialize(against_pivots(best, sets, percent), "links")
+    label = _labels(ids, first).drop("n")
+    rest = edges.drop("times").join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
+    rest = join_salted(rest, label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", hot_keys(edges, "b")).where("la <> lb").select("a", "b")
+    second = against_pivots(materialize(rest.join(best, ["a", "b"], "left_anti"), "rest"), sets, percent)
+    second = materialize(first.union(second), "links")
+    third = within_buckets(met.select("bucket", "id").join(_labels(ids, second), "id"), sets, percent)
+    label = _labels(ids, materialize(second.union(third), "links"))
+    # the smallest doc_id of each component is its name; rows of one class are joined by the class
+    of = materialize(classes.select("id", "set_key", "doc_id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "of")
+    smallest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    names = materialize(join_salted(of.select("label", "set_key"), smallest, "label", hot_keys(of, "label")).select("set_key", "component_id"), "names")
+    found = join_salted(sig.drop("bands"), names, "set_key", hot_keys(sig, "set_key"), "left")
+    return found.select("doc_id", "n_shingles", "set_key", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Null, empty or blank text: empty set, its own component, kept. Fewer words than a shingle: one shingle of all.
-    Rows that repeat a doc_id count as one document. A null doc_id takes no part: component_id null, kept. An empty
-    table gives no rows. Only doc_id and text are read.
+    Each row that repeats a doc_id stands for its own text. A null doc_id takes no part: component_id null, kept. An
+    empty table gives no rows. Only doc_id and text are read.
     """
-    spark = docs.sparkSession
-    sig = materialize(signatures(docs, ngram), "signatures")
-    full = sig.where("set_key is not null and doc_id is not null")
-    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").drop("last")
-    # at most one pivot for each band; a member is joined to its smallest, and so are its other pivots: the same clusters
-    # from a row for each member and few more
-    met = members.join(buckets, "bucket").where("id <> pivot").groupBy("id").agg(F.collect_set("pivot").alias("pivots"))
-    least = F.array_min("pivots")
-    others = F.transform(F.filter("pivots", lambda p: p != least), lambda p: F.struct(p.alias("a"), least.alias("b")))
-    edges = F.explode(F.concat(F.array(F.struct(F.col("id").alias("a"), least.alias("b"))), others))
-    stars = materialize(met.select(edges.alias("e")).select("e.a", "e.b").distinct(), "stars")
-    clusters = components(stars)
-    # a row for each representative in a cluster, with the number of blocks that its cluster is dealt into
-    sized = clusters.join(classes.groupBy("id").agg(F.max("n").alias("n")), "id")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
-    clustered = materialize(sized.join(blocks, "component").select("id", F.col("component").alias("cluster"), "blocks"), "clustered")
-    # of repeated ids all texts take part
-    texts = keep_by_id(clean(docs, "doc_id", "text").withColumnRenamed("doc_id", "id"), clustered, "id")
-    placed = _sets(texts, ngram).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "set")
-    dealt = tasks.where("blocks = 1 or i < j").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    confirmed = materialize(_confirm(dealt, percent), "links")
-    # rows of one class are linked by their representative; classes by what was confirmed
-    linked = components(confirmed)
-    named = classes.join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
-    joined = sig.drop("bands").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
-    found = joined.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return classified(docs, percent, ngram).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows that repeat a doc_id are one
-    document, of which one row stays; rows without a doc_id stay."""
-    found = materialize(near_duplicates(docs, percent, ngram).where("doc_id is not null"), "components")
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = keep_by_id(docs, gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
-    return left
+    """docs with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay, and so do
+    rows without words. Of rows that repeat a doc_id each is judged by its own text; of those that stay and have one set
+    of shingles, or no words, the one with the smallest text stays."""
+    found = materialize(classified(docs, percent, ngram).where("doc_id is not null"), "components")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return keep_by_id(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(repeated, "repeated")
+    single = keep_by_id(keep_by_id(docs, gone, "doc_id", "left_anti"), repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(_of_repeated(docs, found, repeated, ngram))
+
+
+def _of_repeated(docs: DataFrame, found: DataFrame, repeated: DataFrame, ngram: int) -> DataFrame:
+    """What stays of the rows whose doc_id is repeated."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            sets = [shingles(t, ngram) for t in batch.column(1).to_pylist()]
+            keys = pa.array([xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], keys], ["doc_id", "text", "set_key"])
+
+    few = materialize(keep_by_id(docs, repeated, "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("whole")), "repeats")
+    keyed = few.select("doc_id", "text").distinct().mapInArrow(run, "doc_id bigint, text string, set_key binary")
+    stays = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id", F.coalesce("set_key", F.lit(b"")).alias("set_key")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    first = keyed.join(stays, ["doc_id", "set_key"], "left_semi").groupBy("doc_id", "set_key").agg(F.min(text).alias("t")).drop("set_key")
+    rows = few.withColumn("t", text).join(first, ["doc_id", "t"])
+    return rows.groupBy("doc_id", "t").agg(F.min_by("whole", F.to_json("whole")).alias("whole")).select("whole.*")
