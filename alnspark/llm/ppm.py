@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import clean, materialize, small_batches
+from .common import clean, materialize, sliced, small_batches
 
 ORDER = 5
 #: Bytes that no UTF-8 text has: before the first byte, after the last.
@@ -32,8 +32,8 @@ FLUSH = 200_000
 #: Documents at a time: a batch needs some 60 bytes for each of their bytes.
 BATCH = 250
 WORDS, WINDOWS = 0, 1
-#: How often a context must have seen a symbol to have it, by default; at 1 nothing that was seen is left out.
-LEAST = 2
+#: How often a context must have seen a symbol to have it; at 1 nothing that was seen is left out.
+LEAST = 1
 #: Orders with so few contexts that their tables are broadcast (65,792 entries at most), as many windows share each.
 LOW = 1
 
@@ -76,7 +76,7 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """kind, key, count over all rows of docs (words with the end of each text, windows)."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession, BATCH)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -91,7 +91,7 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         seen: Counter[bytes] = Counter()
         parts, size, texts_n = [], 0, 0
-        for batch in batches:
+        for batch in sliced(batches, BATCH):
             texts = batch.column(0).to_pylist()
             texts_n += len(texts)
             for t in texts:
@@ -293,7 +293,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, least: int = LEAST
     import pyarrow as pa
 
     spark = docs.sparkSession
-    small_batches(spark, BATCH)
+    small_batches(spark)
     mark = F.coalesce(train, F.lit(False))
     counts = materialize(count(docs.where(mark), order), "counts")
     vocabulary = counts.where(F.col("kind") == WORDS)
@@ -312,7 +312,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, least: int = LEAST
         order_ = np.argsort(keys)
         keys, logs = keys[order_], np.log10(hot_counts[order_] + 1.0)
         coster, end = Coster(trie_), np.array([end_key()])
-        for batch in batches:
+        for batch in sliced(batches, BATCH):
             texts = batch.column(2).to_pylist()
             window, starts = windows(texts, order)
             cost = coster(window)

@@ -23,7 +23,8 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = sharding.shard(documents(spark, sf_dir), scratch_path(spark, "shards"))
-    return table.read().select("doc_id", "shard", "tier", "shard_rows", "version")
+    of = F.col("shard")
+    return table.located().select("row.doc_id", of["number"].alias("shard"), of["tier"].alias("tier"), of["rows"].alias("shard_rows"), of["version"].alias("version"))
 
 
 def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = F.coalesce(held_out(5, 0), F.lit(False))
     model = langid.fit(docs, ~out)
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(7, 2)
-    scored = ppm.score(documents(spark, sf_dir), ~out, least=1)  # the whole model
+    scored = ppm.score(documents(spark, sf_dir), ~out)
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
