@@ -23,7 +23,7 @@ CAPACITY = 1024
 END_ID = 2
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 #: Rows of one length that one task ranks; longer runs are dealt over more tasks.
-RANKED = 5_000
+RANKED = 500
 
 
 def cut(n: int, capacity: int) -> list[int]:
