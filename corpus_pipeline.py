@@ -13,10 +13,23 @@ from alnspark.llm import langid, neardup, packing, toxicity
 from alnspark.llm.common import materialize
 
 
+def aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one, so that no column that a stage makes has the name of another."""
+    others = [f"`{c}`" for c in docs.columns if c not in needed]
+    return docs.select(*needed, (F.struct(*others) if others else F.lit(None)).alias("_others"))
+
+
+def back(stage: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of docs again."""
+    return stage.select(*[F.col(c) if c in needed else F.col("_others")[c].alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.verdicts(docs, labels).where("not rejected").select(*docs.columns)
+    chain = toxicity.fit(docs, labels, toxicity.CATEGORIES)
+    judged = toxicity.predict(aside(docs, "doc_id", "text"), chain)
+    return back(judged.where(F.col("p_toxic") < toxicity.REJECT), docs, "doc_id", "text")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +38,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     model = langid.fit(docs)
     if not model.scripts:
         return docs
-    return langid.identify(docs, model).where("fit > 0").select(*docs.columns)
+    labelled = langid.identify(aside(docs, "doc_id", "text"), model)
+    return back(labelled.where("fit > 0"), docs, "doc_id", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
