@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import pileup as P
 
@@ -49,36 +49,67 @@ def error_model(dependence: float = DEPENDENCE):
     return weight, beta, het
 
 
-def genotype_costs(entries: list[tuple[int, bool, int]]):
-    """4 x 4 Phred costs of the genotypes from (base 0-3, reverse, quality) of a column's reads."""
+def _rank(*keys):
+    """The place of each row among those with the same keys, in the rows' order."""
+    import numpy as np
+
+    order = np.lexsort(keys[::-1])
+    new = np.any([np.r_[True, k[order][1:] != k[order][:-1]] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return out
+
+
+def genotype_costs(column, base, reverse, quality, count):
+    """Phred costs, columns by 4 by 4 bases, from counts of (base 0-3, strand, quality) of numbered columns.
+
+    Within a column the best qualities count first, and each further record of one base and strand counts for less. Of a
+    column with more than MOST_READS records so many are taken, evenly over the order of qualities.
+    """
     import numpy as np
 
     weight, beta, het = error_model()
-    if len(entries) > MOST_READS:
-        step = len(entries) / MOST_READS
-        entries = [entries[int(k * step)] for k in range(MOST_READS)]
-    n = len(entries)
-    total, count, strand = np.zeros(4), np.zeros(4, int), np.zeros((2, 4), int)
-    for base, rev, q in sorted(entries, key=lambda e: (-e[2], e[1], e[0])):
-        w = weight[strand[int(rev), base]]
-        b = beta[min(max(q, 4), 63), n, count[base]]
-        total[base] += w * (b if np.isfinite(b) else 0.0)
-        count[base] += 1
-        strand[int(rev), base] += 1
-    cost = np.zeros((4, 4))
-    for j in range(4):
-        cost[j, j] = total.sum() - total[j]
-        for k in range(j + 1, 4):
-            others = total.sum() - total[j] - total[k]
-            cost[j, k] = cost[k, j] = max(0.0, others - 10 / np.log(10) * het[count[j] + count[k], count[k]])
-    return cost
+    order = np.lexsort((base, reverse, -quality, column))
+    at = np.repeat(order, count[order])
+    c, b, r, q = column[at], base[at], reverse[at], np.clip(quality[at], 4, 63)
+    size = np.bincount(c)
+    place, limit = _rank(c), np.minimum(size, MOST_READS)
+    # record k of n stays if it is the first in its share of MOST_READS equal ones
+    keep = (place * limit[c]) // size[c] != ((place - 1) * limit[c]) // size[c]
+    c, b, r, q = c[keep], b[keep], r[keep], q[keep]
+    of_base = _rank(c, b)
+    cost = beta[q, limit[c], of_base]
+    cost = np.where(np.isfinite(cost), cost, 0.0) * weight[_rank(c, b, r)]
+    total = np.bincount(4 * c + b, weights=cost, minlength=4 * len(size)).reshape(-1, 4)
+    n = np.bincount(4 * c + b, minlength=4 * len(size)).reshape(-1, 4)
+    others = total.sum(1)[:, None, None] - total[:, :, None] - total[:, None, :]
+    pair = np.maximum(0.0, others - 10 / np.log(10) * het[np.minimum(n[:, :, None] + n[:, None, :], 255), n[:, None, :]])
+    pair[:, np.arange(4), np.arange(4)] = total.sum(1)[:, None] - total
+    upper = np.triu(np.ones((4, 4), bool))
+    return np.where(upper, pair, np.swapaxes(pair, 1, 2))
 
 
 def columns(df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0) -> DataFrame:
-    """chrom, pos and the column's reads (qname, base, reverse, q): a row for each position, in one aggregate."""
-    x = P.bases(df, min_base_quality=min_base_quality, min_mapq=min_mapq).where("base in ('A','C','G','T')").join(df.select("src", "ordinal", "qname"), ["src", "ordinal"])
-    entry = F.struct("ordinal", "qname", F.expr("instr('ACGT', base) - 1").alias("base"), "reverse", F.least("q", F.when(F.col("mapq") > 0, F.col("mapq")).otherwise(255)).alias("q"))
-    return x.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(entry)).alias("reads"))
+    """chrom, pos and seen: of each position how many records have a base (0-3) on a strand in a quality. The counts
+    combine before the shuffle, and a position has 512 of them at most, however deep it is."""
+    x = P.bases(df, min_base_quality=min_base_quality, min_mapq=min_mapq).where("base in ('A','C','G','T')")
+    quality = F.least("q", F.when(F.col("mapq") > 0, F.col("mapq")).otherwise(255), F.lit(63)).cast("int")
+    x = x.select("chrom", "pos", F.expr("instr('ACGT', base) - 1").alias("base"), F.col("reverse").cast("int").alias("reverse"), F.greatest(quality, F.lit(4)).alias("q"))
+    return x.groupBy("chrom", "pos", "base", "reverse", "q").agg(F.count("*").alias("n")).groupBy("chrom", "pos").agg(F.collect_list(F.struct("base", "reverse", "q", "n")).alias("seen"))
+
+
+def _costs(batches, more):
+    """more(chrom, pos, depth, costs) for each batch of `columns`, whose counts are flat arrays beside their sizes."""
+    import numpy as np
+
+    for batch in batches:
+        seen = batch.column(2)
+        flat = seen.flatten()
+        column = np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy()))
+        base, reverse, q, n = (flat.field(k).to_numpy().astype(np.int64) for k in ("base", "reverse", "q", "n"))
+        if len(seen):
+            yield more(batch.column(0), batch.column(1), np.bincount(column, weights=n).astype(np.int32), genotype_costs(column, base, reverse, q, n))
 
 
 def calls(df: DataFrame, **options) -> DataFrame:
@@ -87,20 +118,25 @@ def calls(df: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        names = ["".join(sorted((a, b))) for a in "ACGT" for b in "ACGT"]
-        for b in batches:
-            out = []
-            for chrom, pos, reads in zip(b["chrom"], b["pos"], b["reads"], strict=True):
-                cost = genotype_costs([(r["base"], r["reverse"], r["q"]) for r in reads])
-                flat = [(cost[i, j], names[4 * i + j]) for i in range(4) for j in range(i, 4)]
-                first, second = sorted(flat)[:2]
-                one, two = sorted((int(cost[i, i] + 0.499), i) for i in range(4))[:2]
-                out.append((chrom, pos, len(reads), first[1], second[1], float(np.round(second[0] - first[0], 4)), "ACGT"[one[1]], min(two[0] - one[0], 63)))
-            yield pd.DataFrame(out, columns=["chrom", "pos", "depth", "best", "second", "lod", "hom", "hom_quality"])
+        i, j = np.triu_indices(4)
+        names = np.array([f"{a}{b}" for a, b in zip(np.array(list("ACGT"))[i], np.array(list("ACGT"))[j], strict=True)])
+
+        def made(chrom, pos, depth, cost):
+            rows = np.arange(len(cost))
+            ten = cost[:, i, j]
+            order = np.argsort(ten, axis=1, kind="stable")
+            one = (cost[:, np.arange(4), np.arange(4)] + 0.499).astype(np.int64)
+            homs = np.argsort(one, axis=1, kind="stable")
+            between = np.minimum(one[rows, homs[:, 1]] - one[rows, homs[:, 0]], 63)
+            lod = np.round(ten[rows, order[:, 1]] - ten[rows, order[:, 0]], 4)
+            out = [chrom, pos, pa.array(depth), pa.array(names[order[:, 0]]), pa.array(names[order[:, 1]]), pa.array(lod), pa.array(np.array(list("ACGT"))[homs[:, 0]]), pa.array(between.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(out, ["chrom", "pos", "depth", "best", "second", "lod", "hom", "hom_quality"])
+
+        yield from _costs(batches, made)
 
-    return columns(df, **options).select("chrom", "pos", "reads").mapInPandas(run, "chrom string, pos bigint, depth int, best string, second string, lod double, hom string, hom_quality int")
+    return columns(df, **options).mapInArrow(run, "chrom string, pos bigint, depth int, best string, second string, lod double, hom string, hom_quality int")
 
 
 @lru_cache(maxsize=2)
@@ -230,52 +266,69 @@ def target_segments(df: DataFrame, header_sq: DataFrame, **options) -> DataFrame
     return rows.mapInPandas(run, "chrom string, start bigint, end bigint, seq string")
 
 
-def phase(df: DataFrame, least_lod: float = HET_LOD, **options) -> DataFrame:
-    """chrom, block, pos, first, second, support, against: heterozygous sites in phase blocks.
+def heterozygous(df: DataFrame, least_lod: float = HET_LOD, **options) -> DataFrame:
+    """chrom, pos, a, b: sites whose best pair of bases beats each single base by least_lod."""
 
-    Sites are called in parallel. Along a reference a block goes on as long as records join neighbouring sites; the
-    phase of a site against the one before is what most of those records say.
-    """
-    c = columns(df, **options)
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    def het(batches):
-        import pandas as pd
+        i, j = np.triu_indices(4, 1)
+        letters = np.array(list("ACGT"))
 
-        for b in batches:
-            out = []
-            for chrom, pos, reads in zip(b["chrom"], b["pos"], b["reads"], strict=True):
-                cost = genotype_costs([(r["base"], r["reverse"], r["q"]) for r in reads])
-                hom = min(cost[i, i] for i in range(4))
-                best = min((cost[i, j], i, j) for i in range(4) for j in range(i + 1, 4))
-                if hom - best[0] >= least_lod:
-                    kept = [(r["qname"], 0 if r["base"] == best[1] else 1) for r in reads if r["base"] in best[1:]]
-                    out.append((chrom, pos, "ACGT"[best[1]], "ACGT"[best[2]], [k[0] for k in kept], [k[1] for k in kept]))
-            yield pd.DataFrame(out, columns=["chrom", "pos", "a", "b", "names", "alleles"])
+        def made(chrom, pos, depth, cost):
+            pairs = cost[:, i, j]
+            best = pairs.argmin(1)
+            take = cost[:, np.arange(4), np.arange(4)].min(1) - pairs.min(1) >= least_lod
+            mask = pa.array(take)
+            return pa.RecordBatch.from_arrays([chrom.filter(mask), pos.filter(mask), pa.array(letters[i[best]][take]), pa.array(letters[j[best]][take])], ["chrom", "pos", "a", "b"])
 
-    sites = c.select("chrom", "pos", "reads").mapInPandas(het, "chrom string, pos bigint, a string, b string, names array<string>, alleles array<int>")
+        yield from _costs(batches, made)
+
+    return columns(df, **options).mapInArrow(run, "chrom string, pos bigint, a string, b string")
+
+
+def phase(df: DataFrame, least_lod: float = HET_LOD, min_base_quality: int = 13, min_mapq: int = 0) -> DataFrame:
+    """chrom, block, pos, first, second, support, against: heterozygous sites in phase blocks.
+
+    Sites are called in parallel. Along a reference a template keeps the side that it had at its last site, whatever it has
+    at sites in between, and a further site's phase is what most of the templates known so far say, of the block that most of
+    them belong to. A site without a known template begins a block. What is kept are the templates that have sites still to come.
+    """
+    sites = heterozygous(df, least_lod, min_base_quality=min_base_quality, min_mapq=min_mapq)
+    at = P.bases(df, min_base_quality=min_base_quality, min_mapq=min_mapq).where("base in ('A','C','G','T')").join(sites, ["chrom", "pos"])
+    sides = at.select("chrom", "pos", "a", "b", "qname", F.when(F.col("base") == F.col("a"), 0).when(F.col("base") == F.col("b"), 1).alias("allele"), "src", "ordinal").where("allele is not null")
+    # of a template that covers a site twice the later record counts
+    once = sides.groupBy("chrom", "qname", "pos", "a", "b").agg(F.max_by("allele", F.struct("src", "ordinal")).alias("allele"))
+    last = F.max("pos").over(Window.partitionBy("chrom", "qname"))
+    known = once.withColumn("last", last).groupBy("chrom", "pos", "a", "b").agg(F.sort_array(F.collect_list(F.struct("qname", "allele", "last"))).alias("t"))
+    rows = known.select("chrom", "pos", "a", "b", F.col("t.qname").alias("names"), F.col("t.allele").alias("alleles"), F.col("t.last").alias("lasts"))
 
     def join(batches):
         import pandas as pd
 
-        chrom, block, last, flip = None, 0, {}, 0
-        for rows in batches:
+        chrom, side = None, {}  # of each open template its block and side
+        for rows_ in batches:
             out = []
-            for name, pos, a, b, names, alleles in zip(rows["chrom"], rows["pos"], rows["a"], rows["b"], rows["names"], rows["alleles"], strict=True):
-                now = dict(zip(names, (int(x) for x in alleles), strict=True))
-                votes = [0, 0]
-                if name == chrom:
-                    for q, x in now.items():
-                        if q in last:
-                            votes[x ^ last[q]] += 1
-                if name != chrom or not any(votes):
-                    block, flip = int(pos), 0
-                else:
-                    flip ^= int(votes[1] > votes[0])
-                out.append((name, block, pos, b if flip else a, a if flip else b, max(votes), min(votes)))
-                chrom, last = name, now
+            for name, pos, a, b, names, alleles, lasts in zip(*(rows_[c] for c in ("chrom", "pos", "a", "b", "names", "alleles", "lasts")), strict=True):
+                if name != chrom:
+                    chrom, side = name, {}
+                votes: dict[int, list[int]] = {}
+                for q, x in zip(names, alleles, strict=True):
+                    if q in side:
+                        votes.setdefault(side[q][0], [0, 0])[int(x) ^ side[q][1]] += 1
+                block = max(votes, key=lambda v: (sum(votes[v]), -v), default=int(pos))
+                same, crossed = votes.get(block, (0, 0))
+                flip = int(crossed > same)
+                for q, x, end in zip(names, alleles, lasts, strict=True):
+                    if end > pos:
+                        side[q] = block, int(x) ^ flip
+                    else:
+                        side.pop(q, None)
+                out.append((name, block, pos, b if flip else a, a if flip else b, max(same, crossed), min(same, crossed)))
             yield pd.DataFrame(out, columns=["chrom", "block", "pos", "first", "second", "support", "against"])
 
-    return sites.repartition("chrom").sortWithinPartitions("chrom", "pos").mapInPandas(join, "chrom string, block bigint, pos bigint, first string, second string, support int, against int")
+    return rows.repartition("chrom").sortWithinPartitions("chrom", "pos").mapInPandas(join, "chrom string, block bigint, pos bigint, first string, second string, support int, against int")
 
 
 def depad(df: DataFrame, padded: DataFrame) -> DataFrame:

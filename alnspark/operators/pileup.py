@@ -2,45 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cigar as C, flags as FL, sequence as Q, tags as T
-from . import depth as D
-from .filters import span
+from . import intervals as I
+from .filters import by_bed, by_regions, span
+from .reference import with_stretch
 
 
-def bases(df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, exclude: int = FL.DEPTH_MASK) -> DataFrame:
-    """chrom, pos (1-based), base ('*' deleted, '>' skipped), q, mapq, reverse, first, last, ins, del_, ordinal, src: one
-    row for each record and position; an indel stands at the base before it."""
+def bases(df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, exclude: int = FL.DEPTH_MASK, reference: DataFrame | None = None) -> DataFrame:
+    """chrom, pos (1-based), base ('*' deleted, '>' skipped), q, mapq, reverse, first, last, ins, del_, ordinal, src, qname:
+    one row for each record and position; an indel stands at the base before it. With a reference also ref, its base, and
+    gap, the bases that a deletion behind the position takes."""
     kept = df.where(FL.flag_filter(F.col("flag"), exclude=exclude) & (F.coalesce("mapq", F.lit(0)) >= min_mapq)).where("rname is not null and pos is not null and cigar is not null")
+    if reference is not None:  # once for each record
+        kept = with_stretch(span(kept), reference, "_stretch")
     blocks = C.blocks(F.col("pos"), C.ops(F.col("cigar")))
     x = kept.withColumns({"_b": blocks, "_q": Q.qualities(F.col("qual")), "_end": C.end_position(F.col("pos"), C.ops(F.col("cigar")))}).select("*", F.posexplode("_b").alias("_i", "b"))
     x = x.where(F.col("b.op").isin("M", "=", "X", "D", "N")).withColumn("_next", F.get("_b", F.col("_i") + 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)))
     aligned = F.col("b.op").isin("M", "=", "X")
     query = (F.col("b.query0") + F.when(aligned, F.col("k")).otherwise(0)).cast("int")
     last_k = F.col("k") == F.col("b.len") - 1
+    offset = (F.col("b.ref0") + F.col("k") + 2 - F.col("pos")).cast("int")  # in the record's stretch of the reference
     ins = F.when(last_k & (F.col("_next.op") == "I"), F.substr("seq", (F.col("_next.query0") + 1).cast("int"), F.col("_next.len")))
     x = x.select(
         F.col("rname").alias("chrom"), (F.col("b.ref0") + F.col("k") + 1).alias("pos"), F.when(aligned, F.substr("seq", query + 1, F.lit(1))).when(F.col("b.op") == "D", "*").otherwise(">").alias("base"),
         F.coalesce(F.get("_q", query), F.lit(255)).alias("q"), F.coalesce("mapq", F.lit(0)).alias("mapq"), FL.bit(F.col("flag"), FL.REVERSE).alias("reverse"), (F.col("b.ref0") + F.col("k") + 1 == F.col("pos")).alias("first"),
-        (F.col("b.ref0") + F.col("k") + 1 == F.col("_end")).alias("last"), ins.alias("ins"), F.when(last_k & aligned & (F.col("_next.op") == "D"), F.col("_next.len")).alias("del_"), "ordinal", "src",
+        (F.col("b.ref0") + F.col("k") + 1 == F.col("_end")).alias("last"), ins.alias("ins"), F.when(last_k & aligned & (F.col("_next.op") == "D"), F.col("_next.len")).alias("del_"), "ordinal", "src", "qname",
+        *([] if reference is None else [F.upper(F.substr("_stretch", offset, F.lit(1))).alias("ref"), F.when(last_k & aligned & (F.col("_next.op") == "D"), F.substr("_stretch", offset + 1, F.col("_next.len").cast("int"))).alias("gap")]),
     )
     return x.where(F.col("q") >= min_base_quality)
 
 
-def mpileup(df: DataFrame, reference: DataFrame, **options) -> DataFrame:
-    """chrom, pos, ref, depth, bases, quals: the text pileup; of each column the records in file order."""
-    x = bases(df, **options).join(F.broadcast(reference.select(F.col("name").alias("chrom"), F.col("seq").alias("_ref"))), "chrom")
-    ref = F.upper(F.substr("_ref", F.col("pos").cast("int"), F.lit(1)))
+def mpileup(df: DataFrame, reference: DataFrame, inputs: list[int] | None = None, regions: list[str] | None = None, bed: DataFrame | None = None, every: DataFrame | None = None, **options) -> DataFrame:
+    """chrom, pos, ref, depth, bases, quals: the text pileup; of each column the records in file order. A column without
+    records has '*' for bases and quals.
+
+    `inputs`: a column group depth_<src>, bases_<src>, quals_<src> for each of these, in place of one for all. `regions`,
+    `bed`: positions in these only. `every`: the header's references, all of whose positions come.
+    """
+    if regions:
+        df = by_regions(df, regions)
+    if bed is not None:
+        df = by_bed(df, bed)
+    x = bases(df, reference=reference, **options)
+    if regions:
+        x = x.where(I.region_filter(regions, F.col("chrom"), F.col("pos") - 1, F.col("pos")))
+    if bed is not None:
+        merged = I.merge_intervals(bed).select(F.col("chrom").alias("r_chrom"), F.col("start0").alias("r_start0"), F.col("end0").alias("r_end0"))
+        x = I.overlap_join(x.withColumns({"start0": F.col("pos") - 1, "end0": F.col("pos")}), merged).drop("start0", "end0", "r_chrom", "r_start0", "r_end0")
     lower = lambda c: F.when(F.col("reverse"), F.lower(c)).otherwise(F.upper(c))
-    symbol = F.when(F.col("base") == "*", "*").when(F.col("base") == ">", F.when(F.col("reverse"), "<").otherwise(">")).when(F.upper("base") == ref, F.when(F.col("reverse"), ",").otherwise(".")).otherwise(lower(F.col("base")))
-    gap = lower(F.substr("_ref", (F.col("pos") + 1).cast("int"), F.col("del_")))
-    indel = F.concat(F.coalesce(F.concat(F.lit("+"), F.length("ins").cast("string"), lower(F.col("ins"))), F.lit("")), F.coalesce(F.concat(F.lit("-"), F.col("del_").cast("string"), gap), F.lit("")))
+    symbol = F.when(F.col("base") == "*", "*").when(F.col("base") == ">", F.when(F.col("reverse"), "<").otherwise(">")).when(F.upper("base") == F.col("ref"), F.when(F.col("reverse"), ",").otherwise(".")).otherwise(lower(F.col("base")))
+    indel = F.concat(F.coalesce(F.concat(F.lit("+"), F.length("ins").cast("string"), lower(F.col("ins"))), F.lit("")), F.coalesce(F.concat(F.lit("-"), F.col("del_").cast("string"), lower(F.col("gap"))), F.lit("")))
     text = F.concat(F.when(F.col("first"), F.concat(F.lit("^"), F.char(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise(""), symbol, indel, F.when(F.col("last"), "$").otherwise(""))
-    column = F.sort_array(F.collect_list(F.struct("src", "ordinal", text.alias("t"), F.char(F.least(F.col("q"), F.lit(93)) + 33).alias("q"))))
-    # a column holds one entry for each record over the position: its size is the depth
-    at = x.groupBy("chrom", "pos", ref.alias("ref")).agg(column.alias("c"))
-    return at.select("chrom", "pos", "ref", F.size("c").cast("bigint").alias("depth"), F.array_join(F.transform("c", lambda e: e["t"]), "").alias("bases"), F.array_join(F.transform("c", lambda e: e["q"]), "").alias("quals"))
+    entry = F.struct("src", "ordinal", text.alias("t"), F.char(F.least(F.col("q"), F.lit(93)) + 33).alias("q"))
+    sides = {"": F.lit(True)} if inputs is None else {f"_{k}": F.col("src") == k for k in inputs}
+    # the depth is counted by itself, so a query of depths alone makes no text
+    made = [c for k, mine in sides.items() for c in (F.count_if(mine).alias(f"depth{k}"), F.sort_array(F.collect_list(F.when(mine, entry))).alias(f"c{k}"))]
+    at = x.groupBy("chrom", "pos").agg(F.min("ref").alias("ref"), *made)
+    if every is not None:
+        all_ = every.select(F.col("name").alias("chrom"), F.lit(0).cast("bigint").alias("start0"), F.col("length").alias("end0"), F.lit(0).alias("src"), F.col("tid").alias("ordinal"))
+        all_ = with_stretch(all_, reference, "_s").select("chrom", F.posexplode(F.split("_s", "")).alias("k", "r")).where("r <> ''")
+        all_ = all_.select("chrom", (F.col("k") + 1).cast("bigint").alias("pos"), F.upper("r").alias("r"))
+        at = all_.join(at, ["chrom", "pos"], "left").withColumn("ref", F.col("r")).drop("r")
+    told = lambda c, part: F.coalesce(F.nullif(F.array_join(F.transform(c, lambda e: e[part]), ""), F.lit("")), F.lit("*"))
+    return at.select("chrom", "pos", "ref", *[c for k in sides for c in (F.coalesce(f"depth{k}", F.lit(0)).cast("bigint").alias(f"depth{k}"), told(F.col(f"c{k}"), "t").alias(f"bases{k}"), told(F.col(f"c{k}"), "q").alias(f"quals{k}"))])
 
 
 # IUPAC codes of the sets of A, C, G, T as bits 1, 2, 4, 8.
@@ -76,8 +102,7 @@ def consensus_text(calls: DataFrame, chunk: int = 10_000) -> DataFrame:
 def md_nm(df: DataFrame, reference: DataFrame) -> DataFrame:
     """src, ordinal, md, nm by comparison with the reference, in Arrow batches of records and the stretches they span."""
     x = span(df.where(~FL.bit(F.col("flag"), FL.UNMAP)).where("rname is not null and pos is not null and cigar is not null"))
-    x = x.join(F.broadcast(reference.select(F.col("name").alias("chrom"), F.col("seq").alias("_ref"))), "chrom")
-    stretch = F.substr("_ref", F.col("pos").cast("int"), (F.col("end0") - F.col("start0")).cast("int"))
+    x = with_stretch(x, reference)
 
     @F.pandas_udf("md string, nm int")
     def compare(cigar, seq, ref):
@@ -85,7 +110,7 @@ def md_nm(df: DataFrame, reference: DataFrame) -> DataFrame:
 
         return pd.DataFrame([_md(c, s, r) for c, s, r in zip(cigar, seq, ref, strict=True)], columns=["md", "nm"])
 
-    return x.withColumn("_m", compare("cigar", "seq", stretch)).select("src", "ordinal", "_m.md", "_m.nm")
+    return x.withColumn("_m", compare("cigar", "seq", "stretch")).select("src", "ordinal", "_m.md", "_m.nm")
 
 
 def _md(cigar: str, seq: str, ref: str) -> tuple[str, int]:
@@ -124,16 +149,17 @@ def calmd(df: DataFrame, reference: DataFrame, bin_qualities: bool = False, mask
 
 
 def _masked(df: DataFrame, reference: DataFrame) -> DataFrame:
-    x = df.join(F.broadcast(reference.select(F.col("name").alias("_n"), F.col("seq").alias("_ref"))), F.col("rname") == F.col("_n"), "left")
+    placed = F.col("rname").isNotNull() & F.col("pos").isNotNull() & F.col("cigar").isNotNull()
+    x = df.join(with_stretch(span(df.where(placed)), reference, "_ref").select("src", "ordinal", "_ref"), ["src", "ordinal"], "left")
     blocks = F.filter(C.blocks(F.col("pos"), C.ops(F.col("cigar"))), lambda b: b["op"].isin("M", "=", "X"))
     x = x.withColumn("_bl", blocks)
 
     def base(c: Column, i: Column) -> Column:
         b = F.get(F.filter("_bl", lambda b: (b["query0"] <= i) & (i < b["query0"] + b["len"])), F.lit(0))
-        ref = F.substr("_ref", (b["ref0"] + i - b["query0"] + 1).cast("int"), F.lit(1))
+        ref = F.substr("_ref", (b["ref0"] + i - b["query0"] + 2 - F.col("pos")).cast("int"), F.lit(1))
         return F.when(F.upper(c) == F.upper(ref), "=").otherwise(c)
 
-    return x.withColumn("seq", F.when(F.col("_ref").isNotNull() & F.col("cigar").isNotNull(), F.array_join(F.transform(F.split("seq", ""), base), "")).otherwise(F.col("seq")))
+    return x.withColumn("seq", F.when(F.col("_ref").isNotNull(), F.array_join(F.transform(F.split("seq", ""), base), "")).otherwise(F.col("seq")))
 
 
 def reference_from_md(df: DataFrame) -> DataFrame:
@@ -180,9 +206,3 @@ def reference_text(bases_: DataFrame, header_sq: DataFrame, width: int = 60) ->
     x = every.join(bases_, ["chrom", "pos"], "left").select("chrom", "pos", F.coalesce("base", F.lit("N")).alias("base"))
     line = F.floor((F.col("pos") - 1) / width).alias("line")
     return x.groupBy("chrom", line).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda e: e["base"]), "").alias("text"))
-
-
-def depth_rank(df: DataFrame, n: int) -> DataFrame:
-    """The n deepest positions of each reference."""
-    d = D.depth(df)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy(F.col("depth").desc(), "pos"))).where(F.col("rank") <= n)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cigar as C, flags as FL, sequence as Q, tags as T
 from . import depth as D
+from .reference import with_stretch
 
 # Bins of the GC histograms, the longest indel counted, the bins of the GC-depth section.
 GC_BINS, LONGEST_INDEL, GCD_BIN = 200, 300, 20_000
@@ -161,9 +162,9 @@ def checksums(df: DataFrame, filtered: int = 0) -> DataFrame:
 def mismatches_by_cycle(df: DataFrame, reference: DataFrame) -> DataFrame:
     """cycle, quality, n: aligned bases that differ from the reference ('N' counts as quality 0)."""
     x = D.block_rows(primary(df).where(~FL.bit(F.col("flag"), FL.UNMAP)).withColumn("_q", Q.qualities(F.col("qual"))))
-    x = x.join(F.broadcast(reference.select(F.col("name").alias("chrom"), F.col("seq").alias("_ref"))), "chrom")  # chunked references come as rows of their own names
+    x = with_stretch(x, reference, "_ref")  # once for each block
     x = x.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("end0") - F.col("start0") - 1).cast("int"))))
-    base, ref = F.upper(F.substr("seq", (F.col("query0") + F.col("k") + 1).cast("int"), F.lit(1))), F.upper(F.substr("_ref", (F.col("start0") + F.col("k") + 1).cast("int"), F.lit(1)))
+    base, ref = F.upper(F.substr("seq", (F.col("query0") + F.col("k") + 1).cast("int"), F.lit(1))), F.upper(F.substr("_ref", F.col("k") + 1, F.lit(1)))
     cycle = F.when(FL.bit(F.col("flag"), FL.REVERSE), F.length("seq") - F.col("query0") - F.col("k")).otherwise(F.col("query0") + F.col("k") + 1)
     q = F.when(base == "N", 0).otherwise(F.coalesce(F.get("_q", (F.col("query0") + F.col("k")).cast("int")), F.lit(255)) + 1)
     return x.select(cycle.cast("int").alias("cycle"), q.alias("quality"), base.alias("b"), ref.alias("r")).where("b = 'N' or b <> r").groupBy("cycle", "quality").agg(F.count("*").alias("n"))

@@ -71,10 +71,13 @@ for name, expression, sql in (
     ("view_expr_flags", "mapq >= 20 && flag.paired && !(flag & 1024)", "coalesce(mapq, 0) >= 20 AND flag & 1 <> 0 AND flag & 1024 = 0"),
     ("view_expr_tag", "[NM] < 5 || [RG] == \"rgA\"", "nm < 5 OR coalesce(rg = 'rgA', false)"),
     ("view_expr_lengths", "rlen > qlen || (sclen >= 2 && endpos < 500)", "rlen > qlen OR (cigar LIKE '%S%' AND coalesce(pos + rlen - 1 < 500, false))"),
-    ("view_expr_regex", "seq =~ \"^AC+G\" && rname != \"chr1\"", "regexp_matches(seq, '^AC+G') AND rname <> 'chr1'"),
+    ("view_expr_regex", "seq =~ \"AC+G\" && rname != \"chr1\"", "regexp_matches(seq, 'AC+G') AND coalesce(rname, '*') <> 'chr1'"),
+    ("view_expr_precedence", "flag & 4 == 4 || flag & 64 | 2 == 66 && mapq + 1 > 20", "flag & 4 = 4 OR ((flag & 64) | 2 = 66 AND coalesce(mapq, 0) + 1 > 20)"),
     ("view_expr_mate", "rnext == rname && abs(tlen) < 100 && pos % 2 == 1", "rnext = rname AND abs(tlen) < 100 AND pos % 2 = 1"),
 ):
     register(name, lambda s, d, e=expression: ids(reads(s, d).where(compile_filter(e))), PICK + f"span WHERE {sql}", "span")
+register("view_expr_library", lambda s, d: ids(reads(s, d).where(compile_filter("library == \"lib2\" && flag & 16 != 16", {r.id: r.lb for r in header_rg(s, d).collect()}))),
+    PICK + "reads LEFT JOIN (SELECT id, any_value(lb) AS lb FROM rgs GROUP BY 1) g ON g.id = rg WHERE lb = 'lib2' AND flag & 16 = 0", "reads", "rgs")
 register(
     "sanitize", lambda s, d: V.sanitize(reads(s, d), "on,cigdup", header_sq(s, d)).select("ordinal", "flag", "mapq", "cigar", V.T.value("NM").alias("nm")),
     """SELECT ordinal, CASE WHEN flag & 4 <> 0 THEN flag & ~2306 ELSE flag END AS flag, CASE WHEN flag & 4 <> 0 THEN 0 ELSE mapq END AS mapq,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as T
 from ..operators import amplicon as A, checksum as K, pileup as P, stats as S
-from .derive import PRIMERS_SQL, header_sq, primers, reads, reference
+from .derive import PRIMERS_SQL, bed, header_sq, primers, reads, reference
 from .registry import CTES, register
 
 CTES["primers"] = PRIMERS_SQL
@@ -50,7 +50,8 @@ register("stats_insert_size_summary", lambda s, d: S.insert_size_summary(reads(s
 register("stats_quality_by_cycle", lambda s, d: S.quality_by_cycle(reads(s, d)), "SELECT fragment, cycle::INT AS cycle, q::INT AS quality, count(*) AS n FROM cycle WHERE q IS NOT NULL GROUP BY 1, 2, 3", "cycle")
 register("stats_bases_by_cycle", lambda s, d: S.bases_by_cycle(reads(s, d)),
     "SELECT fragment, cycle::INT AS cycle, " + ", ".join(f"count(*) FILTER (base = '{b.upper()}') AS {b}" for b in "acgtn") + ", count(*) FILTER (base NOT IN ('A','C','G','T','N')) AS other FROM cycle GROUP BY 1, 2", "cycle")
-register("stats_read_bases_by_cycle", lambda s, d: S.bases_by_cycle(reads(s, d), read_strand=True).drop("other"))
+register("stats_read_bases_by_cycle", lambda s, d: S.bases_by_cycle(reads(s, d), read_strand=True).drop("other"),
+    "SELECT fragment, cycle::INT AS cycle, " + ", ".join(f"count(*) FILTER (base = '{b.upper()}') AS {b}" for b in "acgtn") + " FROM (SELECT fragment, cycle, CASE WHEN rev THEN translate(base, 'ACGT', 'TGCA') ELSE base END AS base FROM (SELECT fragment, c + 1 AS cycle, flag & 16 <> 0 AS rev, substr(CASE WHEN flag & 16 <> 0 THEN reverse(seq) ELSE seq END, CAST(c + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, length(seq))) AS c FROM frag WHERE fragment > 0))) GROUP BY 1, 2", "frag")
 register("stats_gc_content", lambda s, d: S.gc_content(reads(s, d)),
     """WITH g AS (SELECT fragment, length(seq) - length(translate(seq, 'GC', '')) AS gc, length(seq) AS l FROM frag WHERE fragment > 0)
     SELECT fragment, bin::INT AS bin, count(*) AS n FROM (SELECT fragment, unnest(range(gc * 199 // l, least((gc + 1) * 199 // l, 199))) AS bin FROM g) GROUP BY 1, 2""", "frag")
@@ -68,7 +69,7 @@ register("stats_checksums", lambda s, d: S.checksums(reads(s, d)))
 register("stats_gc_depth", lambda s, d: S.gc_depth(reads(s, d)))
 register("stats_by_group", lambda s, d: reads(s, d).groupBy(T.value("RG").alias("rg")).agg(F.count("*").alias("records"), F.count_if(F.col("flag").bitwiseAND(4) == 0).alias("mapped")), "SELECT rg, count(*) AS records, count(*) FILTER (flag & 4 = 0) AS mapped FROM reads GROUP BY 1", "reads")
 register("checksum", lambda s, d: K.checksum(reads(s, d)))
-register("checksum_counts", lambda s, d: K.checksum(reads(s, d)).select("group", "n"), "SELECT rg AS \"group\", count(*) AS n FROM reads WHERE flag & 2304 = 0 GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM reads WHERE flag & 2304 = 0", "reads")
+register("checksum_counts", lambda s, d: K.checksum(reads(s, d)).select("scope", "group", "n"), "WITH k AS (SELECT * FROM reads WHERE flag & 2304 = 0) SELECT 'group' AS scope, rg AS \"group\", count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'all', NULL, count(*) FROM k UNION ALL SELECT CASE WHEN flag & 512 <> 0 THEN 'fail' ELSE 'pass' END, NULL, count(*) FROM k GROUP BY 1", "reads")
 register("checksum_combined", lambda s, d: K.combined(K.checksum(reads(s, d))))
 register("checksum_merge", lambda s, d: K.merge_checksums(K.checksum(reads(s, d).where("src = 0")).union(K.checksum(reads(s, d).where("src = 1")))))
 
@@ -86,7 +87,27 @@ register("primer_clip", lambda s, d: A.clip(reads(s, d), primers(s, d)).select("
 
 register("pileup_bases", lambda s, d: P.bases(reads(s, d)).where("base not in ('*', '>')").groupBy("chrom", "pos", "base").agg(F.count("*").alias("n"), F.sum("q").cast("bigint").alias("quality")),
     "SELECT rname AS chrom, p + 1 AS pos, base, count(*) AS n, CAST(sum(q) AS BIGINT) AS quality FROM base WHERE q >= 13 GROUP BY 1, 2, 3", "base")
-register("mpileup", lambda s, d: P.mpileup(reads(s, d), reference(s)))
+CTES["placed"] = """SELECT b.*, ref0 + k AS p, upper(substr(ref.seq, CAST(ref0 + k + 1 AS INT), 1)) AS r, CASE op WHEN 'M' THEN substr(b.seq, CAST(query0 + k + 1 AS INT), 1) WHEN 'D' THEN '*' ELSE '>' END AS base,
+    CASE WHEN qual IS NULL THEN 255 ELSE ascii(substr(qual, CAST(query0 + CASE WHEN op = 'M' THEN k ELSE 0 END + 1 AS INT), 1)) - 33 END AS q, CASE WHEN k = len - 1 THEN following END AS nop, ref.seq AS refseq
+  FROM (SELECT *, unnest(range(0, len)) AS k FROM (SELECT *, lead(op) OVER v AS following, lead(len) OVER v AS nlen, lead(query0) OVER v AS nquery FROM blocks WINDOW v AS (PARTITION BY ordinal, src ORDER BY i))
+    WHERE op IN ('M', 'D', 'N') AND rname IS NOT NULL AND flag & 1796 = 0) b JOIN ref ON ref.name = b.rname"""
+CTES["entry"] = """SELECT rname AS chrom, p + 1 AS pos, r AS ref, src, ordinal, chr(least(q, 93) + 33) AS qc,
+    CASE WHEN p + 1 = pos THEN concat('^', chr(least(coalesce(mapq, 0), 93) + 33)) ELSE '' END
+    || CASE WHEN base = '*' THEN '*' WHEN base = '>' THEN CASE WHEN flag & 16 <> 0 THEN '<' ELSE '>' END WHEN base = r THEN CASE WHEN flag & 16 <> 0 THEN ',' ELSE '.' END WHEN flag & 16 <> 0 THEN lower(base) ELSE base END
+    || CASE WHEN nop = 'I' THEN concat('+', nlen, CASE WHEN flag & 16 <> 0 THEN lower(substr(seq, CAST(nquery + 1 AS INT), nlen)) ELSE substr(seq, CAST(nquery + 1 AS INT), nlen) END) ELSE '' END
+    || CASE WHEN nop = 'D' AND op = 'M' THEN concat('-', nlen, CASE WHEN flag & 16 <> 0 THEN lower(substr(refseq, CAST(p + 2 AS INT), nlen)) ELSE substr(refseq, CAST(p + 2 AS INT), nlen) END) ELSE '' END
+    || CASE WHEN p + 1 = pos - 1 + (SELECT rlen FROM lens l WHERE l.ordinal = c.ordinal AND l.src = c.src) THEN '$' ELSE '' END AS t FROM placed c WHERE q >= 13"""
+_NEEDS |= {"placed": ["blocks", "ref"], "entry": ["lens", "placed"]}
+register("mpileup", lambda s, d: P.mpileup(reads(s, d), reference(s)),
+    "SELECT chrom, pos, any_value(ref) AS ref, count(*) AS depth, string_agg(t, '' ORDER BY src, ordinal) AS bases, string_agg(qc, '' ORDER BY src, ordinal) AS quals FROM entry GROUP BY 1, 2", "entry")
+register("mpileup_inputs", lambda s, d: P.mpileup(reads(s, d), reference(s), inputs=[0, 1], regions=["chr1:101-400", "chr3:50-90"]),
+    """SELECT chrom, pos, any_value(ref) AS ref, count(*) FILTER (src = 0) AS depth_0, coalesce(string_agg(t, '' ORDER BY ordinal) FILTER (src = 0), '*') AS bases_0, coalesce(string_agg(qc, '' ORDER BY ordinal) FILTER (src = 0), '*') AS quals_0,
+      count(*) FILTER (src = 1) AS depth_1, coalesce(string_agg(t, '' ORDER BY ordinal) FILTER (src = 1), '*') AS bases_1, coalesce(string_agg(qc, '' ORDER BY ordinal) FILTER (src = 1), '*') AS quals_1
+    FROM entry WHERE (chrom = 'chr1' AND pos BETWEEN 101 AND 400) OR (chrom = 'chr3' AND pos BETWEEN 50 AND 90) GROUP BY 1, 2""", "entry")
+register("mpileup_all_positions", lambda s, d: P.mpileup(reads(s, d), reference(s), bed=bed(s, d), every=header_sq(s, d), min_mapq=30).drop("quals"),
+    """SELECT a.chrom, a.pos, a.ref, coalesce(depth, 0) AS depth, coalesce(bases, '*') AS bases FROM (SELECT name AS chrom, unnest(range(1, 2101)) AS pos, unnest(string_split(seq, '')) AS ref FROM ref) a
+    LEFT JOIN (SELECT chrom, pos, count(*) AS depth, string_agg(t, '' ORDER BY src, ordinal) AS bases FROM entry JOIN (SELECT ordinal AS o, coalesce(mapq, 0) AS mq FROM reads) ON o = ordinal WHERE mq >= 30
+      AND EXISTS (SELECT 1 FROM bed b WHERE b.chrom = entry.chrom AND b.start0 < pos AND pos <= b.end0) GROUP BY 1, 2) x USING (chrom, pos)""", "entry", "bed")
 register("mpileup_depth", lambda s, d: P.mpileup(reads(s, d), reference(s), min_base_quality=0).select("chrom", "pos", "ref", "depth"),
     """SELECT rname AS chrom, p + 1 AS pos, substr(ref.seq, CAST(p + 1 AS INT), 1) AS ref, count(*) AS depth FROM (SELECT rname, unnest(range(ref0, ref0 + len)) AS p FROM blocks WHERE op IN ('M', 'D', 'N') AND rname IS NOT NULL AND flag & 1796 = 0) JOIN ref ON ref.name = rname GROUP BY ALL""", "blocks", "ref")
 _CONS = """WITH e AS (SELECT rname AS chrom, p + 1 AS pos, base FROM base UNION ALL SELECT rname, unnest(range(ref0, ref0 + len)) + 1, '*' FROM blocks WHERE op = 'D' AND rname IS NOT NULL AND flag & 1796 = 0),

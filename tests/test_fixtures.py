@@ -303,3 +303,86 @@ def test_optical_duplicates(spark):
 def test_renamed_ids():
     new = multi.rename_ids({"a"}, ["a", "b"])
     assert new["b"] == "b" and new["a"].startswith("a-") and len(new["a"]) == 10
+
+
+def test_filter_precedence_and_library(spark):
+    from alnspark.functions.expr import compile_filter
+
+    df = sam(spark, "a 4 * 0 0 * * 0 0 A I RG:Z:g1", "b 16 chr1 1 9 1M * 0 0 A I RG:Z:g2", "c 0 chr1 1 9 1M * 0 0 A I")
+    got = lambda e: [r.qname for r in df.where(compile_filter(e, {"g1": "one", "g2": "two"})).orderBy("qname").collect()]
+    assert got("flag & 4 == 4") == ["a"] and got("flag & 20 == 16") == ["b"] and got("1 | 2 == 3 && flag == 0") == ["c"]
+    assert got('library == "two"') == ["b"] and got('library == ""') == ["c"]
+
+
+def test_region_bounds_reach_the_scan(spark, tmp_path, capsys):
+    from alnspark.operators import filters
+
+    sam(spark, "a 0 chr1 1 60 4M * 0 0 ACGT IIII", "b 0 chr1 90 60 4M20N4M * 0 0 ACGTACGT IIIIIIII", "c 0 chr2 5 60 4M * 0 0 ACGT IIII").write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    found = filters.by_regions(df, ["chr1:100-120"], longest=40)
+    assert [r.qname for r in found.collect()] == ["b"]
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "LessThanOrEqual(pos,120)" in plan and "GreaterThan(pos,59)" in plan and "EqualTo(rname,chr1)" in plan
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_stretches_of_a_reference(spark, monkeypatch, most):
+    from alnspark.operators import reference as R
+
+    monkeypatch.setattr(R, "CHUNK", 10)
+    monkeypatch.setattr(R, "BROADCAST_BASES", most)
+    seq = "".join("ACGT"[(k * k + k // 7) % 4] for k in range(95))
+    spans = [(a, b) for a in (0, 3, 9, 10, 38, 90) for b in (a + 1, a + 7, a + 12, 95) if b <= 95]
+    df = spark.createDataFrame([("chr1", a, b, 0, k) for k, (a, b) in enumerate(spans)] + [("none", 0, 5, 0, 99)], "chrom string, start0 bigint, end0 bigint, src int, ordinal bigint")
+    found = R.with_stretch(df, spark.createDataFrame([("chr1", seq)], "name string, seq string")).collect()
+    assert sorted((r.start0, r.end0, r.stretch) for r in found) == sorted((a, b, seq[a:b]) for a, b in spans)
+
+
+def test_genotype_costs_one_by_one():
+    import numpy as np
+
+    from alnspark.operators import models
+
+    rng = np.random.default_rng(4)
+    weight, beta, het = models.error_model()
+
+    def by_hand(reads):  # (base, strand, quality), best first
+        total, count, seen = [0.0] * 4, [0] * 4, {}
+        for b, r, q in sorted(reads, key=lambda e: (-e[2], e[1], e[0])):
+            cost = beta[q, len(reads), count[b]]
+            total[b] += weight[seen.get((b, r), 0)] * (cost if np.isfinite(cost) else 0)
+            count[b] += 1
+            seen[b, r] = seen.get((b, r), 0) + 1
+        all_ = sum(total)
+        return [[all_ - total[i] if i == j else max(0.0, all_ - total[i] - total[j] - 10 / np.log(10) * het[count[i] + count[j], count[max(i, j)]]) for j in range(4)] for i in range(4)]
+
+    rows, want = [], []
+    for c in range(6):
+        reads = [(int(rng.integers(4)), int(rng.integers(2)), int(rng.integers(4, 41))) for _ in range(int(rng.integers(1, 60)))]
+        want.append(by_hand(reads))
+        rows += [(c, *k, reads.count(k)) for k in set(reads)]
+    assert np.allclose(models.genotype_costs(*map(np.array, zip(*rows, strict=True))), want)
+    deep = models.genotype_costs(np.zeros(2, int), np.array([0, 1]), np.zeros(2, int), np.array([30, 30]), np.array([3000, 1000]))
+    assert deep.shape == (1, 4, 4) and np.isfinite(deep).all() and (deep == deep.swapaxes(1, 2)).all() and deep[0, 0, 0] < deep[0, 1, 1]
+
+
+def test_phase_goes_on_over_a_site_that_templates_skip(spark):
+    from alnspark.operators import models
+
+    # at position 2 all that join 1 and 3 have a third base
+    rows = [f"a{k} 0 chr1 1 60 3M * 0 0 AGC III" for k in range(4)] + [f"b{k} 0 chr1 1 60 3M * 0 0 CGA III" for k in range(4)]
+    rows += [f"x{k} 0 chr1 2 60 1M * 0 0 {'TC'[k % 2]} I" for k in range(40)]
+    found = {r.pos: r for r in models.phase(sam(spark, *rows), least_lod=5).collect()}
+    assert found[1].block == found[3].block == 1 and found[3].support == 8
+    assert {(found[1]["first"], found[3]["first"])} <= {("A", "C"), ("C", "A")}
+
+
+def test_checksum_of_a_group_called_all(spark):
+    from alnspark.operators import checksum
+
+    df = sam(spark, "a 0 chr1 1 60 1M * 0 0 A I RG:Z:all", "b 512 chr1 1 60 1M * 0 0 C I RG:Z:g", "c 0 chr1 1 60 1M * 0 0 G I")
+    whole = checksum.checksum(df)
+    assert {(r.scope, r.group): r.n for r in whole.collect()} == {("group", "all"): 1, ("group", "g"): 1, ("group", None): 1, ("all", None): 3, ("pass", None): 2, ("fail", None): 1}
+    again = checksum.merge_checksums(checksum.checksum(df.limit(1)).union(checksum.checksum(df.where("qname <> 'a'"))))
+    assert {(r.scope, r.group): r.n for r in again.collect()} == {(r.scope, r.group): r.n for r in whole.collect()}
