@@ -12,18 +12,21 @@ from pyspark.sql import Column, functions as F
 from . import cigar as C, flags as FL, tags as T
 
 _TOKEN = re.compile(r'\s*(?:(\d+\.?\d*(?:[eE][-+]?\d+)?|0x[0-9a-fA-F]+)|"((?:[^"\\]|\\.)*)"|(\[[A-Za-z][A-Za-z0-9]\])|([A-Za-z_][\w.]*)|(&&|\|\||==|!=|<=|>=|=~|!~|[-+*/%<>!&|^~(),]))')
-# Fixed precedence of the binary operators, loosest first, as in C.
-_LEVELS = [["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!=", "=~", "!~"], ["<", "<=", ">", ">="], ["+", "-"], ["*", "/", "%"]]
+# Fixed precedence of the binary operators, loosest first: bitwise ones bind tighter than comparisons, unlike in C.
+_LEVELS = [["||"], ["&&"], ["==", "!=", "=~", "!~"], ["<", "<=", ">", ">="], ["|"], ["^"], ["&"], ["+", "-"], ["*", "/", "%"]]
 _FUNCTIONS = {"length": F.length, "sqrt": F.sqrt, "abs": F.abs, "log": F.log, "exp": F.exp, "exists": lambda c: c.isNotNull()}
 
 
-def _symbols() -> dict[str, Column]:
+def _symbols(of_group: dict[str, str]) -> dict[str, Column]:
+    """`of_group`: the library of each read group."""
+    pairs = [F.lit(x) for pair in of_group.items() for x in pair]
+    libraries = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     ops = C.ops(F.col("cigar"))
     return {
         "qname": F.col("qname"), "flag": F.col("flag"), "rname": F.coalesce("rname", F.lit("*")), "pos": F.coalesce("pos", F.lit(0)), "mapq": F.coalesce("mapq", F.lit(0)),
         "cigar": F.coalesce("cigar", F.lit("*")), "rnext": F.coalesce("rnext", F.lit("*")), "mrname": F.coalesce("rnext", F.lit("*")), "pnext": F.coalesce("pnext", F.lit(0)), "mpos": F.coalesce("pnext", F.lit(0)),
         "tlen": F.col("tlen"), "seq": F.col("seq"), "qual": F.col("qual"), "qlen": F.length("seq"), "rlen": C.reference_length(ops), "sclen": C.soft_clipped(ops), "hclen": C.hard_clipped(ops),
-        "ncigar": F.size(ops), "endpos": F.when(F.col("pos") > 0, F.col("pos") + C.reference_length(ops) - 1), "refid": F.coalesce("tid", F.lit(-1)), "mrefid": F.coalesce("mtid", F.lit(-1)), "library": T.value("LB"),
+        "ncigar": F.size(ops), "endpos": F.when(F.col("pos") > 0, F.col("pos") + C.reference_length(ops) - 1), "refid": F.coalesce("tid", F.lit(-1)), "mrefid": F.coalesce("mtid", F.lit(-1)), "library": F.coalesce(F.try_element_at(libraries, T.value("RG")), F.lit("")),
     }
 
 
@@ -45,7 +48,7 @@ class _Value:
 
 
 class _Parser:
-    def __init__(self, text: str):
+    def __init__(self, text: str, libraries: dict[str, str]):
         self.tokens: list[tuple[str, str]] = []
         at = 0
         text = text.rstrip()
@@ -56,7 +59,7 @@ class _Parser:
             kind = next(k for k in range(1, 6) if m[k] is not None)
             self.tokens.append(("nsTio"[kind - 1], m[kind]))
             at = m.end()
-        self.at, self.symbols = 0, _symbols()
+        self.at, self.symbols = 0, _symbols(libraries)
 
     def peek(self) -> tuple[str, str]:
         return self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
@@ -145,9 +148,10 @@ class _Parser:
             raise ValueError(f"{text!r} is missing")
 
 
-def compile_filter(text: str) -> Column:
-    """A condition for DataFrame.where."""
-    p = _Parser(text)
+def compile_filter(text: str, libraries: dict[str, str] | None = None) -> Column:
+    """A condition for DataFrame.where. `libraries`: the header's library (LB) of each read group, for the symbol library,
+    which is empty for records of other groups and of none."""
+    p = _Parser(text, libraries or {})
     value = p.binary()
     if p.at < len(p.tokens):
         raise ValueError(f"can't read the filter from {p.tokens[p.at][1]!r}")

@@ -55,8 +55,11 @@ def by_tag(df: DataFrame, name: str, values: list[str] | None = None) -> DataFra
     return df.where(F.coalesce(v.isin(*values) if values else v.isNotNull(), F.lit(False)))
 
 
-def by_regions(df: DataFrame, regions: list[str]) -> DataFrame:
-    s = span(df)
+def by_regions(df: DataFrame, regions: list[str], longest: int | None = None) -> DataFrame:
+    """Records that overlap any region. The names and the upper ends are plain conditions on rname and pos, which reach
+    the scan, so a file sorted by place is read no further; with `longest`, the most bases of the reference that a record
+    of this table spans, the lower ends are, too."""
+    s = span(df.where(I.region_bounds(regions, F.col("rname"), F.col("pos"), longest)))
     return s.where(I.region_filter(regions, F.col("chrom"), F.col("start0"), F.col("end0"))).select(*df.columns)
 
 

@@ -23,7 +23,7 @@ def parse_region(text: str) -> tuple[str, int, int | None]:
 
 
 def region_filter(regions: list[str], chrom: Column, start0: Column, end0: Column) -> Column:
-    """Overlap with any of the regions; range predicates, so that a sorted file is pruned. '*' is what has no place."""
+    """Overlap with any of the regions. '*' is what has no place."""
     keep = F.lit(False)
     for r in regions:
         if r == "*":
@@ -34,6 +34,20 @@ def region_filter(regions: list[str], chrom: Column, start0: Column, end0: Colum
     return F.coalesce(keep, F.lit(False))
 
 
+def region_bounds(regions: list[str], rname: Column, pos: Column, longest: int | None = None) -> Column:
+    """What all records in the regions fulfil, on the stored columns alone (pos is 1-based), so that it prunes."""
+    may = F.lit(False)
+    for r in regions:
+        if r == "*":
+            may = may | rname.isNull()
+            continue
+        name, beg, end = parse_region(r)
+        one = rname == name
+        one = one if end is None else one & (pos <= end)
+        may = may | (one if longest is None else one & (pos > beg - longest))
+    return may
+
+
 def _bins(start0: Column, end0: Column) -> Column:
     return F.sequence(F.floor(start0 / BIN), F.floor((F.greatest(end0, start0 + 1) - 1) / BIN))
 
