@@ -8,8 +8,8 @@ from ..functions import flags as FL, sequence as Q, tags as T
 
 #: Fixed value: the modulus of the product.
 PRIME = (1 << 31) - 1
-#: Records folded into one product by a task before products are folded again.
-GROUP = 10_000
+#: Records, or products, that one row folds, about.
+FOLD = 10_000
 
 
 def _factor(crc: Column) -> Column:
@@ -35,26 +35,40 @@ def record_factors(df: DataFrame, exclude: int = FL.SECONDARY | FL.SUPP, require
     return x.select(T.value("RG").alias("group"), FL.bit(F.col("flag"), FL.QCFAIL).alias("failed"), *[_factor(F.crc32(c)).alias(k) for k, c in (("seq", head), ("name", name), ("qual", F.concat(head, qual)), ("aux", aux))])
 
 
-def checksum(df: DataFrame, **options) -> DataFrame:
-    """group (null: records without one; 'all'), n, seq, name, qual, aux: products modulo a prime, in any order.
+FIELDS = ["seq", "name", "qual", "aux"]
+
+
+def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n and the products of rows with n and factors, over levels of FOLD rows each, as many as the number of rows
+    asks for: no list grows with the data."""
+    parts, deals = rows, max(1, -(-rows.count() // FOLD))
+    deal = F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.lit(deals))  # equal rows are dealt apart
+    parts = parts.withColumn("deal", deal)
+    while True:
+        parts = parts.groupBy(*keys, "deal").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in FIELDS])
+        if deals == 1:
+            return parts.drop("deal")
+        deals = -(-deals // FOLD)
+        parts = parts.withColumn("deal", F.pmod("deal", F.lit(deals)))
 
-    The products are made in two steps: of some thousand records in a task, then of those products.
-    """
-    fields = ["seq", "name", "qual", "aux"]
-    x = record_factors(df, **options)
-    both = x.withColumn("group", F.explode(F.array(F.struct(F.lit(False).alias("a"), F.col("group").alias("g")), F.struct(F.lit(True).alias("a"), F.lit("all").alias("g")))))
-    dealt = both.select("group.a", "group.g", *fields, F.pmod(F.hash(*fields), F.lit(GROUP)).alias("deal"))
-    part = dealt.groupBy("a", "g", "deal").agg(F.count("*").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in fields])
-    return part.groupBy("a", "g").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in fields]).select(F.col("g").alias("group"), "n", *fields)
+
+def checksum(df: DataFrame, **options) -> DataFrame:
+    """scope, group, n, seq, name, qual, aux: products modulo a prime, in any order. Scopes: 'group' (one row for each read
+    group, null for records without one), 'all', and of all records 'pass' and 'fail' by the quality flag."""
+    rows = record_factors(df, **options).withColumn("n", F.lit(1).cast("bigint"))
+    parts = _folded(rows, ["group", "failed"])
+    scopes = F.array(*[F.struct(F.lit(k).alias("scope"), g.alias("group")) for k, g in (("group", F.col("group")), ("all", F.lit(None).cast("string")))], F.struct(F.when(F.col("failed"), "fail").otherwise("pass").alias("scope"), F.lit(None).cast("string").alias("group")))
+    each = parts.select(F.explode(scopes).alias("s"), "n", *FIELDS).select("s.scope", "s.group", "n", *FIELDS)
+    return each.groupBy("scope", "group").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in FIELDS])  # two rows for each group
 
 
 def combined(sums: DataFrame) -> DataFrame:
     """group and the combined checksum. The sequences' product goes in twice and the qualities' not at all: the format's
     published values are made so."""
     parts = F.array(F.shiftright("n", 32), F.col("n").bitwiseAND((1 << 32) - 1), "seq", "name", "seq", "aux")
-    return sums.select("group", F.aggregate(parts, F.lit(1).cast("bigint"), lambda a, c: (a * _factor(c)) % PRIME).alias("combined"))
+    return sums.select("scope", "group", F.aggregate(parts, F.lit(1).cast("bigint"), lambda a, c: (a * _factor(c)) % PRIME).alias("combined"))
 
 
 def merge_checksums(parts: DataFrame) -> DataFrame:
-    """Checksums of several sets as one: products by group."""
-    return parts.groupBy("group").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in ("seq", "name", "qual", "aux")])
+    """Checksums of several sets as one: products by scope and group."""
+    return parts.groupBy("scope", "group").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in FIELDS])
