@@ -178,20 +178,16 @@ def _counted(sample: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        counts = np.zeros((len(names), SLOTS), np.int32)  # all that a task holds, however many documents it reads
         for batch in batches:
-            folds, labels = batch.column(1).to_pylist(), [c.to_pylist() for c in batch.columns[2:]]
-            found = [present(normalized(t)) for t in batch.column(0).to_pylist()]
-            if not found:
-                continue
-            unique, at = np.unique(np.concatenate(found), return_inverse=True)
-            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            counts = np.zeros((len(names), len(unique)), np.int32)
-            for f in range(FOLDS):
-                for c, of in enumerate(labels):
-                    for v in (0, 1):
-                        weight = np.array([a == f and b == v for a, b in zip(folds, of, strict=True)], float)
-                        counts[names.index(f"f{f}_{c}_{v}")] = np.bincount(at, weights=weight[owner], minlength=len(unique))
-            yield pa.RecordBatch.from_arrays([pa.array(unique), *map(pa.array, counts)], ["slot", *names])
+            for text, fold, *labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = present(normalized(text))
+                for c, v in enumerate(labels):
+                    counts[(fold * len(categories) + c) * 2 + v, mine] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        for k in range(0, len(at), 50_000):
+            part = at[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x) for x in counts[:, part])], ["slot", *names])
 
     small_batches(sample.sparkSession)
     schema = "slot bigint, " + ", ".join(f"{n} int" for n in names)
