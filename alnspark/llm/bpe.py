@@ -15,7 +15,7 @@ import re
 from functools import lru_cache
 from itertools import chain
 
-MEMO = 400_000  # chunks remembered by a worker: about 100 MB
+MEMO = 120_000  # chunks remembered by a worker: about 40 MB
 
 
 class _Irregular(Exception):

@@ -33,7 +33,7 @@ SWITCH = 12.0
 #: Nats that an n-gram that was never seen in a language costs at most, and a language of another script.
 FLOOR, FOREIGN = 6.0, 30.0
 #: Words that a worker remembers.
-MEMO = 500_000
+MEMO = 150_000
 
 
 def _ranges(points: list[int]) -> list[tuple[int, int]]:

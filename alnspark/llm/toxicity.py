@@ -178,16 +178,22 @@ def _counted(sample: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        counts = np.zeros((len(names), SLOTS), np.int32)  # all that a task holds, however many documents it reads
+        def parts(counts):
+            at = np.flatnonzero(counts.any(axis=0))
+            for k in range(0, len(at), 50_000):
+                part = at[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x.astype(np.int32)) for x in counts[:, part])], ["slot", *names])
+
+        counts, seen = np.zeros((len(names), SLOTS), np.uint16), 0  # all that a task holds, however many documents it reads
         for batch in batches:
             for text, fold, *labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = present(normalized(text))
+                if seen == 65_535:
+                    yield from parts(counts)
+                    counts[:], seen = 0, 0
+                mine, seen = present(normalized(text)), seen + 1
                 for c, v in enumerate(labels):
                     counts[(fold * len(categories) + c) * 2 + v, mine] += 1
-        at = np.flatnonzero(counts.any(axis=0))
-        for k in range(0, len(at), 50_000):
-            part = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x) for x in counts[:, part])], ["slot", *names])
+        yield from parts(counts)
 
     small_batches(sample.sparkSession)
     schema = "slot bigint, " + ", ".join(f"{n} int" for n in names)
