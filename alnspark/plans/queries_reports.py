@@ -113,18 +113,53 @@ register("mpileup_depth", lambda s, d: P.mpileup(reads(s, d), reference(s), min_
 _CONS = """WITH e AS (SELECT rname AS chrom, p + 1 AS pos, base FROM base UNION ALL SELECT rname, unnest(range(ref0, ref0 + len)) + 1, '*' FROM blocks WHERE op = 'D' AND rname IS NOT NULL AND flag & 1796 = 0),
   t AS (SELECT chrom, pos, count(*) AS depth, [8 * count(*) FILTER (base = 'A'), 8 * count(*) FILTER (base = 'C'), 8 * count(*) FILTER (base = 'G'), 8 * count(*) FILTER (base = 'T'), 8 * count(*) FILTER (base = '*')] AS s FROM e GROUP BY 1, 2),
   b AS (SELECT *, list_max(s) AS s1, list_position(s, list_max(s)) AS k, list_sum(s) AS total FROM t)"""
-register("consensus", lambda s, d: P.consensus(reads(s, d)),
-    _CONS + """ SELECT chrom, pos, depth, CASE WHEN s1 = 0 THEN 'N' WHEN k = 5 THEN '*' WHEN s1 < 0.75 * total THEN 'N' ELSE substr('ACGT', k, 1) END AS call,
-    CASE WHEN s1 = 0 OR total = 0 OR (k < 5 AND s1 < 0.75 * total) THEN 0 ELSE floor(100 * s1 / total) END::INT AS quality FROM b""", "base", "blocks")
-register("consensus_ambiguous", lambda s, d: P.consensus(reads(s, d), ambiguous=True, use_quality=True, min_base_quality=10))
-register("consensus_text", lambda s, d: P.consensus_text(P.consensus(reads(s, d)), 500))
-register("calmd", lambda s, d: P.md_nm(reads(s, d), reference(s)).select("ordinal", "md", "nm"))
+_CALLS = """SELECT chrom, pos, depth, CASE WHEN s1 = 0 THEN 'N' WHEN k = 5 THEN '*' WHEN s1 < 0.75 * total THEN 'N' ELSE substr('ACGT', k, 1) END AS call,
+    CASE WHEN s1 = 0 OR total = 0 OR (k < 5 AND s1 < 0.75 * total) THEN 0 ELSE floor(100 * s1 / total) END::INT AS quality FROM b"""
+register("consensus", lambda s, d: P.consensus(reads(s, d)), f"{_CONS} {_CALLS}", "base", "blocks")
+register("consensus_ambiguous", lambda s, d: P.consensus(reads(s, d), ambiguous=True, use_quality=True, min_base_quality=10),
+    """WITH e AS (SELECT rname AS chrom, p + 1 AS pos, base, q FROM base
+      UNION ALL SELECT rname, unnest(range(ref0, ref0 + len)) + 1, '*', CASE WHEN qual IS NULL THEN 255 ELSE ascii(substr(qual, CAST(query0 + 1 AS INT), 1)) - 33 END FROM blocks WHERE op = 'D' AND rname IS NOT NULL AND flag & 1796 = 0),
+    w AS (SELECT chrom, pos, (8 * q)::BIGINT AS w, CASE base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 WHEN '*' THEN 16 END AS c FROM e WHERE q >= 10),
+    n AS (SELECT chrom, pos, count(*) AS depth, coalesce(sum(w) FILTER (c IS NOT NULL), 0)::BIGINT AS total FROM w GROUP BY 1, 2),
+    s AS (SELECT chrom, pos, c, sum(w)::BIGINT AS s, row_number() OVER (PARTITION BY chrom, pos ORDER BY sum(w) DESC, c) AS k FROM w WHERE c IS NOT NULL GROUP BY 1, 2, 3),
+    b AS (SELECT n.*, coalesce(x.s, 0) AS s1, x.c AS c1, coalesce(y.s, 0) AS s2, y.c AS c2, coalesce(x.s, 0) > 0 AND coalesce(y.s, 0) >= 0.5 * coalesce(x.s, 0) AS two
+      FROM n LEFT JOIN (SELECT * FROM s WHERE k = 1) x USING (chrom, pos) LEFT JOIN (SELECT * FROM s WHERE k = 2) y USING (chrom, pos)),
+    u AS (SELECT *, s1 + CASE WHEN two THEN s2 ELSE 0 END AS used FROM b),
+    v AS (SELECT *, CASE WHEN used < 0.75 * total THEN CASE WHEN c1 = 16 THEN 16 ELSE 0 END WHEN s1 = 0 THEN 15 WHEN two THEN c1 | c2 ELSE c1 END AS code FROM u)
+    SELECT chrom, pos, depth, CASE WHEN code >= 16 THEN '*' ELSE substr('NACMGRSVTWYHKDBN', code + 1, 1) END AS call,
+      CASE WHEN code <> 0 AND total > 0 THEN floor(100 * used / total) ELSE 0 END::INT AS quality FROM v""", "base", "blocks")
+register("consensus_text", lambda s, d: P.consensus_text(P.consensus(reads(s, d)), 500),
+    f"""{_CONS}, c AS ({_CALLS}), k AS (SELECT chrom, (pos - 1) // 500 AS chunk, max(pos) AS most FROM c GROUP BY 1, 2),
+    every AS (SELECT chrom, chunk, unnest(range(chunk * 500 + 1, most + 1)) AS pos FROM k)
+    SELECT chrom, chunk, string_agg(CASE WHEN call = '*' THEN '' ELSE coalesce(call, 'N') END, '' ORDER BY pos) AS seq FROM every LEFT JOIN c USING (chrom, pos) GROUP BY 1, 2""", "base", "blocks")
+
+#: Each aligned base beside the reference's, and each deletion, by the place in the reference.
+_AGAINST = """WITH a AS (SELECT b.ordinal, b.src, query0 + k AS i, ref0 + k AS p, substr(b.seq, CAST(query0 + k + 1 AS INT), 1) AS x, substr(ref.seq, CAST(ref0 + k + 1 AS INT), 1) AS y
+  FROM (SELECT *, unnest(range(0, len)) AS k FROM blocks WHERE op = 'M') b JOIN ref ON ref.name = b.rname)"""
+register("calmd", lambda s, d: P.md_nm(reads(s, d), reference(s)).select("ordinal", "md", "nm"),
+    f"""{_AGAINST}, e AS (SELECT ordinal, src, p, CASE WHEN x <> 'N' AND x = y THEN 1 ELSE 0 END AS m, CASE WHEN x = 'N' OR x <> y THEN y END AS t, CASE WHEN x = 'N' OR x <> y THEN 1 ELSE 0 END AS n FROM a
+      UNION ALL SELECT b.ordinal, b.src, ref0, 0, concat('^', substr(ref.seq, CAST(ref0 + 1 AS INT), CAST(len AS INT))), len FROM blocks b JOIN ref ON ref.name = b.rname WHERE op = 'D'),
+    c AS (SELECT *, sum(m) OVER (PARTITION BY ordinal, src ORDER BY p) AS c FROM e),
+    z AS (SELECT ordinal, src, max(c) AS c, sum(n) AS n FROM c GROUP BY 1, 2),
+    g AS (SELECT ordinal, src, string_agg(concat(run, t), '' ORDER BY p) AS told, max(c) AS c FROM (SELECT *, (c - lag(c, 1, 0) OVER (PARTITION BY ordinal, src ORDER BY p))::BIGINT AS run FROM c WHERE t IS NOT NULL) GROUP BY 1, 2)
+    SELECT ordinal, concat(coalesce(told, ''), (z.c - coalesce(g.c, 0))::BIGINT) AS md, (z.n + coalesce(i.i, 0))::INT AS nm FROM z LEFT JOIN g USING (ordinal, src)
+      LEFT JOIN (SELECT ordinal, src, sum(len) AS i FROM ops WHERE op = 'I' GROUP BY 1, 2) i USING (ordinal, src) JOIN reads USING (ordinal, src) WHERE flag & 4 = 0""", "blocks", "ref")
 register("calmd_nm", lambda s, d: P.md_nm(reads(s, d), reference(s)).select("ordinal", F.col("nm").cast("bigint").alias("nm")),
     """WITH m AS (SELECT ordinal, src, count(*) FILTER (x = 'N' OR x <> y) AS n FROM (SELECT b.ordinal, b.src, substr(b.seq, CAST(query0 + k + 1 AS INT), 1) AS x, substr(ref.seq, CAST(ref0 + k + 1 AS INT), 1) AS y
       FROM (SELECT *, unnest(range(0, len)) AS k FROM blocks WHERE op = 'M') b JOIN ref ON ref.name = b.rname) GROUP BY 1, 2)
     SELECT ordinal, n + coalesce(i, 0)::BIGINT AS nm FROM m LEFT JOIN (SELECT ordinal, src, sum(len) AS i FROM ops WHERE op IN ('I', 'D') GROUP BY 1, 2) USING (ordinal, src) JOIN reads USING (ordinal, src) WHERE flag & 4 = 0""", "blocks", "ref")
-register("calmd_masked", lambda s, d: P.calmd(reads(s, d), reference(s), bin_qualities=True, mask=True).select("ordinal", "seq", "qual"))
+register("calmd_masked", lambda s, d: P.calmd(reads(s, d), reference(s), bin_qualities=True, mask=True).select("ordinal", "seq", "qual"),
+    f"""{_AGAINST}, s AS (SELECT r.ordinal, r.src, string_agg(CASE WHEN x = y THEN '=' ELSE substr(r.seq, CAST(j + 1 AS INT), 1) END, '' ORDER BY j) AS seq
+      FROM (SELECT *, unnest(range(0, length(seq))) AS j FROM reads) r LEFT JOIN a ON a.ordinal = r.ordinal AND a.src = r.src AND a.i = r.j GROUP BY 1, 2)
+    SELECT ordinal, s.seq, list_aggregate(list_transform(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33), lambda x: chr(CASE WHEN x >= 3 THEN x // 10 * 10 + 7 ELSE x END + 33)), 'string_agg', '') AS qual
+      FROM reads JOIN s USING (ordinal, src)""", "blocks", "ref")
 register("reference_from_md", lambda s, d: P.reference_from_md(P.calmd(reads(s, d), reference(s))),
     """SELECT rname AS chrom, p + 1 AS pos, substr(ref.seq, CAST(p + 1 AS INT), 1) AS base FROM (SELECT DISTINCT rname, unnest(range(ref0, ref0 + len)) AS p FROM blocks WHERE op IN ('M', 'D') AND rname IS NOT NULL AND flag & 4 = 0) JOIN ref ON ref.name = rname""", "blocks", "ref")
-register("reference_text", lambda s, d: P.reference_text(P.reference_from_md(P.calmd(reads(s, d), reference(s))), header_sq(s, d)))
-register("stats_trimmed_bases", lambda s, d: S.trimmed_bases(reads(s, d).withColumn("qual", F.repeat("qual", 6)), 20))
+register("reference_text", lambda s, d: P.reference_text(P.reference_from_md(P.calmd(reads(s, d), reference(s))), header_sq(s, d)),
+    """WITH b AS (SELECT rname AS chrom, p + 1 AS pos, substr(ref.seq, CAST(p + 1 AS INT), 1) AS base FROM (SELECT DISTINCT rname, unnest(range(ref0, ref0 + len)) AS p FROM blocks WHERE op IN ('M', 'D') AND rname IS NOT NULL AND flag & 4 = 0) JOIN ref ON ref.name = rname)
+    SELECT chrom, ((pos - 1) // 60)::BIGINT AS line, string_agg(coalesce(base, 'N'), '' ORDER BY pos) AS text FROM (SELECT name AS chrom, unnest(range(1, length + 1)) AS pos FROM sq) LEFT JOIN b USING (chrom, pos) GROUP BY 1, 2""", "blocks", "ref", "sq")
+register("stats_trimmed_bases", lambda s, d: S.trimmed_bases(reads(s, d).withColumn("qual", F.repeat("qual", 6)), 20),
+    """WITH v AS (SELECT ordinal, src, l, 20 - ascii(substr(CASE WHEN flag & 16 <> 0 THEN q ELSE reverse(q) END, CAST(l + 1 AS INT), 1)) + 33 AS v
+      FROM (SELECT ordinal, src, flag, repeat(qual, 6) AS q, unnest(range(0, 60 - 35 + 1)) AS l FROM reads WHERE flag & 2304 = 0 AND qual IS NOT NULL)),
+    s AS (SELECT *, sum(v) OVER (PARTITION BY ordinal, src ORDER BY l) AS s FROM v), o AS (SELECT *, min(s) OVER (PARTITION BY ordinal, src ORDER BY l) >= 0 AS ok FROM s)
+    SELECT coalesce(sum(l), 0)::BIGINT AS bases FROM (SELECT l FROM o WHERE ok AND s > 0 QUALIFY row_number() OVER (PARTITION BY ordinal, src ORDER BY s DESC, l) = 1)""", "reads")

@@ -41,8 +41,12 @@ fm AS (SELECT ordinal, src, qname, rg, seq, qual, pos, rname, tid, cigar, mapq,
 """
 register("fixmate", lambda s, d: mates.fixmate(reads(s, d), scores=True).select("ordinal", "flag", "mtid", "rnext", "pnext", "tlen", T.value("MQ").alias("mq"), T.value("MC").alias("mc"), T.value("ms").cast("bigint").alias("ms")),
     f"WITH {_MATES} SELECT ordinal, flag, mtid, rnext, pnext, tlen, mq, mc, ms FROM fm", "lens")
-register("fixmate_template_cigar", lambda s, d: mates.fixmate(reads(s, d), template_cigar=True, remove=True).select("ordinal", "flag", T.value("ct").alias("ct")))
-register("sort_template_coordinate", lambda s, d: sorts.rank_within(sorts.template_keys(mates.fixmate(reads(s, d)).where(T.value("MC").isNotNull()), header_rg(s, d)), ["t1"], [*sorts.template_order(), F.col("ordinal")]).select("ordinal", "t1", "p1", "upper", "rank"))
+register("fixmate_template_cigar", lambda s, d: mates.fixmate(reads(s, d), template_cigar=True, remove=True).select("ordinal", "flag", T.value("ct").alias("ct")),
+    f"""WITH {_MATES}, f AS (SELECT *, CASE WHEN flag & 64 <> 0 THEN '1' WHEN flag & 128 <> 0 THEN '2' ELSE '0' END || CASE WHEN flag & 16 <> 0 THEN 'R' ELSE 'F' END || coalesce(cigar, '*') AS mine,
+      CASE WHEN b_flag & 64 <> 0 THEN '1' WHEN b_flag & 128 <> 0 THEN '2' ELSE '0' END || CASE WHEN b_flag & 16 <> 0 THEN 'R' ELSE 'F' END || b_cigar AS other,
+      b_o IS NOT NULL AND flag & 4 = 0 AND b_flag & 4 = 0 AND tid = b_tid AND (pos < b_pos OR (pos = b_pos AND k = 1)) AS lft FROM m)
+    SELECT ordinal, fm.flag & CASE WHEN b_flag & 4 <> 0 THEN ~34 ELSE -1 END AS flag, CASE WHEN lft THEN concat(mine, (b_pos - endp - 1)::BIGINT, 'T', other) END AS ct
+      FROM fm JOIN (SELECT ordinal, src, b_flag, b_pos, endp, mine, other, lft FROM f) f USING (ordinal, src) WHERE fm.flag & 260 = 0""", "lens")
 register("to_fastq", lambda s, d: mates.to_fastq(reads(s, d)),
     """WITH p AS (SELECT *, CASE WHEN flag & 192 = 64 THEN 1 WHEN flag & 192 = 128 THEN 2 ELSE 0 END AS part FROM reads WHERE flag & 2304 = 0),
     b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qname, part ORDER BY CASE WHEN qual IS NULL THEN 1 ELSE 0 END, src, ordinal) = 1)
@@ -64,22 +68,51 @@ dd AS (SELECT ordinal, src, qname, paired, CASE WHEN paired THEN row_number() OV
   ELSE bool_or(paired) OVER (PARTITION BY t, sa, r) OR row_number() OVER (PARTITION BY paired, t, sa, r ORDER BY score DESC, ordinal) > 1 END AS dup FROM ky)
 """
 
+#: The same with names that tell places; failed records have places too, but are no duplicates.
+_OPTICAL = _DUPS.replace("FROM fm LEFT JOIN clip", "FROM (SELECT * REPLACE (concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499) AS qname) FROM fm) fm LEFT JOIN clip")
+_OPTICAL = _OPTICAL.replace("AND flag & 512 = 0", "").replace("AS dup FROM ky)", "AS dup FROM ky WHERE flag & 512 = 0)")
+
 
 def _fixed(s, d):
     return mates.fixmate(reads(s, d), scores=True)
 
 
+register("sort_template_coordinate", lambda s, d: sorts.rank_within(sorts.template_keys(mates.fixmate(reads(s, d)).where(T.value("MC").isNotNull()), header_rg(s, d)), ["t1"], [*sorts.template_order(), F.col("ordinal")]).select("ordinal", "t1", "p1", "upper", "rank"),
+    f"""WITH {_DUPS}, places AS (SELECT fm.*, flag & 4 = 0 AS here, flag & 1 <> 0 AND flag & 8 = 0 AS there, pos - coalesce(lead, 0) AS us, pos - 1 + coalesce(rl, 0) + coalesce(trail, 0) AS ue,
+      pnext - coalesce(lead2, 0) AS os, pnext - 1 + coalesce(rl2, 0) + coalesce(trail2, 0) AS oe FROM fm LEFT JOIN clip USING (ordinal, src) LEFT JOIN clip2 USING (ordinal, src) WHERE mc IS NOT NULL),
+    h AS (SELECT *, CASE WHEN here THEN coalesce(tid, -1) ELSE 2147483647 END AS ta, CASE WHEN NOT here THEN 4611686018427387904 WHEN flag & 16 <> 0 THEN ue ELSE us END AS pa, here AND flag & 16 <> 0 AS na,
+      CASE WHEN there THEN coalesce(mtid, -1) ELSE 2147483647 END AS tb, CASE WHEN NOT there THEN 4611686018427387904 WHEN flag & 32 <> 0 THEN oe ELSE os END AS pb, there AND flag & 32 <> 0 AS nb FROM places),
+    turned AS (SELECT *, NOT (ta < tb OR (ta = tb AND (pa < pb OR (pa = pb AND NOT na)))) AS upper FROM h),
+    q AS (SELECT ordinal, qname, upper, coalesce(lb, '') AS lib, CASE WHEN upper THEN tb ELSE ta END AS t1, CASE WHEN upper THEN ta ELSE tb END AS t2, CASE WHEN upper THEN pb ELSE pa END AS p1,
+      CASE WHEN upper THEN pa ELSE pb END AS p2, CASE WHEN upper THEN nb ELSE na END AS n1, CASE WHEN upper THEN na ELSE nb END AS n2 FROM turned LEFT JOIN rgs ON rgs.id = turned.rg)
+    SELECT ordinal, t1::INT AS t1, p1::BIGINT AS p1, upper, row_number() OVER (PARTITION BY t1 ORDER BY t2, p1, p2, n1 DESC, n2 DESC, lib, qname, upper, ordinal)::INT AS rank FROM q""", "lens", "rgs")
 register("markdup", lambda s, d: dedup.duplicates(_fixed(s, d)).select("ordinal", "qname", "kind", "dup"), f"WITH {_DUPS} SELECT ordinal, qname, CASE WHEN paired THEN 'pair' ELSE 'single' END AS kind, dup FROM dd", "lens")
 register("markdup_flags", lambda s, d: dedup.markdup(_fixed(s, d), clear=True).select("ordinal", "flag"),
     f"WITH {_DUPS} SELECT fm.ordinal, (flag & ~1024) | CASE WHEN coalesce(dup, false) THEN 1024 ELSE 0 END AS flag FROM fm LEFT JOIN dd USING (ordinal, src)", "lens")
-register("markdup_sequence_mode", lambda s, d: dedup.duplicates(_fixed(s, d), mode="sequence").select("ordinal", "qname", "kind", "dup"))
-register("markdup_remove_barcode", lambda s, d: dedup.markdup(_fixed(s, d), barcode="BC", groups=True, clear=True, remove=True, supplementary=True).select("ordinal", "flag"))
+register("markdup_sequence_mode", lambda s, d: dedup.duplicates(_fixed(s, d), mode="sequence").select("ordinal", "qname", "kind", "dup"),
+    f"""WITH {_DUPS}, d AS (SELECT *, CASE WHEN t <> ot THEN t - ot WHEN r = mr AND NOT r THEN us - os WHEN r = mr THEN ue - oe WHEN r THEN ue - os ELSE us - oe END AS diff FROM x),
+    l AS (SELECT * EXCLUDE (diff), CASE WHEN diff <> 0 THEN diff < 0 WHEN pos = pnext THEN r1 ELSE coalesce(pos < pnext, false) END AS lft FROM d),
+    y AS (SELECT *, CASE WHEN r = mr THEN CASE WHEN lft = (NOT r) THEN 'FF' ELSE 'RR' END WHEN lft = (NOT r) THEN 'FR' ELSE 'RF' END AS ori, CASE WHEN r THEN ue ELSE us END AS ka, CASE WHEN mr THEN oe ELSE os END AS kb FROM l)
+    SELECT ordinal, qname, CASE WHEN paired THEN 'pair' ELSE 'single' END AS kind, CASE WHEN paired THEN row_number() OVER (PARTITION BY paired, t, ka, ot, kb, lft, ori ORDER BY score + coalesce(ms, 0) DESC, qname, ordinal) > 1
+      ELSE bool_or(paired) OVER (PARTITION BY t, ka, r) OR row_number() OVER (PARTITION BY paired, t, ka, r ORDER BY score DESC, ordinal) > 1 END AS dup FROM y""", "lens")
+register("markdup_remove_barcode", lambda s, d: dedup.markdup(_fixed(s, d), barcode="BC", groups=True, clear=True, remove=True, supplementary=True).select("ordinal", "flag"),
+    f"""WITH {_DUPS}, y AS (SELECT ky.*, bc FROM ky JOIN reads USING (ordinal, src)),
+    g AS (SELECT ordinal, src, CASE WHEN paired THEN row_number() OVER (PARTITION BY paired, t, ka, ot, kb, lft, ori, rg, bc ORDER BY score + coalesce(ms, 0) DESC, qname, ordinal) > 1
+      ELSE bool_or(paired) OVER (PARTITION BY t, sa, r, rg, bc) OR row_number() OVER (PARTITION BY paired, t, sa, r, rg, bc ORDER BY score DESC, ordinal) > 1 END AS twin FROM y),
+    z AS (SELECT fm.ordinal, qname, flag & ~1024 AS flag, coalesce(twin, false) AS twin FROM fm LEFT JOIN g USING (ordinal, src)), seed AS (SELECT DISTINCT qname FROM z WHERE twin AND flag & 8 <> 0)
+    SELECT ordinal, flag FROM z WHERE NOT twin AND NOT (flag & 2308 <> 0 AND qname IN (SELECT qname FROM seed))""", "lens")
 register("markdup_metrics", lambda s, d: dedup.markdup_metrics(_fixed(s, d)).drop("library_size"),
     f"""WITH {_DUPS} SELECT count(*) AS examined, count(*) FILTER (paired) AS paired, count(*) FILTER (NOT paired) AS single, count(*) FILTER (paired AND dup) AS duplicate_pair, count(*) FILTER (NOT paired AND dup) AS duplicate_single,
     (SELECT count(*) FROM fm WHERE flag & 2308 = 0 AND flag & 512 <> 0) AS excluded FROM dd""", "lens")
 register("rmdup_single", lambda s, d: dedup.rmdup(reads(s, d), single_end=True).select("ordinal"),
     "SELECT ordinal FROM (SELECT ordinal, flag, row_number() OVER (PARTITION BY flag & 4 <> 0, tid, pos, flag & 16 ORDER BY coalesce(mapq, 0) DESC, ordinal) AS k FROM reads) WHERE flag & 4 <> 0 OR k = 1", "reads")
-register("rmdup_paired", lambda s, d: dedup.rmdup(reads(s, d)).select("ordinal"))
+register("rmdup_paired", lambda s, d: dedup.rmdup(reads(s, d)).select("ordinal"),
+    """WITH x AS (SELECT ordinal, qname, coalesce(mapq, 0) AS q, {'t': coalesce(tid, -1), 'p': coalesce(pos, 0), 'r': flag & 16 <> 0} AS spot, flag & 4 <> 0 AS u, flag & 1 <> 0 AND flag & 8 = 0 AS two FROM reads),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY qname ORDER BY ordinal) - 1) // 2 AS unit FROM x WHERE NOT u AND two),
+    b AS (SELECT qname, unit, count(*) AS k, min(spot) AS a, max(spot) AS b, sum(q) AS s, max(ordinal) AS late FROM n GROUP BY 1, 2),
+    w AS (SELECT *, row_number() OVER (PARTITION BY k, a, b ORDER BY s DESC, late) AS place FROM b)
+    SELECT ordinal FROM x WHERE u UNION ALL SELECT ordinal FROM (SELECT ordinal FROM x WHERE NOT u AND NOT two QUALIFY row_number() OVER (PARTITION BY spot ORDER BY q DESC, ordinal) = 1)
+    UNION ALL SELECT ordinal FROM n JOIN w USING (qname, unit) WHERE k = 1 OR place = 1""", "reads")
 register("add_read_group", lambda s, d: multi.add_read_group(reads(s, d), "new", overwrite=False).select("ordinal", T.value("RG").alias("rg"), F.element_at("tag_order", -1).alias("last")),
     "SELECT ordinal, coalesce(rg, 'new') AS rg, CASE WHEN rg IS NULL THEN 'RG' ELSE 'NM' END AS last FROM reads", "reads")
 register("split_by_group", lambda s, d: multi.split_key(reads(s, d), "RG").groupBy("split_key").agg(F.count("*").alias("n"), F.sum("ordinal").alias("sum")), "SELECT rg AS split_key, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS sum FROM reads GROUP BY 1", "reads")
@@ -94,5 +127,7 @@ register("quality_scalars", lambda s, d: reads(s, d).select("ordinal", Q.quality
     CAST(length(seq) - length(translate(seq, 'GC', '')) AS INT) AS gc, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads""", "reads")
 register("markdup_counts", lambda s, d: dedup.duplicate_counts(_fixed(s, d)).select("ordinal", "n"),
     f"WITH {_DUPS}, n AS (SELECT *, count(*) FILTER (dup) OVER v AS n FROM (SELECT dd.*, ky.t, ky.ka, ky.ot, ky.kb, ky.lft, ky.ori FROM dd JOIN ky USING (ordinal, src) WHERE dd.paired) WINDOW v AS (PARTITION BY t, ka, ot, kb, lft, ori)) SELECT ordinal, n FROM n WHERE NOT dup AND n > 0", "lens")
-register("markdup_optical", lambda s, d: dedup.optical(_fixed(s, d).withColumn("qname", F.expr("concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499)")), 200).select("ordinal", "optical"))
+register("markdup_optical", lambda s, d: dedup.optical(_fixed(s, d).withColumn("qname", F.expr("concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499)")), 200).select("ordinal", "optical"),
+    f"""WITH {_OPTICAL} SELECT a.ordinal, EXISTS (SELECT 1 FROM ky b WHERE b.t = a.t AND b.ka IS NOT DISTINCT FROM a.ka AND b.ot = a.ot AND b.kb IS NOT DISTINCT FROM a.kb AND b.lft = a.lft AND b.ori = a.ori AND b.ordinal <> a.ordinal
+      AND b.ordinal % 3 = a.ordinal % 3 AND abs(b.ordinal % 997 - a.ordinal % 997) <= 200 AND abs(b.ordinal % 499 - a.ordinal % 499) <= 200) AS optical FROM dd JOIN ky a USING (ordinal, src) WHERE dd.paired AND dup""", "lens")
 register("rename_groups", lambda s, d: multi.rename_groups(reads(s, d), {"rgA": "x", "rgN": "y"}).select("ordinal", T.value("RG").alias("rg")), "SELECT ordinal, CASE rg WHEN 'rgA' THEN 'x' WHEN 'rgN' THEN 'y' ELSE rg END AS rg FROM reads", "reads")

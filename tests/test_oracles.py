@@ -14,6 +14,8 @@ CHOSEN = [
     "flagstat", "idxstats", "view_expr_tag", "view_bed", "view_regions", "cigar_metrics", "depth", "coverage", "bedcov", "sort_name_natural", "sort_tag", "fixmate", "to_fastq", "markdup",
     "markdup_metrics", "reset", "stats_summary", "stats_gc_content", "stats_indels_by_cycle", "stats_insert_sizes", "amplicon_reads", "primer_clips", "consensus", "mpileup_depth", "calmd_nm", "reference_from_md", "sam_text", "dict", "faidx_wrap",
     "mpileup", "mpileup_inputs", "mpileup_all_positions", "view_expr_precedence", "view_expr_library", "checksum_counts", "stats_mismatches_by_cycle", "stats_read_bases_by_cycle",
+    "consensus_ambiguous", "consensus_text", "calmd", "calmd_masked", "reference_text", "stats_trimmed_bases", "fixmate_template_cigar", "sort_template_coordinate", "markdup_sequence_mode",
+    "markdup_remove_barcode", "rmdup_paired", "markdup_optical",
 ]
 
 
