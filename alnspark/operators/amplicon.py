@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import cigar as C, flags as FL
+from ..functions import cigar as C, flags as FL, tags as T
 from . import depth as D
 from .filters import span
 
@@ -146,3 +146,13 @@ def _clip_cigar(cigar: str, pos: int, left: int, right: int, hard: bool) -> tupl
         ops, tail, _ = trim(ops[::-1], right)
         ops = ops[::-1]
     return ("".join(f"{n}{k}" for n, k in ops) or "*", pos, head, tail)
+
+
+def original_alignment(df: DataFrame) -> DataFrame:
+    """reads with OA: what each record says of its alignment, after what the tag said before. To be set before a record is
+    changed. Without NM there is no comma between CIGAR and quality, as other tools write it."""
+    strand = F.when(FL.bit(F.col("flag"), FL.REVERSE), "-").otherwise("+")
+    place = F.concat_ws(",", "qname", F.coalesce("pos", F.lit(0)).cast("string"), strand, F.coalesce("cigar", F.lit("*")))
+    quality, nm = F.coalesce("mapq", F.lit(255)).cast("string"), T.value("NM")
+    told = F.when(nm.isNotNull(), F.concat(place, F.lit(","), quality, F.lit(","), nm, F.lit(";"))).otherwise(F.concat(place, quality, F.lit(",;")))
+    return T.set_tag(df, "OA", "Z", F.concat(F.coalesce(T.value("OA"), F.lit("")), told))

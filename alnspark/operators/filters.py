@@ -142,3 +142,21 @@ def sanitize(df: DataFrame, rules: str = "on", header_sq: DataFrame | None = Non
         out = out.withColumn("tags", F.when(unmapped, F.map_filter("tags", lambda k, _: ~k.isin("NM", "MD"))).otherwise(F.col("tags")))
         out = out.withColumn("tag_order", F.when(unmapped, F.filter("tag_order", lambda k: ~k.isin("NM", "MD"))).otherwise(F.col("tag_order")))
     return out
+
+
+def by_tags(df: DataFrame, wanted: dict[str, list[str] | None]) -> DataFrame:
+    """Records that have every tag of `wanted`, each with one of its values if any are given."""
+    for name, values in wanted.items():
+        df = by_tag(df, name, values)
+    return df
+
+
+def validated(df: DataFrame, header_sq: DataFrame) -> DataFrame:
+    """The same records; a malformed CIGAR, or a mapped record under a header without references, fails the job when it
+    is read. The header is a small table and is asked once."""
+    bad = ~F.col("cigar").rlike("^([0-9]+[MIDNSHP=X])+$")
+    checks = [F.when(bad, F.raise_error(F.concat(F.lit("invalid CIGAR "), "cigar")).cast("boolean"))]
+    if header_sq.isEmpty():
+        mapped = F.col("rname").isNotNull() & ~FL.bit(F.col("flag"), FL.UNMAP)
+        checks.append(F.when(mapped, F.raise_error(F.lit("no SQ lines present in the header")).cast("boolean")))
+    return df.where(F.coalesce(*checks, F.lit(True)))

@@ -75,3 +75,8 @@ def to_fastq(df: DataFrame, suffix: bool = False) -> DataFrame:
 
 def fastq_text(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(F.lit("@"), "qname", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+
+
+def fastq_counts(reads: DataFrame) -> DataFrame:
+    """route, part, reads: how many reads of to_fastq go to each output."""
+    return reads.groupBy("route", "part").agg(F.count("*").alias("reads"))

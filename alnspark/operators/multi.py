@@ -111,3 +111,27 @@ def rename_groups(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """reads with RG by a mapping of names."""
     mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return T.set_tag(df, "RG", "Z", F.try_element_at(mapping, T.value("RG")))
+
+
+def kept_groups(header_rg: DataFrame, groups: list[str] | None = None, library: str | None = None) -> DataFrame:
+    """The header's read groups after a filter by groups: those named, and of the library if one is given. A library alone
+    takes none away."""
+    if not groups:
+        return header_rg
+    named = header_rg.where(F.col("id").isin(*groups))
+    return named if library is None else named.where(F.col("lb") == library)
+
+
+def with_references(header_sq: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The header's references or, where it has none, those of a dictionary (name, length), numbered in its order of tid."""
+    return header_sq if not header_sq.isEmpty() else dictionary.select(*[F.col(c).cast(t) for c, t in header_sq.dtypes])
+
+
+def matching_references(header_sq: DataFrame, dictionaries: DataFrame) -> DataFrame:
+    """source, matches for each source of `dictionaries` (source, tid, name, length): whether it has the header's references
+    in number, order, name and length. A header without references matches none."""
+    own = header_sq.select("tid", "name", F.col("length").alias("_own"))
+    total = header_sq.count()
+    found = dictionaries.join(F.broadcast(own), ["tid", "name"], "left")
+    by = found.groupBy("source").agg(F.count("*").alias("_n"), F.count_if(F.col("length") == F.col("_own")).alias("_same"))
+    return by.select("source", ((F.col("_n") == total) & (F.col("_same") == total) & F.lit(total > 0)).alias("matches"))

@@ -106,3 +106,22 @@ def minimizer(df: DataFrame, k: int = 8) -> DataFrame:
 def rank_within(df: DataFrame, group: list[str], keys: list[Column], name: str = "rank") -> DataFrame:
     """df with the place of each record in its group, for results that show an order."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*keys)))
+
+
+def order_fields(by: str = "coordinate", tag: str | None = None) -> dict[str, str]:
+    """SO, GO and SS of a header after sort(by, tag); 'template' and 'minimizer' are the other two orders."""
+    names = {"name": "queryname:natural", "ascii": "queryname:lexicographical"}
+    if tag:
+        return {"SO": "unsorted", "SS": f"unsorted:{tag}:{names.get(by, 'coordinate')}"}
+    if by == "template":
+        return {"SO": "unsorted", "GO": "query", "SS": "unsorted:template-coordinate"}
+    if by == "minimizer":
+        return {"SO": "unsorted", "SS": "unsorted:minhash"}
+    return {"SO": "queryname", "SS": names[by]} if by in names else {"SO": "coordinate"}
+
+
+def header_line(line: str | None, by: str = "coordinate", tag: str | None = None) -> str:
+    """The @HD line with the order's fields in place of its old ones; the others stay. Without a line, a new one."""
+    fields = [f.split(":", 1) for f in line.split("\t")[1:]] if line else [["VN", "1.6"]]
+    told = {k: v for k, v in fields if k not in ("SO", "GO", "SS")} | order_fields(by, tag)
+    return "\t".join(["@HD", *(f"{k}:{v}" for k, v in told.items())])

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from alnspark.plans.catalog import ORACLES, QUERIES
 
@@ -15,7 +16,8 @@ CHOSEN = [
     "markdup_metrics", "reset", "stats_summary", "stats_gc_content", "stats_indels_by_cycle", "stats_insert_sizes", "amplicon_reads", "primer_clips", "consensus", "mpileup_depth", "calmd_nm", "reference_from_md", "sam_text", "dict", "faidx_wrap",
     "mpileup", "mpileup_inputs", "mpileup_all_positions", "view_expr_precedence", "view_expr_library", "checksum_counts", "stats_mismatches_by_cycle", "stats_read_bases_by_cycle",
     "consensus_ambiguous", "consensus_text", "calmd", "calmd_masked", "reference_text", "stats_trimmed_bases", "fixmate_template_cigar", "sort_template_coordinate", "markdup_sequence_mode",
-    "markdup_remove_barcode", "rmdup_paired", "markdup_optical",
+    "markdup_remove_barcode", "rmdup_paired", "markdup_optical", "header_groups", "header_references", "matching_references", "name_hash", "view_validated", "original_alignment", "fastq_counts", "fastq_tag_filters",
+    "stats_barcode_bases", "stats_barcode_qualities", "header_order",
 ]
 
 
@@ -59,3 +61,36 @@ def test_every_query_is_registered_once():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
     assert len(QUERIES) > 100
+
+
+def test_validation_fails_on_bad_input(spark):
+    from alnspark.operators.filters import validated
+    from alnspark.plans.derive import header_sq, reads
+
+    some, sq = reads(spark, DATA).where("cigar is not null").limit(3), header_sq(spark, DATA)
+    with pytest.raises(Exception, match="invalid CIGAR"):
+        validated(some.withColumn("cigar", F.lit("10Q")), sq).collect()
+    with pytest.raises(Exception, match="no SQ lines"):
+        validated(some, sq.where("tid < 0")).collect()
+    assert validated(some.withColumns({"cigar": F.lit(None).cast("string"), "rname": F.lit(None).cast("string")}), sq.where("tid < 0")).count() == 3
+
+
+def test_name_hash_is_the_published_one(spark):
+    from alnspark.functions.hashes import x31
+
+    names = ["", "a", "read:1:2", "x" * 40]
+
+    def whole(s):
+        h = 0
+        for b in s.encode():
+            h = (h * 31 + b) % 2**32
+        return h
+
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", x31(F.col("n")).alias("h")).collect()
+    assert {r["n"]: r["h"] for r in got} == {n: whole(n) for n in names}
+
+
+def test_header_line_without_one():
+    from alnspark.operators.sorts import header_line
+
+    assert header_line(None, "name") == "@HD\tVN:1.6\tSO:queryname\tSS:queryname:natural"
