@@ -135,3 +135,28 @@ def matching_references(header_sq: DataFrame, dictionaries: DataFrame) -> DataFr
     found = dictionaries.join(F.broadcast(own), ["tid", "name"], "left")
     by = found.groupBy("source").agg(F.count("*").alias("_n"), F.count_if(F.col("length") == F.col("_own")).alias("_same"))
     return by.select("source", ((F.col("_n") == total) & (F.col("_same") == total) & F.lit(total > 0)).alias("matches"))
+
+
+def merge_inputs(inputs: list[tuple[DataFrame, DataFrame, DataFrame]], by: str = "coordinate", combine_groups: bool = False, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """reads, header_sq, header_rg of several inputs (each of these three), as one: references by name in one dictionary,
+    records numbered by it and sorted. A read group's id that an earlier input uses is renamed, in the header and on the
+    records, or with `combine_groups` stands for both, as the earlier input tells it."""
+    from .sorts import merge
+
+    sq = merge_headers([h for _, h, _ in inputs])
+    records, groups, used = [], None, set()
+    for df, _, rg in inputs:
+        ids = sorted(r["id"] for r in rg.select("id").distinct().collect())  # a header's read groups are few
+        clash = [i for i in ids if i in used]
+        df = remap(df, sq)
+        if clash and combine_groups:
+            rg = rg.where(~F.col("id").isin(*clash))
+        elif clash:
+            names = rename_ids(used | (set(ids) - set(clash)), clash, seed)
+            df = rename_groups(df, names)
+            mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+            rg, ids = rg.withColumn("id", F.coalesce(F.try_element_at(mapping, F.col("id")), "id")), [names.get(i, i) for i in ids]
+        used |= set(ids)
+        records.append(df)
+        groups = rg if groups is None else groups.unionByName(rg)
+    return merge(records, by), sq, groups

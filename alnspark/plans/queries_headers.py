@@ -66,3 +66,21 @@ register("header_order", lambda s, d: s.createDataFrame([(by, tag or "", sorts.h
     """SELECT kind, tag, concat('@HD', chr(9), 'VN:1.5', chr(9), 'XX:kept', chr(9), replace(told, ' ', chr(9))) AS line FROM (VALUES ('coordinate', '', 'SO:coordinate'), ('name', '', 'SO:queryname SS:queryname:natural'),
       ('ascii', '', 'SO:queryname SS:queryname:lexicographical'), ('template', '', 'SO:unsorted GO:query SS:unsorted:template-coordinate'), ('minimizer', '', 'SO:unsorted SS:unsorted:minhash'),
       ('coordinate', 'ms', 'SO:unsorted SS:unsorted:ms:coordinate'), ('name', 'BC', 'SO:unsorted SS:unsorted:BC:queryname:natural')) v(kind, tag, told)""")
+
+
+def _merged(s, d, **options):
+    """The second input numbers its references backwards and uses the same read groups."""
+    one, two = reads(s, d).where("src = 0"), reads(s, d).where("src = 1").withColumns({"tid": 5 - F.col("tid"), "mtid": 5 - F.col("mtid")})
+    return multi.merge_inputs([(one, header_sq(s, d), header_rg(s, d)), (two, header_sq(s, d).withColumn("tid", 5 - F.col("tid")), header_rg(s, d))], **options)
+
+
+def _ranked(df):
+    return sorts.rank_within(df, ["tid"], sorts.coordinate_keys()[1:]).select("ordinal", "src", "tid", "mtid", T.value("RG").alias("rg"), "rank")
+
+
+_RENAMED = multi.rename_ids({"rgA", "rgN", "rgR"}, ["rgA", "rgN", "rgR"])
+_NEW = "CASE " + " ".join(f"WHEN {{0}} = '{old}' THEN '{new}'" for old, new in _RENAMED.items()) + " END"
+_RANK = "row_number() OVER (PARTITION BY tid ORDER BY coalesce(pos, 0), flag & 16, src, ordinal)::INT AS rank"
+register("merge_inputs", lambda s, d: _ranked(_merged(s, d)[0]), f"SELECT ordinal, src, tid, mtid, CASE WHEN src = 1 THEN {_NEW.format('rg')} ELSE rg END AS rg, {_RANK} FROM reads", "reads")
+register("merge_inputs_combined", lambda s, d: _ranked(_merged(s, d, combine_groups=True)[0]), f"SELECT ordinal, src, tid, mtid, rg, {_RANK} FROM reads", "reads")
+register("merge_inputs_groups", lambda s, d: _merged(s, d)[2].select("id", "lb", "sm"), f"SELECT id, lb, sm FROM rgs UNION ALL SELECT {_NEW.format('id')}, lb, sm FROM rgs", "rgs")

@@ -17,7 +17,7 @@ CHOSEN = [
     "mpileup", "mpileup_inputs", "mpileup_all_positions", "view_expr_precedence", "view_expr_library", "checksum_counts", "stats_mismatches_by_cycle", "stats_read_bases_by_cycle",
     "consensus_ambiguous", "consensus_text", "calmd", "calmd_masked", "reference_text", "stats_trimmed_bases", "fixmate_template_cigar", "sort_template_coordinate", "markdup_sequence_mode",
     "markdup_remove_barcode", "rmdup_paired", "markdup_optical", "header_groups", "header_references", "matching_references", "name_hash", "view_validated", "original_alignment", "fastq_counts", "fastq_tag_filters",
-    "stats_barcode_bases", "stats_barcode_qualities", "header_order",
+    "stats_barcode_bases", "stats_barcode_qualities", "header_order", "merge_inputs", "merge_inputs_combined", "merge_inputs_groups",
 ]
 
 
