@@ -43,6 +43,12 @@ def soft_clipped(cigar_ops: Column) -> Column:
     return left + F.when(F.size(F.filter(cigar_ops, lambda o: o["op"] == "S")) > 1, right).when(left == 0, right).otherwise(0)
 
 
+def soft_ends(cigar_ops: Column) -> tuple[Column, Column]:
+    """Soft-clipped bases at the left and at the right; a single operation counts as left."""
+    left, right = _clip_at(cigar_ops, True, "S", "H"), _clip_at(cigar_ops, False, "S", "H")
+    return left, F.when((left == 0) | (F.size(F.filter(cigar_ops, lambda o: o["op"] == "S")) > 1), right).otherwise(0)
+
+
 def hard_clipped(cigar_ops: Column) -> Column:
     left, right = _clip_at(cigar_ops, True, "H"), _clip_at(cigar_ops, False, "H")
     return left + F.when(F.size(cigar_ops) > 1, right).otherwise(0)

@@ -76,14 +76,39 @@ def primer_clips(df: DataFrame, primers: DataFrame, strand: bool = True, toleran
     return x.join(p, one, "left").groupBy("src", "ordinal").agg(F.coalesce(F.max(left), F.lit(0)).alias("left"), F.coalesce(F.max(right), F.lit(0)).alias("right"))
 
 
-def clip(df: DataFrame, primers: DataFrame, hard: bool = False, both_ends: bool = False, strand: bool = True, tolerance: int = TOLERANCE) -> DataFrame:
-    """reads with primers clipped: at the 5' end, or at both. CIGAR and POS follow; NM and MD go where something was
-    clipped; a read of which nothing is left is unmapped."""
-    found = primer_clips(df, primers, strand, tolerance)
-    x = df.join(found, ["src", "ordinal"], "left")
+def _wanted(df: DataFrame, primers: DataFrame, both_ends: bool, strand: bool, tolerance: int) -> DataFrame:
+    """df with _out (unmapped, failed, or on a reference without primers: left as it is), _l and _r, what to clip."""
+    named = F.broadcast(primers.select(F.col("chrom").alias("_chrom")).distinct())
+    x = df.join(primer_clips(df, primers, strand, tolerance), ["src", "ordinal"], "left").join(named, F.col("rname") == F.col("_chrom"), "left")
+    x = x.withColumn("_out", FL.bit(F.col("flag"), FL.UNMAP | FL.QCFAIL) | F.col("_chrom").isNull())
     rev = FL.bit(F.col("flag"), FL.REVERSE)
-    want = lambda side, mine: F.when(F.coalesce(F.col(side), F.lit(0)) == 0, 0).otherwise(F.col(side) if both_ends else F.when(mine, F.col(side)).otherwise(0))
-    x = x.withColumns({"_l": want("left", ~rev), "_r": want("right", rev)})
+    want = lambda side, mine: F.when(F.col("_out"), 0).otherwise(F.coalesce(F.col(side) if both_ends else F.when(mine, F.col(side)), F.lit(0)))
+    return x.withColumns({"_l": want("left", ~rev), "_r": want("right", rev)})
+
+
+def clip_counts(df: DataFrame, primers: DataFrame, both_ends: bool = False, strand: bool = True, tolerance: int = TOLERANCE) -> DataFrame:
+    """One row: total, excluded, forward and reverse clips, both, not_clipped."""
+    x = _wanted(df, primers, both_ends, strand, tolerance)
+    left, right = F.col("_l") > 0, F.col("_r") > 0
+    return x.agg(F.count("*").alias("total"), F.count_if("_out").alias("excluded"), F.count_if(left).alias("forward"), F.count_if(right).alias("reverse"), F.count_if(left & right).alias("both"), F.count_if(~F.col("_out") & ~left & ~right).alias("not_clipped"))
+
+
+def clip(
+    df: DataFrame, primers: DataFrame, hard: bool = False, both_ends: bool = False, strand: bool = True, tolerance: int = TOLERANCE, original: bool = False, mark_fail: bool = False, fail_length: int | None = None,
+    filter_length: int | None = None, unmap_length: int | None = None, only_clipped: bool = False, drop_excluded: bool = False, rejects: bool = False,
+) -> DataFrame:
+    """reads with primers clipped: at the 5' end, or at both. CIGAR and POS follow; NM and MD go where something was
+    clipped; a read of which nothing is left is unmapped. Excluded are unmapped and failed records and references without
+    primers.
+
+    `original`: what the alignment was is kept in OA; `mark_fail`: records without a primer fail; records with at most so
+    many bases left fail (`fail_length`), go (`filter_length`) or are unmapped (`unmap_length`); `only_clipped`: others that
+    aren't excluded go; `drop_excluded`: excluded ones go; `rejects`: those that go, instead of those that stay.
+    """
+    x = _wanted(df, primers, both_ends, strand, tolerance)
+    if original:
+        kept = x.withColumns({"_tags": F.col("tags"), "_order": F.col("tag_order")})
+        x = original_alignment(kept).withColumns({c: F.when((F.col("_l") > 0) | (F.col("_r") > 0), F.col(c)).otherwise(F.col(old)) for c, old in (("tags", "_tags"), ("tag_order", "_order"))})
 
     @F.pandas_udf("cigar string, pos bigint, head int, tail int")
     def cut(cigar, pos, left, right):
@@ -100,7 +125,14 @@ def clip(df: DataFrame, primers: DataFrame, hard: bool = False, both_ends: bool
         "tags": F.when(done, F.map_filter("tags", lambda k, _: ~k.isin("NM", "MD"))).otherwise(F.col("tags")), "tag_order": F.when(done, F.filter("tag_order", lambda k: ~k.isin("NM", "MD"))).otherwise(F.col("tag_order")),
         "seq": keep("seq"), "qual": keep("qual"), "flag": F.when(gone, F.col("flag").bitwiseOR(FL.UNMAP)).otherwise(F.col("flag")), "cigar": F.when(gone, F.lit(None)).when(done, F.col("_c.cigar")).otherwise(F.col("cigar")), "pos": F.when(done & ~gone, F.col("_c.pos")).otherwise(F.col("pos")),
     })
-    return x.select(*df.columns)
+    examined, length = ~F.col("_out"), C.total(C.ops(F.col("cigar")), "MI=X")
+    short = lambda most: examined & F.lit(most is not None) & (length <= (most or 0))
+    fails = short(fail_length) | (examined & F.lit(mark_fail) & ~touched)
+    goes = short(filter_length) | (F.lit(only_clipped) & examined & ~touched) | (F.lit(drop_excluded) & F.col("_out"))
+    x = x.withColumns({"_fails": fails, "_goes": goes, "_unmaps": short(unmap_length)})
+    flag = F.col("flag").bitwiseOR(F.when(F.col("_fails"), FL.QCFAIL).otherwise(0)).bitwiseOR(F.when(F.col("_unmaps"), FL.UNMAP).otherwise(0))
+    x = x.withColumns({"flag": flag, "mapq": F.when(F.col("_unmaps"), 0).otherwise(F.col("mapq")), "cigar": F.when(~F.col("_unmaps"), F.col("cigar"))})
+    return x.where(F.col("_goes") == rejects).select(*df.columns)
 
 
 def _clip_cigar(cigar: str, pos: int, left: int, right: int, hard: bool) -> tuple[str, int, int, int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import flags as FL, sequence as Q, tags as T
+from ..functions import cigar as C, flags as FL, sequence as Q, tags as T
 
 #: Fixed value: the modulus of the product.
 PRIME = (1 << 31) - 1
@@ -21,8 +21,21 @@ def _product(values: Column) -> Column:
     return F.aggregate(values, F.lit(1).cast("bigint"), lambda a, c: (a * c) % PRIME)
 
 
-def record_factors(df: DataFrame, exclude: int = FL.SECONDARY | FL.SUPP, require: int = 0, tags: tuple[str, ...] = ("BC", "FI", "QT", "RT", "TC")) -> DataFrame:
-    """group, failed and the factors of each record for seq, name, qual and aux, on the sequenced strand."""
+def _bytes(v: Column, size: int) -> Column:
+    """Hexadecimal digits of an integer in bytes, the least first."""
+    digits = F.lpad(F.hex(v.cast("bigint").bitwiseAND(F.lit((1 << 32) - 1)) if size == 4 else v.cast("bigint")), 2 * size, "0")
+    return F.concat(*[F.substr(digits, F.lit(2 * k + 1), F.lit(2)) for k in reversed(range(size))])
+
+
+def _place(tid: str, pos: str) -> Column:
+    return F.unhex(F.concat(_bytes(F.coalesce(F.col(tid), F.lit(-1)), 4), _bytes(F.coalesce(F.col(pos), F.lit(0)) - 1, 8)))
+
+
+def record_factors(
+    df: DataFrame, exclude: int = FL.SECONDARY | FL.SUPP, require: int = 0, tags: tuple[str, ...] = ("BC", "FI", "QT", "RT", "TC"), position: bool = False, cigar: bool = False, mate: bool = False,
+) -> DataFrame:
+    """group, failed and the factors of each record for seq, name, qual and aux, on the sequenced strand; on demand also for
+    pos (reference and position), cigar (mapping quality and operations) and mate (its reference and position)."""
     x = df.where(FL.flag_filter(F.col("flag"), require, exclude))
     rev = FL.bit(F.col("flag"), FL.REVERSE)
     seq = F.when(rev, Q.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
@@ -32,20 +45,34 @@ def record_factors(df: DataFrame, exclude: int = FL.SECONDARY | FL.SUPP, require
     head = F.concat(mask, seq.cast("binary"))
     aux = F.concat(head, *[F.coalesce(F.concat(F.lit(t), F.try_element_at("tags", F.lit(t))["t"], T.value(t), F.lit("\0")).cast("binary"), F.lit("").cast("binary")) for t in tags])
     name = F.concat(F.col("qname").cast("binary"), F.unhex(F.lit("00")), head)
-    return x.select(T.value("RG").alias("group"), FL.bit(F.col("flag"), FL.QCFAIL).alias("failed"), *[_factor(F.crc32(c)).alias(k) for k, c in (("seq", head), ("name", name), ("qual", F.concat(head, qual)), ("aux", aux))])
+    told = {"seq": head, "name": name, "qual": F.concat(head, qual), "aux": aux}
+    if position:
+        told["pos"] = F.concat(head, _place("tid", "pos"))
+    if cigar:
+        words = F.transform(C.ops(F.col("cigar")), lambda o: _bytes(F.shiftleft(o["len"].cast("bigint"), 4) + F.instr(F.lit("MIDNSHP=X"), o["op"]) - 1, 4))
+        told["cigar"] = F.concat(head, F.unhex(F.concat(_bytes(F.coalesce("mapq", F.lit(255)), 4), F.array_join(words, ""))))
+    if mate:
+        told["mate"] = F.concat(head, _place("mtid", "pnext"))
+    return x.select(T.value("RG").alias("group"), FL.bit(F.col("flag"), FL.QCFAIL).alias("failed"), *[_factor(F.crc32(c)).alias(k) for k, c in told.items()])
 
 
 FIELDS = ["seq", "name", "qual", "aux"]
+#: Fields on demand.
+MORE = ["pos", "cigar", "mate"]
+
+
+def _fields(rows: DataFrame) -> list[str]:
+    return [f for f in FIELDS + MORE if f in rows.columns]
 
 
 def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n and the products of rows with n and factors, over levels of FOLD rows each, as many as the number of rows
     asks for: no list grows with the data."""
-    parts, deals = rows, max(1, -(-rows.count() // FOLD))
+    fields, parts, deals = _fields(rows), rows, max(1, -(-rows.count() // FOLD))
     deal = F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.lit(deals))  # equal rows are dealt apart
     parts = parts.withColumn("deal", deal)
     while True:
-        parts = parts.groupBy(*keys, "deal").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in FIELDS])
+        parts = parts.groupBy(*keys, "deal").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in fields])
         if deals == 1:
             return parts.drop("deal")
         deals = -(-deals // FOLD)
@@ -53,22 +80,23 @@ def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def checksum(df: DataFrame, **options) -> DataFrame:
-    """scope, group, n, seq, name, qual, aux: products modulo a prime, in any order. Scopes: 'group' (one row for each read
+    """scope, group, n, seq, name, qual, aux (and pos, cigar, mate on demand): products modulo a prime, in any order. Scopes: 'group' (one row for each read
     group, null for records without one), 'all', and of all records 'pass' and 'fail' by the quality flag."""
     rows = record_factors(df, **options).withColumn("n", F.lit(1).cast("bigint"))
     parts = _folded(rows, ["group", "failed"])
     scopes = F.array(*[F.struct(F.lit(k).alias("scope"), g.alias("group")) for k, g in (("group", F.col("group")), ("all", F.lit(None).cast("string")))], F.struct(F.when(F.col("failed"), "fail").otherwise("pass").alias("scope"), F.lit(None).cast("string").alias("group")))
-    each = parts.select(F.explode(scopes).alias("s"), "n", *FIELDS).select("s.scope", "s.group", "n", *FIELDS)
-    return each.groupBy("scope", "group").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in FIELDS])  # two rows for each group
+    fields = _fields(parts)
+    each = parts.select(F.explode(scopes).alias("s"), "n", *fields).select("s.scope", "s.group", "n", *fields)
+    return each.groupBy("scope", "group").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in fields])  # two rows for each group
 
 
 def combined(sums: DataFrame) -> DataFrame:
     """group and the combined checksum. The sequences' product goes in twice and the qualities' not at all: the format's
     published values are made so."""
-    parts = F.array(F.shiftright("n", 32), F.col("n").bitwiseAND((1 << 32) - 1), "seq", "name", "seq", "aux")
+    parts = F.array(F.shiftright("n", 32), F.col("n").bitwiseAND((1 << 32) - 1), "seq", "name", "seq", "aux", *[f for f in MORE if f in sums.columns])
     return sums.select("scope", "group", F.aggregate(parts, F.lit(1).cast("bigint"), lambda a, c: (a * _factor(c)) % PRIME).alias("combined"))
 
 
 def merge_checksums(parts: DataFrame) -> DataFrame:
     """Checksums of several sets as one: products by scope and group."""
-    return parts.groupBy("scope", "group").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in FIELDS])
+    return parts.groupBy("scope", "group").agg(F.sum("n").alias("n"), *[_product(F.collect_list(f)).alias(f) for f in _fields(parts)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cigar as C, flags as FL, sequence as Q, tags as T
+from .multi import barcode as barcode_field
 
 
 def fixmate(df: DataFrame, scores: bool = False, template_cigar: bool = False, remove: bool = False) -> DataFrame:
@@ -56,25 +57,66 @@ def _template_cigar(mine: Column, mate: Column, k: Column) -> Column:
     return F.when(left, F.concat(end(mine), (mate["pos"] - mine["end"] - 1).cast("string"), F.lit("T"), end(mate)))
 
 
-def to_fastq(df: DataFrame, suffix: bool = False) -> DataFrame:
+def to_fastq(
+    df: DataFrame, suffix: bool = False, original: bool = False, default_quality: str = "B", strip: bool = False, strip_tag: str | None = None, umi: list[str] | None = None, casava: bool = False, barcode: str = "BC",
+    copy_tags: list[str] | None = None,
+) -> DataFrame:
     """qname, part (0 other, 1, 2), route, seq, qual: of each name and part the best record (one with qualities first),
-    turned back to the sequenced strand. route: 'pair' if both parts are there, 'single', or 'other'."""
+    turned back to the sequenced strand. route: 'pair' if both parts are there, 'single', or 'other'.
+
+    `suffix`: /1 or /2 at the name; `umi`: the first of these tags that is there goes to the name; `original`: qualities
+    of OQ where it is there. `strip`: without soft-clipped bases, and without reads of which nothing is left; with
+    `strip_tag` CIGAR, bases and qualities of what was clipped are a field of that tag. With `casava`, or with
+    `copy_tags` (a list of tags, an empty one for all), there is a column comment: the read's number, filter and barcode
+    (its own or the first one of its name), or the tags' fields.
+    """
     usable = df.where(~FL.bit(F.col("flag"), FL.SECONDARY | FL.SUPP))
     one, two = FL.bit(F.col("flag"), FL.READ1), FL.bit(F.col("flag"), FL.READ2)
     part = F.when(one & ~two, 1).when(two & ~one, 2).otherwise(0)
     w = Window.partitionBy("qname", "part").orderBy(F.when(F.col("qual").isNotNull(), 0).otherwise(1), "src", "ordinal")
-    best = usable.withColumn("part", part).withColumn("_k", F.row_number().over(w)).where("_k = 1")
     by_name = Window.partitionBy("qname")
+    if casava:
+        whole = by_name.orderBy("src", "ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        usable = usable.withColumn("_first", F.first(F.when(T.value(barcode) != "", T.value(barcode)), ignorenulls=True).over(whole))
+    best = usable.withColumn("part", part).withColumn("_k", F.row_number().over(w)).where("_k = 1")
     has = lambda p: F.max((F.col("part") == p).cast("int")).over(by_name) == 1
     rev = FL.bit(F.col("flag"), FL.REVERSE)
-    seq = F.when(rev, Q.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    qual = F.coalesce(F.when(rev, F.reverse("qual")).otherwise(F.col("qual")), F.repeat(F.lit("B"), F.length("seq")))
-    name = F.when(F.lit(suffix) & (F.col("part") > 0), F.concat("qname", F.lit("/"), F.col("part").cast("string"))).otherwise(F.col("qname"))
-    return best.select(name.alias("qname"), "part", F.when(F.col("part") == 0, "other").when(has(1) & has(2), "pair").otherwise("single").alias("route"), seq.alias("seq"), qual.alias("qual"))
+    bases, quals = F.col("seq"), F.coalesce(*([T.value("OQ")] if original else []), F.col("qual"), F.repeat(F.lit(default_quality), F.length("seq")))
+    ops = C.ops(F.col("cigar"))
+    head, tail = C.soft_ends(ops)
+    inner = lambda c: F.substr(c, (head + 1).cast("int"), F.greatest(F.length(c) - head - tail, F.lit(0)).cast("int"))
+    outer = lambda c: F.concat(F.substr(c, F.lit(1), head.cast("int")), F.substr(c, (F.length(c) - tail + 1).cast("int"), tail.cast("int")))
+    turned_seq = lambda c: F.when(rev, Q.reverse_complement(c)).otherwise(c)
+    turned = lambda c: F.when(rev, F.reverse(c)).otherwise(c)
+    name = F.col("qname")
+    if umi:
+        found = F.regexp_replace(F.coalesce(*[T.value(t) for t in umi]), "[^A-Za-z]", "+")
+        name = F.when(found.isNull(), name).when(name.contains("#"), F.regexp_replace(name, F.lit("#([^#]*)$"), F.concat(F.lit(":"), found, F.lit("#$1")))).otherwise(F.concat(name, F.lit(":"), found))
+    if suffix:
+        name = F.when(F.col("part") > 0, F.concat(name, F.lit("/"), F.col("part").cast("string"))).otherwise(name)
+    comment = []
+    if casava:
+        own = F.coalesce(barcode_field(T.value(barcode)), F.lit("0"))
+        told = F.when(own == "0", F.coalesce(barcode_field(F.col("_first")), F.lit("0"))).otherwise(own)
+        comment = [F.concat(F.when(two, "2").otherwise("1"), F.lit(":"), F.when(FL.bit(F.col("flag"), FL.QCFAIL), "Y").otherwise("N"), F.lit(":0:"), told).alias("comment")]
+    elif copy_tags is not None:
+        wanted = (lambda k: k.isin(*copy_tags)) if copy_tags else (lambda k: F.lit(True))
+        backup = strip and strip_tag is not None and (not copy_tags or strip_tag in copy_tags)
+        clipped = F.lit(backup) & (head + tail > 0)
+        fields = F.transform(F.filter("tag_order", lambda k: wanted(k) & ~(clipped & (k == F.lit(strip_tag or "")))), lambda k: F.concat(k, F.lit(":"), F.element_at("tags", k)["t"], F.lit(":"), F.element_at("tags", k)["v"]))
+        saved = F.concat(F.lit(f"{strip_tag}:Z:"), C.format_ops(turned(ops)), F.lit(":"), turned_seq(outer(bases)), F.lit(":"), turned(outer(quals)))
+        comment = [F.array_join(F.concat(fields, F.when(clipped, F.array(saved)).otherwise(F.array().cast("array<string>"))), "\t").alias("comment")]
+    seq, qual = turned_seq(inner(bases) if strip else bases), turned(inner(quals) if strip else quals)
+    out = best.select(name.alias("qname"), "part", F.when(F.col("part") == 0, "other").when(has(1) & has(2), "pair").otherwise("single").alias("route"), seq.alias("seq"), qual.alias("qual"), *comment)
+    return out.where("seq <> ''") if strip else out
 
 
 def fastq_text(reads: DataFrame) -> DataFrame:
-    return reads.select(F.concat(F.lit("@"), "qname", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+    """value: the lines of each read of to_fastq; a comment of fields stands behind a tab, another behind a blank."""
+    comment = []
+    if "comment" in reads.columns:
+        comment = [F.when(F.col("comment") == "", "").otherwise(F.concat(F.when(F.col("comment").rlike("^[12]:[YN]:0:"), " ").otherwise("\t"), "comment"))]
+    return reads.select(F.concat(F.lit("@"), "qname", *comment, F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
 
 
 def fastq_counts(reads: DataFrame) -> DataFrame:

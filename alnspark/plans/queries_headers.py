@@ -41,6 +41,20 @@ _ROUTES = """p AS (SELECT *, CASE WHEN flag & 192 = 64 THEN 1 WHEN flag & 192 =
 register("fastq_counts", lambda s, d: mates.fastq_counts(mates.to_fastq(reads(s, d))), f"WITH picked AS (SELECT * FROM reads), {_ROUTES}", "reads")
 register("fastq_tag_filters", lambda s, d: mates.fastq_counts(mates.to_fastq(V.by_tags(reads(s, d), {"RG": ["rgA", "rgN"], "BC": None}))),
     f"WITH picked AS (SELECT * FROM reads WHERE rg IN ('rgA', 'rgN') AND bc IS NOT NULL), {_ROUTES}", "reads")
+_PAYLOAD = """u AS (SELECT *, CASE WHEN flag & 192 = 64 THEN 1 WHEN flag & 192 = 128 THEN 2 ELSE 0 END AS part, coalesce(nullif(regexp_extract(cigar, '^(?:[0-9]+H)?([0-9]+)S', 1), '')::INT, 0) AS a,
+    coalesce(nullif(regexp_extract(cigar, '([0-9]+)S(?:[0-9]+H)?$', 1), '')::INT, 0) AS z, coalesce(qual, repeat('B', length(seq))) AS ql FROM reads WHERE flag & 2304 = 0),
+  n AS (SELECT qname, first(bc ORDER BY src, ordinal) FILTER (bc IS NOT NULL) AS name_bc FROM u GROUP BY 1),
+  b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY qname, part ORDER BY CASE WHEN qual IS NULL THEN 1 ELSE 0 END, src, ordinal) = 1),
+  c AS (SELECT b.*, name_bc, substr(seq, a + 1, length(seq) - a - z) AS s, substr(ql, a + 1, length(seq) - a - z) AS q, CASE WHEN part = 0 THEN 'other' WHEN max((part = 1)::INT) OVER w = 1 AND max((part = 2)::INT) OVER w = 1 THEN 'pair' ELSE 'single' END AS route
+    FROM b JOIN n USING (qname) WINDOW w AS (PARTITION BY qname)),
+  t AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS ts, CASE WHEN flag & 16 <> 0 THEN reverse(q) ELSE q END AS tq, substr(seq, 1, a) || substr(seq, length(seq) - z + 1, z) AS os,
+    substr(ql, 1, a) || substr(ql, length(seq) - z + 1, z) AS oq FROM c)"""
+register("fastq_payload", lambda s, d: mates.to_fastq(reads(s, d), suffix=True, strip=True, umi=["XX", "BC"], casava=True),
+    f"""WITH {_PAYLOAD} SELECT concat(qname, coalesce(':' || bc, ''), CASE WHEN part > 0 THEN '/' || part ELSE '' END) AS qname, part, route, ts AS seq, tq AS qual,
+      concat(CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END, ':', CASE WHEN flag & 512 <> 0 THEN 'Y' ELSE 'N' END, ':0:', coalesce(bc, name_bc, '0')) AS comment FROM t""", "reads")
+register("fastq_copied_tags", lambda s, d: mates.to_fastq(reads(s, d), strip=True, strip_tag="XC", copy_tags=["RG", "XC", "NM"]),
+    f"""WITH {_PAYLOAD} SELECT qname, part, route, ts AS seq, tq AS qual, concat_ws(chr(9), 'RG:Z:' || rg, 'NM:i:' || nm, CASE WHEN a + z > 0 THEN concat('XC:Z:', CASE WHEN flag & 16 <> 0
+      THEN concat(list_aggregate(list_reverse(regexp_extract_all(cigar, '[0-9]+[A-Z]')), 'string_agg', ''), ':', reverse(translate(os, 'ACGT', 'TGCA')), ':', reverse(oq)) ELSE concat(cigar, ':', os, ':', oq) END) END) AS comment FROM t""", "reads")
 
 
 def _tagged(s, d):

@@ -83,6 +83,12 @@ register("amplicon_template_coordinates", lambda s, d: A.template_coordinates(re
 register("primer_clips", lambda s, d: A.primer_clips(reads(s, d), primers(s, d)).drop("src"),
     """SELECT s.ordinal, coalesce(max(end0_p - s.start0) FILTER (strand = '+' AND s.start0 >= greatest(start0_p - 5, 0) AND s.start0 < end0_p), 0) AS "left", coalesce(max(s.end0 - start0_p) FILTER (strand = '-' AND s.end0 > start0_p AND s.end0 <= end0_p + 5), 0) AS "right"
     FROM (SELECT * FROM span WHERE flag & 4 = 0 AND rname IS NOT NULL) s LEFT JOIN (SELECT chrom, start0 AS start0_p, end0 AS end0_p, strand FROM primers) p ON p.chrom = s.rname GROUP BY s.ordinal, s.src""", "span", "primers")
+register("primer_clip_counts", lambda s, d: A.clip_counts(reads(s, d), primers(s, d)),
+    """WITH w AS (SELECT s.ordinal, s.src, s.flag, coalesce(max(CASE WHEN strand = '+' AND s.start0 >= greatest(p.s - 5, 0) AND s.start0 < p.e THEN p.e - s.start0 END), 0) AS l, coalesce(max(CASE WHEN strand = '-' AND s.end0 > p.s AND s.end0 <= p.e + 5 THEN s.end0 - p.s END), 0) AS r
+      FROM span s JOIN (SELECT chrom, start0 AS s, end0 AS e, strand FROM primers) p ON p.chrom = s.rname WHERE flag & 516 = 0 GROUP BY 1, 2, 3)
+    SELECT (SELECT count(*) FROM reads) AS total, (SELECT count(*) FROM reads) - count(*) AS excluded, count(*) FILTER (flag & 16 = 0 AND l > 0) AS forward, count(*) FILTER (flag & 16 <> 0 AND r > 0) AS reverse, 0::BIGINT AS both,
+      count(*) FILTER (NOT (flag & 16 = 0 AND l > 0) AND NOT (flag & 16 <> 0 AND r > 0)) AS not_clipped FROM w""", "span", "primers")
+register("checksum_all_fields", lambda s, d: K.checksum(reads(s, d), position=True, cigar=True, mate=True))
 register("primer_clip", lambda s, d: A.clip(reads(s, d), primers(s, d)).select("ordinal", "flag", "pos", "cigar"))
 
 register("pileup_bases", lambda s, d: P.bases(reads(s, d)).where("base not in ('*', '>')").groupBy("chrom", "pos", "base").agg(F.count("*").alias("n"), F.sum("q").cast("bigint").alias("quality")),

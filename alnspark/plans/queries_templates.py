@@ -101,6 +101,9 @@ register("markdup_remove_barcode", lambda s, d: dedup.markdup(_fixed(s, d), barc
       ELSE bool_or(paired) OVER (PARTITION BY t, sa, r, rg, bc) OR row_number() OVER (PARTITION BY paired, t, sa, r, rg, bc ORDER BY score DESC, ordinal) > 1 END AS twin FROM y),
     z AS (SELECT fm.ordinal, qname, flag & ~1024 AS flag, coalesce(twin, false) AS twin FROM fm LEFT JOIN g USING (ordinal, src)), seed AS (SELECT DISTINCT qname FROM z WHERE twin AND flag & 8 <> 0)
     SELECT ordinal, flag FROM z WHERE NOT twin AND NOT (flag & 2308 <> 0 AND qname IN (SELECT qname FROM seed))""", "lens")
+register("markdup_barcode_pattern", lambda s, d: dedup.duplicates(_fixed(s, d), barcode_pattern="([0-9])$").select("ordinal", "kind", "dup"),
+    f"""WITH {_DUPS} SELECT ordinal, CASE WHEN paired THEN 'pair' ELSE 'single' END AS kind, CASE WHEN paired THEN row_number() OVER (PARTITION BY paired, t, ka, ot, kb, lft, ori, right(qname, 1) ORDER BY score + coalesce(ms, 0) DESC, qname, ordinal) > 1
+      ELSE bool_or(paired) OVER (PARTITION BY t, sa, r, right(qname, 1)) OR row_number() OVER (PARTITION BY paired, t, sa, r, right(qname, 1) ORDER BY score DESC, ordinal) > 1 END AS dup FROM ky""", "lens")
 register("markdup_metrics", lambda s, d: dedup.markdup_metrics(_fixed(s, d)).drop("library_size"),
     f"""WITH {_DUPS} SELECT count(*) AS examined, count(*) FILTER (paired) AS paired, count(*) FILTER (NOT paired) AS single, count(*) FILTER (paired AND dup) AS duplicate_pair, count(*) FILTER (NOT paired AND dup) AS duplicate_single,
     (SELECT count(*) FROM fm WHERE flag & 2308 = 0 AND flag & 512 <> 0) AS excluded FROM dd""", "lens")

@@ -1,22 +1,29 @@
-"""SAM text in byte ranges, BAM by file, as read records; headers on the driver.
+"""SAM text in byte ranges, BAM in ranges of blocks, as read records; headers on the driver.
 
-ordinal is the record's place in the file: its byte offset for SAM, its number for BAM. src numbers the files.
+ordinal is the record's place in the file: its byte offset for SAM, its virtual offset (block and place in it) for BAM.
+src numbers the files.
 """
 
 from __future__ import annotations
 
+import io
 import struct
+import zlib
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import READS
-from .files import open_file, open_text, paths_of
+from .files import _Raw, open_file, open_text, paths_of
 
-#: Bytes of SAM text in a partition.
+#: Bytes of SAM text, or of packed blocks, in a partition.
 SPLIT = 64 << 20
-# Fixed values of the format: operations, bases, tag types.
+#: Records in a row that tell where a range of blocks has its first one.
+CHAIN = 8
+# Fixed values of the format: operations, bases, sizes of a block and its head, tag types.
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+BLOCK_HEAD, MOST_BLOCK = 18, 1 << 16
 KINDS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
@@ -166,46 +173,195 @@ def _aux(data: bytes) -> tuple[dict[str, tuple[str, str]], list[str]]:
     return tags, order
 
 
+def _bam_header(path: str) -> tuple[list[str], int]:
+    """The references' names and the header's size before packing."""
+    f = open_text(path)
+    if f.read(4) != b"BAM\1":
+        raise ValueError(f"{path} is no BAM file")
+    text = struct.unpack("<i", f.read(4))[0]
+    f.read(text)
+    size, names = 12 + text, []
+    for _ in range(struct.unpack("<i", f.read(4))[0]):
+        n = struct.unpack("<i", f.read(4))[0]
+        names.append(f.read(n)[:-1].decode())
+        f.read(4)
+        size += 8 + n
+    return names, size
+
+
+def _block_size(head: bytes) -> int:
+    """The size of the BGZF block that begins with these bytes; 0 if none does."""
+    packed = len(head) >= BLOCK_HEAD and head[:4] == b"\x1f\x8b\x08\x04" and head[12:16] == b"BC\x02\0"
+    return struct.unpack_from("<H", head, 16)[0] + 1 if packed else 0
+
+
+def _blocks(f, at: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """Place in the file and content of each block from `at` on."""
+    f.seek(at)
+    stream = io.BufferedReader(_Raw(f), 1 << 20)
+    while at < size:
+        head = stream.read(BLOCK_HEAD)
+        if not (n := _block_size(head)):
+            raise ValueError(f"no BGZF block at byte {at}")
+        yield at, zlib.decompress(stream.read(n - BLOCK_HEAD), -15)
+        at += n
+
+
+def _first_block(f, size: int, at: int) -> int | None:
+    """The first block that begins at `at` or later: one that another, or the end of the file, follows."""
+    while at < size:
+        f.seek(at)
+        data = f.read(2 * MOST_BLOCK + BLOCK_HEAD)
+        for k in range(min(MOST_BLOCK, len(data))):
+            if n := _block_size(data[k : k + BLOCK_HEAD]):
+                after = k + n
+                if at + after == size or _block_size(data[after : after + BLOCK_HEAD]):
+                    return at + k
+        at += MOST_BLOCK
+    return None
+
+
+def _records(blocks: Iterator[tuple[int, bytes]], skip: int) -> Iterator[tuple[int, int, bytes]]:
+    """The block that each record begins in, the place there, and the record, from `skip` bytes after the first block's
+    start on. A record that begins where a block ends begins in the next."""
+    data, base, marks = b"", 0, deque()
+    for at, content in blocks:
+        marks.append((base + len(data), at))
+        data += content
+        k = max(0, skip - base)
+        while len(data) - k >= 4:
+            n = struct.unpack_from("<i", data, k)[0]
+            if len(data) - k < 4 + n:
+                break
+            while len(marks) > 1 and marks[1][0] <= base + k:
+                marks.popleft()
+            yield marks[0][1], base + k - marks[0][0], data[k + 4 : k + 4 + n]
+            k += 4 + n
+        k = min(k, len(data))
+        data, base = data[k:], base + k
+    if data:
+        raise ValueError("the last record is cut")
+
+
+def _plausible(data: bytes, k: int, references_: int) -> int | None:
+    """The size of the record that may begin at k; 0 if none does; None if that takes more data."""
+    if len(data) - k < 36:
+        return None
+    n, tid, pos, name_size, _, _, ops, _, size, mtid, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", data, k)
+    low, high = min(tid, mtid, pos, mpos), max(tid, mtid)
+    if low < -1 or high >= references_ or not name_size or size < 0 or n < 32 + name_size + 4 * ops + (size + 1) // 2 + size:
+        return 0
+    name = data[k + 36 : k + 36 + name_size]
+    if len(name) < name_size:
+        return None
+    return 4 + n if name[-1] == 0 and all(33 <= c <= 126 for c in name[:-1]) else 0
+
+
+def _first_record(blocks: Iterator[tuple[int, bytes]], references_: int) -> int | None:
+    """Bytes from the first block's start to the first record: where CHAIN records, or all up to the file's end, follow
+    each other. None if no record begins there."""
+    data, k, ended = b"", 0, False
+    while True:
+        while k < len(data):
+            at, seen = k, 0
+            while seen < CHAIN and at < len(data):
+                n = _plausible(data, at, references_)
+                if not n:
+                    break
+                at, seen = at + n, seen + 1
+            else:
+                if seen == CHAIN or at == len(data) and ended:
+                    return k
+                n = None  # beyond what was read
+            if n is None and not ended:
+                break
+            k += 1
+        if ended:
+            return None
+        more = next(blocks, None)
+        ended = more is None
+        data += b"" if ended else more[1]
+
+
+def _bam_record(data: bytes, ordinal: int, src: int, names: list[str]) -> tuple:
+    tid, pos, name_size, mapq, _, ops, flag, size, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
+    at = 32
+    qname = data[at : at + name_size - 1].decode()
+    at += name_size
+    cigar = "".join(f"{c >> 4}{OPS[c & 15]}" for c in struct.unpack_from(f"<{ops}I", data, at))
+    at += 4 * ops
+    packed = data[at : at + (size + 1) // 2]
+    at += len(packed)
+    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:size]
+    raw = data[at : at + size]
+    at += size
+    qual = None if not raw or raw[0] == 255 else "".join(chr(b + 33) for b in raw)
+    tags, order = _aux(data[at:])
+    name = lambda t: names[t] if t >= 0 else None
+    return (
+        ordinal, src, qname, flag, tid if tid >= 0 else None, name(tid), pos + 1 or None, None if mapq == 255 else mapq, cigar or None,
+        mtid if mtid >= 0 else None, name(mtid), mpos + 1 or None, tlen, seq or None, qual, tags, order,
+    )
+
+
 class BamReader(DataSourceReader):
-    """One partition for each file: where records begin can't be told from the middle of one."""
+    """Ranges of blocks. Where the first record of a range begins is told from the records that follow it; the range
+    before, which knows for certain where its last one ends, fails if that was wrong. A file that isn't packed in BGZF
+    blocks is one partition."""
 
     def __init__(self, options):
         self.paths = paths_of(options)
+        self.split = int(options.get("splitbytes", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(p, k, 0, 0) for k, p in enumerate(self.paths)]
+        out = []
+        for k, p in enumerate(self.paths):
+            f, size = open_file(p)
+            step = max(1, self.split) if _block_size(f.read(BLOCK_HEAD)) else max(1, size)
+            out += [_Range(p, k, a, min(a + step, size)) for a in range(0, size, step)]
+        return out
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        f = open_text(part.path)
-        if f.read(4) != b"BAM\1":
-            raise ValueError(f"{part.path} is no BAM file")
-        f.read(struct.unpack("<i", f.read(4))[0])
-        names = []
-        for _ in range(struct.unpack("<i", f.read(4))[0]):
-            names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode())
-            f.read(4)
-        n = 0
-        while head := f.read(4):
-            data = f.read(struct.unpack("<i", head)[0])
-            tid, pos, name_size, mapq, _, ops, flag, size, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
-            at = 32
-            qname = data[at : at + name_size - 1].decode()
-            at += name_size
-            cigar = "".join(f"{c >> 4}{OPS[c & 15]}" for c in struct.unpack_from(f"<{ops}I", data, at))
-            at += 4 * ops
-            packed = data[at : at + (size + 1) // 2]
-            at += len(packed)
-            seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:size]
-            raw = data[at : at + size]
-            at += size
-            qual = None if not raw or raw[0] == 255 else "".join(chr(b + 33) for b in raw)
-            tags, order = _aux(data[at:])
-            name = lambda t: names[t] if t >= 0 else None
-            yield (
-                n, part.src, qname, flag, tid if tid >= 0 else None, name(tid), pos + 1 or None, None if mapq == 255 else mapq, cigar or None,
-                mtid if mtid >= 0 else None, name(mtid), mpos + 1 or None, tlen, seq or None, qual, tags, order,
-            )
-            n += 1
+        names, skip = _bam_header(part.path)
+        f, size = open_file(part.path)
+        if not _block_size(f.read(BLOCK_HEAD)):
+            stream = open_text(part.path)
+            whole = ((0, chunk) for chunk in iter(lambda: stream.read(1 << 20), b""))
+            for n, (_, _, data) in enumerate(_records(whole, skip)):
+                yield _bam_record(data, n, part.src, names)
+            return
+        head = skip
+        if part.start:
+            first = _first_block(f, size, part.start)
+            skip = None if first is None else self._start(f, first, size, len(names), head)
+        else:
+            first = 0
+        if skip is None:
+            return
+        for at, place, data in _records(_blocks(f, first, size), skip):
+            if at >= part.end:
+                self._confirm(part, at, place, len(names), head)
+                return
+            yield _bam_record(data, at << 16 | place, part.src, names)
+
+    def _start(self, f, first: int, size: int, references_: int, head: int) -> int | None:
+        """Bytes from the block `first` to the first record in it or after; a header that reaches beyond it is passed."""
+        seen = 0
+        for at, content in _blocks(f, 0, size):
+            if at >= first or seen >= head:
+                break
+            seen += len(content)
+        if seen < head:  # the header isn't at its end here
+            return head - seen
+        return _first_record(_blocks(f, first, size), references_)
+
+    def _confirm(self, part: _Range, at: int, place: int, references_: int, head: int) -> None:
+        f, size = open_file(part.path)
+        first = _first_block(f, size, part.end)
+        skip = None if first is None else self._start(f, first, size, references_, head)
+        told = None if skip is None else next(((a, p) for a, p, _ in _records(_blocks(f, first, size), skip)), None)
+        if told != (at, place):
+            raise ValueError(f"{part.path}: a record begins in block {at} at {place}, not at {told}; set splitBytes to the file's size")
 
 
 class BamSource(DataSource):

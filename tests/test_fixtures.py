@@ -386,3 +386,116 @@ def test_checksum_of_a_group_called_all(spark):
     assert {(r.scope, r.group): r.n for r in whole.collect()} == {("group", "all"): 1, ("group", "g"): 1, ("group", None): 1, ("all", None): 3, ("pass", None): 2, ("fail", None): 1}
     again = checksum.merge_checksums(checksum.checksum(df.limit(1)).union(checksum.checksum(df.where("qname <> 'a'"))))
     assert {(r.scope, r.group): r.n for r in again.collect()} == {(r.scope, r.group): r.n for r in whole.collect()}
+
+
+def bam_bytes(records, block, refs=(("chr1", 2000), ("chr2", 2000))):
+    """A BAM file of these SAM lines in blocks of so many bytes each."""
+    import struct
+    import zlib
+
+    from alnspark.sources.alignments import BASES, OPS
+
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(refs)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in refs)
+    body = b""
+    for name, flag, tid, pos, cigar, seq in records:
+        codes = [BASES.index(c) for c in seq + "=" * (len(seq) % 2)]
+        rest = name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | OPS.index(k)) for n, k in cigar) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + bytes([30] * len(seq)) + b"RGZg\0"
+        rec = struct.pack("<iiBBHHHiiii", tid, pos - 1, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0) + rest
+        body += struct.pack("<i", len(rec)) + rec
+    data, out = head + body, b""
+    for k in range(0, len(data), block):
+        part = data[k : k + block]
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = z.compress(part) + z.flush()
+        out += b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part))
+    from alnspark.sources.sequences import BGZF_END
+
+    return out + BGZF_END
+
+
+@pytest.mark.parametrize("block", [150, 1000, 60000])
+def test_bam_by_ranges_of_blocks(spark, tmp_path, block):
+    records = [(f"read{k}", 16 * (k % 2), k % 2, k + 1, [(3 + k % 50, "M"), (2, "S")], "ACGTN"[k % 5] * (5 + k % 50)) for k in range(300)] + [("long", 0, 1, 5, [(5000, "M")], "A" * 5000)] + [("x", 0, 1, 9, [(1, "M")], "C")]
+    data = bam_bytes(records, block)
+    (tmp_path / "x.bam").write_bytes(data)
+    sources.register(spark)
+    for split in (400, 3000, 10**8):
+        df = spark.read.format("bam").option("splitBytes", split).load(str(tmp_path / "x.bam"))
+        got = df.orderBy("ordinal").collect()
+        assert [(r.qname, r.flag, r.rname, r.pos, r.cigar, r.seq) for r in got] == [(n, f, f"chr{t + 1}", p, "".join(f"{a}{b}" for a, b in c), s) for n, f, t, p, c, s in records]
+        assert df.rdd.getNumPartitions() == -(-len(data) // split)
+    with pytest.raises(Exception, match="cut|BGZF|incomplete"):
+        (tmp_path / "y.bam").write_bytes(data[: len(data) // 2])
+        spark.read.format("bam").load(str(tmp_path / "y.bam")).collect()
+
+
+def test_bam_ranges_fail_rather_than_guess_wrong():
+    from alnspark.sources import alignments as A
+
+    reader = A.BamReader({"path": "none"})
+    reader._start = lambda *_: None
+    with pytest.raises(ValueError, match="splitBytes"):
+        import tempfile
+
+        with tempfile.NamedTemporaryFile(suffix=".bam") as f:
+            f.write(bam_bytes([(f"r{k}", 0, 0, k + 1, [(4, "M")], "ACGT") for k in range(200)], 300))
+            f.flush()
+            list(reader.read(A._Range(f.name, 0, 0, 500)))
+
+
+def test_checksum_fields_by_hand(spark):
+    import struct
+    import zlib
+
+    from alnspark.operators import checksum
+
+    df = sam(spark, "a 67 chr1 7 60 2M1S = 20 0 ACG III", "b 4 * 0 255 * * 0 0 ACG III")
+    rows = {r.scope: r for r in checksum.checksum(df, position=True, cigar=True, mate=True).collect()}
+    product = lambda *crcs: crcs[0] % checksum.PRIME * (crcs[1] % checksum.PRIME) % checksum.PRIME
+    crc = lambda flag, rest: zlib.crc32(bytes([flag & 193]) + b"ACG" + rest) & checksum.PRIME
+    assert rows["all"].pos == product(crc(67, struct.pack("<iq", 0, 6)), crc(4, struct.pack("<iq", -1, -1)))
+    assert rows["all"].mate == product(crc(67, struct.pack("<iq", 0, 19)), crc(4, struct.pack("<iq", -1, -1)))
+    assert rows["all"].cigar == product(crc(67, struct.pack("<III", 60, 2 << 4, 1 << 4 | 4)), crc(4, struct.pack("<I", 255)))
+    assert {r.scope for r in checksum.combined(checksum.checksum(df, position=True)).collect()} == set(rows)
+    assert checksum.checksum(df).columns == ["scope", "group", "n", "seq", "name", "qual", "aux"]
+
+
+def test_clip_options(spark):
+    from alnspark.operators import amplicon
+
+    primers = spark.createDataFrame([("chr1", 0, 5, "+"), ("chr1", 15, 20, "-")], "chrom string, start0 bigint, end0 bigint, strand string")
+    df = sam(
+        spark, "f 0 chr1 3 60 10M * 0 0 ACGTACGTAC IIIIIIIIII NM:i:0", "in 0 chr1 8 60 5M * 0 0 ACGTA IIIII", "bad 512 chr1 3 60 10M * 0 0 ACGTACGTAC IIIIIIIIII", "far 0 chr2 3 60 4M * 0 0 ACGT IIII",
+        "both 0 chr1 3 60 16M * 0 0 ACGTACGTACGTACGT IIIIIIIIIIIIIIII", refs=(("chr1", 2000), ("chr2", 2000)),
+    )
+    got = lambda **o: {r.qname: r for r in amplicon.clip(df, primers, **o).collect()}
+    plain = got()
+    assert {k: r.cigar for k, r in plain.items()} == {"f": "3S7M", "in": "5M", "bad": "10M", "far": "4M", "both": "3S13M"}
+    assert got(both_ends=True)["both"].cigar == "3S10M3S"
+    assert got(original=True)["f"].tags["OA"].v == "f,3,+,10M,60,0;" and "OA" not in got(original=True)["in"].tags
+    assert {k: r.flag for k, r in got(mark_fail=True).items()} == {"f": 0, "in": 512, "bad": 512, "far": 0, "both": 0}
+    assert {k: r.flag for k, r in got(fail_length=7).items()} == {"f": 512, "in": 512, "bad": 512, "far": 0, "both": 0}
+    assert set(got(filter_length=7)) == {"bad", "far", "both"} and set(got(filter_length=7, rejects=True)) == {"f", "in"}
+    unmapped = got(unmap_length=5)["in"]
+    assert (unmapped.flag, unmapped.mapq, unmapped.cigar) == (4, 0, None)
+    assert set(got(only_clipped=True)) == {"f", "bad", "far", "both"} and set(got(drop_excluded=True)) == {"f", "in", "both"}
+    assert amplicon.clip_counts(df, primers, both_ends=True).first().asDict() == {"total": 5, "excluded": 2, "forward": 2, "reverse": 1, "both": 1, "not_clipped": 1}
+
+
+def test_fastq_names_clips_and_comments(spark):
+    df = sam(spark, "a#7 80 chr1 1 60 2S3M * 0 0 ACGTN ABCDE OQ:Z:IIIII RX:Z:AC-G BC:Z:ac-g NM:i:1", "a#7 128 chr1 1 60 5M * 0 0 ACGTA *", "gone 0 chr1 1 60 4S * 0 0 ACGT IIII", "b 512 chr1 1 60 4M * 0 0 ACGT IIII BC:Z:1AC")
+    full = {(r.qname, r.part): r for r in mates.to_fastq(df, suffix=True, original=True, default_quality="!", umi=["RX"], casava=True, strip=True).collect()}
+    one, two = full[("a:AC+G#7/1", 1)], full[("a#7/2", 2)]
+    assert (one.seq, one.qual, one.comment) == ("NAC", "III", "1:N:0:AC+G") and (two.seq, two.qual, two.comment) == ("ACGTA", "!!!!!", "2:N:0:AC+G")
+    assert full[("b", 0)].comment == "1:Y:0:0" and len(full) == 3
+    kept = {r.qname: r.comment for r in mates.to_fastq(df.where("flag <> 128"), strip=True, strip_tag="XC", copy_tags=[]).collect()}
+    assert kept["a#7"] == "OQ:Z:IIIII\tRX:Z:AC-G\tBC:Z:ac-g\tNM:i:1\tXC:Z:3M2S:GT:BA" and kept["b"] == "BC:Z:1AC"
+    lines = {r.value for r in mates.fastq_text(mates.to_fastq(df.where("qname = 'b'"), casava=True)).collect()}
+    assert lines == {"@b 1:Y:0:0\nACGT\n+\nIIII"}
+
+
+def test_duplicates_of_a_crowded_place(spark):
+    df = sam(spark, *(f"p{k} {99 if k % 2 else 99 + 512} chr1 100 60 10M = 200 110 ACGTACGTAC {chr(60 + k % 7) * 10} MC:Z:10M" for k in range(60)), *(f"s{k} 0 chr1 100 60 10M * 0 0 ACGTACGTAC IIIIIIIIII" for k in range(5)), "t 0 chr1 500 60 4M * 0 0 ACGT IIII", "u 0 chr1 500 60 4M * 0 0 ACGT JJJJ")
+    kept = {r.qname for r in dedup.duplicates(df, include_fails=True).where("not dup").collect()}
+    assert kept == {"p13", "u"}
+    assert dedup.duplicate_counts(df).first().n == 29 and dedup.markdup_metrics(df).first().excluded == 30

@@ -18,6 +18,7 @@ CHOSEN = [
     "consensus_ambiguous", "consensus_text", "calmd", "calmd_masked", "reference_text", "stats_trimmed_bases", "fixmate_template_cigar", "sort_template_coordinate", "markdup_sequence_mode",
     "markdup_remove_barcode", "rmdup_paired", "markdup_optical", "header_groups", "header_references", "matching_references", "name_hash", "view_validated", "original_alignment", "fastq_counts", "fastq_tag_filters",
     "stats_barcode_bases", "stats_barcode_qualities", "header_order", "merge_inputs", "merge_inputs_combined", "merge_inputs_groups",
+    "fastq_payload", "fastq_copied_tags", "primer_clip_counts", "markdup_barcode_pattern", "markdup_counts", "markdup_flags",
 ]
 
 
