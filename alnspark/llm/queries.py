@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, neardup, packing, ppm, quality, sentencepieces, sharding, tokencounts, toxicity
+from . import collocations, fingerprint, langid, neardup, packing, ppm, quality, sentencepieces, sharding, tokencounts, topk, toxicity, turns
 from .common import documents, scratch_path
 
 
@@ -67,6 +67,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("piece_ids").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.summarize(turns.damage(conversations), conversations)
+
+
+def op12_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -78,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_pivot_top_k": op12_pivot_top_k,
+    "op13_collocations": op13_collocations,
 }
