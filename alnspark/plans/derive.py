@@ -79,6 +79,16 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_reads(spark, sf_dir).withColumns({"tags": F.map_from_entries(present), "tag_order": F.transform(present, lambda e: e["key"])}).drop(*names)
 
 
+def spread_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placed reads over 150 million bases of their references, some across a gap of 20,000."""
+    placed = reads(spark, sf_dir).where("rname is not null")
+    return placed.withColumns({"pos": F.expr("(ordinal * 7919) % 150000000 + 1"), "cigar": F.expr("if(ordinal % 50 = 0, '4M20000N6M', '10M')")})
+
+
+def wide_header_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return header_sq(spark, sf_dir).withColumn("length", F.lit(150_100_000).cast("bigint"))
+
+
 def header_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, HEADER_SQ_SQL, "nation")
 

@@ -12,7 +12,9 @@ SOURCES = (SamSource, BamSource, FastaSource, FastqSource)
 
 
 def register(spark: SparkSession) -> None:
-    """After this, spark.read.format('sam'), 'bam', 'fasta' and 'fastq' work."""
+    """After this, spark.read.format('sam'), 'bam', 'fasta' and 'fastq' work, and df.write.format('bam'). The bam source
+    takes conditions on places, which the session must allow."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     for source in SOURCES:
         spark.dataSource.register(source)
 

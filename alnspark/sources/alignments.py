@@ -1,4 +1,4 @@
-"""SAM text in byte ranges, BAM in ranges of blocks, as read records; headers on the driver.
+"""SAM text in byte ranges, BAM in ranges of blocks or by its index, as read records; headers on the driver.
 
 ordinal is the record's place in the file: its byte offset for SAM, its virtual offset (block and place in it) for BAM.
 src numbers the files.
@@ -12,10 +12,13 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..operators.intervals import parse_region
 from ..schema import READS
-from .files import _Raw, open_file, open_text, paths_of
+from . import bai
+from .bam_write import BamWriter
+from .files import _Raw, file_system, open_file, open_text, paths_of
 
 #: Bytes of SAM text, or of packed blocks, in a partition.
 SPLIT = 64 << 20
@@ -76,8 +79,10 @@ def parse_record(line: str, ordinal: int, src: int, tids: dict[str, int]) -> tup
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, src: int, start: int, end: int):
-        self.path, self.src, self.start, self.end = path, src, start, end
+    """Bytes of a file; or, with an index, chunks: where the wanted records begin."""
+
+    def __init__(self, path: str, src: int, start: int, end: int, chunks: list[tuple[int, int]] | None = None):
+        self.path, self.src, self.start, self.end, self.chunks = path, src, start, end, chunks
 
 
 class SamReader(DataSourceReader):
@@ -173,6 +178,13 @@ def _aux(data: bytes) -> tuple[dict[str, tuple[str, str]], list[str]]:
     return tags, order
 
 
+def bam_header_text(path: str) -> str:
+    f = open_text(path)
+    if f.read(4) != b"BAM\1":
+        raise ValueError(f"{path} is no BAM file")
+    return f.read(struct.unpack("<i", f.read(4))[0]).rstrip(b"\0").decode()
+
+
 def _bam_header(path: str) -> tuple[list[str], int]:
     """The references' names and the header's size before packing."""
     f = open_text(path)
@@ -297,6 +309,9 @@ def _bam_record(data: bytes, ordinal: int, src: int, names: list[str]) -> tuple:
     at += size
     qual = None if not raw or raw[0] == 255 else "".join(chr(b + 33) for b in raw)
     tags, order = _aux(data[at:])
+    if ops == 2 and cigar.startswith(f"{size}S") and cigar.endswith("N") and tags.get("CG", ("", ""))[1].startswith("I,"):  # operations beyond 65,535
+        cigar = "".join(f"{int(c) >> 4}{OPS[int(c) & 15]}" for c in tags.pop("CG")[1].split(",")[1:])
+        order.remove("CG")
     name = lambda t: names[t] if t >= 0 else None
     return (
         ordinal, src, qname, flag, tid if tid >= 0 else None, name(tid), pos + 1 or None, None if mapq == 255 else mapq, cigar or None,
@@ -307,15 +322,66 @@ def _bam_record(data: bytes, ordinal: int, src: int, names: list[str]) -> tuple:
 class BamReader(DataSourceReader):
     """Ranges of blocks. Where the first record of a range begins is told from the records that follow it; the range
     before, which knows for certain where its last one ends, fails if that was wrong. A file that isn't packed in BGZF
-    blocks is one partition."""
+    blocks is one partition.
+
+    A file with an index beside it (.bai) is read in part if that does: the option `regions` (region strings with blanks between
+    them) or conditions on rname and pos (with spark.sql.python.filterPushdown.enabled) name the places. What is read holds all records there, and others too."""
 
     def __init__(self, options):
-        self.paths = paths_of(options)
+        self.paths = paths_of(options, ".bam")
         self.split = int(options.get("splitbytes", SPLIT))
+        self.regions = [parse_region(r) for r in options["regions"].split()] if "regions" in options else None
+        self.names: set[str] | None = None
+        self.low, self.high = 1, None
+
+    def pushFilters(self, filters):
+        """The first and last wanted start on a set of references; Spark holds all records against the conditions again."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("rname",) and isinstance(f, (EqualTo, In)):
+                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = names if self.names is None else self.names & names
+            elif column == ("pos",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            if column == ("pos",) and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                high = f.value - isinstance(f, LessThan)
+                self.high = high if self.high is None else min(self.high, high)
+        return filters
+
+    def _wanted(self) -> list[tuple[str, int, int | None]] | None:
+        """Places by reference; None: all records."""
+        if self.names is None:
+            return self.regions
+        pushed = [(n, self.low - 1, self.high) for n in sorted(self.names)]
+        if self.regions is None:
+            return pushed
+        return [r for r in self.regions if r[0] in self.names]
+
+    def _indexed(self, path: str, src: int, wanted) -> list[InputPartition] | None:
+        """Partitions of the chunks that an index has for the places; None without one, or for records without a place."""
+        fs, name = file_system(f"{path}.bai")
+        if not fs.get_file_info(name).is_file or any(n == "*" for n, _, _ in wanted):
+            return None
+        index = bai.decode(open_file(f"{path}.bai")[0].read())
+        tids = {n: k for k, n in enumerate(_bam_header(path)[0])}
+        chunks = sorted({c for n, a, b in wanted if n in tids for c in bai.ranges(index, tids[n], a, b)})
+        out: list[_Range] = []
+        for beg, end in chunks:
+            if not out or (beg >> 16) - (out[-1].chunks[0][0] >> 16) >= self.split:
+                out.append(_Range(path, src, 0, 0, []))
+            last = out[-1].chunks
+            if last and (beg >> 16) - (last[-1][1] >> 16) <= MOST_BLOCK:  # the same block or the next
+                last[-1] = (last[-1][0], max(end, last[-1][1]))
+            else:
+                last.append((beg, end))
+        return out
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        out, wanted = [], self._wanted()
         for k, p in enumerate(self.paths):
+            if wanted is not None and (some := self._indexed(p, k, wanted)) is not None:
+                out += some
+                continue
             f, size = open_file(p)
             step = max(1, self.split) if _block_size(f.read(BLOCK_HEAD)) else max(1, size)
             out += [_Range(p, k, a, min(a + step, size)) for a in range(0, size, step)]
@@ -324,6 +390,16 @@ class BamReader(DataSourceReader):
     def read(self, part: _Range) -> Iterator[tuple]:
         names, skip = _bam_header(part.path)
         f, size = open_file(part.path)
+        if part.chunks is not None:
+            done = 0
+            for beg, end in part.chunks:
+                for at, place, data in _records(_blocks(f, beg >> 16, size), beg & 0xFFFF):
+                    if (offset := at << 16 | place) >= end:
+                        break
+                    if offset >= done:
+                        yield _bam_record(data, offset, part.src, names)
+                        done = offset + 1
+            return
         if not _block_size(f.read(BLOCK_HEAD)):
             stream = open_text(part.path)
             whole = ((0, chunk) for chunk in iter(lambda: stream.read(1 << 20), b""))
@@ -374,3 +450,6 @@ class BamSource(DataSource):
 
     def reader(self, schema) -> BamReader:
         return BamReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        return BamWriter(self.options, overwrite)

@@ -6,11 +6,16 @@ import gzip
 import io
 
 
-def open_file(path: str):
-    """(seekable binary file, its size), on whatever file system the path names."""
+def file_system(path: str):
+    """The file system that a path names, and the path there."""
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str):
+    """(seekable binary file, its size), on whatever file system the path names."""
+    system, name = file_system(path)
     return system.open_input_file(name), system.get_file_info(name).size
 
 
@@ -35,10 +40,24 @@ class _Raw(io.RawIOBase):
         return len(data)
 
 
-def paths_of(options) -> list[str]:
-    """The paths of a load call: 'path', or 'paths' separated by commas."""
-    if "paths" in options:
-        return [p for p in options["paths"].split(",") if p]
-    if "path" not in options:
+def paths_of(options, suffix: str = "") -> list[str]:
+    """The paths of a load call: 'path', 'paths' separated by commas, or 'pathsFile', a file with one on each line. A
+    folder stands for its files with the suffix, by name."""
+    if "pathsfile" in options:
+        found = open_text(options["pathsfile"]).read().decode().splitlines()
+    elif "paths" in options:
+        found = options["paths"].split(",")
+    elif "path" in options:
+        found = [options["path"]]
+    else:
         raise ValueError("a path is missing")
-    return [options["path"]]
+    return [f for p in found if p.strip() for f in _within(p.strip(), suffix)]
+
+
+def _within(path: str, suffix: str) -> list[str]:
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, name = file_system(path)
+    if not suffix or fs.get_file_info(name).type != FileType.Directory:
+        return [path]
+    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in fs.get_file_info(FileSelector(name)) if f.is_file and f.base_name.endswith(suffix))
