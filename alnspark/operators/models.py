@@ -1,4 +1,4 @@
-"""Operators with a model along the reference: target segments, phasing, Bayesian consensus.
+"""Operators with a model along the reference: genotype calls, target segments, phasing.
 
 What can be counted is counted by DataFrame aggregates; what runs along a reference reads compact columns (one row for
 each position) in order, a reference at a time, in Arrow batches.
@@ -13,21 +13,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import pileup as P
 
 # What a position without a call, with a doubtful and with a good one adds to a target, and what a target's
-# beginning costs; thresholds of the phaser and of the consensus.
+# beginning costs; threshold of the phaser; how like errors depend on each other.
 EMISSION, SWITCH = (-4.0, 1.0, 6.0), -14000.0
-HET_LOD, CONSENSUS_CUTOFF = 37, 10
+HET_LOD = 37
 DEPENDENCE, ETA, MOST_READS = 0.83, 0.03, 255
-# Of the consensus: its genotypes as pairs of A, C, G, T and a gap (4), their letters, the prior of one with a gap beside
-# a base, and the quality of a base without one.
-GENOTYPES = [(x, y) for x in range(5) for y in range(x, 5)]
-LETTERS = "AMRWaCSYcGKgTt*"
-INDEL_PRIOR, NO_QUALITY = 2e-4, 10
 
 
 @lru_cache(maxsize=2)
 def error_model(dependence: float = DEPENDENCE):
     """The MAQ error model: how much each further error of one base and strand counts, the tail of the binomial for
-    errors, and the binomial for two alleles, as tables by quality, reads and errors."""
+    errors, and the binomial for two alleles, as tables by quality, reads and errors, for up to 255 reads."""
     import numpy as np
     from math import lgamma
 
@@ -49,6 +44,44 @@ def error_model(dependence: float = DEPENDENCE):
     return weight, beta, het
 
 
+@lru_cache(maxsize=4096)
+def tail_costs(q: int, reads: int):
+    """Phred of one error more, by the errors so far, as the table has it for up to 255 reads: for any number."""
+    import numpy as np
+    from math import lgamma
+
+    lf = np.array([lgamma(k + 1) for k in range(reads + 1)])
+    k, e = np.arange(reads + 1), 10 ** (-q / 10)
+    terms = lf[reads] - lf - lf[::-1] + k * np.log(e) + (reads - k) * np.log1p(-e)
+    tail = np.logaddexp.accumulate(terms[::-1])[::-1]
+    return np.append(-10 / np.log(10) * (tail[1:] - tail[:-1]), np.inf)
+
+
+def _error_costs(q, reads, errors):
+    """The costs of observations by quality, records of their column and like bases before them."""
+    import numpy as np
+
+    _, beta, _ = error_model()
+    out = beta[q, np.minimum(reads, 255), np.minimum(errors, 255)]
+    for k in np.unique(np.stack([q, reads])[:, reads > 255], axis=1).T:
+        at = (q == k[0]) & (reads == k[1])
+        out[at] = tail_costs(int(k[0]), int(k[1]))[errors[at]]
+    return out
+
+
+def _pair_costs(both, one):
+    """log of the binomial of `one` of `both` for two alleles, for any number."""
+    import numpy as np
+    from math import lgamma
+
+    _, _, het = error_model()
+    out = het[np.minimum(both, 255), np.minimum(one, 255)]
+    for at in np.argwhere(both > 255):
+        n, k = int(both[tuple(at)]), int(one[tuple(at)])
+        out[tuple(at)] = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - np.log(2) * n
+    return out
+
+
 def _rank(*keys):
     """The place of each row among those with the same keys, in the rows' order."""
     import numpy as np
@@ -61,30 +94,31 @@ def _rank(*keys):
     return out
 
 
-def genotype_costs(column, base, reverse, quality, count):
+def genotype_costs(column, base, reverse, quality, count, most_reads: int | None = MOST_READS):
     """Phred costs, columns by 4 by 4 bases, from counts of (base 0-3, strand, quality) of numbered columns.
 
     Within a column the best qualities count first, and each further record of one base and strand counts for less. Of a
-    column with more than MOST_READS records so many are taken, evenly over the order of qualities.
+    column with more than most_reads records so many are taken, evenly over the order of qualities, as the published model
+    does; with None all are.
     """
     import numpy as np
 
-    weight, beta, het = error_model()
+    weight = error_model()[0]
     order = np.lexsort((base, reverse, -quality, column))
     at = np.repeat(order, count[order])
     c, b, r, q = column[at], base[at], reverse[at], np.clip(quality[at], 4, 63)
     size = np.bincount(c)
-    place, limit = _rank(c), np.minimum(size, MOST_READS)
-    # record k of n stays if it is the first in its share of MOST_READS equal ones
+    place, limit = _rank(c), size if most_reads is None else np.minimum(size, most_reads)
+    # record k of n stays if it is the first in its share of most_reads equal ones
     keep = (place * limit[c]) // size[c] != ((place - 1) * limit[c]) // size[c]
     c, b, r, q = c[keep], b[keep], r[keep], q[keep]
     of_base = _rank(c, b)
-    cost = beta[q, limit[c], of_base]
-    cost = np.where(np.isfinite(cost), cost, 0.0) * weight[_rank(c, b, r)]
+    cost = _error_costs(q, limit[c], of_base)
+    cost = np.where(np.isfinite(cost), cost, 0.0) * weight[np.minimum(_rank(c, b, r), 255)]  # from there on it is the least
     total = np.bincount(4 * c + b, weights=cost, minlength=4 * len(size)).reshape(-1, 4)
     n = np.bincount(4 * c + b, minlength=4 * len(size)).reshape(-1, 4)
     others = total.sum(1)[:, None, None] - total[:, :, None] - total[:, None, :]
-    pair = np.maximum(0.0, others - 10 / np.log(10) * het[np.minimum(n[:, :, None] + n[:, None, :], 255), n[:, None, :]])
+    pair = np.maximum(0.0, others - 10 / np.log(10) * _pair_costs(n[:, :, None] + n[:, None, :], np.broadcast_to(n[:, None, :], (len(n), 4, 4))))
     pair[:, np.arange(4), np.arange(4)] = total.sum(1)[:, None] - total
     upper = np.triu(np.ones((4, 4), bool))
     return np.where(upper, pair, np.swapaxes(pair, 1, 2))
@@ -99,7 +133,7 @@ def columns(df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0) -> Dat
     return x.groupBy("chrom", "pos", "base", "reverse", "q").agg(F.count("*").alias("n")).groupBy("chrom", "pos").agg(F.collect_list(F.struct("base", "reverse", "q", "n")).alias("seen"))
 
 
-def _costs(batches, more):
+def _costs(batches, more, most_reads: int | None = MOST_READS):
     """more(chrom, pos, depth, costs) for each batch of `columns`, whose counts are flat arrays beside their sizes."""
     import numpy as np
 
@@ -109,12 +143,13 @@ def _costs(batches, more):
         column = np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy()))
         base, reverse, q, n = (flat.field(k).to_numpy().astype(np.int64) for k in ("base", "reverse", "q", "n"))
         if len(seen):
-            yield more(batch.column(0), batch.column(1), np.bincount(column, weights=n).astype(np.int32), genotype_costs(column, base, reverse, q, n))
+            yield more(batch.column(0), batch.column(1), np.bincount(column, weights=n).astype(np.int32), genotype_costs(column, base, reverse, q, n, most_reads))
 
 
-def calls(df: DataFrame, **options) -> DataFrame:
+def calls(df: DataFrame, most_reads: int | None = MOST_READS, **options) -> DataFrame:
     """chrom, pos, depth, best, second (genotypes as pairs of letters), lod: between the best genotype and the next; hom,
-    hom_quality: the best single base and what is between it and the next, 63 at most."""
+    hom_quality: the best single base and what is between it and the next, 63 at most. Of a position with more than
+    most_reads records the costs are of so many, evenly over the order of qualities; None: of all."""
 
     def run(batches):
         import numpy as np
@@ -134,87 +169,16 @@ def calls(df: DataFrame, **options) -> DataFrame:
             out = [chrom, pos, pa.array(depth), pa.array(names[order[:, 0]]), pa.array(names[order[:, 1]]), pa.array(lod), pa.array(np.array(list("ACGT"))[homs[:, 0]]), pa.array(between.astype(np.int32))]
             return pa.RecordBatch.from_arrays(out, ["chrom", "pos", "depth", "best", "second", "lod", "hom", "hom_quality"])
 
-        yield from _costs(batches, made)
+        yield from _costs(batches, made, most_reads)
 
     return columns(df, **options).mapInArrow(run, "chrom string, pos bigint, depth int, best string, second string, lod double, hom string, hom_quality int")
 
 
-@lru_cache(maxsize=2)
-def likelihoods(het_prior: float = 1e-3, indel_prior: float = INDEL_PRIOR):
-    """What a record adds to the log-likelihoods of the 15 genotypes, by its base (ACGT, gap, other) and quality, against
-    a mismatch; and the genotypes' log-priors."""
-    import numpy as np
-
-    q = np.maximum(np.arange(101), 1)
-    match, miss = np.log(1 - 10 ** (-q / 10)), np.log(10 ** (-q / 10) / 3)
-    half = np.logaddexp(match, miss) - np.log(2)
-    extra = np.minimum(miss, match - 0.5)  # a base where there is none, or none where there is one
-    both = np.minimum(np.logaddexp(extra, match) - np.log(2), half + 0.5)
-    table = np.zeros((6, 101, 15))
-    for g, (x, y) in enumerate(GENOTYPES):
-        for base in range(4):
-            if y == 4:
-                table[base, :, g] = extra if x == 4 else both if x == base else np.logaddexp(extra, miss) - np.log(2)
-            else:
-                table[base, :, g] = match if x == y == base else half if base in (x, y) else miss
-        table[4, :, g] = match if x == 4 else np.logaddexp(extra, match) - np.log(2) if y == 4 else extra
-        table[5, :, g] = extra if x == 4 else both if y == 4 else match
-    prior = np.log([1.0 if x == y else (indel_prior if y == 4 else het_prior) / 6 for x, y in GENOTYPES])
-    return table - miss[:, None], prior
-
-
-def bayesian_consensus(df: DataFrame, het_prior: float = 1e-3, cutoff: float = CONSENSUS_CUTOFF, min_base_quality: int = 13, min_mapq: int = 0) -> DataFrame:
-    """chrom, pos, depth, call, quality: the genotype with the best posterior of two of A, C, G, T and a gap, over all
-    records: an IUPAC letter, '*' for a deletion, a small letter for a base beside one, N below the cutoff or where no
-    record has one of these."""
-    import numpy as np
-
-    table, prior = likelihoods(het_prior)
-    x = P.bases(df, min_base_quality=min_base_quality, min_mapq=min_mapq).where("base <> '>'")
-    error = F.pow(F.lit(10.0), -F.least(F.when(F.col("q") == 255, NO_QUALITY).otherwise(F.col("q")), F.lit(100)) / 10)
-    wrong_place = F.pow(F.lit(10.0), -0.09 * F.least(F.greatest("mapq", F.lit(1)), F.lit(60)))
-    quality = F.floor(-10 * F.log10(error + 0.75 * wrong_place - error * wrong_place)).cast("int")
-    base = F.expr("CASE WHEN instr('ACGT*', upper(base)) > 0 THEN instr('ACGT*', upper(base)) - 1 ELSE 5 END")
-    counts = x.select("chrom", "pos", base.alias("b"), F.least(F.greatest(quality, F.lit(1)), F.lit(100)).alias("e")).groupBy("chrom", "pos", "b", "e").count()
-    names = [f"s{g}" for g in range(15)]
-    lookup = df.sparkSession.createDataFrame([(b, e, *map(float, table[b, e])) for b in range(6) for e in range(101)], "b int, e int, " + ", ".join(f"{n} double" for n in names))
-    sums = (
-        counts.join(F.broadcast(lookup), ["b", "e"])
-        .groupBy("chrom", "pos")
-        .agg(F.sum("count").alias("depth"), F.sum(F.when(F.col("b") < 5, F.col("count")).otherwise(0)).alias("known"), *[F.sum(F.col("count") * F.col(n)).alias(n) for n in names])
-    )
-    two = np.array([x != y for x, y in GENOTYPES])
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            s = b[names].to_numpy() + prior
-            rows, out = np.arange(len(s)), []
-            one, het = np.where(two, -np.inf, s).argmax(1), np.where(two, s, -np.inf).argmax(1)
-
-            def odds(g):  # Phred of the others against the genotype
-                rest = s.copy()
-                rest[rows, g] = -np.inf
-                return 10 / np.log(10) * (s[rows, g] - np.logaddexp.reduce(rest, 1))
-
-            of_het, of_one = odds(het), odds(one)
-            phred = 10 / np.log(10) * np.logaddexp(0, of_one * np.log(10) / 10)  # of the error of the single base
-            for k, known in enumerate(b["known"]):
-                g, q = (het[k], of_het[k]) if int(of_het[k] + 0.5) > 0 else (one[k], phred[k])
-                q = int(min(q + 0.5, 99))
-                letter = LETTERS[g]
-                low = not known or (q < cutoff and letter != "*" and GENOTYPES[het[k]][1] != 4)
-                out.append(("N", 0) if low else (letter, q))
-            yield pd.DataFrame({"chrom": b["chrom"], "pos": b["pos"], "depth": b["depth"], "call": [c for c, _ in out], "quality": [q for _, q in out]})
-
-    return sums.mapInPandas(run, "chrom string, pos bigint, depth int, call string, quality int")
-
-
 def target_segments(df: DataFrame, header_sq: DataFrame, **options) -> DataFrame:
     """chrom, start (1-based), end, seq: stretches that a two-state Viterbi pass over the consensus takes for targets.
 
-    To begin one costs as much as a few thousand good positions bring; to end one is free.
+    To begin one costs as much as a few thousand good positions bring; to end one is free. The consensus is that of `calls`,
+    with most_reads records of a position unless that option is None.
     """
     c = calls(df, **options)
     doubtful = (F.col("hom_quality") == 0) & (F.col("hom") == "A")  # the format can't tell these from one another
@@ -266,8 +230,9 @@ def target_segments(df: DataFrame, header_sq: DataFrame, **options) -> DataFrame
     return rows.mapInPandas(run, "chrom string, start bigint, end bigint, seq string")
 
 
-def heterozygous(df: DataFrame, least_lod: float = HET_LOD, **options) -> DataFrame:
-    """chrom, pos, a, b: sites whose best pair of bases beats each single base by least_lod."""
+def heterozygous(df: DataFrame, least_lod: float = HET_LOD, most_reads: int | None = MOST_READS, **options) -> DataFrame:
+    """chrom, pos, a, b: sites whose best pair of bases beats each single base by least_lod, over most_reads records of a
+    position, or all with None."""
 
     def run(batches):
         import numpy as np
@@ -283,7 +248,7 @@ def heterozygous(df: DataFrame, least_lod: float = HET_LOD, **options) -> DataFr
             mask = pa.array(take)
             return pa.RecordBatch.from_arrays([chrom.filter(mask), pos.filter(mask), pa.array(letters[i[best]][take]), pa.array(letters[j[best]][take])], ["chrom", "pos", "a", "b"])
 
-        yield from _costs(batches, made)
+        yield from _costs(batches, made, most_reads)
 
     return columns(df, **options).mapInArrow(run, "chrom string, pos bigint, a string, b string")
 

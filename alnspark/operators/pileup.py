@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cigar as C, flags as FL, sequence as Q, tags as T
@@ -10,10 +12,13 @@ from .filters import by_bed, by_regions, span
 from .reference import with_stretch
 
 
-def bases(df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, exclude: int = FL.DEPTH_MASK, reference: DataFrame | None = None) -> DataFrame:
+def bases(
+    df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, exclude: int = FL.DEPTH_MASK, reference: DataFrame | None = None, beside: Callable[[Column, Column], dict[str, Column]] | None = None
+) -> DataFrame:
     """chrom, pos (1-based), base ('*' deleted, '>' skipped), q, mapq, reverse, first, last, ins, del_, ordinal, src, qname:
     one row for each record and position; an indel stands at the base before it. With a reference also ref, its base, and
-    gap, the bases that a deletion behind the position takes."""
+    gap, the bases that a deletion behind the position takes. beside: more columns from the base's 0-based places in the read
+    and from the record's start on the reference, and from df's own columns."""
     kept = df.where(FL.flag_filter(F.col("flag"), exclude=exclude) & (F.coalesce("mapq", F.lit(0)) >= min_mapq)).where("rname is not null and pos is not null and cigar is not null")
     if reference is not None:  # once for each record
         kept = with_stretch(span(kept), reference, "_stretch")
@@ -30,6 +35,7 @@ def bases(df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, exclude:
         F.coalesce(F.get("_q", query), F.lit(255)).alias("q"), F.coalesce("mapq", F.lit(0)).alias("mapq"), FL.bit(F.col("flag"), FL.REVERSE).alias("reverse"), (F.col("b.ref0") + F.col("k") + 1 == F.col("pos")).alias("first"),
         (F.col("b.ref0") + F.col("k") + 1 == F.col("_end")).alias("last"), ins.alias("ins"), F.when(last_k & aligned & (F.col("_next.op") == "D"), F.col("_next.len")).alias("del_"), "ordinal", "src", "qname",
         *([] if reference is None else [F.upper(F.substr("_stretch", offset, F.lit(1))).alias("ref"), F.when(last_k & aligned & (F.col("_next.op") == "D"), F.substr("_stretch", offset + 1, F.col("_next.len").cast("int"))).alias("gap")]),
+        *([c.alias(name) for name, c in beside(query, offset - 1).items()] if beside else []),
     )
     return x.where(F.col("q") >= min_base_quality)
 
@@ -74,11 +80,21 @@ CODES = "NACMGRSVTWYHKDBN"
 
 
 def consensus(df: DataFrame, call_fraction: float = 0.75, het_fraction: float = 0.5, min_depth: int = 1, ambiguous: bool = False, use_quality: bool = False, min_base_quality: int = 0, **options) -> DataFrame:
-    """chrom, pos, call, quality: the best base (or '*') by summed weights, if its share is large enough; 'N' otherwise."""
+    """chrom, pos, call, quality: the best base (or '*') by summed weights, if its share is large enough; 'N' otherwise. Another letter
+    than A, C, G, T counts for each of them, with an eighth of a base's weight."""
     x = bases(df, min_base_quality=min_base_quality, **options).where("base <> '>'")
-    weight = 8 * (F.col("q") if use_quality else F.lit(1))
+    weight = F.col("q") if use_quality else F.lit(1)
     codes = {1: "A", 2: "C", 4: "G", 8: "T", 16: "*"}
-    sums = x.groupBy("chrom", "pos").agg(F.count("*").alias("depth"), *[F.coalesce(F.sum(F.when(F.upper("base") == b, weight)), F.lit(0)).alias(f"s{c}") for c, b in codes.items()])
+    base = F.upper("base")
+    share = lambda c, b: F.when(base == b, 8 * weight).when(~base.isin(*codes.values()) & F.lit(c < 16), weight)
+    sums = x.groupBy("chrom", "pos").agg(F.count("*").alias("depth"), *[F.coalesce(F.sum(share(c, b)), F.lit(0)).alias(f"s{c}") for c, b in codes.items()])
+    return call_sums(sums, call_fraction, het_fraction, min_depth, ambiguous)
+
+
+def call_sums(sums: DataFrame, call_fraction: float, het_fraction: float, min_depth: int, ambiguous: bool) -> DataFrame:
+    """call and quality for depth and the weights s1 (A), s2 (C), s4 (G), s8 (T), s16 (none) of each row, beside its other columns."""
+    kept = [c for c in sums.columns if c not in ("s1", "s2", "s4", "s8", "s16")]
+    codes = (1, 2, 4, 8, 16)
     # ties go to the earlier base, as the first to reach a score keeps it
     ranked = F.array_sort(F.array(*[F.struct((-F.col(f"s{c}")).alias("n"), F.lit(c).alias("c")) for c in codes]))
     x = sums.withColumns({"_r": ranked, "_all": F.expr("s1 + s2 + s4 + s8 + s16")})
@@ -88,7 +104,7 @@ def consensus(df: DataFrame, call_fraction: float = 0.75, het_fraction: float =
     fails = (F.col("depth") < min_depth) | (used < call_fraction * F.col("_all"))
     code = F.when(fails, F.when(c1 == 16, 16).otherwise(0)).otherwise(code)
     letter = F.when(code >= 16, "*").otherwise(F.substr(F.lit(CODES), code + 1, F.lit(1)))
-    return x.select("chrom", "pos", "depth", letter.alias("call"), F.when((code != 0) & (F.col("_all") > 0), F.floor(100 * used / F.col("_all"))).otherwise(0).cast("int").alias("quality"))
+    return x.select(*kept, letter.alias("call"), F.when((code != 0) & (F.col("_all") > 0), F.floor(100 * used / F.col("_all"))).otherwise(0).cast("int").alias("quality"))
 
 
 def consensus_text(calls: DataFrame, chunk: int = 10_000) -> DataFrame:

@@ -117,7 +117,7 @@ register("mpileup_all_positions", lambda s, d: P.mpileup(reads(s, d), reference(
 register("mpileup_depth", lambda s, d: P.mpileup(reads(s, d), reference(s), min_base_quality=0).select("chrom", "pos", "ref", "depth"),
     """SELECT rname AS chrom, p + 1 AS pos, substr(ref.seq, CAST(p + 1 AS INT), 1) AS ref, count(*) AS depth FROM (SELECT rname, unnest(range(ref0, ref0 + len)) AS p FROM blocks WHERE op IN ('M', 'D', 'N') AND rname IS NOT NULL AND flag & 1796 = 0) JOIN ref ON ref.name = rname GROUP BY ALL""", "blocks", "ref")
 _CONS = """WITH e AS (SELECT rname AS chrom, p + 1 AS pos, base FROM base UNION ALL SELECT rname, unnest(range(ref0, ref0 + len)) + 1, '*' FROM blocks WHERE op = 'D' AND rname IS NOT NULL AND flag & 1796 = 0),
-  t AS (SELECT chrom, pos, count(*) AS depth, [8 * count(*) FILTER (base = 'A'), 8 * count(*) FILTER (base = 'C'), 8 * count(*) FILTER (base = 'G'), 8 * count(*) FILTER (base = 'T'), 8 * count(*) FILTER (base = '*')] AS s FROM e GROUP BY 1, 2),
+  t AS (SELECT chrom, pos, count(*) AS depth, [8 * count(*) FILTER (base = 'A') + count(*) FILTER (base NOT IN ('A', 'C', 'G', 'T', '*')), 8 * count(*) FILTER (base = 'C') + count(*) FILTER (base NOT IN ('A', 'C', 'G', 'T', '*')), 8 * count(*) FILTER (base = 'G') + count(*) FILTER (base NOT IN ('A', 'C', 'G', 'T', '*')), 8 * count(*) FILTER (base = 'T') + count(*) FILTER (base NOT IN ('A', 'C', 'G', 'T', '*')), 8 * count(*) FILTER (base = '*')] AS s FROM e GROUP BY 1, 2),
   b AS (SELECT *, list_max(s) AS s1, list_position(s, list_max(s)) AS k, list_sum(s) AS total FROM t)"""
 _CALLS = """SELECT chrom, pos, depth, CASE WHEN s1 = 0 THEN 'N' WHEN k = 5 THEN '*' WHEN s1 < 0.75 * total THEN 'N' ELSE substr('ACGT', k, 1) END AS call,
     CASE WHEN s1 = 0 OR total = 0 OR (k < 5 AND s1 < 0.75 * total) THEN 0 ELSE floor(100 * s1 / total) END::INT AS quality FROM b"""
@@ -125,8 +125,8 @@ register("consensus", lambda s, d: P.consensus(reads(s, d)), f"{_CONS} {_CALLS}"
 register("consensus_ambiguous", lambda s, d: P.consensus(reads(s, d), ambiguous=True, use_quality=True, min_base_quality=10),
     """WITH e AS (SELECT rname AS chrom, p + 1 AS pos, base, q FROM base
       UNION ALL SELECT rname, unnest(range(ref0, ref0 + len)) + 1, '*', CASE WHEN qual IS NULL THEN 255 ELSE ascii(substr(qual, CAST(query0 + 1 AS INT), 1)) - 33 END FROM blocks WHERE op = 'D' AND rname IS NOT NULL AND flag & 1796 = 0),
-    w AS (SELECT chrom, pos, (8 * q)::BIGINT AS w, CASE base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 WHEN '*' THEN 16 END AS c FROM e WHERE q >= 10),
-    n AS (SELECT chrom, pos, count(*) AS depth, coalesce(sum(w) FILTER (c IS NOT NULL), 0)::BIGINT AS total FROM w GROUP BY 1, 2),
+    w AS (SELECT chrom, pos, CASE WHEN base IN ('A', 'C', 'G', 'T', '*') THEN 8 * q ELSE q END::BIGINT AS w, unnest(CASE base WHEN 'A' THEN [1] WHEN 'C' THEN [2] WHEN 'G' THEN [4] WHEN 'T' THEN [8] WHEN '*' THEN [16] ELSE [1, 2, 4, 8] END) AS c FROM e WHERE q >= 10),
+    n AS (SELECT chrom, pos, depth, sum(w)::BIGINT AS total FROM w JOIN (SELECT chrom, pos, count(*) AS depth FROM e WHERE q >= 10 GROUP BY 1, 2) USING (chrom, pos) GROUP BY 1, 2, 3),
     s AS (SELECT chrom, pos, c, sum(w)::BIGINT AS s, row_number() OVER (PARTITION BY chrom, pos ORDER BY sum(w) DESC, c) AS k FROM w WHERE c IS NOT NULL GROUP BY 1, 2, 3),
     b AS (SELECT n.*, coalesce(x.s, 0) AS s1, x.c AS c1, coalesce(y.s, 0) AS s2, y.c AS c2, coalesce(x.s, 0) > 0 AND coalesce(y.s, 0) >= 0.5 * coalesce(x.s, 0) AS two
       FROM n LEFT JOIN (SELECT * FROM s WHERE k = 1) x USING (chrom, pos) LEFT JOIN (SELECT * FROM s WHERE k = 2) y USING (chrom, pos)),

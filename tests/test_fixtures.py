@@ -233,21 +233,25 @@ def test_phase(spark):
     assert len(found) == 12 and {r.block for r in found} == {1} and all(r.against == 0 for r in found)
     assert "".join(r["first"] for r in found) in ("AAAAAACCCCCC", "CCCCCCAAAAAA")
     assert models.phase(sam(spark, *rows), least_lod=30, min_base_quality=50).count() == 0
-    call = {r.pos: r.call for r in models.bayesian_consensus(sam(spark, *rows)).collect()}
+    call = {r.pos: r.call for r in bayes(sam(spark, *rows)).collect()}
     assert set(call.values()) == {"M"}
 
 
-def test_bayesian_consensus_takes_all_records_and_gaps(spark):
-    from alnspark.operators import models
+def bayes(df):
+    from alnspark.operators import assembly
+
+    return assembly.bayesian(assembly.columns(df), ambiguous=True)
 
+
+def test_bayesian_consensus_takes_all_records_and_gaps(spark):
     deep = [f"r{k} 0 chr1 1 60 4M * 0 0 {'AACC' if k % 2 else 'CACC'} IIII" for k in range(510)]  # each second one has another base
-    found = {r.pos: r for r in models.bayesian_consensus(sam(spark, *deep)).collect()}
+    found = {r.pos: r for r in bayes(sam(spark, *deep)).collect()}
     assert found[1].call == "M" and found[2].call == "A" and {r.depth for r in found.values()} == {510}
     gone = [f"d{k} 0 chr1 1 60 4M2D4M * 0 0 ACGTACGT IIIIIIII" for k in range(10)]
     there = [f"e{k} 0 chr1 1 60 10M * 0 0 ACGTGGACGT IIIIIIIIII" for k in range(10)]
-    call = lambda rows: "".join(r.call for r in models.bayesian_consensus(sam(spark, *rows)).orderBy("pos").collect())
+    call = lambda rows: "".join(r.call for r in bayes(sam(spark, *rows)).orderBy("pos").collect())
     assert call(gone) == "ACGT**ACGT" and call(there) == "ACGTGGACGT" and call(gone + there) == "ACGTggACGT"
-    assert call(["n 0 chr1 1 60 2M * 0 0 NN II"]) == "NN"
+    assert call(["n 0 chr1 1 60 2M * 0 0 NN II"]) == "**"  # nothing was seen
 
 
 def test_depad(spark):
@@ -365,6 +369,15 @@ def test_genotype_costs_one_by_one():
     assert np.allclose(models.genotype_costs(*map(np.array, zip(*rows, strict=True))), want)
     deep = models.genotype_costs(np.zeros(2, int), np.array([0, 1]), np.zeros(2, int), np.array([30, 30]), np.array([3000, 1000]))
     assert deep.shape == (1, 4, 4) and np.isfinite(deep).all() and (deep == deep.swapaxes(1, 2)).all() and deep[0, 0, 0] < deep[0, 1, 1]
+    # without a limit the formulas go on beyond the table
+    q, n = 30, 400
+    whole = models.genotype_costs(np.zeros(2, int), np.array([0, 1]), np.zeros(2, int), np.array([q, q]), np.array([300, 100]), None)
+    assert models.tail_costs(q, 200)[:200] == pytest.approx(beta[q, 200, :200])
+    tail = models.tail_costs(q, n)
+    cost = lambda k: sum(models.error_model()[0][min(j, 255)] * tail[j] for j in range(k))
+    assert whole[0, 0, 0] == pytest.approx(cost(100)) and whole[0, 1, 1] == pytest.approx(cost(300))
+    few = models.genotype_costs(np.zeros(2, int), np.array([0, 1]), np.zeros(2, int), np.array([q, q]), np.array([150, 50]), None)
+    assert np.allclose(few, models.genotype_costs(np.zeros(2, int), np.array([0, 1]), np.zeros(2, int), np.array([q, q]), np.array([150, 50])))
 
 
 def test_phase_goes_on_over_a_site_that_templates_skip(spark):
