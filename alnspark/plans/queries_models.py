@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ..operators import assembly as A, models as M
+from ..operators import assembly as A, haplotypes as H, models as M
 from .derive import header_sq, reads, reference
 from .registry import CTES, _NEEDS, register
 
 register("genotype_calls", lambda s, d: M.calls(reads(s, d)))
 register("target_segments", lambda s, d: M.target_segments(reads(s, d), header_sq(s, d)))
 register("phase", lambda s, d: M.phase(reads(s, d), least_lod=5))
+register("phase_haplotypes", lambda s, d: H.Phased(reads(s, d), least_lod=5).sites())
+register("phase_routed", lambda s, d: H.Phased(reads(s, d), least_lod=5).routed().select("ordinal", "qname", "flag", "part", "phased"))
 
 #: Each record's base (or none) at each position, with what it inserts behind it, and columns of these.
 CTES["letters"] = """SELECT rname AS chrom, ref0 + k + 1 AS pos, CASE op WHEN 'M' THEN substr(seq, CAST(query0 + k + 1 AS INT), 1) ELSE '*' END AS base, CAST(query0 + CASE op WHEN 'M' THEN k ELSE 0 END + 1 AS INT) AS i,
