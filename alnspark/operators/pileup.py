@@ -40,13 +40,20 @@ def bases(
     return x.where(F.col("q") >= min_base_quality)
 
 
-def mpileup(df: DataFrame, reference: DataFrame, inputs: list[int] | None = None, regions: list[str] | None = None, bed: DataFrame | None = None, every: DataFrame | None = None, **options) -> DataFrame:
+def mpileup(df: DataFrame, reference: DataFrame, inputs: list[int] | None = None, regions: list[str] | None = None, bed: DataFrame | None = None, every: DataFrame | None = None, mates: bool = False, orphans: bool = True, **options) -> DataFrame:
     """chrom, pos, ref, depth, bases, quals: the text pileup; of each column the records in file order. A column without
     records has '*' for bases and quals.
 
     `inputs`: a column group depth_<src>, bases_<src>, quals_<src> for each of these, in place of one for all. `regions`,
-    `bed`: positions in these only. `every`: the header's references, all of whose positions come.
+    `bed`: positions in these only. `every`: the header's references, all of whose positions come. `mates`: where mates overlap,
+    their qualities are merged first; without `orphans`, paired records of no proper pair are left out.
     """
+    if mates or not orphans:
+        from . import overlaps
+
+        usable = FL.flag_filter(F.col("flag"), exclude=options.get("exclude", FL.DEPTH_MASK)) & (F.coalesce("mapq", F.lit(0)) >= options.get("min_mapq", 0))
+        df = df.where(usable) if orphans else overlaps.without_orphans(df.where(usable))
+        df = overlaps.merge_mates(df) if mates else df
     if regions:
         df = by_regions(df, regions)
     if bed is not None:

@@ -9,14 +9,24 @@ from ..sources import bai
 from . import filters, sorts
 
 
-def header_text(header_sq: DataFrame, header_rg: DataFrame | None = None, order: str | None = None) -> str:
-    """The lines of a header from its (small) tables, in the order of tid and id; `order` as in sorts.header_line."""
-    lines = [sorts.header_line(None, order)] if order else ["@HD\tVN:1.6"]
-    lines += [f"@SQ\tSN:{r['name']}\tLN:{r['length']}" for r in header_sq.orderBy("tid").collect()]
-    for r in header_rg.orderBy("id").collect() if header_rg is not None else []:
-        fields = [f"{k.upper()}:{v}" for k, v in r.asDict().items() if v is not None]
-        lines.append("\t".join(["@RG", *fields]))
-    return "\n".join(lines) + "\n"
+def header_lines(header_sq: DataFrame, header_rg: DataFrame | None = None, by: str | None = None, tag: str | None = None, old: str | None = None, programs: list[dict[str, str]] | None = None) -> DataFrame:
+    """kind, place, line: the @HD line, which tells the order of sorts.header_line (by, tag; `old`: the line before), @SQ in the order
+    of tid, @RG by id, @PG as `programs` has them (see multi.program_chain)."""
+    first = sorts.header_line(old, by, tag) if by else old or "@HD\tVN:1.6"
+    pairs = lambda kind, columns: F.concat_ws("\t", F.lit(f"@{kind}"), *[F.concat(F.lit(f"{k}:"), F.col(c).cast("string")) for k, c in columns])
+    sq = header_sq.select(F.lit(1).alias("kind"), F.lpad(F.col("tid").cast("string"), 12, "0").alias("place"), pairs("SQ", [("SN", "name"), ("LN", "length")]).alias("line"))
+    spark = header_sq.sparkSession
+    told = ["\t".join(["@PG", *(f"{k}:{v}" for k, v in p.items())]) for p in programs or []]
+    out = sq.unionByName(spark.createDataFrame([(0, "", first), *[(3, f"{k:012d}", x) for k, x in enumerate(told)]], "kind int, place string, line string"))
+    if header_rg is not None:
+        fields = [(c.upper(), c) for c in header_rg.columns]
+        out = out.unionByName(header_rg.select(F.lit(2).alias("kind"), F.col("id").alias("place"), pairs("RG", fields).alias("line")))
+    return out
+
+
+def header_text(*tables, **options) -> str:
+    """The lines of `header_lines` in order: a header is small."""
+    return "\n".join(r["line"] for r in header_lines(*tables, **options).orderBy("kind", "place").collect()) + "\n"
 
 
 def write_bam(df: DataFrame, path: str, header: str, index: bool = False, mode: str = "overwrite") -> None:
@@ -27,7 +37,7 @@ def write_bam(df: DataFrame, path: str, header: str, index: bool = False, mode:
 def write_sorted(df: DataFrame, path: str, header_sq: DataFrame, header_rg: DataFrame | None = None) -> None:
     """Sorted by place, with an index beside each file and a header that tells the order."""
     ordered = df.orderBy(*sorts.coordinate_keys())
-    write_bam(ordered, path, header_text(header_sq, header_rg, "coordinate"), index=True)
+    write_bam(ordered, path, header_text(header_sq, header_rg, by="coordinate"), index=True)
 
 
 def read_regions(spark: SparkSession, path: str, regions: list[str]) -> DataFrame:

@@ -79,6 +79,17 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_reads(spark, sf_dir).withColumns({"tags": F.map_from_entries(present), "tag_order": F.transform(present, lambda e: e["key"])}).drop(*names)
 
 
+def close_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of templates whose first and second record overlap, 10 aligned bases each."""
+    kept = reads(spark, sf_dir).where("cast(substr(qname, 2) as bigint) % 3 < 2 and flag & 2304 = 0")
+    o = "cast(substr(qname, 2) as bigint)"
+    chrom = f"concat('chr', {o} % 5 + 1)"
+    return kept.withColumns({
+        "rname": F.expr(chrom), "rnext": F.expr(chrom), "tid": F.expr(f"cast({o} % 5 as int)"), "mtid": F.expr(f"cast({o} % 5 as int)"), "cigar": F.lit("10M"),
+        "pos": F.expr(f"({o} * 37) % 1900 + (ordinal % 7) + 1"), "pnext": F.expr(f"({o} * 37) % 1900 + 4"), "tlen": F.expr("cast(ordinal % 15 as bigint)"),
+    })
+
+
 def spread_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The placed reads over 150 million bases of their references, some across a gap of 20,000."""
     placed = reads(spark, sf_dir).where("rname is not null")
@@ -105,6 +116,16 @@ def reference(spark: SparkSession) -> DataFrame:
     return spark.sql(REFERENCE_SQL_SPARK)
 
 
+#: Short sequences with a name each, one of every part: bases from the letters of its descriptions, some in small letters.
+CONTIGS_SQL = """
+SELECT concat('part', p_partkey) AS name, CASE WHEN p_partkey % 5 = 0 THEN lower(bases) ELSE bases END AS seq
+FROM (SELECT p_partkey, repeat(translate(lower(concat(p_name, p_type, p_brand, p_size)), 'abcdefghijklmnopqrstuvwxyz #0123456789', 'ACGTACGTTGCATTGACCGTAGGCATNTACGTTACGATC'), CAST(3 + p_partkey % 7 AS INT)) AS bases FROM part) b"""
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CONTIGS_SQL.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
 #: Primers of five amplicons on each of five references.
 PRIMERS_SQL = """
 SELECT concat('chr', n_nationkey % 5 + 1) AS chrom, CAST((n_nationkey - n_nationkey % 5) * 60 AS BIGINT) AS start0, CAST((n_nationkey - n_nationkey % 5) * 60 + 25 AS BIGINT) AS end0, '+' AS strand FROM nation

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import hashes, tags as T
-from ..operators import amplicon, filters as V, mates, multi, sorts, stats as S
+from ..operators import amplicon, filters as V, mates, multi, regions, sorts, stats as S
 from .derive import header_rg, header_sq, reads
 from .registry import register
 
@@ -76,10 +78,23 @@ register("stats_barcode_qualities", lambda s, d: S.barcode_qualities(_tagged(s,
     f"""WITH {_BARCODES} SELECT i::INT AS cycle, (ascii(substr(q, i::INT, 1)) - 33)::INT AS quality, count(*) AS n FROM st WHERE stop = 1000 AND length(q) = n GROUP BY 1, 2""", "reads")
 
 _ORDERS = [("coordinate", None), ("name", None), ("ascii", None), ("template", None), ("minimizer", None), ("coordinate", "ms"), ("name", "BC")]
-register("header_order", lambda s, d: s.createDataFrame([(by, tag or "", sorts.header_line("@HD\tVN:1.5\tGO:query\tXX:kept", by, tag)) for by, tag in _ORDERS], "kind string, tag string, line string"),
-    """SELECT kind, tag, concat('@HD', chr(9), 'VN:1.5', chr(9), 'XX:kept', chr(9), replace(told, ' ', chr(9))) AS line FROM (VALUES ('coordinate', '', 'SO:coordinate'), ('name', '', 'SO:queryname SS:queryname:natural'),
-      ('ascii', '', 'SO:queryname SS:queryname:lexicographical'), ('template', '', 'SO:unsorted GO:query SS:unsorted:template-coordinate'), ('minimizer', '', 'SO:unsorted SS:unsorted:minhash'),
-      ('coordinate', 'ms', 'SO:unsorted SS:unsorted:ms:coordinate'), ('name', 'BC', 'SO:unsorted SS:unsorted:BC:queryname:natural')) v(kind, tag, told)""")
+_CHAIN = [{"ID": "align", "PN": "align"}, {"ID": "sort", "PN": "sort", "PP": "align"}, {"ID": "other", "PN": "other"}]
+
+
+def _headers(s, d):
+    """The lines of the header after each order, with the sorter as one more program at both ends of the chain."""
+    programs = multi.program_chain(_CHAIN, "sort", "sort it")
+    each = [regions.header_lines(header_sq(s, d), header_rg(s, d), by, tag, "@HD\tVN:1.5\tGO:query\tXX:kept", programs).withColumn("order", F.lit(f"{by} {tag or ''}")) for by, tag in _ORDERS]
+    return reduce(DataFrame.unionByName, each).select("order", "kind", F.row_number().over(Window.partitionBy("order").orderBy("kind", "place")).alias("number"), "line")
+
+
+register("header_order", _headers,
+    """WITH o AS (SELECT * FROM (VALUES ('coordinate ', 'SO:coordinate'), ('name ', 'SO:queryname SS:queryname:natural'), ('ascii ', 'SO:queryname SS:queryname:lexicographical'),
+        ('template ', 'SO:unsorted GO:query SS:unsorted:template-coordinate'), ('minimizer ', 'SO:unsorted SS:unsorted:minhash'), ('coordinate ms', 'SO:unsorted SS:unsorted:ms:coordinate'), ('name BC', 'SO:unsorted SS:unsorted:BC:queryname:natural')) v("order", told)),
+      l AS (SELECT 1 AS kind, lpad(tid::VARCHAR, 12, '0') AS place, concat('@SQ SN:', name, ' LN:', length) AS line FROM sq UNION ALL SELECT 2, id, concat_ws(' ', '@RG', 'ID:' || id, 'LB:' || lb, 'SM:' || sm) FROM rgs
+        UNION ALL SELECT 3, place, line FROM (VALUES ('0', '@PG ID:align PN:align'), ('1', '@PG ID:sort PN:sort PP:align'), ('2', '@PG ID:other PN:other'), ('3', '@PG ID:sort.1 PN:sort PP:sort CL:sort~it'), ('4', '@PG ID:sort.2 PN:sort PP:other CL:sort~it')) p(place, line)),
+      a AS (SELECT "order", 0 AS kind, '' AS place, '@HD VN:1.5 XX:kept ' || told AS line FROM o UNION ALL SELECT "order", kind, place, line FROM o, l)
+    SELECT "order", kind, row_number() OVER (PARTITION BY "order" ORDER BY kind, place)::INT AS number, replace(replace(line, ' ', chr(9)), '~', ' ') AS line FROM a""", "sq", "rgs")
 
 
 def _merged(s, d, **options):
@@ -92,8 +107,8 @@ def _ranked(df):
     return sorts.rank_within(df, ["tid"], sorts.coordinate_keys()[1:]).select("ordinal", "src", "tid", "mtid", T.value("RG").alias("rg"), "rank")
 
 
-_RENAMED = multi.rename_ids({"rgA", "rgN", "rgR"}, ["rgA", "rgN", "rgR"])
-_NEW = "CASE " + " ".join(f"WHEN {{0}} = '{old}' THEN '{new}'" for old, new in _RENAMED.items()) + " END"
+#: The names that the second input's groups get: fixed by the constants of the generator.
+_NEW = "CASE {0} WHEN 'rgA' THEN 'rgA-055424A4' WHEN 'rgN' THEN 'rgN-3A2CCEF5' WHEN 'rgR' THEN 'rgR-6ADB4A65' END"
 _RANK = "row_number() OVER (PARTITION BY tid ORDER BY coalesce(pos, 0), flag & 16, src, ordinal)::INT AS rank"
 register("merge_inputs", lambda s, d: _ranked(_merged(s, d)[0]), f"SELECT ordinal, src, tid, mtid, CASE WHEN src = 1 THEN {_NEW.format('rg')} ELSE rg END AS rg, {_RANK} FROM reads", "reads")
 register("merge_inputs_combined", lambda s, d: _ranked(_merged(s, d, combine_groups=True)[0]), f"SELECT ordinal, src, tid, mtid, rg, {_RANK} FROM reads", "reads")

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fastx as X, mates
-from .derive import reads, reference
+from .derive import contigs, reads
 from .registry import register
 
-register("dict", lambda s, d: X.dictionary(reference(s)).drop("line"), "SELECT name, length(seq) AS length, md5(seq) AS md5 FROM ref", "ref")
-register("dict_lines", lambda s, d: X.dictionary(reference(s), assembly="made", species="none").select("line"),
-    "SELECT concat('@SQ', chr(9), 'SN:', name, chr(9), 'LN:', length(seq), chr(9), 'M5:', md5(seq), chr(9), 'AS:made', chr(9), 'SP:none') AS line FROM ref", "ref")
-register("faidx_fetch", lambda s, d: X.fetch(reference(s), ["chr1:11-30", "chr4:2,001", "chr6"]).select("region", "seq"),
-    "SELECT 'chr1:11-30' AS region, substr(seq, 11, 20) AS seq FROM ref WHERE name = 'chr1' UNION ALL SELECT 'chr4:2,001', substr(seq, 2001) FROM ref WHERE name = 'chr4' UNION ALL SELECT 'chr6', seq FROM ref WHERE name = 'chr6'", "ref")
-register("faidx_reverse_complement", lambda s, d: X.fetch(reference(s), ["chr2:5-24"], reverse=True, mark=True).select("region", "seq"),
-    "SELECT 'chr2:5-24/rc' AS region, reverse(translate(substr(seq, 5, 20), 'ACGT', 'TGCA')) AS seq FROM ref WHERE name = 'chr2'", "ref")
-register("faidx_wrap", lambda s, d: X.wrap(reference(s), 70), "SELECT name, k::INT AS line, substr(seq, CAST(k * 70 + 1 AS INT), 70) AS text FROM (SELECT name, seq, unnest(range(0, (length(seq) - 1) // 70 + 1)) AS k FROM ref)", "ref")
+register("dict", lambda s, d: X.dictionary(contigs(s, d)).drop("line"), "SELECT name, length(seq) AS length, md5(upper(seq)) AS md5 FROM contigs", "contigs")
+register("dict_lines", lambda s, d: X.dictionary(contigs(s, d), assembly="made", species="none").select("line"),
+    "SELECT concat('@SQ', chr(9), 'SN:', name, chr(9), 'LN:', length(seq), chr(9), 'M5:', md5(upper(seq)), chr(9), 'AS:made', chr(9), 'SP:none') AS line FROM contigs", "contigs")
+_STRETCHES = "SELECT unnest(['part3:11-30', 'part8:41', 'part10', 'part199:1,5-25']) AS region, unnest(['part3', 'part8', 'part10', 'part199']) AS name, unnest([11, 41, 1, 15]) AS a, unnest([30, 100000, 100000, 25]) AS b"
+_REGIONS = ["part3:11-30", "part8:41", "part10", "part199:1,5-25"]
+register("faidx_fetch", lambda s, d: X.fetch(contigs(s, d), _REGIONS).select("region", "seq"), f"SELECT region, substr(seq, a, b - a + 1) AS seq FROM ({_STRETCHES}) JOIN contigs USING (name)", "contigs")
+register("faidx_reverse_complement", lambda s, d: X.fetch(contigs(s, d), _REGIONS, reverse=True, mark=True).select("region", "seq"),
+    f"SELECT region || '/rc' AS region, reverse(translate(substr(seq, a, b - a + 1), 'ACGTacgt', 'TGCAtgca')) AS seq FROM ({_STRETCHES}) JOIN contigs USING (name)", "contigs")
+register("faidx_wrap", lambda s, d: X.wrap(contigs(s, d), 70), "SELECT name, k::INT AS line, substr(seq, CAST(k * 70 + 1 AS INT), 70) AS text FROM (SELECT name, seq, unnest(range(0, (length(seq) - 1) // 70 + 1)) AS k FROM contigs)", "contigs")
 register("sam_text", lambda s, d: X.sam_text(reads(s, d)),
     """SELECT src, ordinal, concat_ws(chr(9), qname, flag, coalesce(rname, '*'), coalesce(pos, 0), coalesce(mapq, 255), coalesce(cigar, '*'), CASE WHEN rnext IS NULL THEN '*' WHEN rnext = rname THEN '=' ELSE rnext END, coalesce(pnext, 0), tlen,
       coalesce(seq, '*'), coalesce(qual, '*'), CASE WHEN rg IS NOT NULL THEN concat('RG:Z:', rg) END, CASE WHEN bc IS NOT NULL THEN concat('BC:Z:', bc) END, CASE WHEN ms IS NOT NULL THEN concat('ms:i:', ms) END, concat('NM:i:', nm)) AS value FROM reads""", "reads")

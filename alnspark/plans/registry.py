@@ -18,6 +18,7 @@ CTES = {
     "sq": derive.HEADER_SQ_SQL,
     "rgs": derive.HEADER_RG_SQL,
     "bed": derive.BED_SQL,
+    "contigs": derive.CONTIGS_SQL,
     "ref": derive.REFERENCE_SQL_DUCKDB,
     "ops": """SELECT ordinal, src, i, CAST(lens[i] AS BIGINT) AS len, kinds[i] AS op FROM (
       SELECT ordinal, src, lens, kinds, unnest(range(1, len(lens) + 1)) AS i FROM (
