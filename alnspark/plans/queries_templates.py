@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as Q, tags as T
-from ..operators import dedup, mates, multi, sorts
+from ..operators import chains, dedup, mates, multi, sorts
 from .derive import header_rg, header_sq, reads
 from .registry import register
 
@@ -134,3 +134,21 @@ register("markdup_optical", lambda s, d: dedup.optical(_fixed(s, d).withColumn("
     f"""WITH {_OPTICAL} SELECT a.ordinal, EXISTS (SELECT 1 FROM ky b WHERE b.t = a.t AND b.ka IS NOT DISTINCT FROM a.ka AND b.ot = a.ot AND b.kb IS NOT DISTINCT FROM a.kb AND b.lft = a.lft AND b.ori = a.ori AND b.ordinal <> a.ordinal
       AND b.ordinal % 3 = a.ordinal % 3 AND abs(b.ordinal % 997 - a.ordinal % 997) <= 200 AND abs(b.ordinal % 499 - a.ordinal % 499) <= 200) AS optical FROM dd JOIN ky a USING (ordinal, src) WHERE dd.paired AND dup""", "lens")
 register("rename_groups", lambda s, d: multi.rename_groups(reads(s, d), {"rgA": "x", "rgN": "y"}).select("ordinal", T.value("RG").alias("rg")), "SELECT ordinal, CASE rg WHEN 'rgA' THEN 'x' WHEN 'rgN' THEN 'y' ELSE rg END AS rg FROM reads", "reads")
+_PLACES = F.expr("concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499)")
+_NAMED = _DUPS.replace("FROM fm LEFT JOIN clip", "FROM (SELECT * REPLACE (concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499) AS qname) FROM fm) fm LEFT JOIN clip")
+register("markdup_chains", lambda s, d: chains.chains(_fixed(s, d).withColumn("qname", _PLACES), 200).select("ordinal", "root_ordinal", "origin", "type"),
+    f"""WITH {_NAMED}, pk AS (SELECT *, first_value(ordinal) OVER (PARTITION BY t, ka, ot, kb, lft, ori ORDER BY score + coalesce(ms, 0) DESC, qname, ordinal) AS root FROM ky WHERE paired),
+    h AS (SELECT t, sa, r, arg_min(root, ordinal) AS root FROM pk GROUP BY 1, 2, 3),
+    sg AS (SELECT k.*, coalesce(h.root, first_value(k.ordinal) OVER (PARTITION BY k.t, k.sa, k.r ORDER BY score DESC, k.ordinal)) AS root FROM ky k LEFT JOIN h ON k.t = h.t AND k.sa IS NOT DISTINCT FROM h.sa AND k.r = h.r WHERE NOT paired),
+    al AS (SELECT ordinal, qname, paired, score + CASE WHEN paired THEN coalesce(ms, 0) ELSE 0 END AS worth, root FROM pk UNION ALL SELECT ordinal, qname, paired, score, root FROM sg)
+    SELECT a.ordinal, a.root AS root_ordinal, c.qname AS origin, CASE WHEN EXISTS (SELECT 1 FROM al b WHERE b.root = a.root AND b.ordinal % 3 = a.ordinal % 3 AND abs(b.ordinal % 997 - a.ordinal % 997) <= 200 AND abs(b.ordinal % 499 - a.ordinal % 499) <= 200
+      AND (b.ordinal = a.root OR (b.paired AND NOT a.paired) OR (b.paired = a.paired AND (b.worth > a.worth OR (b.worth = a.worth AND b.qname < a.qname))))) THEN 'SQ' ELSE 'LB' END AS type
+    FROM al a JOIN al c ON c.ordinal = a.root WHERE a.ordinal <> a.root""", "lens")
+register("markdup_chain_counts", lambda s, d: chains.counts(_fixed(s, d)).select("ordinal", "n"),
+    f"""WITH {_DUPS}, pk AS (SELECT *, score + coalesce(ms, 0) AS worth, first_value(ordinal) OVER (PARTITION BY t, ka, ot, kb, lft, ori ORDER BY score + coalesce(ms, 0) DESC, qname, ordinal) AS root FROM ky WHERE paired),
+    h AS (SELECT t, sa, r, min(ordinal) AS holder FROM pk GROUP BY 1, 2, 3),
+    sg AS (SELECT k.*, holder FROM ky k LEFT JOIN h ON k.t = h.t AND k.sa IS NOT DISTINCT FROM h.sa AND k.r = h.r WHERE NOT paired),
+    credit AS (SELECT holder, holder AS time FROM sg WHERE holder IS NOT NULL GROUP BY holder HAVING min(ordinal) < holder UNION ALL SELECT holder, ordinal FROM sg WHERE ordinal > holder),
+    good AS (SELECT p.root, count(*) AS more FROM credit c JOIN pk p ON p.ordinal = c.holder WHERE NOT EXISTS (SELECT 1 FROM pk b WHERE b.root = p.root AND b.ordinal <= c.time AND (b.worth > p.worth OR (b.worth = p.worth AND (b.qname < p.qname OR (b.qname = p.qname AND b.ordinal < p.ordinal))))) GROUP BY 1)
+    SELECT root AS ordinal, (n + coalesce(more, 0))::BIGINT AS n FROM (SELECT root, count(*) AS n FROM pk GROUP BY 1) LEFT JOIN good USING (root)
+    UNION ALL SELECT arg_min(ordinal, {{'s': -score, 'o': ordinal}}), count(*) FROM sg WHERE holder IS NULL GROUP BY t, sa, r""", "lens")

@@ -19,6 +19,7 @@ CHOSEN = [
     "markdup_remove_barcode", "rmdup_paired", "markdup_optical", "header_groups", "header_references", "matching_references", "name_hash", "view_validated", "original_alignment", "fastq_counts", "fastq_tag_filters",
     "stats_barcode_bases", "stats_barcode_qualities", "header_order", "merge_inputs", "merge_inputs_combined", "merge_inputs_groups",
     "fastq_payload", "fastq_copied_tags", "primer_clip_counts", "markdup_barcode_pattern", "markdup_counts", "markdup_flags",
+    "markdup_chains", "markdup_chain_counts", "mpileup_merged_mates", "stats_bases_once", "stats_coverage_once", "amplicon_template_depth",
     "consensus_columns", "consensus_fastq", "consensus_over_reference", "consensus_bayesian", "write_bam", "view_regions_indexed", "sort_written_order",
 ]
 
