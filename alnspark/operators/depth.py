@@ -85,9 +85,10 @@ def coverage(df: DataFrame, header_sq: DataFrame, min_base_quality: int = 0, min
     """rname, startpos, endpos, numreads, covbases, coverage, meandepth, meanbaseq, meanmapq. A missing quality is 255."""
     kept = depth_filter(df, **filters).where("rname is not null and pos is not null")
     b = block_rows(kept.withColumn("_q", qualities(F.col("qual"))))
-    base = b.select("chrom", F.explode(F.sequence(F.lit(0), F.col("end0") - F.col("start0") - 1)).alias("k"), "start0", "query0", "_q").select(
-        "chrom", (F.col("start0") + F.col("k")).alias("p"), F.coalesce(F.get("_q", (F.col("query0") + F.col("k")).cast("int")), F.lit(255)).alias("q")
-    )
+    size = (F.col("end0") - F.col("start0")).cast("int")
+    of_block = F.coalesce(F.slice("_q", (F.col("query0") + 1).cast("int"), size), F.array().cast("array<int>"))
+    padded = F.concat(of_block, F.array_repeat(F.lit(255), size - F.size(of_block)))  # bases beyond the qualities have none
+    base = b.select("chrom", "start0", F.posexplode(padded).alias("k", "q")).select("chrom", (F.col("start0") + F.col("k")).alias("p"), "q")
     at = base.where(F.col("q") >= min_base_quality).groupBy("chrom", "p").agg(F.count("*").alias("d"), F.sum("q").alias("q")).where(F.col("d") >= min_depth)
     per_ref = at.groupBy("chrom").agg(F.count("*").alias("covbases"), F.sum(F.least("d", F.lit(max_depth))).alias("d"), F.sum("q").alias("q"), F.sum("d").alias("n"))
     per_read = kept.groupBy(F.col("rname").alias("chrom")).agg(F.count("*").alias("numreads"), F.avg(F.coalesce("mapq", F.lit(0))).alias("meanmapq"))

@@ -56,17 +56,18 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     """left (chrom, start0, end0, ...) with right (r_chrom, r_start0, r_end0, ...), on overlap.
 
     Both sides are dealt into fixed bins and joined on (chrom, bin); a pair that shares several bins counts in the
-    first only. 'inner' gives all pairs; 'semi' the left rows with any overlap, each once.
+    first only. 'inner' gives all pairs; 'semi', with intervals on the right that don't overlap each other, the left rows with any overlap, each once.
     """
+    if how == "semi":  # of intervals apart from each other, the first that a row meets is the one that the interval before ends ahead of
+        before = F.lag("r_end0").over(Window.partitionBy("r_chrom").orderBy("r_start0"))
+        right = right.withColumn("_before", F.coalesce(before, F.lit(0)))
     lb = left.withColumn("_bin", F.explode(_bins(F.col("start0"), F.col("end0"))))
     rb = right.withColumn("_rbin", F.explode(_bins(F.col("r_start0"), F.col("r_end0"))))
     meet = (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_rbin")) & (F.col("start0") < F.col("r_end0")) & (F.col("r_start0") < F.col("end0"))
+    once = meet & (F.floor(F.greatest("start0", "r_start0") / BIN) == F.col("_bin"))
     if how == "semi":
-        # merged intervals don't overlap: of several in a bin one is enough, and a left row that spans bins is
-        # counted where its first overlap begins
-        once = meet & (F.floor(F.greatest("start0", "r_start0") / BIN) == F.col("_bin"))
-        return lb.join(rb, once).groupBy(*left.columns).agg(F.lit(1).alias("_")).drop("_") if "ordinal" not in left.columns else left.join(lb.join(rb, once).select("ordinal", *(["src"] if "src" in left.columns else [])).distinct(), ["ordinal", *(["src"] if "src" in left.columns else [])], "left_semi")
-    return lb.join(rb, meet & (F.floor(F.greatest("start0", "r_start0") / BIN) == F.col("_bin"))).drop("_bin", "_rbin")
+        return lb.join(rb, once & (F.col("_before") <= F.col("start0"))).select(*left.columns)
+    return lb.join(rb, once).drop("_bin", "_rbin")
 
 
 def merge_intervals(bed: DataFrame) -> DataFrame:
