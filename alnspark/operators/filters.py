@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cigar as C, flags as FL, tags as T
+from ..functions.hashes import fnv1a
 from . import intervals as I
 
 
@@ -97,8 +98,11 @@ def save_counts(df: DataFrame, keep: Column) -> DataFrame:
 
 
 def subsample(df: DataFrame, seed: int, fraction: float) -> DataFrame:
-    """Whole templates at random by a hash of the name and the seed."""
-    return df.where(F.pmod(F.xxhash64("qname", F.lit(seed)), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+    """Whole templates: those whose names' hash with the seed, as a share of 2^64, is below the fraction."""
+    if fraction >= 1:
+        return df
+    share = F.transform(F.array(fnv1a(F.col("qname"), seed)), lambda h: (h["hi"].cast("double") * 2.0**32 + h["lo"].cast("double")) / 2.0**64)[0]
+    return df.where(share < fraction)
 
 
 def cigar_metrics(df: DataFrame) -> DataFrame:

@@ -61,7 +61,12 @@ register(
     "view_remove_tags", lambda s, d: V.T.keep_tags(reads(s, d), remove=["RG", "BC", "ms"]).select("ordinal", F.array_join("tag_order", ",").alias("tags")),
     "SELECT ordinal, 'NM' AS tags FROM reads", "reads",
 )
-register("view_subsample", lambda s, d: ids(V.subsample(reads(s, d), 42, 0.25)))
+_WRAP, _DOWN = "({0}) % 18446744073709551616::UHUGEINT", "xor({0}, {0} >> {1}::UHUGEINT)"
+register("view_subsample", lambda s, d: ids(V.subsample(reads(s, d), 42, 0.25)),
+    f"""WITH n AS (SELECT DISTINCT qname, list_reduce(list_prepend(xor(14695981039346656037::UHUGEINT, 42::UHUGEINT), list_transform(string_split(qname, ''), lambda c: ascii(c)::UHUGEINT)),
+        lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS a FROM reads),
+      m AS (SELECT qname, {_WRAP.format(_DOWN.format("a", 30) + " * 13787848793156543929::UHUGEINT")} AS b FROM n), k AS (SELECT qname, {_WRAP.format(_DOWN.format("b", 27) + " * 10723151780598845931::UHUGEINT")} AS c FROM m)
+    {PICK}reads JOIN k USING (qname) WHERE {_DOWN.format("c", 31)}::DOUBLE / 18446744073709551616.0 < 0.25""", "reads")
 register(
     "cigar_metrics", lambda s, d: V.cigar_metrics(reads(s, d)).drop("src"),
     """SELECT r.ordinal, coalesce(n, 0)::INT AS ncigar, r.qlen, r.rlen, coalesce(sc, 0)::BIGINT AS sclen, coalesce(hc, 0)::BIGINT AS hclen, CASE WHEN pos > 0 THEN pos + r.rlen - 1 END AS endpos

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fastx as X, mates
+from . import queries_templates  # noqa: F401  (the SQL of to_fastq)
 from .derive import contigs, reads
-from .registry import register
+from .registry import ORACLES, register
 
 register("dict", lambda s, d: X.dictionary(contigs(s, d)).drop("line"), "SELECT name, length(seq) AS length, md5(upper(seq)) AS md5 FROM contigs", "contigs")
 register("dict_lines", lambda s, d: X.dictionary(contigs(s, d), assembly="made", species="none").select("line"),
@@ -20,4 +21,5 @@ register("faidx_wrap", lambda s, d: X.wrap(contigs(s, d), 70), "SELECT name, k::
 register("sam_text", lambda s, d: X.sam_text(reads(s, d)),
     """SELECT src, ordinal, concat_ws(chr(9), qname, flag, coalesce(rname, '*'), coalesce(pos, 0), coalesce(mapq, 255), coalesce(cigar, '*'), CASE WHEN rnext IS NULL THEN '*' WHEN rnext = rname THEN '=' ELSE rnext END, coalesce(pnext, 0), tlen,
       coalesce(seq, '*'), coalesce(qual, '*'), CASE WHEN rg IS NOT NULL THEN concat('RG:Z:', rg) END, CASE WHEN bc IS NOT NULL THEN concat('BC:Z:', bc) END, CASE WHEN ms IS NOT NULL THEN concat('ms:i:', ms) END, concat('NM:i:', nm)) AS value FROM reads""", "reads")
-register("import_fastq", lambda s, d: X.import_fastq(mates.to_fastq(reads(s, d)).where("route = 'pair'").select(F.xxhash64("qname").alias("ordinal"), (F.col("part") - 1).alias("part"), F.col("qname").alias("name"), F.lit("").alias("comment"), "seq", "qual"), paired=True).select("qname", "flag", "seq", "qual"))
+register("import_fastq", lambda s, d: X.import_fastq(mates.to_fastq(reads(s, d)).where("route = 'pair'").select(F.xxhash64("qname").alias("ordinal"), (F.col("part") - 1).alias("part"), F.col("qname").alias("name"), F.lit("").alias("comment"), "seq", "qual"), paired=True).select("qname", "flag", "seq", "qual"),
+    f"SELECT qname, CASE part WHEN 1 THEN 77 ELSE 141 END::INT AS flag, seq, qual FROM ({ORACLES['to_fastq']}) WHERE route = 'pair'")

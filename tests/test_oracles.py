@@ -19,7 +19,7 @@ CHOSEN = [
     "markdup_remove_barcode", "rmdup_paired", "markdup_optical", "header_groups", "header_references", "matching_references", "name_hash", "view_validated", "original_alignment", "fastq_counts", "fastq_tag_filters",
     "stats_barcode_bases", "stats_barcode_qualities", "header_order", "merge_inputs", "merge_inputs_combined", "merge_inputs_groups",
     "fastq_payload", "fastq_copied_tags", "primer_clip_counts", "markdup_barcode_pattern", "markdup_counts", "markdup_flags",
-    "markdup_chains", "markdup_chain_counts", "mpileup_merged_mates", "stats_bases_once", "stats_coverage_once", "amplicon_template_depth",
+    "view_subsample", "import_fastq", "markdup_chains", "markdup_chain_counts", "mpileup_merged_mates", "stats_bases_once", "stats_coverage_once", "amplicon_template_depth",
     "consensus_columns", "consensus_fastq", "consensus_over_reference", "consensus_bayesian", "write_bam", "view_regions_indexed", "sort_written_order",
 ]
 
@@ -93,6 +93,24 @@ def test_name_hash_is_the_published_one(spark):
     assert {r["n"]: r["h"] for r in got} == {n: whole(n) for n in names}
 
 
+def test_fnv_is_the_published_one(spark):
+    from alnspark.functions.hashes import fnv1a
+
+    def whole(s, seed):
+        h, m = 14695981039346656037 ^ seed, 2**64
+        for b in s.encode():
+            h = (h ^ b) * 1099511628211 % m
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % m
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % m
+        return h ^ h >> 31
+
+    names = ["", "a", "read:1:2", "é" * 40, "q4711"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for seed in (0, 42):
+        got = {r["n"]: r["h"]["hi"] << 32 | r["h"]["lo"] for r in df.select("n", fnv1a(F.col("n"), seed).alias("h")).collect()}
+        assert got == {n: whole(n, seed) for n in names}
+
+
 def test_header_line_without_one():
     from alnspark.operators.sorts import header_line
 
