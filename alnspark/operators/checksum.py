@@ -1,10 +1,11 @@
-"""Content checksums that don't depend on the order of records."""
+"""Content checksums: products that don't depend on the order of records, or do on demand by their numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cigar as C, flags as FL, sequence as Q, tags as T
+from ..sources.scratch import written
 
 #: Fixed value: the modulus of the product.
 PRIME = (1 << 31) - 1
@@ -32,10 +33,11 @@ def _place(tid: str, pos: str) -> Column:
 
 
 def record_factors(
-    df: DataFrame, exclude: int = FL.SECONDARY | FL.SUPP, require: int = 0, tags: tuple[str, ...] = ("BC", "FI", "QT", "RT", "TC"), position: bool = False, cigar: bool = False, mate: bool = False,
+    df: DataFrame, exclude: int = FL.SECONDARY | FL.SUPP, require: int = 0, tags: tuple[str, ...] = ("BC", "FI", "QT", "RT", "TC"), position: bool = False, cigar: bool = False, mate: bool = False, crcs: bool = False,
 ) -> DataFrame:
     """group, failed and the factors of each record for seq, name, qual and aux, on the sequenced strand; on demand also for
-    pos (reference and position), cigar (mapping quality and operations) and mate (its reference and position)."""
+    pos (reference and position), cigar (mapping quality and operations) and mate (its reference and position). crcs: the CRC32 in place
+    of the factors, beside src and ordinal."""
     x = df.where(FL.flag_filter(F.col("flag"), require, exclude))
     rev = FL.bit(F.col("flag"), FL.REVERSE)
     seq = F.when(rev, Q.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
@@ -53,7 +55,8 @@ def record_factors(
         told["cigar"] = F.concat(head, F.unhex(F.concat(_bytes(F.coalesce("mapq", F.lit(255)), 4), F.array_join(words, ""))))
     if mate:
         told["mate"] = F.concat(head, _place("mtid", "pnext"))
-    return x.select(T.value("RG").alias("group"), FL.bit(F.col("flag"), FL.QCFAIL).alias("failed"), *[_factor(F.crc32(c)).alias(k) for k, c in told.items()])
+    made = (lambda c: F.crc32(c)) if crcs else (lambda c: _factor(F.crc32(c)))
+    return x.select(*(["src", "ordinal"] if crcs else []), T.value("RG").alias("group"), FL.bit(F.col("flag"), FL.QCFAIL).alias("failed"), *[made(c).alias(k) for k, c in told.items()])
 
 
 FIELDS = ["seq", "name", "qual", "aux"]
@@ -79,11 +82,42 @@ def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
         parts = parts.withColumn("deal", F.pmod("deal", F.lit(deals)))
 
 
-def checksum(df: DataFrame, **options) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """rows with number and group_number, from 0 in the order of the keys: each range of the sorted rows is numbered by itself, and the sizes
+    of those before it, for each group, are added."""
+    x = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    x = x.withColumn("_part", F.shiftright("_id", 33))
+    sizes = x.groupBy("_part", group).agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    all_ = sizes.groupBy("_part").agg(F.sum("_n").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    mine = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    own = sizes.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(mine), F.lit(0)).alias("_own"))
+    x = x.withColumn("_in", F.row_number().over(Window.partitionBy("_part", group).orderBy("_id")) - 1)
+    x = x.join(all_, "_part").join(own, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    number = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return x.select(*rows.columns, number.alias("number"), (F.col("_in") + F.col("_own")).alias("group_number"))
+
+
+def checksum(df: DataFrame, in_order: int = 0, **options) -> DataFrame:
     """scope, group, n, seq, name, qual, aux (and pos, cigar, mate on demand): products modulo a prime, in any order. Scopes: 'group' (one row for each read
-    group, null for records without one), 'all', and of all records 'pass' and 'fail' by the quality flag."""
-    rows = record_factors(df, **options).withColumn("n", F.lit(1).cast("bigint"))
-    parts = _folded(rows, ["group", "failed"])
+    group, null for records without one), 'all', and of all records 'pass' and 'fail' by the quality flag.
+
+    in_order 1: each record's number in its group, by src and ordinal, goes into its factors; 2: into those of all records the
+    number among all. The result then tells whether records were moved, and is the same for any partitions."""
+    if not in_order:
+        return _scopes(record_factors(df, **options))
+    rows = written(numbered(record_factors(df, crcs=True, **options), ["src", "ordinal"], "group"), "crcs")
+
+    def with_numbers(number: str) -> DataFrame:
+        count = F.crc32(F.unhex(_bytes(F.col(number), 8)))
+        return rows.select("group", "failed", *[_factor(F.col(f).bitwiseXOR(count)).alias(f) for f in _fields(rows)])
+
+    by_group = _scopes(with_numbers("group_number"))
+    return by_group if in_order == 1 else by_group.where("scope = 'group'").unionByName(_scopes(with_numbers("number")).where("scope <> 'group'"))
+
+
+def _scopes(factors: DataFrame) -> DataFrame:
+    parts = _folded(factors.withColumn("n", F.lit(1).cast("bigint")), ["group", "failed"])
     scopes = F.array(*[F.struct(F.lit(k).alias("scope"), g.alias("group")) for k, g in (("group", F.col("group")), ("all", F.lit(None).cast("string")))], F.struct(F.when(F.col("failed"), "fail").otherwise("pass").alias("scope"), F.lit(None).cast("string").alias("group")))
     fields = _fields(parts)
     each = parts.select(F.explode(scopes).alias("s"), "n", *fields).select("s.scope", "s.group", "n", *fields)

@@ -88,6 +88,7 @@ register("primer_clip_counts", lambda s, d: A.clip_counts(reads(s, d), primers(s
       FROM span s JOIN (SELECT chrom, start0 AS s, end0 AS e, strand FROM primers) p ON p.chrom = s.rname WHERE flag & 516 = 0 GROUP BY 1, 2, 3)
     SELECT (SELECT count(*) FROM reads) AS total, (SELECT count(*) FROM reads) - count(*) AS excluded, count(*) FILTER (flag & 16 = 0 AND l > 0) AS forward, count(*) FILTER (flag & 16 <> 0 AND r > 0) AS reverse, 0::BIGINT AS both,
       count(*) FILTER (NOT (flag & 16 = 0 AND l > 0) AND NOT (flag & 16 <> 0 AND r > 0)) AS not_clipped FROM w""", "span", "primers")
+register("checksum_in_order", lambda s, d: K.checksum(reads(s, d), in_order=2))
 register("checksum_all_fields", lambda s, d: K.checksum(reads(s, d), position=True, cigar=True, mate=True))
 register("primer_clip", lambda s, d: A.clip(reads(s, d), primers(s, d)).select("ordinal", "flag", "pos", "cigar"))
 
