@@ -93,7 +93,7 @@ def close_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The placed reads over 150 million bases of their references, some across a gap of 20,000."""
     placed = reads(spark, sf_dir).where("rname is not null")
-    return placed.withColumns({"pos": F.expr("(ordinal * 7919) % 150000000 + 1"), "cigar": F.expr("if(ordinal % 50 = 0, '4M20000N6M', '10M')")})
+    return placed.withColumns({"pos": F.expr("(ordinal % 1000000007 * 7919) % 150000000 + 1"), "cigar": F.expr("if(ordinal % 50 = 0, '4M20000N6M', '10M')")})
 
 
 def wide_header_sq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .registry import register
 
 _PLACES = ["chr1:3,000,001-3,400,000", "chr3:149,000,000", "chr5:16,380-700,000", "chr6"]
 _WHERE = """(rname = 'chr1' AND end0 > 3000000 AND start0 < 3400000) OR (rname = 'chr3' AND end0 > 148999999) OR (rname = 'chr5' AND end0 > 16379 AND start0 < 700000) OR rname = 'chr6'"""
-_SPREAD = f"""WITH x AS (SELECT * REPLACE ((ordinal * 7919) % 150000000 + 1 AS pos, CASE WHEN ordinal % 50 = 0 THEN '4M20000N6M' ELSE '10M' END AS cigar) FROM reads WHERE rname IS NOT NULL),
+_SPREAD = f"""WITH x AS (SELECT * REPLACE ((ordinal % 1000000007 * 7919) % 150000000 + 1 AS pos, CASE WHEN ordinal % 50 = 0 THEN '4M20000N6M' ELSE '10M' END AS cigar) FROM reads WHERE rname IS NOT NULL),
   y AS (SELECT *, pos - 1 AS start0, pos - 1 + CASE WHEN cigar = '10M' THEN 10 ELSE 20010 END AS end0 FROM x)
   SELECT qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, rg, bc, ms, nm FROM y"""
 
@@ -34,6 +34,6 @@ register("view_regions_indexed", lambda s, d: _flat(R.read_regions(s, _sorted_fi
 register(
     "sort_written_order",
     lambda s, d: s.read.format("bam").load(_sorted_file(s, d)).withColumn("file_order", F.monotonically_increasing_id()).selectExpr("qname", "flag", "rname", "pos", "row_number() OVER (PARTITION BY rname ORDER BY file_order) AS place", "row_number() OVER (PARTITION BY rname ORDER BY src, ordinal) AS offset_place"),
-    """WITH x AS (SELECT *, (ordinal * 7919) % 150000000 + 1 AS place0 FROM reads WHERE rname IS NOT NULL),
+    """WITH x AS (SELECT *, (ordinal % 1000000007 * 7919) % 150000000 + 1 AS place0 FROM reads WHERE rname IS NOT NULL),
       y AS (SELECT qname, flag, rname, place0 AS pos, (row_number() OVER (PARTITION BY rname ORDER BY place0, flag & 16, src, ordinal))::INT AS place FROM x) SELECT *, place AS offset_place FROM y""", "reads",
 )
