@@ -663,4 +663,4 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
 
 
 def test_queries_name_every_operator():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
