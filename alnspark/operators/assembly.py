@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cigar as C, tags as T
+from ..sources.scratch import written
 from . import pileup as P
 
 # The genotypes as pairs of A, C, G, T and a gap (4) with their letters; priors of two bases and of a base
@@ -44,19 +45,22 @@ def _runs(seq: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.array_repeat(F.length(r), F.length(r))))
 
 
-def columns(df: DataFrame, insertions: bool = True, min_mapq: int = 0, halo: int = HALO) -> DataFrame:
+def columns(df: DataFrame, insertions: bool = True, min_mapq: int = 0, halo: int = HALO, model: bool = True, qualities: bool = True) -> DataFrame:
     """chrom, pos, nth, depth, seen: for each column how many records (n) have a base ('*': none) with q (255: unknown), mapq
-    (255: unknown), nm (mismatches by MD within `halo` bases) and poly (length of the homopolymer)."""
+    (255: unknown), nm (mismatches by MD within `halo` bases) and poly (length of the homopolymer). Without `model` mapq, nm and
+    poly, without `qualities` q too, are null and tell no observations apart, as the simple calls need it."""
     span = C.reference_length(C.ops(F.col("cigar"))).cast("int")
     near = F.transform(F.sequence(F.lit(0), F.greatest(span, F.lit(1)) - 1), lambda o: F.size(F.filter("_mm", lambda m: F.abs(m - o) <= halo)))
-    x = df.withColumn("_mm", _mismatches(T.value("MD"))).withColumns({"_near": F.when(F.size("_mm") > 0, near), "_runs": _runs(F.col("seq")), "_place": F.coalesce("mapq", F.lit(255))})
+    x = df.withColumn("_mm", _mismatches(T.value("MD"))).withColumns({"_near": F.when(F.size("_mm") > 0, near), "_runs": _runs(F.col("seq")), "_place": F.coalesce("mapq", F.lit(255))}) if model else df
 
     def beside(query: Column, offset: Column) -> dict[str, Column]:
         return {"raw_mapq": F.col("_place"), "nm": F.coalesce(F.get("_near", offset), F.lit(0)), "poly": F.coalesce(F.get("_runs", query), F.lit(1))}
 
-    x = P.bases(x, min_base_quality=0, min_mapq=min_mapq, beside=beside).where("base <> '>'")
+    x = P.bases(x, min_base_quality=0, min_mapq=min_mapq, beside=beside if model else None).where("base <> '>'")
     kinds = ["ins", "base", "q", "raw_mapq", "nm", "poly"]
-    counted = x.withColumns({"base": F.upper("base"), "ins": F.upper("ins") if insertions else F.lit(None).cast("string")}).groupBy("chrom", "pos", *kinds).agg(F.count("*").alias("n"))
+    apart = kinds if model else kinds[:3] if qualities else kinds[:2]
+    counted = x.withColumns({"base": F.upper("base"), "ins": F.upper("ins") if insertions else F.lit(None).cast("string")}).groupBy("chrom", "pos", *apart).agg(F.count("*").alias("n"))
+    counted = counted.withColumns({k: F.lit(None).cast("int") for k in kinds if k not in apart})
     at = counted.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"), F.coalesce(F.max(F.length("ins")), F.lit(0)).alias("_most"), F.collect_list(F.struct(*kinds, "n")).alias("_all"))
     each = at.select("chrom", "pos", "depth", "_all", F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("nth"))
     letter = lambda e: F.when(F.col("nth") == 0, e["base"]).when(F.length(e["ins"]) >= F.col("nth"), F.substr(e["ins"], F.col("nth"), F.lit(1))).otherwise("*")
@@ -66,7 +70,7 @@ def columns(df: DataFrame, insertions: bool = True, min_mapq: int = 0, halo: int
 
 def simple(cols: DataFrame, call_fraction: float = 0.75, het_fraction: float = 0.5, min_depth: int = 1, ambiguous: bool = False, use_quality: bool = False, min_base_quality: int = 0) -> DataFrame:
     """chrom, pos, nth, depth, call, quality: as pileup.consensus, of each column."""
-    kept = F.filter("seen", lambda e: e["q"] >= min_base_quality)
+    kept = F.filter("seen", lambda e: e["q"] >= min_base_quality) if min_base_quality > 0 else F.col("seen")
     codes = {1: "A", 2: "C", 4: "G", 8: "T", 16: "*"}
     weight = lambda e: e["n"] * (e["q"] if use_quality else F.lit(1))
     add = lambda what: F.aggregate(kept, F.lit(0).cast("long"), lambda a, e: a + what(e))
@@ -191,6 +195,7 @@ def assemble(calls: DataFrame, header_sq: DataFrame | None = None, every: bool =
     reference's base with reference_quality. Deleted positions go, and the insertions behind them too, unless show_deleted.
 
     Chunks of positions are put together apart; the lengths of those before tell where a chunk's first line begins."""
+    calls = written(calls, "calls")  # its columns, lines and gaps are read apart
     at = F.col("pos")
     shown = calls if show_deleted else calls.join(calls.where("nth = 0 and call = '*'").select("chrom", "pos"), ["chrom", "pos"], "left_anti").where("call <> '*'")
     # an insertion's column without a base tells nothing, whatever is shown

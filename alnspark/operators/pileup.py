@@ -23,21 +23,29 @@ def bases(
     if reference is not None:  # once for each record
         kept = with_stretch(span(kept), reference, "_stretch")
     blocks = C.blocks(F.col("pos"), C.ops(F.col("cigar")))
-    x = kept.withColumns({"_b": blocks, "_q": Q.qualities(F.col("qual")), "_end": C.end_position(F.col("pos"), C.ops(F.col("cigar")))}).select("*", F.posexplode("_b").alias("_i", "b"))
-    x = x.where(F.col("b.op").isin("M", "=", "X", "D", "N")).withColumn("_next", F.get("_b", F.col("_i") + 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)))
+    # outer: the others are filtered by the size of what they explode, for which all of it would be made once more
+    x = kept.withColumn("_b", blocks).select("*", F.posexplode_outer("_b").alias("_i", "b"))
+    x = x.where(F.col("b.op").isin("M", "=", "X", "D", "N")).withColumns({"_next": F.get("_b", F.col("_i") + 1), "_end": _span_end(F.get("_b", F.size("_b") - 1))})
+    x = x.withColumn("k", F.explode_outer(F.sequence(F.lit(0), F.col("b.len") - 1)))
     aligned = F.col("b.op").isin("M", "=", "X")
     query = (F.col("b.query0") + F.when(aligned, F.col("k")).otherwise(0)).cast("int")
     last_k = F.col("k") == F.col("b.len") - 1
     offset = (F.col("b.ref0") + F.col("k") + 2 - F.col("pos")).cast("int")  # in the record's stretch of the reference
+    quality = F.when((F.col("qual") != "*") & (query < F.length("qual")), F.ascii(F.substr("qual", query + 1, F.lit(1))) - 33).otherwise(255)
     ins = F.when(last_k & (F.col("_next.op") == "I"), F.substr("seq", (F.col("_next.query0") + 1).cast("int"), F.col("_next.len")))
     x = x.select(
         F.col("rname").alias("chrom"), (F.col("b.ref0") + F.col("k") + 1).alias("pos"), F.when(aligned, F.substr("seq", query + 1, F.lit(1))).when(F.col("b.op") == "D", "*").otherwise(">").alias("base"),
-        F.coalesce(F.get("_q", query), F.lit(255)).alias("q"), F.coalesce("mapq", F.lit(0)).alias("mapq"), FL.bit(F.col("flag"), FL.REVERSE).alias("reverse"), (F.col("b.ref0") + F.col("k") + 1 == F.col("pos")).alias("first"),
+        quality.alias("q"), F.coalesce("mapq", F.lit(0)).alias("mapq"), FL.bit(F.col("flag"), FL.REVERSE).alias("reverse"), (F.col("b.ref0") + F.col("k") + 1 == F.col("pos")).alias("first"),
         (F.col("b.ref0") + F.col("k") + 1 == F.col("_end")).alias("last"), ins.alias("ins"), F.when(last_k & aligned & (F.col("_next.op") == "D"), F.col("_next.len")).alias("del_"), "ordinal", "src", "qname",
         *([] if reference is None else [F.upper(F.substr("_stretch", offset, F.lit(1))).alias("ref"), F.when(last_k & aligned & (F.col("_next.op") == "D"), F.substr("_stretch", offset + 1, F.col("_next.len").cast("int"))).alias("gap")]),
         *([c.alias(name) for name, c in beside(query, offset - 1).items()] if beside else []),
     )
-    return x.where(F.col("q") >= min_base_quality)
+    return x.where(F.col("q") >= min_base_quality) if min_base_quality > 0 else x
+
+
+def _span_end(last: Column) -> Column:
+    """1-based last reference base from a record's last block."""
+    return last["ref0"] + F.when(last["op"].isin(*C.REFERENCE), last["len"]).otherwise(0)
 
 
 def mpileup(df: DataFrame, reference: DataFrame, inputs: list[int] | None = None, regions: list[str] | None = None, bed: DataFrame | None = None, every: DataFrame | None = None, mates: bool = False, orphans: bool = True, **options) -> DataFrame:

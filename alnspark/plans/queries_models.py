@@ -26,17 +26,17 @@ CTES["simple"] = """SELECT chrom, pos, nth, depth, CASE WHEN s1 = 0 THEN 'N' WHE
     FROM observed GROUP BY 1, 2, 3, 4))"""
 _NEEDS |= {"letters": ["blocks"], "observed": ["letters"], "simple": ["observed"]}
 
-register("consensus_columns", lambda s, d: A.simple(A.columns(reads(s, d))), "SELECT * FROM simple", "simple")
+register("consensus_columns", lambda s, d: A.simple(A.columns(reads(s, d), model=False, qualities=False)), "SELECT * FROM simple", "simple")
 _LINES = """SELECT chrom, line, substr(s, CAST(line * 70 + 1 AS INT), 70) AS seq, substr(t, CAST(line * 70 + 1 AS INT), 70) AS qual FROM (
     SELECT *, unnest(range(0, (length(s) + 69) // 70)) AS line FROM (SELECT chrom, string_agg(call, '' ORDER BY pos, nth) AS s, string_agg(q, '' ORDER BY pos, nth) AS t FROM told GROUP BY 1))"""
 register(
-    "consensus_fastq", lambda s, d: A.assemble(A.simple(A.columns(reads(s, d))), chunk=300),
+    "consensus_fastq", lambda s, d: A.assemble(A.simple(A.columns(reads(s, d), model=False, qualities=False)), chunk=300),
     f"""WITH gone AS (SELECT chrom, pos FROM simple WHERE nth = 0 AND call = '*'), every AS (SELECT chrom, unnest(range(lo, hi + 1)) AS pos FROM (SELECT chrom, min(pos) AS lo, max(pos) AS hi FROM simple GROUP BY 1)),
       told AS (SELECT chrom, pos, nth, call, chr(least(quality, 93) + 33) AS q FROM simple ANTI JOIN gone USING (chrom, pos) WHERE call <> '*'
         UNION ALL SELECT chrom, pos, 0, 'N', '!' FROM every ANTI JOIN simple USING (chrom, pos)) {_LINES}""", "simple",
 )
 register(
-    "consensus_over_reference", lambda s, d: A.assemble(A.simple(A.columns(reads(s, d))), header_sq(s, d), every=True, reference=reference(s), reference_quality=20, show_deleted=True, chunk=512),
+    "consensus_over_reference", lambda s, d: A.assemble(A.simple(A.columns(reads(s, d), model=False, qualities=False)), header_sq(s, d), every=True, reference=reference(s), reference_quality=20, show_deleted=True, chunk=512),
     f"""WITH told AS (SELECT chrom, pos, nth, call, chr(least(quality, 93) + 33) AS q FROM simple WHERE nth = 0 OR call <> '*'
         UNION ALL SELECT name, pos, 0, substr(seq, CAST(pos AS INT), 1), '5' FROM (SELECT name, seq, unnest(range(1, length(seq) + 1)) AS pos FROM ref) r ANTI JOIN simple c ON c.chrom = r.name AND c.pos = r.pos) {_LINES}""", "simple", "ref",
 )
