@@ -17,6 +17,8 @@ from . import pileup as P
 EMISSION, SWITCH = (-4.0, 1.0, 6.0), -14000.0
 HET_LOD = 37
 DEPENDENCE, ETA, MOST_READS = 0.83, 0.03, 255
+#: Positions whose costs are made together: with MOST_READS records each, what a task holds.
+COLUMNS_AT_ONCE = 512
 
 
 @lru_cache(maxsize=2)
@@ -104,14 +106,15 @@ def genotype_costs(column, base, reverse, quality, count, most_reads: int | None
     import numpy as np
 
     weight = error_model()[0]
+    size = np.bincount(column, weights=count).astype(np.int64)
+    limit = size if most_reads is None else np.minimum(size, most_reads)
     order = np.lexsort((base, reverse, -quality, column))
-    at = np.repeat(order, count[order])
+    of, n = column[order], count[order].astype(np.int64)
+    end = np.cumsum(n) - (np.cumsum(size) - size)[of]  # places of each count's records within their column
+    # record k of n stays if it is the first in its share of most_reads equal ones: so many do of those before a place
+    before = lambda place: np.where(place > 0, (place - 1) * limit[of] // np.maximum(size[of], 1) + 1, 0)
+    at = np.repeat(order, before(end) - before(end - n))
     c, b, r, q = column[at], base[at], reverse[at], np.clip(quality[at], 4, 63)
-    size = np.bincount(c)
-    place, limit = _rank(c), size if most_reads is None else np.minimum(size, most_reads)
-    # record k of n stays if it is the first in its share of most_reads equal ones
-    keep = (place * limit[c]) // size[c] != ((place - 1) * limit[c]) // size[c]
-    c, b, r, q = c[keep], b[keep], r[keep], q[keep]
     of_base = _rank(c, b)
     cost = _error_costs(q, limit[c], of_base)
     cost = np.where(np.isfinite(cost), cost, 0.0) * weight[np.minimum(_rank(c, b, r), 255)]  # from there on it is the least
@@ -138,12 +141,13 @@ def _costs(batches, more, most_reads: int | None = MOST_READS):
     import numpy as np
 
     for batch in batches:
-        seen = batch.column(2)
-        flat = seen.flatten()
-        column = np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy()))
-        base, reverse, q, n = (flat.field(k).to_numpy().astype(np.int64) for k in ("base", "reverse", "q", "n"))
-        if len(seen):
-            yield more(batch.column(0), batch.column(1), np.bincount(column, weights=n).astype(np.int32), genotype_costs(column, base, reverse, q, n, most_reads))
+        for start in range(0, batch.num_rows, COLUMNS_AT_ONCE):
+            part = batch.slice(start, COLUMNS_AT_ONCE)
+            seen = part.column(2)
+            flat = seen.flatten()
+            column = np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy()))
+            base, reverse, q, n = (flat.field(k).to_numpy().astype(np.int64) for k in ("base", "reverse", "q", "n"))
+            yield more(part.column(0), part.column(1), np.bincount(column, weights=n).astype(np.int32), genotype_costs(column, base, reverse, q, n, most_reads))
 
 
 def calls(df: DataFrame, most_reads: int | None = MOST_READS, **options) -> DataFrame:
@@ -258,40 +262,51 @@ def phase(df: DataFrame, least_lod: float = HET_LOD, min_base_quality: int = 13,
 
     Sites are called in parallel. Along a reference a template keeps the side that it had at its last site, whatever it has
     at sites in between, and a further site's phase is what most of the templates known so far say, of the block that most of
-    them belong to. A site without a known template begins a block. What is kept are the templates that have sites still to come.
+    them belong to. A site without a known template begins a block. What is kept is the side of each site; templates are counted by the two sites that they bridge.
     """
     sites = heterozygous(df, least_lod, min_base_quality=min_base_quality, min_mapq=min_mapq)
     at = P.bases(df, min_base_quality=min_base_quality, min_mapq=min_mapq).where("base in ('A','C','G','T')").join(sites, ["chrom", "pos"])
     sides = at.select("chrom", "pos", "a", "b", "qname", F.when(F.col("base") == F.col("a"), 0).when(F.col("base") == F.col("b"), 1).alias("allele"), "src", "ordinal").where("allele is not null")
     # of a template that covers a site twice the later record counts
-    once = sides.groupBy("chrom", "qname", "pos", "a", "b").agg(F.max_by("allele", F.struct("src", "ordinal")).alias("allele"))
-    last = F.max("pos").over(Window.partitionBy("chrom", "qname"))
-    known = once.withColumn("last", last).groupBy("chrom", "pos", "a", "b").agg(F.sort_array(F.collect_list(F.struct("qname", "allele", "last"))).alias("t"))
-    rows = known.select("chrom", "pos", "a", "b", F.col("t.qname").alias("names"), F.col("t.allele").alias("alleles"), F.col("t.last").alias("lasts"))
+    once = sides.groupBy("chrom", "qname", "pos").agg(F.max_by("allele", F.struct("src", "ordinal")).alias("allele"))
+    # what a template says of a site follows from its last site before: templates that have the same one there count together
+    along = Window.partitionBy("chrom", "qname").orderBy("pos")
+    steps = once.select("chrom", "pos", F.lag("pos").over(along).alias("before"), F.lag("allele").over(along).bitwiseXOR(F.col("allele")).alias("crossed"))
+    votes = steps.groupBy("chrom", "pos", "before", "crossed").agg(F.count("*").alias("n"))
+    rows = votes.join(sites, ["chrom", "pos"]).select("chrom", "pos", "a", "b", "before", "crossed", "n")
 
     def join(batches):
         import pandas as pd
 
-        chrom, side = None, {}  # of each open template its block and side
+        chrom, side = None, {}  # block and side of each site so far
+        site, found = None, {}
+
+        def told():
+            name, pos, a, b = site
+            votes: dict[int, list[int]] = {}
+            for (before, crossed), n in found.items():
+                block, flip = side[before]
+                votes.setdefault(block, [0, 0])[crossed ^ flip] += n
+            block = max(votes, key=lambda v: (sum(votes[v]), -v), default=pos)
+            same, against = votes.get(block, (0, 0))
+            flip = int(against > same)
+            side[pos] = block, flip
+            return name, block, pos, b if flip else a, a if flip else b, max(same, against), min(same, against)
+
+        names = ["chrom", "block", "pos", "first", "second", "support", "against"]
         for rows_ in batches:
             out = []
-            for name, pos, a, b, names, alleles, lasts in zip(*(rows_[c] for c in ("chrom", "pos", "a", "b", "names", "alleles", "lasts")), strict=True):
-                if name != chrom:
-                    chrom, side = name, {}
-                votes: dict[int, list[int]] = {}
-                for q, x in zip(names, alleles, strict=True):
-                    if q in side:
-                        votes.setdefault(side[q][0], [0, 0])[int(x) ^ side[q][1]] += 1
-                block = max(votes, key=lambda v: (sum(votes[v]), -v), default=int(pos))
-                same, crossed = votes.get(block, (0, 0))
-                flip = int(crossed > same)
-                for q, x, end in zip(names, alleles, lasts, strict=True):
-                    if end > pos:
-                        side[q] = block, int(x) ^ flip
-                    else:
-                        side.pop(q, None)
-                out.append((name, block, pos, b if flip else a, a if flip else b, max(same, crossed), min(same, crossed)))
-            yield pd.DataFrame(out, columns=["chrom", "block", "pos", "first", "second", "support", "against"])
+            for name, pos, a, b, before, crossed, n in zip(*(rows_[c] for c in ("chrom", "pos", "a", "b", "before", "crossed", "n")), strict=True):
+                if site is None or (name, pos) != site[:2]:
+                    if site is not None:
+                        out.append(told())
+                    if name != chrom:
+                        chrom, side = name, {}
+                    site, found = (name, int(pos), a, b), {}
+                if before == before and before is not None:
+                    found[int(before), int(crossed)] = int(n)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([told()] if site is not None else [], columns=names)
 
     return rows.repartition("chrom").sortWithinPartitions("chrom", "pos").mapInPandas(join, "chrom string, block bigint, pos bigint, first string, second string, support int, against int")
 
