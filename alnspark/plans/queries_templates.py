@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as Q, tags as T
 from ..operators import chains, dedup, mates, multi, sorts
+from ..sources.scratch import written
 from .derive import header_rg, header_sq, reads
 from .registry import register
 
@@ -73,6 +74,13 @@ _OPTICAL = _DUPS.replace("FROM fm LEFT JOIN clip", "FROM (SELECT * REPLACE (conc
 _OPTICAL = _OPTICAL.replace("AND flag & 512 = 0", "").replace("AS dup FROM ky)", "AS dup FROM ky WHERE flag & 512 = 0)")
 
 
+def _by_group(df):
+    """n and sum of ordinals of each read group. The sums are exact; they are numbers of 64 bits unless one of them isn't."""
+    x = written(multi.split_key(df, "RG").groupBy("split_key").agg(F.count("*").alias("n"), F.sum(F.col("ordinal").cast("decimal(20,0)")).alias("sum")), "groups")
+    wide = not x.where(F.col("sum").try_cast("bigint").isNull() & F.col("sum").isNotNull()).isEmpty()
+    return x if wide else x.withColumn("sum", F.col("sum").cast("bigint"))
+
+
 def _fixed(s, d):
     return mates.fixmate(reads(s, d), scores=True)
 
@@ -118,7 +126,7 @@ register("rmdup_paired", lambda s, d: dedup.rmdup(reads(s, d)).select("ordinal")
     UNION ALL SELECT ordinal FROM n JOIN w USING (qname, unit) WHERE k = 1 OR place = 1""", "reads")
 register("add_read_group", lambda s, d: multi.add_read_group(reads(s, d), "new", overwrite=False).select("ordinal", T.value("RG").alias("rg"), F.element_at("tag_order", -1).alias("last")),
     "SELECT ordinal, coalesce(rg, 'new') AS rg, CASE WHEN rg IS NULL THEN 'RG' ELSE 'NM' END AS last FROM reads", "reads")
-register("split_by_group", lambda s, d: multi.split_key(reads(s, d), "RG").groupBy("split_key").agg(F.count("*").alias("n"), F.sum("ordinal").alias("sum")), "SELECT rg AS split_key, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS sum FROM reads GROUP BY 1", "reads")
+register("split_by_group", lambda s, d: _by_group(reads(s, d)), "SELECT rg AS split_key, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS sum FROM reads GROUP BY 1", "reads")
 register("reset", lambda s, d: multi.reset(reads(s, d)).select("ordinal", "flag", "seq", "qual", "pos", F.array_join("tag_order", ",").alias("tags")),
     """SELECT ordinal, (flag & 705) | 4 | CASE WHEN flag & 1 <> 0 THEN 8 ELSE 0 END AS flag, CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq,
     CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS qual, CAST(NULL AS BIGINT) AS pos, concat_ws(',', CASE WHEN rg IS NOT NULL THEN 'RG' END, CASE WHEN bc IS NOT NULL THEN 'BC' END) AS tags FROM reads WHERE flag & 2304 = 0""", "reads")
