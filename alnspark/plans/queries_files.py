@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import regions as R
+from ..operators import regions as R, sorts
 from ..sources.scratch import folder
 from .derive import header_rg, reads, spread_reads, wide_header_sq
 from .registry import register
@@ -29,11 +29,18 @@ def _flat(df):
     return df.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", tag("RG").alias("rg"), tag("BC").alias("bc"), tag("ms").cast("bigint").alias("ms"), tag("NM").cast("bigint").alias("nm"))
 
 
+def _in_order(df):
+    """The place of each record of its reference in the file, and by its offset."""
+    x = df.select("qname", "flag", "rname", "pos", "src", "ordinal", F.monotonically_increasing_id().alias("file_order"))
+    x = sorts.rank_within(x, ["rname"], [F.col("file_order")], "place")
+    return sorts.rank_within(x, ["rname"], [F.col("src"), F.col("ordinal")], "offset_place", keep=["qname", "flag", "rname", "pos", "place"])
+
+
 register("write_bam", lambda s, d: _flat(s.read.format("bam").load(_sorted_file(s, d))), _SPREAD, "reads")
 register("view_regions_indexed", lambda s, d: _flat(R.read_regions(s, _sorted_file(s, d), _PLACES)), f"{_SPREAD} WHERE {_WHERE}", "reads")
 register(
     "sort_written_order",
-    lambda s, d: s.read.format("bam").load(_sorted_file(s, d)).withColumn("file_order", F.monotonically_increasing_id()).selectExpr("qname", "flag", "rname", "pos", "row_number() OVER (PARTITION BY rname ORDER BY file_order) AS place", "row_number() OVER (PARTITION BY rname ORDER BY src, ordinal) AS offset_place"),
+    lambda s, d: _in_order(s.read.format("bam").load(_sorted_file(s, d))),
     """WITH x AS (SELECT *, (ordinal % 1000000007 * 7919) % 150000000 + 1 AS place0 FROM reads WHERE rname IS NOT NULL),
       y AS (SELECT qname, flag, rname, place0 AS pos, (row_number() OVER (PARTITION BY rname ORDER BY place0, flag & 16, src, ordinal))::INT AS place FROM x) SELECT *, place AS offset_place FROM y""", "reads",
 )

@@ -10,20 +10,20 @@ from ..sources.scratch import written
 from .derive import header_rg, header_sq, reads
 from .registry import register
 
-register("sort_coordinate", lambda s, d: sorts.rank_within(sorts.sort(reads(s, d)), ["tid"], sorts.coordinate_keys()[1:]).select("ordinal", "tid", "pos", "rank"),
+register("sort_coordinate", lambda s, d: sorts.rank_within(sorts.sort(reads(s, d)), ["tid"], sorts.coordinate_keys()[1:], keep=["ordinal", "tid", "pos"]),
     "SELECT ordinal, tid, pos, row_number() OVER (PARTITION BY tid ORDER BY coalesce(pos, 0), flag & 16, src, ordinal)::INT AS rank FROM reads", "reads")
-register("sort_name_ascii", lambda s, d: sorts.rank_within(reads(s, d), ["rname"], sorts.name_keys(False)).select("ordinal", "qname", "rank"),
+register("sort_name_ascii", lambda s, d: sorts.rank_within(reads(s, d), ["rname"], sorts.name_keys(False), keep=["ordinal", "qname"]),
     "SELECT ordinal, qname, row_number() OVER (PARTITION BY rname ORDER BY qname, ((flag & 192) << 8) | ((flag & 256) << 3) | ((flag & 2048) >> 3), src, ordinal)::INT AS rank FROM reads", "reads")
-register("sort_name_natural", lambda s, d: sorts.rank_within(reads(s, d), ["rname"], sorts.name_keys()).select("ordinal", "qname", "rank"),
+register("sort_name_natural", lambda s, d: sorts.rank_within(reads(s, d), ["rname"], sorts.name_keys(), keep=["ordinal", "qname"]),
     "SELECT ordinal, qname, row_number() OVER (PARTITION BY rname ORDER BY CAST(substr(qname, 2) AS BIGINT), ((flag & 192) << 8) | ((flag & 256) << 3) | ((flag & 2048) >> 3), src, ordinal)::INT AS rank FROM reads", "reads")
-register("sort_tag", lambda s, d: sorts.rank_within(reads(s, d), ["rname"], sorts.tag_keys("ms")).select("ordinal", T.value("ms").alias("ms"), "rank"),
+register("sort_tag", lambda s, d: sorts.rank_within(reads(s, d), ["rname"], sorts.tag_keys("ms"), keep=["ordinal", T.value("ms").alias("ms")]),
     """SELECT ordinal, CAST(ms AS VARCHAR) AS ms, row_number() OVER (PARTITION BY rname ORDER BY ms NULLS FIRST, tid, coalesce(pos, 0), flag & 16, CAST(substr(qname, 2) AS BIGINT),
       ((flag & 192) << 8) | ((flag & 256) << 3) | ((flag & 2048) >> 3), src, ordinal)::INT AS rank FROM reads""", "reads")
 register("sort_minimizer", lambda s, d: sorts.minimizer(reads(s, d)).orderBy(F.col("tid").asc_nulls_last(), "pos", "minhash").select("ordinal", "minhash"))
 register("cat", lambda s, d: sorts.cat([reads(s, d).where("src = 0"), reads(s, d).where("src = 1")]).groupBy("src").agg(F.count("*").alias("n")), "SELECT src, count(*) AS n FROM reads GROUP BY 1", "reads")
-register("merge", lambda s, d: sorts.rank_within(sorts.merge([reads(s, d).where("src = 1"), reads(s, d).where("src = 0")]), ["tid"], sorts.coordinate_keys()[1:]).select("ordinal", "src", "rank"),
+register("merge", lambda s, d: sorts.rank_within(sorts.merge([reads(s, d).where("src = 1"), reads(s, d).where("src = 0")]), ["tid"], sorts.coordinate_keys()[1:], keep=["ordinal", "src"]),
     "SELECT ordinal, 1 - src AS src, row_number() OVER (PARTITION BY tid ORDER BY coalesce(pos, 0), flag & 16, 1 - src, ordinal)::INT AS rank FROM reads", "reads")
-register("collate", lambda s, d: sorts.rank_within(sorts.collate(reads(s, d)), ["qname"], [F.shiftright("flag", 6).bitwiseAND(3), F.col("ordinal")]).select("qname", "ordinal", "rank"),
+register("collate", lambda s, d: sorts.rank_within(sorts.collate(reads(s, d)), ["qname"], [F.shiftright("flag", 6).bitwiseAND(3), F.col("ordinal")], keep=["qname", "ordinal"], small=True),
     "SELECT qname, ordinal, row_number() OVER (PARTITION BY qname ORDER BY (flag >> 6) & 3, ordinal)::INT AS rank FROM reads", "reads")
 
 #: The first two primary records of each name, each beside the other.
@@ -85,7 +85,7 @@ def _fixed(s, d):
     return mates.fixmate(reads(s, d), scores=True)
 
 
-register("sort_template_coordinate", lambda s, d: sorts.rank_within(sorts.template_keys(mates.fixmate(reads(s, d)).where(T.value("MC").isNotNull()), header_rg(s, d)), ["t1"], [*sorts.template_order(), F.col("ordinal")]).select("ordinal", "t1", "p1", "upper", "rank"),
+register("sort_template_coordinate", lambda s, d: sorts.rank_within(sorts.template_keys(mates.fixmate(reads(s, d)).where(T.value("MC").isNotNull()), header_rg(s, d)), ["t1"], [*sorts.template_order(), F.col("ordinal")], keep=["ordinal", "t1", "p1", "upper"]),
     f"""WITH {_DUPS}, places AS (SELECT fm.*, flag & 4 = 0 AS here, flag & 1 <> 0 AND flag & 8 = 0 AS there, pos - coalesce(lead, 0) AS us, pos - 1 + coalesce(rl, 0) + coalesce(trail, 0) AS ue,
       pnext - coalesce(lead2, 0) AS os, pnext - 1 + coalesce(rl2, 0) + coalesce(trail2, 0) AS oe FROM fm LEFT JOIN clip USING (ordinal, src) LEFT JOIN clip2 USING (ordinal, src) WHERE mc IS NOT NULL),
     h AS (SELECT *, CASE WHEN here THEN coalesce(tid, -1) ELSE 2147483647 END AS ta, CASE WHEN NOT here THEN 4611686018427387904 WHEN flag & 16 <> 0 THEN ue ELSE us END AS pa, here AND flag & 16 <> 0 AS na,

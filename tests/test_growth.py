@@ -36,3 +36,28 @@ def test_genotype_costs_take_no_record_apart():
 
 def test_phase_collects_no_names(spark):
     assert "collect_list(named_struct(qname" not in plan(M.phase(reads(spark, DATA), least_lod=5)).replace("struct(qname", "named_struct(qname").replace("named_named_", "named_")
+
+
+def test_ranks_need_no_group_in_one_task(spark):
+    from alnspark.operators import sorts
+
+    df = spark.range(0, 1000).selectExpr("cast(null as int) as g", "(id * 37) % 1000 as v", "id")
+    df = df.unionByName(df.selectExpr("cast(1 as int) as g", "v", "id").where("id < 10"))
+    ranked = sorts.rank_within(df, ["g"], [F.col("v")], keep=["g", "v"])
+    assert "row_number" not in plan(ranked)
+    assert sorted((r.v, r["rank"]) for r in ranked.where("g is null").collect()) == [(k, k + 1) for k in range(1000)]
+    some = sorted(r.v for r in df.where("g = 1").collect())
+    assert sorted((r.v, r["rank"]) for r in ranked.where("g = 1").collect()) == [(v, k + 1) for k, v in enumerate(some)]
+
+
+def test_sums_of_groups_beyond_64_bits(spark):
+    from alnspark.plans.queries_templates import _by_group
+
+    df = reads(spark, DATA).limit(10).withColumn("ordinal", F.lit(2**63 - 1))
+    assert sum(int(r["sum"]) for r in _by_group(df).collect()) == 10 * (2**63 - 1)
+
+
+def test_barcodes_are_counted_once_each(spark):
+    from alnspark.operators import stats as S
+
+    assert "lineitem" not in plan(S.barcode_bases(reads(spark, DATA)))
