@@ -139,3 +139,24 @@ def test_a_site_alone(spark):
     found = H.Phased(sam(spark, *rows), least_lod=10)
     assert [(r.kind, r.pos, {r["first"], r.second}, r.support0) for r in found.sites().collect()] == [(0, 1, {"A", "C"}, 0)]
     assert {r.phase for r in found.templates().collect()} == {True, False} and all(r.phased for r in found.templates().collect())
+
+
+def test_a_template_is_its_known_sites_however_far_apart(spark):
+    placed = spark.createDataFrame([("chr1", 10 * (i + 1), 10, i, 10**8) for i in (0, 1, 10**8 - 1)], "chrom string, pos long, block long, i int, size int")
+    seen = spark.createDataFrame([("chr1", 10, "a", 1), ("chr1", 20, "a", 0), ("chr1", 10**9, "a", 2)], "chrom string, pos long, qname string, code int")
+    (row,) = H.templates(placed, seen).collect()
+    assert (row.beg, row.end, [tuple(e) for e in row.known]) == (9, 10**9, [(0, 1), (10**8 - 1, 2)])
+
+
+@pytest.mark.parametrize("k", [3, 5])
+def test_many_windows_sum_up_as_few_do(k):
+    rnd = random.Random(k)
+    told = [(known, known & rnd.randrange(1 << k), rnd.randint(1, 9)) for known in range(1 << k) for _ in range(20)]
+    rows = [("".join("0" if not known >> s & 1 else "12"[value >> s & 1] for s in range(k - 1, -1, -1)), n) for known, value, n in told]
+    want = np.zeros(1 << k, int)
+    for codes, n in rows:
+        for bits in range(1 << k):
+            want[bits] += n * all(c == "0" or int(c) - 1 == bits >> (k - 1 - s) & 1 for s, c in enumerate(codes))
+    known, value, n = np.array(told).T
+    assert (H.fits(known, value, n, k) == want).all()  # many: by halves
+    assert (sum(H.fits(known[j : j + 1], value[j : j + 1], n[j : j + 1], k) for j in range(len(n))) == want).all()
