@@ -46,7 +46,7 @@ def chains(df: DataFrame, distance: int | None = None, mode: str = "template", b
     The root is the record that all of a chain go back to, however often the best changed on the way. With a distance, a
     duplicate is optical if the root, or a duplicate of its chain that beats it, lies on its tile within that distance in x and y. Of two with
     mates the passed one beats the failed one, then the higher score, then the smaller name; one with a mate beats one without.
-    Places are dealt into cells of that size, so a chain isn't held against itself in full."""
+    Places are dealt into cells of that size, and the best of each is held against those around, so the work grows with the records."""
     x = _records(df, mode, barcode, groups, include_fails, barcode_pattern)
     pairs = _pairs(x).select("pk", "best")
     places = _places(x).select("sk", F.col("holder.pk").alias("_hpk"), F.col("best").alias("_best"))
@@ -58,6 +58,7 @@ def chains(df: DataFrame, distance: int | None = None, mode: str = "template", b
     every = every.withColumns({"root_src": F.col("root.src"), "root_ordinal": F.col("root.ordinal")}).drop("root")
     is_root = (F.col("src") == F.col("root_src")) & (F.col("ordinal") == F.col("root_ordinal"))
     told = every.withColumn("_is_root", is_root)
+    told = told if distance is None else written(told, "roots")  # the best of each cell, those around and the rest are read apart
     keys = ["src", "ordinal", "root_src", "root_ordinal"]
     if distance is None:
         return told.where("not _is_root").select(*keys, "origin", F.lit("LB").alias("type"))
@@ -67,14 +68,23 @@ def chains(df: DataFrame, distance: int | None = None, mode: str = "template", b
     at = told.withColumn("_p", place).where("_p is not null and _p.x is not null and _p.y is not null").select(*keys, "_is_root", rank.alias("rank"), F.col("_p.prefix").alias("tile"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
     cell = lambda c: F.floor(F.col(c) / max(distance, 1))
     at = at.withColumns({"cx": cell("x"), "cy": cell("y")})
-    near = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    one = at.where("not _is_root").withColumn("_c", F.explode(near)).select(*keys, "rank", "tile", "x", "y", "_c.cx", "_c.cy")
+    beaten, one = _best_of_cells(at)
     other = at.select("root_src", "root_ordinal", "tile", "cx", "cy", F.col("rank").alias("rank2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     meets = (F.abs(F.col("x") - F.col("x2")) <= distance) & (F.abs(F.col("y") - F.col("y2")) <= distance) & (F.col("rank2") < F.col("rank"))
-    hit = one.join(other, ["root_src", "root_ordinal", "tile", "cx", "cy"]).where(meets).select("src", "ordinal").distinct().withColumn("_sq", F.lit(True))
+    hit = one.join(other, ["root_src", "root_ordinal", "tile", "cx", "cy"]).where(meets).select("src", "ordinal").distinct().unionByName(beaten).withColumn("_sq", F.lit(True))
     return told.where("not _is_root").join(hit, ["src", "ordinal"], "left").select(*keys, "origin", F.when(F.col("_sq"), "SQ").otherwise("LB").alias("type"))
 
 
+def _best_of_cells(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """src, ordinal of the duplicates that another of their chain and cell beats, which is near as they share the cell; and the others, the
+    best of each cell, once for each cell that they have to look into."""
+    near = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    at = at.withColumn("_first", F.min("rank").over(Window.partitionBy("root_src", "root_ordinal", "tile", "cx", "cy"))).where("not _is_root")
+    beaten = at.where(F.col("_first") < F.col("rank")).select("src", "ordinal")
+    best = at.where(F.col("_first") == F.col("rank")).withColumn("_c", F.explode(near))
+    return beaten, best.select("src", "ordinal", "root_src", "root_ordinal", "rank", "tile", "x", "y", "_c.cx", "_c.cy")
+
+
 def running_least(rows: DataFrame, key: str, at: str, value: str, stretches: int = STRETCHES) -> DataFrame:
     """rows with least: the least value among the rows of the key up to this one by `at` (a struct with ordinal first). The input is cut into
     stretches; each has its own minimum, and those before it are looked up."""
@@ -95,12 +105,13 @@ def counts(df: DataFrame, mode: str = "template", barcode: str | None = None, gr
     depends on the order of the input."""
     x = _records(df, mode, barcode, groups, include_fails, barcode_pattern)
     pairs, places = _pairs(x), _places(x)
-    held = places.where("holder is not null").select("sk", F.col("holder.at").alias("_hat"), F.col("holder.pk").alias("_hpk"), F.col("holder.order").alias("_horder"), "early", "n")
+    held = places.where("holder is not null and n > 0").select("sk", F.col("holder.at").alias("_hat"), F.col("holder.pk").alias("_hpk"), F.col("holder.order").alias("_horder"), "early", "n")
     # what is counted for a holder, and when: those before it as one, each later one by itself
     at_once = held.where("early").select(F.col("_hpk").alias("pk"), F.col("_hat").alias("at"), F.col("_horder").alias("_for"))
     later = x.where("not paired").join(held.select("sk", "_hat", "_hpk", "_horder"), "sk").where(F.col("at") > F.col("_hat")).select(F.col("_hpk").alias("pk"), "at", F.col("_horder").alias("_for"))
     nothing = F.lit(None).cast(x.schema["order"].dataType)
-    events = x.where("paired").select("pk", "at", "order", nothing.alias("_for")).unionByName(at_once.unionByName(later).select("pk", "at", nothing.alias("order"), "_for"))
+    mine = x.where("paired").join(held.select(F.col("_hpk").alias("pk")).distinct(), "pk", "left_semi")  # no other key has anything to count
+    events = mine.select("pk", "at", "order", nothing.alias("_for")).unionByName(at_once.unionByName(later).select("pk", "at", nothing.alias("order"), "_for"))
     # a record comes before what is counted at its own place
     timed = events.withColumn("at", F.struct("at.ordinal", "at.src", F.col("_for").isNotNull().alias("k")))
     good = running_least(timed, "pk", "at", "order").where(F.col("_for").isNotNull() & (F.col("least") == F.col("_for"))).groupBy("pk").agg(F.count("*").alias("_more"))

@@ -112,3 +112,18 @@ def test_a_large_set_is_not_one_group(spark):
         least = min(least, r.v)
         want[r.ordinal] = least
     assert {r["at"]["ordinal"]: r.least for r in got.collect()} == want
+
+
+def test_a_chain_in_one_cell_is_not_held_against_itself(spark):
+    at = spark.range(5000).selectExpr("0 as src", "id as ordinal", "0 as root_src", "-1L as root_ordinal", "false as _is_root", "struct(id as r) as rank", "'t' as tile", "id % 7 as x", "id % 5 as y", "0L as cx", "0L as cy")
+    beaten, best = H._best_of_cells(at)
+    assert beaten.count() == 4999 and {(r.ordinal, abs(r.cx) <= 1, abs(r.cy) <= 1) for r in best.collect()} == {(0, True, True)} and best.count() == 8
+
+
+def test_running_minima_only_where_singles_count(spark, monkeypatch):
+    seen = []
+    real = H.running_least
+    monkeypatch.setattr(H, "running_least", lambda rows_, *a: seen.append(rows_.count()) or real(rows_, *a))
+    pairs = [f"p{k} 99 chr1 {100 + k} 60 4M = 900 9 ACGT IIII MC:Z:4M ms:i:50" for k in range(50)]
+    got = {r.ordinal: r.n for r in H.counts(sam(spark, *pairs, "s 0 chr1 100 60 4M * 0 0 ACGT IIII")).collect()}
+    assert seen == [2] and sorted(got.values()) == [1] * 49 + [2]  # the pair at the single's place, and the single
