@@ -12,8 +12,12 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..functions import ragged as G
 from ..operators.intervals import parse_region
 from ..schema import READS
 from . import bai
@@ -22,6 +26,8 @@ from .files import _Raw, file_system, open_file, open_text, paths_of
 
 #: Bytes of SAM text, or of packed blocks, in a partition.
 SPLIT = 64 << 20
+#: Records that are read as one Arrow batch.
+BATCH = 8_192
 #: Records in a row that tell where a range of blocks has its first one.
 CHAIN = 8
 # Fixed values of the format: operations, bases, sizes of a block and its head, tag types.
@@ -319,6 +325,104 @@ def _bam_record(data: bytes, ordinal: int, src: int, names: list[str]) -> tuple:
     )
 
 
+#: A record before its name, without its size.
+FIXED = np.dtype([("tid", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("seq", "<i4"), ("mtid", "<i4"), ("mpos", "<i4"), ("tlen", "<i4")])
+PAIR = pa.struct([("t", pa.string()), ("v", pa.string())])
+ARROW = pa.schema([
+    ("ordinal", pa.int64()), ("src", pa.int32()), ("qname", pa.string()), ("flag", pa.int32()), ("tid", pa.int32()), ("rname", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()),
+    ("mtid", pa.int32()), ("rnext", pa.string()), ("pnext", pa.int64()), ("tlen", pa.int64()), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.map_(pa.string(), PAIR)), ("tag_order", pa.list_(pa.string())),
+])
+
+
+def _one_by_one(items: list[tuple[int, bytes]], src: int, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*(_bam_record(data, ordinal, src, names) for ordinal, data in items), strict=True))
+    columns[15] = [[(k, {"t": t, "v": v}) for k, (t, v) in tags.items()] for tags in columns[15]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+
+def _tag_rounds(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Each tag's record, name (two bytes as a number), type and value, in the order of records: the first tags of all records
+    together, then the second ones, and so on."""
+    record, zeros = np.arange(len(at)), np.flatnonzero(data == 0)
+    parts: list[tuple] = []
+    while True:
+        live = at < end
+        record, at, end = record[live], at[live].copy(), end[live]
+        if not len(record):
+            break
+        name, kinds = data[at].astype(np.int64) << 8 | data[at + 1], data[at + 2]
+        for code in np.unique(kinds):
+            k, kind = kinds == code, chr(code)
+            first = at[k] + 3
+            if kind in "cCsSiI":
+                width = struct.calcsize(KINDS[kind])
+                value = pc.cast(pa.array(np.ascontiguousarray(data[first[:, None] + np.arange(width)]).view(f"<{np.dtype(KINDS[kind].replace('i', 'i4').replace('I', 'u4')).str[1:]}")[:, 0]), pa.string())
+                told, size = "i", width
+            elif kind == "A":
+                value, told, size = G.strings(data[first], np.ones(len(first), np.int64)), "A", 1
+            elif kind in "ZH":
+                long = zeros[np.searchsorted(zeros, first)] - first
+                value, told, size = G.strings(data[G.places(first, long)], long), kind, long + 1
+            else:  # numbers with a fraction and arrays, by the plain way
+                sizes, values = [], []
+                for a, e in zip(first.tolist(), end[k].tolist(), strict=True):
+                    n = 4 if kind == "f" else 5 + struct.unpack_from("<i", data, a + 1)[0] * struct.calcsize(KINDS[chr(data[a])]) if kind == "B" else e - a
+                    values.append(next(iter(_aux(data[a - 3 : a + n].tobytes())[0].values()))[1])
+                    sizes.append(n)
+                value, told, size = pa.array(values, pa.string()), kind, np.array(sizes)
+            parts.append((record[k], name[k], told, value))
+            at[k] = first + size
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()), pa.array([], pa.string())
+    records = np.concatenate([p[0] for p in parts])
+    order = np.argsort(records, kind="stable")
+    kinds_ = pa.concat_arrays([pa.repeat(p[2], len(p[0])) for p in parts])
+    values_ = pa.concat_arrays([p[3] for p in parts])
+    return records[order], np.concatenate([p[1] for p in parts])[order], kinds_.take(pa.array(order)), values_.take(pa.array(order))
+
+
+def _bam_batch(items: list[tuple[int, bytes]], src: int, names: list[str]) -> pa.RecordBatch:
+    """As `_bam_record`, of many records at once."""
+    n = len(items)
+    data = np.frombuffer(b"".join(d for _, d in items), np.uint8)
+    sizes = np.array([len(d) for _, d in items])
+    start = G.starts_of(sizes)
+    head = np.ascontiguousarray(data[start[:, None] + np.arange(FIXED.itemsize)]).view(FIXED)[:, 0]
+    field = {k: head[k].astype(np.int64) for k in FIXED.names}
+    at = start + FIXED.itemsize
+    qname = G.strings(data[G.places(at, field["name"] - 1)], field["name"] - 1)
+    at = at + field["name"]
+    cigars = G.strings(data[G.places(at, 4 * field["ops"])], 4 * field["ops"], binary=True).dictionary_encode()
+    texts = pa.array(["".join(f"{c >> 4}{OPS[c & 15]}" for c in np.frombuffer(x, "<u4").tolist()) or None for x in cigars.dictionary.to_pylist()], pa.string())
+    at = at + 4 * field["ops"]
+    size = field["seq"]
+    k = G.places(np.zeros(n, np.int64), size)
+    byte = data[np.repeat(at, size) + k // 2]
+    seq = G.strings(np.frombuffer(BASES.encode(), np.uint8)[np.where(k % 2, byte & 15, byte >> 4)], size)
+    at = at + (size + 1) // 2
+    known = size > 0
+    known[known] = data[at[known]] != 255
+    raw = data[G.places(at, size * known)]
+    record, name, kind, value = _tag_rounds(data, at + size, start + sizes)
+    tag = np.unique(record << 16 | name)
+    if len(tag) < len(record) or (name == ord("C") << 8 | ord("G")).any() or (raw > 94).any() or (data[start + FIXED.itemsize] > 127).any():
+        return _one_by_one(items, src, names)  # repeated tags, operations in a tag, qualities beyond ASCII
+    qual = G.strings(raw + np.uint8(33), size * known)
+    codes, which = np.unique(name, return_inverse=True)
+    keys = pa.array([bytes((c >> 8, c & 255)).decode() for c in codes.tolist()], pa.string()).take(pa.array(which))
+    offsets = pa.array(np.append(0, np.cumsum(np.bincount(record, minlength=n))).astype(np.int32))
+    null = lambda v, bad: pa.array(v, mask=bad)
+    some = lambda column, there: pc.if_else(pa.array(there), column, pa.scalar(None, column.type))
+    refs = pa.array(names, pa.string())
+    number = lambda v: null(v.astype(np.int32), v < 0)
+    columns = [
+        pa.array(np.array([o for o, _ in items], np.int64)), pa.array(np.full(n, src, np.int32)), qname, pa.array(field["flag"].astype(np.int32)), number(field["tid"]), refs.take(number(field["tid"])), null(field["pos"] + 1, field["pos"] == -1),
+        null(field["mapq"].astype(np.int32), field["mapq"] == 255), texts.take(cigars.indices), number(field["mtid"]), refs.take(number(field["mtid"])), null(field["mpos"] + 1, field["mpos"] == -1), pa.array(field["tlen"]),
+        some(seq, size > 0), some(qual, known), pa.MapArray.from_arrays(offsets, keys, pa.StructArray.from_arrays([kind, value], fields=list(PAIR))), pa.ListArray.from_arrays(offsets, keys),
+    ]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+
 class BamReader(DataSourceReader):
     """Ranges of blocks. Where the first record of a range begins is told from the records that follow it; the range
     before, which knows for certain where its last one ends, fails if that was wrong. A file that isn't packed in BGZF
@@ -389,6 +493,11 @@ class BamReader(DataSourceReader):
 
     def read(self, part: _Range) -> Iterator[tuple]:
         names, skip = _bam_header(part.path)
+        for ordinal, data in self._found(part, names, skip):
+            yield _bam_record(data, ordinal, part.src, names)
+
+    def _found(self, part: _Range, names: list[str], skip: int) -> Iterator[tuple[int, bytes]]:
+        """The records' virtual offsets and bytes."""
         f, size = open_file(part.path)
         if part.chunks is not None:
             done = 0
@@ -397,14 +506,14 @@ class BamReader(DataSourceReader):
                     if (offset := at << 16 | place) >= end:
                         break
                     if offset >= done:
-                        yield _bam_record(data, offset, part.src, names)
+                        yield offset, data
                         done = offset + 1
             return
         if not _block_size(f.read(BLOCK_HEAD)):
             stream = open_text(part.path)
             whole = ((0, chunk) for chunk in iter(lambda: stream.read(1 << 20), b""))
             for n, (_, _, data) in enumerate(_records(whole, skip)):
-                yield _bam_record(data, n, part.src, names)
+                yield n, data
             return
         head = skip
         if part.start:
@@ -418,7 +527,7 @@ class BamReader(DataSourceReader):
             if at >= part.end:
                 self._confirm(part, at, place, len(names), head)
                 return
-            yield _bam_record(data, at << 16 | place, part.src, names)
+            yield at << 16 | place, data
 
     def _start(self, f, first: int, size: int, references_: int, head: int) -> int | None:
         """Bytes from the block `first` to the first record in it or after; a header that reaches beyond it is passed."""
@@ -440,6 +549,21 @@ class BamReader(DataSourceReader):
             raise ValueError(f"{part.path}: a record begins in block {at} at {place}, not at {told}; set splitBytes to the file's size")
 
 
+class BamBatchReader(BamReader):
+    """The same records as Arrow batches."""
+
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        names, skip = _bam_header(part.path)
+        held: list[tuple[int, bytes]] = []
+        for item in self._found(part, names, skip):
+            held.append(item)
+            if len(held) == BATCH:
+                yield _bam_batch(held, part.src, names)
+                held = []
+        if held:
+            yield _bam_batch(held, part.src, names)
+
+
 class BamSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -449,7 +573,7 @@ class BamSource(DataSource):
         return READS
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
+        return BamBatchReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> BamWriter:
         return BamWriter(self.options, overwrite)

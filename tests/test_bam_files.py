@@ -173,3 +173,27 @@ def test_a_list_of_files(spark, bam, tmp_path):
     (tmp_path / "list").write_text(f"{path}/part-00000.bam\n\n{path}/part-00003.bam\n")
     one = spark.read.format("bam").option("pathsFile", str(tmp_path / "list")).load()
     assert one.groupBy("src").count().count() == 2
+
+
+def test_batches_are_the_records_one_by_one(tmp_path):
+    """Both ways of writing and of reading give the same bytes and values: BAM is made and read by batches, not by rows."""
+    import pyarrow as pa
+
+    from alnspark.sources import bam_write as W
+
+    names = ["chr1", "chr2"]
+    columns = list(zip(*made(3_000, 7), strict=True))
+    columns[15] = [[(k, {"t": t, "v": v}) for k, (t, v) in tags.items()][::-1] for tags in columns[15]]  # the map has no order of its own
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, A.ARROW, strict=True)], schema=A.ARROW)
+    tids = {n: k for k, n in enumerate(names)}
+    whole = W.encode_batch(batch, tids)
+    each = [W.encode({**r, "tags": {k: v for k, v in r["tags"]}}, tids) for r in batch.to_pylist()]
+    assert whole.data.tobytes() == b"".join(e.data for e in each)
+    assert [*zip(whole.tid, whole.start0, whole.end0, strict=True)] == [(e.tid, e.start0, e.end0) for e in each]
+    items = [(k, e.data[4:]) for k, e in enumerate(each)]
+    assert A._bam_batch(items, 2, names).equals(A._one_by_one(items, 2, names))
+    some = [(k, e.data[4:]) for k, e in enumerate(each) if e.data[-1:] == b"\0"][:2] + [(9, each[0].data[4:] + b"NMi\1\0\0\0NMi\2\0\0\0")]
+    assert A._bam_batch(some, 0, names).equals(A._one_by_one(some, 0, names))
+    with pytest.raises(ValueError, match="no reference"):
+        W.encode_batch(batch, {"chr2": 0})
+    assert A.BamSource({"path": str(tmp_path)}).writer(None, True).__class__.__mro__[1].__name__ == "DataSourceArrowWriter"
