@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cigar as C, flags as FL, sequence as Q, tags as T
-from . import intervals as I
+from . import columns, intervals as I
 from .filters import by_bed, by_regions, span
 from .reference import with_stretch
 
@@ -48,6 +48,15 @@ def _span_end(last: Column) -> Column:
     return last["ref0"] + F.when(last["op"].isin(*C.REFERENCE), last["len"]).otherwise(0)
 
 
+def _parts(df: DataFrame, reference: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, exclude: int = FL.DEPTH_MASK) -> DataFrame:
+    """Columns.PARTS: records are put in file order, so what a task tells of a position follows what tasks before it do."""
+    kept = df.where(FL.flag_filter(F.col("flag"), exclude=exclude) & (F.coalesce("mapq", F.lit(0)) >= min_mapq)).where("rname is not null and pos is not null and cigar is not null")
+    few = kept.select("src", "ordinal", "rname", "pos", "cigar", "seq", "qual", F.coalesce("mapq", F.lit(0)).alias("mapq"), FL.bit(F.col("flag"), FL.REVERSE).alias("reverse"))
+    # ordered last: before a join Spark would leave the order out
+    ordered = with_stretch(span(few), reference, "_stretch").drop("chrom", "start0", "end0").repartitionByRange("src", "ordinal").sortWithinPartitions("src", "ordinal")
+    return ordered.mapInArrow(lambda batches: columns.pileup_parts(batches, min_base_quality), columns.PARTS)
+
+
 def mpileup(df: DataFrame, reference: DataFrame, inputs: list[int] | None = None, regions: list[str] | None = None, bed: DataFrame | None = None, every: DataFrame | None = None, mates: bool = False, orphans: bool = True, **options) -> DataFrame:
     """chrom, pos, ref, depth, bases, quals: the text pileup; of each column the records in file order. A column without
     records has '*' for bases and quals.
@@ -66,20 +75,15 @@ def mpileup(df: DataFrame, reference: DataFrame, inputs: list[int] | None = None
         df = by_regions(df, regions)
     if bed is not None:
         df = by_bed(df, bed)
-    x = bases(df, reference=reference, **options)
+    x = _parts(df, reference, **options)
     if regions:
         x = x.where(I.region_filter(regions, F.col("chrom"), F.col("pos") - 1, F.col("pos")))
     if bed is not None:
         merged = I.merge_intervals(bed).select(F.col("chrom").alias("r_chrom"), F.col("start0").alias("r_start0"), F.col("end0").alias("r_end0"))
         x = I.overlap_join(x.withColumns({"start0": F.col("pos") - 1, "end0": F.col("pos")}), merged).drop("start0", "end0", "r_chrom", "r_start0", "r_end0")
-    lower = lambda c: F.when(F.col("reverse"), F.lower(c)).otherwise(F.upper(c))
-    symbol = F.when(F.col("base") == "*", "*").when(F.col("base") == ">", F.when(F.col("reverse"), "<").otherwise(">")).when(F.upper("base") == F.col("ref"), F.when(F.col("reverse"), ",").otherwise(".")).otherwise(lower(F.col("base")))
-    indel = F.concat(F.coalesce(F.concat(F.lit("+"), F.length("ins").cast("string"), lower(F.col("ins"))), F.lit("")), F.coalesce(F.concat(F.lit("-"), F.col("del_").cast("string"), lower(F.col("gap"))), F.lit("")))
-    text = F.concat(F.when(F.col("first"), F.concat(F.lit("^"), F.char(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise(""), symbol, indel, F.when(F.col("last"), "$").otherwise(""))
-    entry = F.struct("src", "ordinal", text.alias("t"), F.char(F.least(F.col("q"), F.lit(93)) + 33).alias("q"))
+    entry = F.struct("src", "ordinal", "t", "q")
     sides = {"": F.lit(True)} if inputs is None else {f"_{k}": F.col("src") == k for k in inputs}
-    # the depth is counted by itself, so a query of depths alone makes no text
-    made = [c for k, mine in sides.items() for c in (F.count_if(mine).alias(f"depth{k}"), F.sort_array(F.collect_list(F.when(mine, entry))).alias(f"c{k}"))]
+    made = [c for k, mine in sides.items() for c in (F.sum(F.when(mine, F.col("n"))).alias(f"depth{k}"), F.sort_array(F.collect_list(F.when(mine, entry))).alias(f"c{k}"))]
     at = x.groupBy("chrom", "pos").agg(F.min("ref").alias("ref"), *made)
     if every is not None:
         all_ = every.select(F.col("name").alias("chrom"), F.lit(0).cast("bigint").alias("start0"), F.col("length").alias("end0"), F.lit(0).alias("src"), F.col("tid").alias("ordinal"))
