@@ -38,12 +38,12 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = BYTES) -> Iterator[p
 
 class Layout:
     """Each base of records on the reference: record, off (from the record's start), kind, query (its place in the read; of a
-    deleted or skipped base that of the next), and where a block ends `after` (1: an insertion follows, 2: a deletion), with
+    deleted or skipped base that of the next), new (an operation's first), and where a block ends `after` (1: an insertion follows, 2: a deletion), with
     its length and place in the read."""
 
     def __init__(self, ops: list[list[tuple[int, str]]], which: np.ndarray):
         used, row = np.unique(which, return_inverse=True)
-        kind, query, after, long, place, size = [], [], [], [], [], []
+        kind, query, after, long, place, size, new = [], [], [], [], [], [], []
         for text in (ops[k] for k in used.tolist()):
             q = total = 0
             for i, (n, op) in enumerate(text):
@@ -53,6 +53,7 @@ class Layout:
                     ends = np.zeros((3, n), np.int64)
                     if i + 1 < len(text) and text[i + 1][1] in "ID":
                         ends[:, -1] = 1 if text[i + 1][1] == "I" else 2, text[i + 1][0], q + (n if op in "M=X" else 0)
+                    new.append(np.arange(n) == 0)
                     after.append(ends[0])
                     long.append(ends[1])
                     place.append(ends[2])
@@ -66,7 +67,7 @@ class Layout:
         at = G.places(G.starts_of(size_)[row], self.span)
         self.record = np.repeat(np.arange(len(which)), self.span)
         self.off = G.places(np.zeros(len(which), np.int64), self.span)
-        self.kind, self.query, self.after, self.long, self.place = (whole(p)[at] for p in (kind, query, after, long, place))
+        self.kind, self.query, self.after, self.long, self.place, self.new = (whole(p)[at] for p in (kind, query, after, long, place, new))
 
 
 def layouts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Layout]]:
@@ -184,3 +185,124 @@ def _pileup(batch: pa.RecordBatch, b: Layout, min_base_quality: int) -> pa.Recor
         chrom.dictionary.take(pa.array(group[first] // len(inputs) if len(inputs) else group[first])), pa.array(pos[first]), G.strings(lead[lead != 0], (lead != 0).astype(np.int64)), pa.array(each), pa.array(src[r[first]].astype(np.int32)),
         pa.array(_column(batch, "ordinal")[r[first]]), G.strings(out, sizes), G.strings((np.minimum(q, 93) + 33).astype(np.uint8), each),
     ], names=["chrom", "pos", "ref", "n", "src", "ordinal", "t", "q"])
+
+
+def _figures(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of distinct numbers in figures, and where each row's are and how many."""
+    some, which = np.unique(numbers, return_inverse=True)
+    told = [str(x).encode() for x in some.tolist()]
+    size = np.array([len(d) for d in told] or [0])
+    return np.frombuffer(b"".join(told), np.uint8), G.starts_of(size)[which], size[which]
+
+
+def mismatches(cigar: pa.Array, seq: pa.Array, stretch: pa.Array) -> pa.Array:
+    """md and nm of records beside the reference's bases there; null without these."""
+    batch = pa.record_batch([cigar, seq, stretch], names=["cigar", "seq", "stretch"])
+    parts = [_mismatches(some, b) for some, b in layouts(batch)]
+    kind = pa.struct([("md", pa.string()), ("nm", pa.int32())])
+    whole = pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+    return pc.if_else(stretch.is_valid(), whole, pa.scalar(None, kind))
+
+
+def _mismatches(batch: pa.RecordBatch, b: Layout) -> pa.Array:
+    seq, ref = Texts(batch.column("seq")), Texts(batch.column("stretch"))
+    n, r, aligned = batch.num_rows, b.record, b.kind == ALIGNED
+    x, y = seq.letters(r, b.query), UPPER[ref.letters(r, b.off)]
+    both = aligned & (x != 0) & (y != 0)
+    same = both & ((x == ord("=")) | ((x != ord("N")) & (UPPER[x] == y)))
+    other, deleted = both & ~same, b.kind == DELETED
+    # an event begins with the number of bases like the reference since the one before, and each record ends with one
+    e = np.flatnonzero(other | deleted)
+    number = other[e] | b.new[e]
+    seen = np.cumsum(same)
+    ends = np.cumsum(b.span)
+    before = np.append(0, seen)[ends - b.span]  # like bases before each record
+    owner = np.append(r[e], np.arange(n))
+    at = np.append(e, ends)  # the end of a record comes behind its events
+    order = np.lexsort((at, owner))
+    owner, count = owner[order], np.append(np.append(0, seen)[e], np.append(0, seen)[ends])[order]
+    counted = np.append(number, np.ones(n, bool))[order]
+    first = np.append(True, owner[1:] != owner[:-1])
+    run = count - np.where(first, before[owner], np.append(0, count[:-1]))
+    hat = np.append(number & deleted[e], np.zeros(n, bool))[order]
+    letter = np.append(y[e], np.zeros(n, np.uint8))[order]
+    figures, figures_at, wide = _figures(run)
+    wide = np.where(counted, wide, 0)
+    size = wide + hat + (letter != 0)
+    to = G.starts_of(size)
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[G.places(to, wide)] = figures[G.places(figures_at, wide)]
+    out[(to + wide)[hat]] = ord("^")
+    out[(to + wide + hat)[letter != 0]] = letter[letter != 0]
+    md = G.strings(out, np.bincount(owner, weights=size, minlength=n).astype(np.int64))
+    coded = pc.fill_null(batch.column("cigar"), "").dictionary_encode()
+    inserted = np.array([sum(int(k) for k in re.findall(r"(\d+)I", text)) for text in coded.dictionary.to_pylist()] or [0])[coded.indices.to_numpy()]
+    nm = np.bincount(r[e], minlength=n) + inserted
+    return pa.StructArray.from_arrays([md, pa.array(nm.astype(np.int32))], names=["md", "nm"])
+
+
+TOLD = "chrom string, pos long, src int, ordinal long, base string"
+
+
+def reference_told(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """TOLD: the reference's base at each position by the last record here whose MD tells it. A task holds `most` positions and what
+    a slice adds, and gives them on when there are more."""
+    names: dict[str, int] = {}
+    held: list[np.ndarray] = []
+
+    def last(rows: np.ndarray) -> np.ndarray:
+        chrom, pos, src, ordinal, _ = rows
+        order = np.lexsort((ordinal, src, pos, chrom))
+        rows = rows[:, order]
+        return rows[:, np.append((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0), True)] if rows.shape[1] else rows
+
+    def given(rows: np.ndarray) -> pa.RecordBatch:
+        chrom, pos, src, ordinal, base = rows
+        return pa.record_batch([pa.array(list(names), pa.string()).take(pa.array(chrom)), pa.array(pos), pa.array(src.astype(np.int32)), pa.array(ordinal), G.strings(base.astype(np.uint8), np.ones(len(base), np.int64))], names=["chrom", "pos", "src", "ordinal", "base"])
+
+    for batch in gathered(batches):
+        for some, b in layouts(batch):
+            coded = some.column("rname").dictionary_encode()
+            code = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()] or [0])[coded.indices.to_numpy()]
+            base = _told(some, b)
+            k = np.flatnonzero(base)
+            r = b.record[k]
+            held.append(last(np.stack([code[r], _column(some, "pos")[r] + b.off[k], _column(some, "src")[r], _column(some, "ordinal")[r], base[k].astype(np.int64)])))
+            if sum(x.shape[1] for x in held) > most:
+                held = [last(np.concatenate(held, 1))]
+                if held[0].shape[1] > most // 2:
+                    yield given(held.pop())
+    if held:
+        yield given(last(np.concatenate(held, 1)))
+
+
+def _told(batch: pa.RecordBatch, b: Layout) -> np.ndarray:
+    """The reference's letter at each base of the layout; 0 where it is left open."""
+    md, seq, n = Texts(batch.column("md")), Texts(batch.column("seq")), batch.num_rows
+    data = md.data[G.places(md.at, md.size)]
+    owner = np.repeat(np.arange(n), md.size)
+    digit = (data >= ord("0")) & (data <= ord("9"))
+    letter = (LOWER[data] >= ord("a")) & (LOWER[data] <= ord("z"))
+    # figures by their place in the number: those of a number follow each other in one record
+    same = digit[1:] & digit[:-1] & (owner[1:] == owner[:-1])
+    last = digit & ~np.append(same, False) if len(data) else digit
+    ends = np.flatnonzero(last)
+    d = np.flatnonzero(digit)
+    power = np.minimum(ends[np.searchsorted(ends, d)] - d, 18) if len(d) else d
+    width = np.zeros(len(data), np.int64)
+    width[d] = (data[d].astype(np.int64) - ord("0")) * 10**power
+    width[letter] = 1
+    before = np.cumsum(width) - width  # bases that are told before each sign, in all records
+    first = np.append(before, width.sum())[G.starts_of(md.size)]
+    k = np.flatnonzero(letter)
+    place, of = before[k] - first[owner[k]], owner[k]
+    kept = b.kind != SKIPPED
+    each = np.bincount(b.record[kept], minlength=n)
+    k, place, of = k[place < each[of]], place[place < each[of]], of[place < each[of]]
+    by_md = np.zeros(int(each.sum()), np.uint8)
+    by_md[G.starts_of(each)[of] + place] = data[k]
+    out = np.zeros(len(b.record), np.uint8)
+    out[kept] = by_md
+    aligned = b.kind == ALIGNED
+    out = np.where(aligned, UPPER[np.where(out == 0, seq.letters(b.record, b.query), out)], np.where((b.kind == DELETED) & (out == 0), ord("N"), out))
+    return np.where(md.valid[b.record] & kept, out, 0).astype(np.uint8)

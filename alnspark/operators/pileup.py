@@ -136,46 +136,23 @@ def consensus_text(calls: DataFrame, chunk: int = 10_000) -> DataFrame:
 
 def md_nm(df: DataFrame, reference: DataFrame) -> DataFrame:
     """src, ordinal, md, nm by comparison with the reference, in Arrow batches of records and the stretches they span."""
-    x = span(df.where(~FL.bit(F.col("flag"), FL.UNMAP)).where("rname is not null and pos is not null and cigar is not null"))
-    x = with_stretch(x, reference)
+    x = with_stretch(span(df.where(_mapped())), reference)
+    return x.withColumn("_m", _compare("cigar", "seq", "stretch")).select("src", "ordinal", "_m.md", "_m.nm")
 
-    @F.pandas_udf("md string, nm int")
-    def compare(cigar, seq, ref):
-        import pandas as pd
 
-        return pd.DataFrame([_md(c, s, r) for c, s, r in zip(cigar, seq, ref, strict=True)], columns=["md", "nm"])
+def _mapped() -> Column:
+    return ~FL.bit(F.col("flag"), FL.UNMAP) & F.expr("rname is not null and pos is not null and cigar is not null")
 
-    return x.withColumn("_m", compare("cigar", "seq", "stretch")).select("src", "ordinal", "_m.md", "_m.nm")
 
-
-def _md(cigar: str, seq: str, ref: str) -> tuple[str, int]:
-    import re
-
-    text, run, nm, q, r = [], 0, 0, 0, 0
-    for n, k in ((int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
-        if k in "M=X":
-            for a, b in zip(seq[q : q + n], ref[r : r + n], strict=False):
-                if a == "=" or (a != "N" and a.upper() == b.upper()):
-                    run += 1
-                else:
-                    text += [str(run), b.upper()]
-                    run, nm = 0, nm + 1
-            q, r = q + n, r + n
-        elif k == "D":
-            text += [str(run), "^", ref[r : r + n].upper()]
-            run, nm, r = 0, nm + n, r + n
-        elif k == "N":
-            r += n
-        elif k in "IS":
-            q, nm = q + n, nm + (n if k == "I" else 0)
-    return "".join([*text, str(run)]), nm
+def _compare(*texts: str | Column) -> Column:
+    return F.arrow_udf(lambda cigar, seq, ref: columns.mismatches(cigar, seq, ref), "md string, nm int")(*texts)
 
 
 def calmd(df: DataFrame, reference: DataFrame, bin_qualities: bool = False, mask: bool = False) -> DataFrame:
     """reads with NM and MD set; `bin_qualities`: coarse qualities; `mask`: bases like the reference as '='."""
-    found = md_nm(df, reference)
-    x = df.join(found, ["src", "ordinal"], "left")
-    x = T.set_tag(T.set_tag(x, "NM", "i", F.col("nm")), "MD", "Z", F.col("md"))
+    x = with_stretch(span(df), reference, "_stretch", every=True)
+    x = x.withColumn("_m", _compare("cigar", "seq", F.when(_mapped(), F.col("_stretch"))))
+    x = T.set_tag(T.set_tag(x, "NM", "i", F.col("_m.nm")), "MD", "Z", F.col("_m.md"))
     if bin_qualities:
         x = x.withColumn("qual", Q.bin_qualities(F.col("qual")))
     if mask:
@@ -199,40 +176,9 @@ def _masked(df: DataFrame, reference: DataFrame) -> DataFrame:
 
 def reference_from_md(df: DataFrame) -> DataFrame:
     """chrom, pos, base: the reference that records with MD tell; where they differ the last record wins."""
-    x = span(df.where("rname is not null and pos is not null and cigar is not null")).withColumn("_md", T.value("MD")).where("_md is not null")
-
-    @F.pandas_udf("array<string>")
-    def told(cigar, seq, md):
-        import pandas as pd
-
-        return pd.Series([_reference_bases(c, s, m) for c, s, m in zip(cigar, seq, md, strict=True)])
-
-    at = x.select("chrom", "src", "ordinal", "pos", F.posexplode(told("cigar", "seq", "_md")).alias("k", "base")).where("base <> ''")
-    return at.groupBy("chrom", (F.col("pos") + F.col("k")).alias("pos")).agg(F.max_by("base", F.struct("src", "ordinal")).alias("base"))
-
-
-def _reference_bases(cigar: str, seq: str, md: str) -> list[str]:
-    """The reference over the record's span; '' where a skip leaves it open."""
-    import re
-
-    parts = iter(re.findall(r"\d+|\^[A-Za-z]+|[A-Za-z]", md))
-    told: list[str | None] = []  # of aligned and deleted bases: None as the read has it
-    for p in parts:
-        told += [None] * int(p) if p.isdigit() else list(p[1:]) if p[0] == "^" else [p]
-    out, q, t = [], 0, 0
-    for n, k in ((int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
-        if k in "M=X":
-            for i in range(n):
-                out.append(((told[t + i] if t + i < len(told) else None) or seq[q + i]).upper())
-            q, t = q + n, t + n
-        elif k == "D":
-            out += [(told[t + i] if t + i < len(told) else "N") or "N" for i in range(n)]
-            t += n
-        elif k == "N":
-            out += [""] * n
-        elif k in "IS":
-            q += n
-    return out
+    x = df.where("rname is not null and pos is not null and cigar is not null").select("rname", "src", "ordinal", "pos", "cigar", "seq", T.value("MD").alias("md"))
+    at = x.mapInArrow(columns.reference_told, columns.TOLD)
+    return at.groupBy("chrom", "pos").agg(F.max_by("base", F.struct("src", "ordinal")).alias("base"))
 
 
 def reference_text(bases_: DataFrame, header_sq: DataFrame, width: int = 60) -> DataFrame:

@@ -4,10 +4,9 @@ import random
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from alnspark.operators import columns as L, pileup as P
-from alnspark.plans.derive import header_sq, reads, reference
+from alnspark.plans.derive import reads, reference
 from alnspark.schema import READS
 
 DATA = "/root/testdata/sf0.001"
@@ -73,3 +72,87 @@ def test_slices_change_nothing(monkeypatch, some):
     whole = joined()
     monkeypatch.setattr(L, "BASES", 25)
     assert joined() == whole
+
+
+def plain_md(cigar: str, seq: str, ref: str) -> tuple[str, int]:
+    import re
+
+    text, run, nm, q, r = [], 0, 0, 0, 0
+    for n, k in ((int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
+        if k in "M=X":
+            for a, b in zip(seq[q : q + n], ref[r : r + n], strict=False):
+                if a == "=" or (a != "N" and a.upper() == b.upper()):
+                    run += 1
+                else:
+                    text += [str(run), b.upper()]
+                    run, nm = 0, nm + 1
+            q, r = q + n, r + n
+        elif k == "D":
+            text += [str(run), "^", ref[r : r + n].upper()]
+            run, nm, r = 0, nm + n, r + n
+        elif k == "N":
+            r += n
+        elif k in "IS":
+            q, nm = q + n, nm + (n if k == "I" else 0)
+    return "".join([*text, str(run)]), nm
+
+
+def plain_reference(cigar: str, seq: str, md: str) -> list[str]:
+    """The reference over the record's span; '' where a skip leaves it open."""
+    import re
+
+    parts = iter(re.findall(r"\d+|\^[A-Za-z]+|[A-Za-z]", md))
+    told: list[str | None] = []  # of aligned and deleted bases: None as the read has it
+    for p in parts:
+        told += [None] * int(p) if p.isdigit() else list(p[1:]) if p[0] == "^" else [p]
+    out, q, t = [], 0, 0
+    for n, k in ((int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
+        if k in "M=X":
+            for i in range(n):
+                out.append(((told[t + i] if t + i < len(told) else None) or seq[q + i]).upper())
+            q, t = q + n, t + n
+        elif k == "D":
+            out += [(told[t + i] if t + i < len(told) else "N") or "N" for i in range(n)]
+            t += n
+        elif k == "N":
+            out += [""] * n
+        elif k in "IS":
+            q += n
+    return out
+
+
+def test_md_is_that_of_each_record(some):
+    df, ref = some
+    rows = [r for r in df.collect() if r.seq]
+    whole = {"chr1": BASES, "chr2": BASES[::-1].lower()}
+    want = {(r.src, r.ordinal): plain_md(r.cigar, r.seq, whole[r.rname][r.pos - 1 :]) for r in rows}
+    assert {(r.src, r.ordinal): (r.md, r.nm) for r in P.md_nm(df.where("seq is not null"), ref).collect()} == want
+    tagged = {(r.src, r.ordinal): (r.tags["MD"].v, int(r.tags["NM"].v)) for r in P.calmd(df.where("seq is not null"), ref).collect()}
+    assert tagged == want
+
+
+def test_reference_is_that_of_each_record(some):
+    df = some[0].where("length(seq) = 12 and tags['MD'] is not null and cigar not in ('6M4I', '1I4=2X')")
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r.src, r.ordinal)):
+        for k, base in enumerate(plain_reference(r.cigar, r.seq, r.tags["MD"].v)):
+            if base:
+                want[r.rname, r.pos + k] = base
+    assert len(want) > 100
+    assert {(r.chrom, r.pos): r.base for r in P.reference_from_md(df).collect()} == want
+
+
+def test_calmd_joins_no_records_with_themselves(spark, some):
+    df = reads(spark, DATA)
+    plan = P.calmd(df, reference(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") <= 1 and plan.count("Join") == 1
+    unknown = some[1].where("name = 'chr1'")
+    kept = P.calmd(some[0].where("seq is not null"), unknown)
+    assert kept.count() == some[0].where("seq is not null").count()
+    assert kept.where("rname = 'chr2' and tags['NM'] is not null").count() == 0 < kept.where("rname = 'chr1' and tags['NM'] is not null").count()
+
+
+def test_reference_of_a_task_is_one_row_for_each_position(spark):
+    df = spark.createDataFrame([(k, 0, "r", 0, 0, "chr1", 5, 60, "9M", None, None, None, 0, "ACGTACGTA", None, {"MD": ("Z", "9")}, ["MD"]) for k in range(3000)], READS)
+    batches = df.coalesce(1).selectExpr("rname", "src", "ordinal", "pos", "cigar", "seq", "tags['MD'].v as md").mapInArrow(L.reference_told, L.TOLD)
+    assert batches.count() == 9
