@@ -11,9 +11,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import cigar as C, tags as T
+from ..functions import cigar as C, flags as FL, tags as T
 from ..sources.scratch import written
-from . import pileup as P
+from . import columns as L, pileup as P
 
 # The genotypes as pairs of A, C, G, T and a gap (4) with their letters; priors of two bases and of a base
 # beside a gap; the quality of a base without one; bounds of the mapping quality; what a homopolymer takes from a quality;
@@ -61,10 +61,35 @@ def columns(df: DataFrame, insertions: bool = True, min_mapq: int = 0, halo: int
     apart = kinds if model else kinds[:3] if qualities else kinds[:2]
     counted = x.withColumns({"base": F.upper("base"), "ins": F.upper("ins") if insertions else F.lit(None).cast("string")}).groupBy("chrom", "pos", *apart).agg(F.count("*").alias("n"))
     counted = counted.withColumns({k: F.lit(None).cast("int") for k in kinds if k not in apart})
+    return _by_column(counted, kinds)
+
+
+def levels(q: np.ndarray, mapq: np.ndarray, nm: np.ndarray, poly: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole qualities of observations: as they are, and lowered by homopolymers."""
+    quality = qualities(np.where(q == 255, NO_QUALITY, q), mapq, nm, depth)
+    return np.minimum(quality, 100).astype(int), np.clip(np.maximum(quality - (poly - 2.0) * HOMOPOLYMER, 1), 0, 100).astype(int)
+
+
+def weighed(df: DataFrame, insertions: bool = True, min_mapq: int = 0, halo: int = HALO) -> DataFrame:
+    """As `columns`, for the Bayesian calls: beyond SHALLOW records of a column depth changes no quality any more, so there
+    observations are told apart by their whole qualities only (plain, low), with q, mapq, nm and poly null."""
+    kept = df.where(FL.flag_filter(F.col("flag"), exclude=FL.DEPTH_MASK) & (F.coalesce("mapq", F.lit(0)) >= min_mapq)).where("rname is not null and pos is not null and cigar is not null")
+    x = kept.select("rname", "pos", "cigar", "seq", "qual", F.coalesce("mapq", F.lit(255)).alias("place"), F.coalesce(_mismatches(T.value("MD")), F.array().cast("array<int>")).alias("_mm"))
+
+    def run(batches):
+        return L.observed(batches, lambda q, mapq, nm, poly: levels(q, mapq, nm, poly, np.full(len(q), SHALLOW)), SHALLOW, halo)
+
+    told = x.mapInArrow(run, L.OBSERVED).withColumnRenamed("mapq", "raw_mapq")
+    told = told if insertions else told.withColumn("ins", F.lit(None).cast("string"))
+    kinds = ["ins", "base", "q", "raw_mapq", "nm", "poly", "plain", "low"]
+    return _by_column(told.groupBy("chrom", "pos", *kinds).agg(F.sum("n").alias("n")), kinds)
+
+
+def _by_column(counted: DataFrame, kinds: list[str]) -> DataFrame:
     at = counted.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"), F.coalesce(F.max(F.length("ins")), F.lit(0)).alias("_most"), F.collect_list(F.struct(*kinds, "n")).alias("_all"))
     each = at.select("chrom", "pos", "depth", "_all", F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("nth"))
     letter = lambda e: F.when(F.col("nth") == 0, e["base"]).when(F.length(e["ins"]) >= F.col("nth"), F.substr(e["ins"], F.col("nth"), F.lit(1))).otherwise("*")
-    seen = F.transform("_all", lambda e: F.struct(letter(e).alias("base"), e["q"].alias("q"), e["raw_mapq"].alias("mapq"), e["nm"].alias("nm"), e["poly"].alias("poly"), e["n"].alias("n")))
+    seen = F.transform("_all", lambda e: F.struct(letter(e).alias("base"), *[e[k].alias({"raw_mapq": "mapq"}.get(k, k)) for k in [*kinds[2:], "n"]]))
     return each.select("chrom", "pos", "nth", "depth", seen.alias("seen"))
 
 
@@ -126,14 +151,15 @@ def qualities(q: np.ndarray, mapq: np.ndarray, nm: np.ndarray, depth: np.ndarray
     return np.maximum(phred(error + 0.75 * wrong - error * wrong), 1)
 
 
-def call_columns(column: np.ndarray, base: np.ndarray, q: np.ndarray, mapq: np.ndarray, nm: np.ndarray, poly: np.ndarray, n: np.ndarray, depth: np.ndarray, het_prior: float = HET_PRIOR) -> tuple[np.ndarray, ...]:
+def call_columns(column: np.ndarray, base: np.ndarray, q: np.ndarray, mapq: np.ndarray, nm: np.ndarray, poly: np.ndarray, n: np.ndarray, depth: np.ndarray, het_prior: float = HET_PRIOR, folded: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """Of numbered columns: the best single base (4: none), its Phred, the best pair as a place in PAIRS, its log-odds, and the
-    observations. depth: records of each column, whatever their quality."""
+    observations. depth: records of each column, whatever their quality. folded: whole qualities where they are
+    told already, -1 elsewhere."""
     own, lowered, prior = tables(het_prior)
     size = len(depth)
-    quality = qualities(np.where(q == 255, NO_QUALITY, q), mapq, nm, depth[column])
-    plain = np.minimum(quality, 100).astype(int)
-    low = np.clip(np.maximum(quality - (poly - 2.0) * HOMOPOLYMER, 1), 0, 100).astype(int)
+    plain, low = levels(q, mapq, nm, poly, depth[column])
+    if folded is not None:
+        plain, low = (np.where(f < 0, v, f) for f, v in zip(folded, (plain, low), strict=True))
     gap = np.array([y == 4 for _, y in PAIRS])
     # genotypes without a gap go by the plain quality, those with one and missing bases by the lowered one; all against a mismatch
     miss = np.log(10 ** (-np.maximum(np.arange(101), 1) / 10) / 3)
@@ -164,8 +190,13 @@ def bayesian(cols: DataFrame, ambiguous: bool = False, het_prior: float = HET_PR
     """chrom, pos, nth, depth, call, quality: the base ('*': none) of the best posterior of each column, N below the cutoff;
     `ambiguous`: of two bases their IUPAC letter, of a base and none the small letter, where these are likelier."""
 
+    is_weighed = "plain" in cols.schema["seen"].dataType.elementType.names
+    if is_weighed and min_base_quality > 0:
+        raise ValueError("a least quality needs observations with theirs: take columns, not weighed")
+
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             seen, depth = batch.column("seen"), np.asarray(batch.column("depth"))
@@ -174,9 +205,11 @@ def bayesian(cols: DataFrame, ambiguous: bool = False, het_prior: float = HET_PR
             letters = flat.field("base").dictionary_encode()
             codes = np.array(["ACGT*".find(x) for x in letters.dictionary.to_pylist()] or [0])
             base = np.where(codes < 0, 5, codes)[letters.indices.to_numpy()]
-            q, mapq, nm, poly, n = (flat.field(k).to_numpy().astype(int) for k in ("q", "mapq", "nm", "poly", "n"))
+            whole = lambda k, null: pc.fill_null(flat.field(k), null).to_numpy().astype(int)
+            q, mapq, nm, poly, n = (whole(k, 0) for k in ("q", "mapq", "nm", "poly", "n"))
+            told = tuple(whole(k, -1) for k in ("plain", "low")) if is_weighed else None
             k = q >= min_base_quality
-            one, score, het, odds, observed = call_columns(column[k], base[k], q[k], mapq[k], nm[k], poly[k], n[k], depth, het_prior)
+            one, score, het, odds, observed = call_columns(column[k], base[k], q[k], mapq[k], nm[k], poly[k], n[k], depth, het_prior, told and tuple(x[k] for x in told))
             pair = (odds > 0) & ambiguous
             call = np.where(pair, np.array(list(LETTERS))[het], np.array(list("ACGT*"))[one])
             score = np.where(pair, odds, score)

@@ -306,3 +306,109 @@ def _told(batch: pa.RecordBatch, b: Layout) -> np.ndarray:
     aligned = b.kind == ALIGNED
     out = np.where(aligned, UPPER[np.where(out == 0, seq.letters(b.record, b.query), out)], np.where((b.kind == DELETED) & (out == 0), ord("N"), out))
     return np.where(md.valid[b.record] & kept, out, 0).astype(np.uint8)
+
+
+OBSERVED = "chrom string, pos long, ins string, base string, q int, mapq int, nm int, poly int, plain int, low int, n long"
+LETTERS = "ACGT*N"
+_FOLDED, _POS = 1 << 62, (1 << 40) - 1
+
+
+def observed(batches: Iterator[pa.RecordBatch], fold, shallow: int, halo: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """OBSERVED: like observations of a position, counted. From the `shallow`-th record of a position in this task on only what
+    `fold` makes of them (plain, low) tells them apart, otherwise q, mapq, nm and poly do. Records come with rname, pos, cigar, seq,
+    qual, place (mapq, 255 for none) and _mm (places where MD tells another base). A task holds up to `most` counts and what a
+    slice adds."""
+    names: dict[str, int] = {}
+    places: dict[int, int] = {}
+    kinds: dict[tuple[int, str | None], int] = {}
+    totals = np.zeros(1 << 16, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
+        keys, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(which, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+
+    def given(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        where, names_ = np.array(list(places)), pa.array(list(names), pa.string())
+        key, ins = np.array([k for k, _ in kinds]), pa.array([i for _, i in kinds], pa.string())
+        letters = pa.array(list(LETTERS))
+        for k in range(0, len(keys), 50_000):
+            at, code = where[keys[k : k + 50_000] >> 32], keys[k : k + 50_000] & 0xFFFFFFFF
+            raw = key[code]
+            folded = raw >= _FOLDED
+            some = lambda v, there: pa.array(v.astype(np.int32), mask=~there)
+            yield pa.record_batch([
+                names_.take(pa.array(at >> 40)), pa.array(at & _POS), ins.take(pa.array(code)), letters.take(pa.array(raw & 7)), some(raw >> 3 & 255, ~folded), some(raw >> 11 & 255, ~folded), some(raw >> 19 & 0xFFFF, ~folded), some(raw >> 35 & 0xFFFFFF, ~folded),
+                some(raw >> 3 & 255, folded), some(raw >> 11 & 255, folded), pa.array(n[k : k + 50_000]),
+            ], names=["chrom", "pos", "ins", "base", "q", "mapq", "nm", "poly", "plain", "low", "n"])
+
+    for batch in gathered(batches):
+        for some, b in layouts(batch):
+            k = np.flatnonzero(b.kind != SKIPPED)
+            if not len(k):
+                continue
+            packed, ins_of, ins = _observations(some, b, k, halo)
+            coded = some.column("rname").dictionary_encode()
+            chrom = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+            r = b.record[k]
+            at, at_of = np.unique(chrom[r] << 40 | (_column(some, "pos")[r] + b.off[k]), return_inverse=True)
+            ids = np.array([places.setdefault(x, len(places)) for x in at.tolist()])
+            if len(places) > len(totals):
+                totals = np.append(totals, np.zeros(len(places), np.int64))
+            totals[ids] += np.bincount(at_of)
+            deep = (totals[ids] >= shallow)[at_of]
+            raw, raw_of = np.unique(packed, return_inverse=True)
+            plain, low = fold(raw >> 3 & 255, raw >> 11 & 255, raw >> 19 & 0xFFFF, raw >> 35 & 0xFFFFFF)
+            keys = np.append(raw, _FOLDED | low << 11 | plain << 3 | raw & 7)
+            which = raw_of + np.where(deep, len(raw), 0)
+            pair, pair_of = np.unique(which * (len(ins) + 1) + ins_of, return_inverse=True)  # ins_of: 0 for none
+            told = [None, *ins]
+            codes = np.array([kinds.setdefault((x, told[i]), len(kinds)) for x, i in zip(keys[pair // (len(ins) + 1)].tolist(), (pair % (len(ins) + 1)).tolist(), strict=True)])
+            found, n = np.unique(ids[at_of] << 32 | codes[pair_of], return_counts=True)
+            held.append((found, n))
+            if sum(len(x) for x, _ in held) > most:
+                held = [counted()]
+                if len(held[0][0]) > most // 2:
+                    yield from given(*held.pop())
+                    places.clear()
+                    kinds.clear()
+                    totals[:] = 0
+    if held:
+        yield from given(*counted())
+
+
+def _observations(batch: pa.RecordBatch, b: Layout, k: np.ndarray, halo: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of the bases k of a layout: base, q, mapq, nm and poly in one number; the number (from 1) of what is inserted behind, 0 for
+    nothing; and the insertions."""
+    seq, qual = Texts(batch.column("seq")), Texts(batch.column("qual"))
+    r, off, query = b.record[k], b.off[k], b.query[k]
+    star = (qual.size == 1) & (qual.letters(np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)) == ord("*"))
+    code = qual.letters(r, query)
+    q = np.where((code == 0) | star[r], 255, np.maximum(code.astype(np.int64) - 33, 0))
+    letters = np.full(256, 5)
+    for x, c in enumerate("ACGT"):
+        letters[[ord(c), ord(c.lower())]] = x
+    base = np.where(b.kind[k] == DELETED, 4, letters[seq.letters(r, query)])
+    # homopolymers: runs of equal letters within a read
+    data, owner = seq.data[G.places(seq.at, seq.size)], np.repeat(np.arange(batch.num_rows), seq.size)
+    run = np.cumsum(np.append(True, (data[1:] != data[:-1]) | (owner[1:] != owner[:-1]))) - 1 if len(data) else np.zeros(0, np.int64)
+    long = np.bincount(run)[run] if len(run) else run
+    inside = query < seq.size[r]
+    poly = np.append(long, 1)[np.where(inside, G.starts_of(seq.size)[r] + query, len(long))]
+    seen = batch.column("_mm")
+    at = seen.offsets.to_numpy().astype(np.int64)
+    many = np.diff(at)
+    if many.any():
+        wide = 1 << 32
+        marks = np.sort(np.repeat(np.arange(batch.num_rows), many) * wide + seen.values.to_numpy(zero_copy_only=False)[G.places(at[:-1], many)].astype(np.int64))
+        nm = np.searchsorted(marks, r * wide + off + halo, "right") - np.searchsorted(marks, r * wide + np.maximum(off - halo, 0), "left")
+    else:
+        nm = np.zeros(len(k), np.int64)
+    # beyond these bounds nothing changes any more
+    packed = base | q << 3 | np.clip(_column(batch, "place", 255)[r], 0, 255) << 11 | np.minimum(nm, 0xFFFF) << 19 | np.minimum(poly, 1 << 20) << 35
+    i = np.flatnonzero((b.after[k] == 1) & seq.valid[r])
+    first, size = seq.cut(r[i], b.place[k[i]], b.long[k[i]])
+    coded = G.strings(UPPER[seq.data[G.places(first, size)]], size).dictionary_encode()
+    ins_of = np.zeros(len(k), np.int64)
+    ins_of[i] = coded.indices.to_numpy() + 1
+    return packed, ins_of, coded.dictionary.to_pylist()

@@ -62,4 +62,4 @@ _BAYES = f"""WITH n AS (SELECT chrom, pos, nth, depth, position(base IN 'ACGT*')
   o AS (SELECT *, CASE WHEN known IS NULL THEN 0 ELSE greatest(trunc(-3.0103 * {_LOG2.format("w")} + 0.5), 0) END AS single, CASE WHEN known IS NULL THEN 0 ELSE trunc(3.0103 * ({_LOG2.format("two.p")} - {_LOG2.format("rest2")}) + 0.5) END AS odds FROM v),
   z AS (SELECT *, CASE WHEN known IS NULL THEN '*' WHEN odds > 0 THEN substr('AMRWaCSYcGKgTt*', two.g::INT, 1) ELSE substr('ACGT*', one.x::INT, 1) END AS call, CASE WHEN odds > 0 THEN odds ELSE single END AS quality FROM o)
   SELECT chrom, pos, nth, depth, CASE WHEN quality < 10 AND call <> '*' AND two.y < 5 THEN 'N' ELSE call END AS call, CASE WHEN quality < 10 AND call <> '*' AND two.y < 5 THEN 0 ELSE quality END::INT AS quality FROM z"""
-register("consensus_bayesian", lambda s, d: A.bayesian(A.columns(reads(s, d)), ambiguous=True), _BAYES, "observed")
+register("consensus_bayesian", lambda s, d: A.bayesian(A.weighed(reads(s, d)), ambiguous=True), _BAYES, "observed")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from alnspark.operators import columns as L, pileup as P
+from alnspark.operators import assembly as A, columns as L, pileup as P
 from alnspark.plans.derive import reads, reference
 from alnspark.schema import READS
 
@@ -156,3 +157,31 @@ def test_reference_of_a_task_is_one_row_for_each_position(spark):
     df = spark.createDataFrame([(k, 0, "r", 0, 0, "chr1", 5, 60, "9M", None, None, None, 0, "ACGTACGTA", None, {"MD": ("Z", "9")}, ["MD"]) for k in range(3000)], READS)
     batches = df.coalesce(1).selectExpr("rname", "src", "ordinal", "pos", "cigar", "seq", "tags['MD'].v as md").mapInArrow(L.reference_told, L.TOLD)
     assert batches.count() == 9
+
+
+def test_weighed_columns_call_the_same(spark, some):
+    rows = lambda x: sorted(map(tuple, A.bayesian(x, ambiguous=True).collect()))
+    shallow = some[0].where("length(seq) = 12")
+    deep = shallow.crossJoin(spark.range(20)).drop("id").coalesce(2)
+    for df in (shallow, deep):
+        assert rows(A.weighed(df)) == rows(A.columns(df))
+    # deep columns are told by whole qualities, so most observations of a task are counted together
+    assert A.weighed(deep).selectExpr("sum(size(seen))").first()[0] < A.columns(deep).selectExpr("sum(size(seen))").first()[0]
+    with pytest.raises(ValueError, match="least quality"):
+        A.bayesian(A.weighed(shallow), min_base_quality=5)
+
+
+def test_observations_given_on_early_add_up(some):
+    rows = [r for r in made(300) if r[13]]
+    batch = pa.RecordBatch.from_pydict({"rname": [r[5] for r in rows], "pos": [r[6] for r in rows], "cigar": [r[8] for r in rows], "seq": [r[13] for r in rows], "qual": pa.array([r[14] for r in rows], pa.string()), "place": [r[7] or 255 for r in rows], "_mm": pa.array([[2, 5]] * len(rows), pa.list_(pa.int32()))})
+    fold = lambda q, mapq, nm, poly: A.levels(q, mapq, nm, poly, np.full(len(q), A.SHALLOW))
+
+    def total(most):
+        out = {}
+        for part in L.observed(iter([batch] * 3), fold, 10**9, 50, most):
+            for r in part.to_pylist():
+                n = r.pop("n")
+                out[tuple(r.values())] = out.get(tuple(r.values()), 0) + n
+        return out
+
+    assert total(10) == total(1 << 22)
