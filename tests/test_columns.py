@@ -185,3 +185,14 @@ def test_observations_given_on_early_add_up(some):
         return out
 
     assert total(10) == total(1 << 22)
+
+
+def test_calmd_by_chunks_keeps_every_record(monkeypatch, some):
+    from alnspark.operators import reference as R
+
+    df, ref = some[0].where("seq is not null"), some[1].where("name = 'chr1'")
+    tags = lambda: sorted((r.src, r.ordinal, sorted((k, v.v) for k, v in r.tags.items())) for r in P.calmd(df, ref).collect())
+    whole = tags()
+    monkeypatch.setattr(R, "BROADCAST_BASES", 0)
+    monkeypatch.setattr(R, "CHUNK", 16)
+    assert tags() == whole and len(whole) == df.count()
