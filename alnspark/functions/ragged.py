@@ -29,6 +29,18 @@ def text(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at[:-1], np.diff(at)
 
 
+def signs(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As text, by code points: beyond ASCII a sign has more bytes than one."""
+    data, at, size = text(column)
+    used = data[places(at, size)]
+    if not (used >= 128).any():
+        return data, at, size
+    count = np.append(0, np.cumsum((used & 0xC0) != 0x80))  # all bytes but those that continue a sign
+    first = starts_of(size)
+    size = count[first + size] - count[first]
+    return np.frombuffer(used.tobytes().decode().encode("utf-32-le"), np.uint32), starts_of(size), size
+
+
 def strings(data: np.ndarray, lengths: np.ndarray, binary: bool = False):
     """A string column of rows that follow each other in data."""
     import pyarrow as pa

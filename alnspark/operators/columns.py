@@ -84,10 +84,11 @@ def layouts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Layout]]:
 
 
 class Texts:
-    """A string column, read at places of its rows: 0 where a row ends before."""
+    """A string column, read at places of its rows: 0 where a row ends before. wide: by code points, as qualities that are merged may
+    lie beyond ASCII."""
 
-    def __init__(self, column: pa.Array):
-        self.data, self.at, self.size = G.text(column)
+    def __init__(self, column: pa.Array, wide: bool = False):
+        self.data, self.at, self.size = G.signs(column) if wide else G.text(column)
         self.valid = column.is_valid().to_numpy(zero_copy_only=False)
 
     def letters(self, record: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def pileup_parts(batches: Iterator[pa.RecordBatch], min_base_quality: int) -> It
 
 
 def _pileup(batch: pa.RecordBatch, b: Layout, min_base_quality: int) -> pa.RecordBatch:
-    seq, qual, stretch = (Texts(batch.column(c)) for c in ("seq", "qual", "_stretch"))
+    seq, qual, stretch = (Texts(batch.column(c), c == "qual") for c in ("seq", "qual", "_stretch"))
     star = (qual.size == 1) & (qual.letters(np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)) == ord("*"))
     code = qual.letters(b.record, b.query)
     q = np.where((code == 0) | star[b.record], 255, code.astype(np.int64) - 33)
@@ -380,7 +381,7 @@ def observed(batches: Iterator[pa.RecordBatch], fold, shallow: int, halo: int, m
 def _observations(batch: pa.RecordBatch, b: Layout, k: np.ndarray, halo: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Of the bases k of a layout: base, q, mapq, nm and poly in one number; the number (from 1) of what is inserted behind, 0 for
     nothing; and the insertions."""
-    seq, qual = Texts(batch.column("seq")), Texts(batch.column("qual"))
+    seq, qual = Texts(batch.column("seq")), Texts(batch.column("qual"), True)
     r, off, query = b.record[k], b.off[k], b.query[k]
     star = (qual.size == 1) & (qual.letters(np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)) == ord("*"))
     code = qual.letters(r, query)

@@ -57,6 +57,21 @@ def test_pileup_shuffles_no_row_for_each_base(spark, some):
     assert P._parts(df.coalesce(1), some[1]).count() <= 9 * 4
 
 
+def test_merged_qualities_beyond_ascii(spark, some):
+    from alnspark.operators import overlaps as O
+
+    # two mates whose equal bases have qualities of 60 each: merged 120, a sign of two bytes
+    flags = [99, 147]
+    rows = [(k, 0, "r", flags[k], 0, "chr1", 5 + 2 * k, 60, "6M", 0, "chr1", 7 - 2 * k, 8, "ACGTAC"[2 * k :] + "ACGT"[: 2 * k], "]]]]]5" if k else "5]]]]]", {}, []) for k in range(2)]
+    df = spark.createDataFrame(rows, READS)
+    assert any(ord(c) > 127 for r in O.merge_mates(df).collect() for c in r.qual)
+    at = {}
+    for r in P.bases(O.merge_mates(df), 13, reference=some[1]).collect():
+        at.setdefault(r.pos, []).append((r.ordinal, chr(min(r.q, 93) + 33)))
+    found = {r.pos: r.quals for r in P.mpileup(df, some[1], mates=True).collect()}
+    assert found == {p: "".join(q for _, q in sorted(v)) for p, v in at.items()}
+
+
 def test_slices_change_nothing(monkeypatch, some):
     rows = [r for r in made(300) if r[5] == "chr1"]
     columns = {"src": [0] * len(rows), "ordinal": list(range(len(rows))), "rname": [r[5] for r in rows], "pos": [r[6] for r in rows], "cigar": [r[8] for r in rows], "seq": [r[13] for r in rows], "qual": [r[14] for r in rows], "mapq": [r[7] or 0 for r in rows], "reverse": [r[3] == 16 for r in rows], "_stretch": [BASES[r[6] - 1 :] for r in rows]}
