@@ -81,8 +81,10 @@ def _by_group(df):
     return x if wide else x.withColumn("sum", F.col("sum").cast("bigint"))
 
 
-def _fixed(s, d):
-    return mates.fixmate(reads(s, d), scores=True)
+def _fixed(s, d, primary=False):
+    """Reads with their mates repaired. primary: without secondary and supplementary ones, which neither have mates nor are examined."""
+    x = reads(s, d).where("flag & 2304 = 0") if primary else reads(s, d)
+    return mates.fixmate(T.beside(x, "RG", "BC", "MC", "ms", "SA", "XA").withColumn("good", Q.quality_sum(F.col("qual"))), scores=True)
 
 
 register("sort_template_coordinate", lambda s, d: sorts.rank_within(sorts.template_keys(mates.fixmate(reads(s, d)).where(T.value("MC").isNotNull()), header_rg(s, d)), ["t1"], [*sorts.template_order(), F.col("ordinal")], keep=["ordinal", "t1", "p1", "upper"]),
@@ -152,7 +154,7 @@ register("markdup_chains", lambda s, d: chains.chains(_fixed(s, d).withColumn("q
     SELECT a.ordinal, a.root AS root_ordinal, c.qname AS origin, CASE WHEN EXISTS (SELECT 1 FROM al b WHERE b.root = a.root AND b.ordinal % 3 = a.ordinal % 3 AND abs(b.ordinal % 997 - a.ordinal % 997) <= 200 AND abs(b.ordinal % 499 - a.ordinal % 499) <= 200
       AND (b.ordinal = a.root OR (b.paired AND NOT a.paired) OR (b.paired = a.paired AND (b.worth > a.worth OR (b.worth = a.worth AND b.qname < a.qname))))) THEN 'SQ' ELSE 'LB' END AS type
     FROM al a JOIN al c ON c.ordinal = a.root WHERE a.ordinal <> a.root""", "lens")
-register("markdup_chain_counts", lambda s, d: chains.counts(_fixed(s, d)).select("ordinal", "n"),
+register("markdup_chain_counts", lambda s, d: chains.counts(_fixed(s, d, True)).select("ordinal", "n"),
     f"""WITH {_DUPS}, pk AS (SELECT *, score + coalesce(ms, 0) AS worth, first_value(ordinal) OVER (PARTITION BY t, ka, ot, kb, lft, ori ORDER BY score + coalesce(ms, 0) DESC, qname, ordinal) AS root FROM ky WHERE paired),
     h AS (SELECT t, sa, r, min(ordinal) AS holder FROM pk GROUP BY 1, 2, 3),
     sg AS (SELECT k.*, holder FROM ky k LEFT JOIN h ON k.t = h.t AND k.sa IS NOT DISTINCT FROM h.sa AND k.r = h.r WHERE NOT paired),

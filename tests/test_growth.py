@@ -67,3 +67,54 @@ def test_duplicates_make_their_keys_once(spark):
     from alnspark.operators import dedup
 
     assert "lineitem" not in plan(dedup.duplicates(reads(spark, DATA)))
+
+
+def placed(k, name, flag=99):
+    tags = {"MC": ("Z", "10M"), "ms": ("i", str(k % 50))}
+    return (k, 0, name, flag, 0, "chr1", 100, 60, "10M", 0, "chr1", 300, 210, "ACGTACGTAC", "I" * 10, tags, list(tags))
+
+
+
+def test_places_are_those_of_the_fields(spark):
+    from alnspark.operators import dedup
+
+    def field(name):
+        c = name.split(":")
+        at = {4: 2, 5: 3, 7: 5, 8: 5}.get(len(c))
+        number = lambda t: int(t) if t.strip().lstrip("-").isdigit() else None
+        digits = lambda t: number(t[: next((i for i, x in enumerate(t) if not x.isdigit()), len(t))])
+        return None if at is None else (":".join(c[:at]), number(c[at]), digits(c[at + 1]))
+
+    names = ["a:b:1:2", "a:b:c:12:7x", "m:1:f:1:3:44:55", "m:1:f:1:3:44:55:ACGT", "a:b", "", ":::", "::::::", "a:b:-3:x", "a:b:c:d:e:f", "m:1:f:1:3:44:55:A:B", "é:b:9:8"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", dedup.optical_place(F.col("n")).alias("p")).collect()
+    assert {r.n: r.p and tuple(r.p) for r in got} == {n: field(n) for n in names}
+
+
+
+def test_markdup_leaves_records_by_name(spark):
+    from alnspark.operators import dedup, mates
+
+    df = mates.fixmate(reads(spark, DATA), scores=True)
+    told = plan(dedup.markdup(df, barcode="BC", groups=True, clear=True, remove=True, supplementary=True)).split("== Physical Plan ==")[1]
+    # one exchange of the records, by name, and one of those that stay; the third is that of records without names
+    assert told.count("Exchange hashpartitioning(qname") == 3 and told.count("hashpartitioning(src") <= 2
+
+
+def test_markdup_of_records_without_names(spark):
+    from alnspark.operators import dedup
+    from alnspark.schema import READS
+
+    rows = [placed(k, None if k % 2 else f"n{k}") for k in range(6)]
+    for supplementary in (False, True):
+        got = dedup.markdup(spark.createDataFrame(rows, READS), supplementary=supplementary).collect()
+        assert sorted((r.ordinal, bool(r.flag & 1024)) for r in got) == [(k, k != 5) for k in range(6)]
+
+
+def test_clips_of_texts_are_those_of_operations(spark):
+    from alnspark.functions import cigar as C
+
+    texts = ["10M", "3S7M", "2H3S4M", "4M1S2H", "5S", "6H", "2H3S", "3S2H", "12S100M3D4N5=6X7I13H", "*", None, "3I4P2M", "1H2M3H"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    ops, c = C.ops(F.col("c")), F.col("c")
+    for r in df.select("c", C.left_clip(ops), C.right_clip(ops), C.reference_length(ops), C.text_left_clip(c), C.text_right_clip(c), C.text_reference_length(c)).collect():
+        assert tuple(r[1:4]) == tuple(r[4:]), r.c
