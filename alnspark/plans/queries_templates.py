@@ -140,7 +140,7 @@ register("quality_scalars", lambda s, d: reads(s, d).select("ordinal", Q.quality
     CAST(length(seq) - length(translate(seq, 'GC', '')) AS INT) AS gc, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads""", "reads")
 register("markdup_counts", lambda s, d: dedup.duplicate_counts(_fixed(s, d)).select("ordinal", "n"),
     f"WITH {_DUPS}, n AS (SELECT *, count(*) FILTER (dup) OVER v AS n FROM (SELECT dd.*, ky.t, ky.ka, ky.ot, ky.kb, ky.lft, ky.ori FROM dd JOIN ky USING (ordinal, src) WHERE dd.paired) WINDOW v AS (PARTITION BY t, ka, ot, kb, lft, ori)) SELECT ordinal, n FROM n WHERE NOT dup AND n > 0", "lens")
-register("markdup_optical", lambda s, d: dedup.optical(_fixed(s, d).withColumn("qname", F.expr("concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499)")), 200).select("ordinal", "optical"),
+register("markdup_optical", lambda s, d: dedup.optical(_fixed(s, d, True).withColumn("qname", F.expr("concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499)")), 200).select("ordinal", "optical"),
     f"""WITH {_OPTICAL} SELECT a.ordinal, EXISTS (SELECT 1 FROM ky b WHERE b.t = a.t AND b.ka IS NOT DISTINCT FROM a.ka AND b.ot = a.ot AND b.kb IS NOT DISTINCT FROM a.kb AND b.lft = a.lft AND b.ori = a.ori AND b.ordinal <> a.ordinal
       AND b.ordinal % 3 = a.ordinal % 3 AND abs(b.ordinal % 997 - a.ordinal % 997) <= 200 AND abs(b.ordinal % 499 - a.ordinal % 499) <= 200) AS optical FROM dd JOIN ky a USING (ordinal, src) WHERE dd.paired AND dup""", "lens")
 register("rename_groups", lambda s, d: multi.rename_groups(reads(s, d), {"rgA": "x", "rgN": "y"}).select("ordinal", T.value("RG").alias("rg")), "SELECT ordinal, CASE rg WHEN 'rgA' THEN 'x' WHEN 'rgN' THEN 'y' ELSE rg END AS rg FROM reads", "reads")

@@ -74,6 +74,32 @@ def placed(k, name, flag=99):
     return (k, 0, name, flag, 0, "chr1", 100, 60, "10M", 0, "chr1", 300, 210, "ACGTACGTAC", "I" * 10, tags, list(tags))
 
 
+def joined(df):
+    """Rows that the joins of a plan that has run gave, and how many nodes of it are Sorts of records."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if "QueryStage" in name:
+            todo.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_optical_compares_no_cell_with_itself(spark):
+    from alnspark.operators import dedup
+    from alnspark.schema import READS
+
+    rows = [placed(k, f"m:1:f:1:0:{k % 40}:{k % 30}:{k}") for k in range(400)] + [placed(900, "m:1:f:1:0:160:0:x"), placed(901, "m:1:f:1:0:5000:0:y"), placed(902, "m:1:f:1:1:0:0:z")]
+    got = dedup.optical(spark.createDataFrame(rows, READS), 150)
+    told = {r.ordinal: r.optical for r in got.collect()}
+    assert len(told) == 402 and told.get(900, True) and not told.get(901, False) and not told.get(902, False) and all(v for k, v in told.items() if k < 900)
+    assert sum(joined(got)) < 10 * len(rows)
+
 
 def test_places_are_those_of_the_fields(spark):
     from alnspark.operators import dedup
