@@ -22,7 +22,7 @@ def _records(df: DataFrame, mode: str, barcode: str | None, groups: bool, includ
     k = DD._examined(df, mode, barcode, groups, include_fails, barcode_pattern)
     pair = F.struct("fail", (-(F.col("score") + F.col("ms"))).alias("worth"), "qname", "ordinal", "src")
     single = F.struct(F.lit(False).alias("fail"), (-F.col("score")).alias("worth"), F.lit("").alias("qname"), "ordinal", "src")
-    x = k.select("src", "ordinal", "qname", "paired", "fail", "score", "ms", F.struct("ordinal", "src").alias("at"), F.when(F.col("paired"), F.md5(F.to_json("pair_key"))).alias("pk"), F.md5(F.to_json("single_key")).alias("sk"), F.when(F.col("paired"), pair).otherwise(single).alias("order"))
+    x = k.select("src", "ordinal", "qname", "paired", "fail", "score", "ms", F.struct("ordinal", "src").alias("at"), F.when(F.col("paired"), F.unhex(F.md5(F.to_json("pair_key")))).alias("pk"), F.unhex(F.md5(F.to_json("single_key"))).alias("sk"), F.when(F.col("paired"), pair).otherwise(single).alias("order"))
     return written(x, "records")  # the keys are much work, and several joins read them
 
 
@@ -57,29 +57,33 @@ def chains(df: DataFrame, distance: int | None = None, mode: str = "template", b
     every = mine.unionByName(x.where("not paired").join(of_single, "sk"))
     every = every.withColumns({"root_src": F.col("root.src"), "root_ordinal": F.col("root.ordinal")}).drop("root")
     is_root = (F.col("src") == F.col("root_src")) & (F.col("ordinal") == F.col("root_ordinal"))
-    told = every.withColumn("_is_root", is_root)
-    told = told if distance is None else written(told, "roots")  # the best of each cell, those around and the rest are read apart
     keys = ["src", "ordinal", "root_src", "root_ordinal"]
+    twins = every.where(~is_root).select(*keys, "origin", "qname", "paired", "fail", "score", "ms")
     if distance is None:
-        return told.where("not _is_root").select(*keys, "origin", F.lit("LB").alias("type"))
-    place = optical_place(F.col("qname"))
-    # the less the better: the root before all, with a mate before without, then as above
-    rank = F.struct((~F.col("_is_root")).alias("r"), (~F.col("paired")).alias("p"), "fail", (-(F.col("score") + F.when(F.col("paired"), F.col("ms")).otherwise(0))).alias("worth"), "qname")
-    at = told.withColumn("_p", place).where("_p is not null and _p.x is not null and _p.y is not null").select(*keys, "_is_root", rank.alias("rank"), F.col("_p.prefix").alias("tile"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+        return twins.select(*keys, "origin", F.lit("LB").alias("type"))
+    near = lambda c, d: F.abs(F.col(c) - F.col(d)) <= distance
+    twins = written(twins.withColumns({"_p": optical_place(F.col("qname")), "_r": optical_place(F.col("origin"))}), "twins")  # several jobs read them
+    close = (F.col("_p.prefix") == F.col("_r.prefix")) & near("_p.x", "_r.x") & near("_p.y", "_r.y")
+    twins = twins.withColumn("_sq", F.coalesce(close, F.lit(False)))
+    # of those not near the root: the less the better, with a mate before without, then as above; a chain of one duplicate has no other
+    rank = F.struct((~F.col("paired")).alias("p"), "fail", (-(F.col("score") + F.when(F.col("paired"), F.col("ms")).otherwise(0))).alias("worth"), "qname")
+    many = twins.groupBy("root_src", "root_ordinal").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    at = twins.where("_p.x is not null and _p.y is not null").join(many, ["root_src", "root_ordinal"], "left_semi")
+    at = at.select(*keys, "_sq", rank.alias("rank"), F.col("_p.prefix").alias("tile"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
     cell = lambda c: F.floor(F.col(c) / max(distance, 1))
     at = at.withColumns({"cx": cell("x"), "cy": cell("y")})
     beaten, one = _best_of_cells(at)
     other = at.select("root_src", "root_ordinal", "tile", "cx", "cy", F.col("rank").alias("rank2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    meets = (F.abs(F.col("x") - F.col("x2")) <= distance) & (F.abs(F.col("y") - F.col("y2")) <= distance) & (F.col("rank2") < F.col("rank"))
-    hit = one.join(other, ["root_src", "root_ordinal", "tile", "cx", "cy"]).where(meets).select("src", "ordinal").distinct().unionByName(beaten).withColumn("_sq", F.lit(True))
-    return told.where("not _is_root").join(hit, ["src", "ordinal"], "left").select(*keys, "origin", F.when(F.col("_sq"), "SQ").otherwise("LB").alias("type"))
+    meets = near("x", "x2") & near("y", "y2") & (F.col("rank2") < F.col("rank"))
+    hit = one.join(other, ["root_src", "root_ordinal", "tile", "cx", "cy"]).where(meets).select("src", "ordinal").distinct().unionByName(beaten).withColumn("_hit", F.lit(True))
+    return twins.join(hit, ["src", "ordinal"], "left").select(*keys, "origin", F.when(F.col("_sq") | F.col("_hit"), "SQ").otherwise("LB").alias("type"))
 
 
 def _best_of_cells(at: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """src, ordinal of the duplicates that another of their chain and cell beats, which is near as they share the cell; and the others, the
-    best of each cell, once for each cell that they have to look into."""
+    """Of the duplicates not near their root: src, ordinal of those that another of their chain and cell beats, which is near as they share
+    the cell; and the others, the best of each cell, once for each cell that they have to look into."""
     near = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    at = at.withColumn("_first", F.min("rank").over(Window.partitionBy("root_src", "root_ordinal", "tile", "cx", "cy"))).where("not _is_root")
+    at = at.withColumn("_first", F.min("rank").over(Window.partitionBy("root_src", "root_ordinal", "tile", "cx", "cy"))).where("not _sq")
     beaten = at.where(F.col("_first") < F.col("rank")).select("src", "ordinal")
     best = at.where(F.col("_first") == F.col("rank")).withColumn("_c", F.explode(near))
     return beaten, best.select("src", "ordinal", "root_src", "root_ordinal", "rank", "tile", "x", "y", "_c.cx", "_c.cy")

@@ -146,7 +146,7 @@ register("markdup_optical", lambda s, d: dedup.optical(_fixed(s, d, True).withCo
 register("rename_groups", lambda s, d: multi.rename_groups(reads(s, d), {"rgA": "x", "rgN": "y"}).select("ordinal", T.value("RG").alias("rg")), "SELECT ordinal, CASE rg WHEN 'rgA' THEN 'x' WHEN 'rgN' THEN 'y' ELSE rg END AS rg FROM reads", "reads")
 _PLACES = "concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499)"
 _NAMED = _DUPS.replace("FROM fm LEFT JOIN clip", "FROM (SELECT * REPLACE (concat('m:1:f:1:', ordinal % 3, ':', ordinal % 997, ':', ordinal % 499) AS qname) FROM fm) fm LEFT JOIN clip")
-register("markdup_chains", lambda s, d: chains.chains(_fixed(s, d).withColumn("qname", F.expr(_PLACES)), 200).select("ordinal", "root_ordinal", "origin", "type"),
+register("markdup_chains", lambda s, d: chains.chains(_fixed(s, d, True).withColumn("qname", F.expr(_PLACES)), 200).select("ordinal", "root_ordinal", "origin", "type"),
     f"""WITH {_NAMED}, pk AS (SELECT *, first_value(ordinal) OVER (PARTITION BY t, ka, ot, kb, lft, ori ORDER BY score + coalesce(ms, 0) DESC, qname, ordinal) AS root FROM ky WHERE paired),
     h AS (SELECT t, sa, r, arg_min(root, ordinal) AS root FROM pk GROUP BY 1, 2, 3),
     sg AS (SELECT k.*, coalesce(h.root, first_value(k.ordinal) OVER (PARTITION BY k.t, k.sa, k.r ORDER BY score DESC, k.ordinal)) AS root FROM ky k LEFT JOIN h ON k.t = h.t AND k.sa IS NOT DISTINCT FROM h.sa AND k.r = h.r WHERE NOT paired),

@@ -116,6 +116,13 @@ def test_places_are_those_of_the_fields(spark):
     assert {r.n: r.p and tuple(r.p) for r in got} == {n: field(n) for n in names}
 
 
+def test_chains_look_up_places_once(spark):
+    from alnspark.operators import chains
+
+    df = reads(spark, DATA)
+    told = plan(chains.chains(df, 200))
+    assert "substring_index(qname" not in told and "split(qname" not in told
+
 
 def test_markdup_leaves_records_by_name(spark):
     from alnspark.operators import dedup, mates
