@@ -413,3 +413,90 @@ def _observations(batch: pa.RecordBatch, b: Layout, k: np.ndarray, halo: int) ->
     ins_of = np.zeros(len(k), np.int64)
     ins_of[i] = coded.indices.to_numpy() + 1
     return packed, ins_of, coded.dictionary.to_pylist()
+
+
+COUNTED = "chrom string, pos long, base int, reverse int, q int, n long"
+
+
+def base_counts(batches: Iterator[pa.RecordBatch], min_base_quality: int, most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """COUNTED: how many aligned A, C, G, T (0-3) a position has on a strand in a quality (4 to 63, at most the mapping quality). Records
+    come with rname, pos, cigar, seq, qual, mapq, reverse. A task holds the 512 counts of up to `most` positions, and gives them on when
+    there are more."""
+    names: dict[str, int] = {}
+    places: dict[int, int] = {}
+    counts = np.zeros(0, np.int64)
+    letters = np.full(256, 4)
+    letters[[ord(c) for c in "ACGT"]] = np.arange(4)
+
+    def given(at: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        small = lambda v: pa.array(v.astype(np.int32))
+        return pa.record_batch([pa.array(list(names), pa.string()).take(pa.array(at >> 40)), pa.array(at & _POS), small(cell & 3), small(cell >> 2 & 1), small(cell >> 3), pa.array(n)], names=["chrom", "pos", "base", "reverse", "q", "n"])
+
+    def all_given() -> Iterator[pa.RecordBatch]:
+        where, found = np.array(list(places)), np.flatnonzero(counts)
+        for k in range(0, len(found), 50_000):
+            some = found[k : k + 50_000]
+            yield given(where[some >> 9], some & 511, counts[some])
+
+    for batch in gathered(batches):
+        for some, b in layouts(batch):
+            seq, qual = Texts(some.column("seq")), Texts(some.column("qual"), True)
+            k = np.flatnonzero(b.kind == ALIGNED)
+            base = letters[seq.letters(b.record[k], b.query[k])]
+            star = (qual.size == 1) & (qual.letters(np.arange(some.num_rows), np.zeros(some.num_rows, np.int64)) == ord("*"))
+            code = qual.letters(b.record[k], b.query[k])
+            q = np.where((code == 0) | star[b.record[k]], 255, code.astype(np.int64) - 33)
+            kept = (base < 4) & ((q >= min_base_quality) | (min_base_quality <= 0))
+            r, off, base, q = b.record[k][kept], b.off[k][kept], base[kept], q[kept]
+            if not len(r):
+                continue
+            mapq = _column(some, "mapq")
+            q = np.maximum(np.minimum(np.minimum(q, np.where(mapq > 0, mapq, 255)[r]), 63), 4)
+            coded = some.column("rname").dictionary_encode()
+            chrom = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+            cell = base | some.column("reverse").to_numpy(zero_copy_only=False).astype(np.int64)[r] << 2 | q << 3
+            at, of = np.unique(chrom[r] << 40 | (_column(some, "pos")[r] + off), return_inverse=True)
+            if len(at) > most:
+                key, n = np.unique(of << 9 | cell, return_counts=True)
+                yield given(at[key >> 9], key & 511, n)
+                continue
+            told = at.tolist()
+            if len(places) + sum(x not in places for x in told) > most:
+                yield from all_given()
+                places.clear()
+                counts[:] = 0
+            ids = np.array([places.setdefault(x, len(places)) for x in told])
+            if len(places) << 9 > len(counts):
+                counts = np.append(counts, np.zeros(max((len(places) << 9) - len(counts), len(counts)), np.int64))
+            added = np.bincount(ids[of] << 9 | cell)
+            counts[: len(added)] += added
+    yield from all_given()
+
+
+CODED = "chrom string, qname string, src int, ordinal long, lo long, hi long, seen array<int>"
+
+
+def site_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CODED: of each record with an aligned base at a site those bases, in order: four times the site's number and 1 (low), 2 (high) or 0
+    (another base); lo and hi are the first and last one's positions. Records come with pos, cigar, seq, marks (a letter for each base of
+    the reference that they span: A to P tells a site's low and high, a dot none) and n, the number of the first site there."""
+    for batch in gathered(batches):
+        for some, b in layouts(batch):
+            seq, marks = Texts(some.column("seq")), Texts(some.column("marks"))
+            r = b.record
+            mark = marks.letters(r, b.off)
+            site = (mark != 0) & (mark != ord("."))
+            at = np.append(0, np.cumsum(site))
+            number = _column(some, "n")[r] + at[:-1] - at[(np.cumsum(b.span) - b.span)[r]]
+            base = UPPER[seq.letters(r, b.query)]
+            k = np.flatnonzero(site & (b.kind == ALIGNED) & seq.valid[r] & (base != ord("*")) & (base != ord(">")))
+            pair = mark[k].astype(np.int64) - ord("A")
+            acgt = np.frombuffer(b"ACGT", np.uint8)
+            code = np.where(base[k] == acgt[pair >> 2], 1, np.where(base[k] == acgt[pair & 3], 2, 0))
+            each = np.bincount(r[k], minlength=some.num_rows)
+            rows = np.flatnonzero(each)
+            ends = np.cumsum(each[rows])
+            where = _column(some, "pos")[r[k]] + b.off[k]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array((number[k] << 2 | code).astype(np.int32)))
+            of = some.take(pa.array(rows))
+            yield pa.record_batch([of["chrom"], of["qname"], of["src"], of["ordinal"], pa.array(where[ends - each[rows]] if len(rows) else np.zeros(0, np.int64)), pa.array(where[ends - 1] if len(rows) else np.zeros(0, np.int64)), lists], names=["chrom", "qname", "src", "ordinal", "lo", "hi", "seen"])

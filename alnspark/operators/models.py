@@ -10,7 +10,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import pileup as P
+from ..functions import flags as FL
+from . import columns as L, pileup as P
 
 # What a position without a call, with a doubtful and with a good one adds to a target, and what a target's
 # beginning costs; threshold of the phaser; how like errors depend on each other.
@@ -129,11 +130,12 @@ def genotype_costs(column, base, reverse, quality, count, most_reads: int | None
 
 def columns(df: DataFrame, min_base_quality: int = 13, min_mapq: int = 0) -> DataFrame:
     """chrom, pos and seen: of each position how many records have a base (0-3) on a strand in a quality. The counts
-    combine before the shuffle, and a position has 512 of them at most, however deep it is."""
-    x = P.bases(df, min_base_quality=min_base_quality, min_mapq=min_mapq).where("base in ('A','C','G','T')")
-    quality = F.least("q", F.when(F.col("mapq") > 0, F.col("mapq")).otherwise(255), F.lit(63)).cast("int")
-    x = x.select("chrom", "pos", F.expr("instr('ACGT', base) - 1").alias("base"), F.col("reverse").cast("int").alias("reverse"), F.greatest(quality, F.lit(4)).alias("q"))
-    return x.groupBy("chrom", "pos", "base", "reverse", "q").agg(F.count("*").alias("n")).groupBy("chrom", "pos").agg(F.collect_list(F.struct("base", "reverse", "q", "n")).alias("seen"))
+    are made by task from whole records and combine before the shuffle, and a position has 512 of them at most, however deep it is."""
+    mapq = F.coalesce("mapq", F.lit(0))
+    kept = df.where(FL.flag_filter(F.col("flag"), exclude=FL.DEPTH_MASK) & (mapq >= min_mapq)).where("rname is not null and pos is not null and cigar is not null")
+    few = kept.select("rname", "pos", "cigar", "seq", "qual", mapq.alias("mapq"), FL.bit(F.col("flag"), FL.REVERSE).alias("reverse"))
+    x = few.mapInArrow(lambda batches: L.base_counts(batches, min_base_quality), L.COUNTED)
+    return x.groupBy("chrom", "pos", "base", "reverse", "q").agg(F.sum("n").alias("n")).groupBy("chrom", "pos").agg(F.collect_list(F.struct("base", "reverse", "q", "n")).alias("seen"))
 
 
 def _costs(batches, more, most_reads: int | None = MOST_READS):

@@ -211,3 +211,33 @@ def test_calmd_by_chunks_keeps_every_record(monkeypatch, some):
     monkeypatch.setattr(R, "BROADCAST_BASES", 0)
     monkeypatch.setattr(R, "CHUNK", 16)
     assert tags() == whole and len(whole) == df.count()
+
+
+def test_base_counts_are_those_of_each_base(spark, some):
+    from alnspark.operators import models as M
+
+    df, _ = some
+    for least, mapq in ((0, 0), (13, 20)):
+        want = {}
+        for r in P.bases(df, least, mapq).where("base in ('A', 'C', 'G', 'T')").collect():
+            key = r.chrom, r.pos, "ACGT".index(r.base), int(r.reverse), max(min(r.q, r.mapq or 255, 63), 4)
+            want[key] = want.get(key, 0) + 1
+        found = M.columns(df, least, mapq).collect()
+        assert {(r.chrom, r.pos, e.base, e.reverse, e.q): e.n for r in found for e in r.seen} == want
+
+
+@pytest.mark.parametrize("most", [1, 30, 60])
+def test_base_counts_that_are_given_on(most, monkeypatch):
+    rows = [r for r in made(300) if r[13]]
+    batch = pa.RecordBatch.from_pydict({"rname": [r[5] for r in rows], "pos": [r[6] for r in rows], "cigar": [r[8] for r in rows], "seq": [r[13] for r in rows], "qual": [r[14] for r in rows], "mapq": [r[7] or 0 for r in rows], "reverse": [r[3] == 16 for r in rows]})
+
+    def summed(most):
+        out = {}
+        for part in L.base_counts(iter([batch]), 13, most):
+            for r in part.to_pylist():
+                key = tuple(r.values())[:-1]
+                out[key] = out.get(key, 0) + r["n"]
+        return out
+
+    monkeypatch.setattr(L, "BASES", 40)
+    assert summed(most) == summed(1 << 14)

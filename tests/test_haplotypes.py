@@ -160,3 +160,53 @@ def test_many_windows_sum_up_as_few_do(k):
     known, value, n = np.array(told).T
     assert (H.fits(known, value, n, k) == want).all()  # many: by halves
     assert (sum(H.fits(known[j : j + 1], value[j : j + 1], n[j : j + 1], k) for j in range(len(n))) == want).all()
+
+
+def test_all_templates_are_judged_as_each_is():
+    rnd = random.Random(3)
+    each = []
+    for _ in range(400):
+        n, cut = rnd.randint(0, 14), rnd.randint(0, 14)
+        bits = "".join(rnd.choice("01") for _ in range(n))
+        codes = "".join(str(1 + (int(b) ^ (k < cut) ^ (rnd.random() < 0.15))) for k, b in enumerate(bits))
+        each.append((codes, bits))
+    row = np.repeat(np.arange(len(each)), [len(c) for c, _ in each])
+    code, bit = (np.array([int(x) for pair in each for x in pair[which]]) for which in (0, 1))
+    for fix in (True, False):
+        told = H.judge_all(row, code, bit, len(each), fix)
+        for k, (c, b) in enumerate(each):
+            want = H.judge(c, b, fix)
+            assert {n: bool(told[n][k]) if isinstance(want[n], bool) else int(told[n][k]) for n in want if n != "fixed"} == {n: v for n, v in want.items() if n != "fixed"}
+            assert "".join(map(str, told["fixed"][row == k])) == want["fixed"]
+    assert any(H.judge(c, b)["flip"] for c, b in each)
+
+
+def test_no_row_for_each_base(spark):
+    from alnspark.operators import models as M
+    from alnspark.plans.derive import reads
+
+    df = reads(spark, "/root/testdata/sf0.001")
+    assert "Generate" not in M.columns(df)._jdf.queryExecution().toString()
+    found = H.Phased(df, least_lod=5)
+    # a template is one row, and its sites aren't looked up one by one
+    assert found.judged.count() == found.judged.select("chrom", "qname").distinct().count()
+    assert "Generate" not in H._judged(found.members, found.along, True)._jdf.queryExecution().toString().split("Physical Plan")[1]
+
+
+def test_small_chunks_and_paths_that_are_joined_change_nothing(spark, monkeypatch):
+    rnd = random.Random(6)
+    one, two = ("".join(rnd.choice("ACGT") for _ in range(60)) for _ in range(2))
+    rows = []
+    for k in range(60):
+        at, size = rnd.randrange(40), rnd.randint(3, 20)
+        cigar, used = rnd.choice([(f"{size}M", size), (f"2M3N{size - 2}M", size), (f"2M1I{size - 2}M", size + 1), (f"1M2D{size - 1}M", size)])
+        rows.append(f"t{k % 45} {rnd.choice([0, 16])} chr{k % 2 + 1} {at + 1} 60 {cigar} * 0 0 {(one if k % 3 else two)[at : at + used].ljust(used, 'A')} {'I' * used}")
+    df = sam(spark, *rows)
+    told = lambda: [sorted(map(repr, x.collect())) for found in [H.Phased(df, least_lod=1, k=4, min_base_quality=1)] for x in (found.sites(), found.templates())]
+    whole = told()
+    assert len(whole[0]) > 20 and len(whole[1]) > 20
+    monkeypatch.setattr(H, "CHUNK", 4)
+    monkeypatch.setattr(H, "PATH", 3)
+    assert told() == whole
+    monkeypatch.setattr(H, "BROADCAST_SITES", 0)
+    assert told() == whole
