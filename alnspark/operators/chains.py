@@ -72,18 +72,18 @@ def chains(df: DataFrame, distance: int | None = None, mode: str = "template", b
     at = at.select(*keys, "_sq", rank.alias("rank"), F.col("_p.prefix").alias("tile"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
     cell = lambda c: F.floor(F.col(c) / max(distance, 1))
     at = at.withColumns({"cx": cell("x"), "cy": cell("y")})
-    beaten, one = _best_of_cells(at)
+    beaten, one = _best_of_cells(at, "_sq")
     other = at.select("root_src", "root_ordinal", "tile", "cx", "cy", F.col("rank").alias("rank2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     meets = near("x", "x2") & near("y", "y2") & (F.col("rank2") < F.col("rank"))
     hit = one.join(other, ["root_src", "root_ordinal", "tile", "cx", "cy"]).where(meets).select("src", "ordinal").distinct().unionByName(beaten).withColumn("_hit", F.lit(True))
     return twins.join(hit, ["src", "ordinal"], "left").select(*keys, "origin", F.when(F.col("_sq") | F.col("_hit"), "SQ").otherwise("LB").alias("type"))
 
 
-def _best_of_cells(at: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the duplicates not near their root: src, ordinal of those that another of their chain and cell beats, which is near as they share
-    the cell; and the others, the best of each cell, once for each cell that they have to look into."""
+def _best_of_cells(at: DataFrame, settled: str = "_is_root") -> tuple[DataFrame, DataFrame]:
+    """Of the duplicates that aren't settled (near their root): src, ordinal of those that another of their chain and cell beats, which is
+    near as they share the cell; and the others, the best of each cell, once for each cell that they have to look into."""
     near = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    at = at.withColumn("_first", F.min("rank").over(Window.partitionBy("root_src", "root_ordinal", "tile", "cx", "cy"))).where("not _sq")
+    at = at.withColumn("_first", F.min("rank").over(Window.partitionBy("root_src", "root_ordinal", "tile", "cx", "cy"))).where(f"not {settled}")
     beaten = at.where(F.col("_first") < F.col("rank")).select("src", "ordinal")
     best = at.where(F.col("_first") == F.col("rank")).withColumn("_c", F.explode(near))
     return beaten, best.select("src", "ordinal", "root_src", "root_ordinal", "rank", "tile", "x", "y", "_c.cx", "_c.cy")
